@@ -1,0 +1,25 @@
+"""File listings."""
+
+from __future__ import annotations
+
+from datetime import datetime
+
+from pyspark.sql import DataFrame, SparkSession
+
+
+def file_inventory(
+    spark: SparkSession,
+    root: str,
+    globs: str | None = None,
+    modified_after: datetime | None = None,
+    modified_before: datetime | None = None,
+) -> DataFrame:
+    """Files below `root` as `(path, modificationTime, length)`; their content is not read."""
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    if globs is not None:
+        reader = reader.option("pathGlobFilter", globs)
+    if modified_after is not None:
+        reader = reader.option("modifiedAfter", modified_after.strftime("%Y-%m-%dT%H:%M:%S"))
+    if modified_before is not None:
+        reader = reader.option("modifiedBefore", modified_before.strftime("%Y-%m-%dT%H:%M:%S"))
+    return reader.load(root).select("path", "modificationTime", "length")
