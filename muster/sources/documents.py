@@ -17,7 +17,7 @@ PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 def read_documents(spark: SparkSession, path: str) -> DataFrame:
     """One row per file with its text in `raw`; directories like `installation_id=a` become columns."""
-    return spark.read.option("wholetext", True).text(path).withColumnRenamed("value", "raw")
+    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
 
 
 def parsed(raw: Column, schema: str) -> Column:

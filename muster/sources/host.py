@@ -17,9 +17,7 @@ DISK_FREE_FIELD = 4
 def read_host_lines(spark: SparkSession, path: str) -> DataFrame:
     """Text files as `(file, pos, line)`, one row per line, `pos` counted from 0."""
     return (
-        spark.read.option("wholetext", True)
-        .text(path)
-        .select(
+        spark.read.text(path, wholetext=True).select(
             F.col("_metadata.file_path").alias("file"),
             F.posexplode(F.split(F.regexp_replace("value", r"\n$", ""), "\n")).alias("pos", "line"),
         )
