@@ -28,15 +28,17 @@ def overlay_layers(
     layer: str = "layer",
     path: str | None = "path",
     target: int = 0,
+    tie: Sequence[str] = (),
 ) -> DataFrame:
     """The row of the highest layer per key. Outside the target layer, top-level hidden paths are not copied.
 
-    `path` is relative to its layer; None skips the rule on hidden paths.
+    `path` is relative to its layer; None skips the rule on hidden paths. `tie` picks the greatest of several rows of
+    one layer.
     """
     copied = df
     if path is not None:
         copied = df.filter((F.col(layer) == target) | ~F.col(path).startswith("."))
-    return latest_per_key(copied, keys, [layer])
+    return latest_per_key(copied, keys, [layer, *tie])
 
 
 def retain_last_n(
