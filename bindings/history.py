@@ -61,7 +61,7 @@ def conversations_listed(t: Tables) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) <= 3
 """)
 def last_turns(t: Tables) -> DataFrame:
-    return retain_last_n(t("conversations"), ["conv_id"], ["turn"], n=3, width=4)
+    return retain_last_n(t("conversations"), ["conv_id"], ["turn"], n=3)
 
 
 @query("""

@@ -19,6 +19,7 @@ from muster.operators import (
     silent_keys,
     summarize_sessions,
 )
+from muster.plans.slots import resolve_slots
 
 USER = ["user_id"]
 ORDER = ["ts", "event_id"]
@@ -69,8 +70,10 @@ def session_start_flags(t: Tables) -> DataFrame:
         ROWS UNBOUNDED PRECEDING) AS opened FROM starts)
 """)
 def session_of_event(t: Tables) -> DataFrame:
-    starts = session_starts(session_events(t), USER, ORDER)
-    sessions = explicit_sessions(starts, USER, ORDER, F.col("is_start"), F.col("action") == "ended")
+    events = session_events(t)
+    width = resolve_slots(events, USER, ORDER)
+    starts = session_starts(events, USER, ORDER, width=width)
+    sessions = explicit_sessions(starts, USER, ORDER, F.col("is_start"), F.col("action") == "ended", width)
     return sessions.select("event_id", F.col("session_start.event_id").alias("started_by"))
 
 

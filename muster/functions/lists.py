@@ -9,8 +9,8 @@ from muster.functions.text import ascii_lower
 
 
 def words_of(text: Column) -> Column:
-    """Whitespace-separated words, without empty ones."""
-    return F.filter(F.split(text, r"\s+"), lambda word: word != "")
+    """Whitespace-separated words; the first or last may be empty, as rows they are filtered after `explode`."""
+    return F.split(text, r"\s+")
 
 
 def joined(words: Column, separator: str = " ") -> Column:

@@ -40,7 +40,7 @@ def package_rows(documents: DataFrame, columns: Mapping[str, str], keys: Sequenc
         *[F.struct(F.lit(kind).alias("kind"), F.array_join(column, "\n").alias("text")) for kind, column in columns.items()]
     )
     lists = documents.select(*keys, F.inline(pairs)).filter(has_value(F.col("text")))
-    return lists.select(*keys, "kind", F.explode(words_of(F.col("text"))).alias("package"))
+    return lists.select(*keys, "kind", F.explode(words_of(F.col("text"))).alias("package")).filter(F.col("package") != "")
 
 
 def recorded_rows(documents: DataFrame, columns: Mapping[str, str] = STATE_KEYS, keys: Sequence[str] = KEYS) -> DataFrame:

@@ -1,26 +1,63 @@
 """Ordered per-key logic without a per-key task.
 
 A window over a key puts all rows of that key into one task, which fails when one key holds a large part of the table.
-Here rows are grouped by key *and slot*, a slot being a fixed-width piece of the ordering column, and only one summary
-row per occupied slot is handled per key. Its number is bounded by the covered time divided by the width, not by the
-number of rows. What the earlier slots contribute is put back as one seed row in front of each slot.
+Here rows are grouped by key *and slot*, and only one summary row per occupied slot is handled per key. What the earlier
+slots contribute is put back as one seed row in front of each slot.
+
+A slot is a fixed-width piece of the first ordering column. It follows from the value alone, so rows are shuffled once,
+and a key has at most as many summary rows as the covered time has slots. Where a single slot would hold too many rows
+(a burst, or one timestamp for a bulk load), rows are cut into ranges of about equal size in the order of key and all
+ordering columns instead. Ranges are drawn from a sample, so the rows are written once to keep their cut fixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions.timeline import Width, slot_of
+from muster.session import checkpointed
 
 SLOT, SEED, VALUE = "_slot", "_seed", "_value"
+SLOT_WIDTH = timedelta(minutes=10)
+ROWS_PER_SLOT = 5_000_000
+
+# A width, None for ranges of equal size, or AUTO to look at the fullest slot first.
+AUTO = "auto"
+Slots = Width | str | None
+
+
+def overfull_slots(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Width = SLOT_WIDTH, limit: int = ROWS_PER_SLOT
+) -> DataFrame:
+    """Keys and slots with more than `limit` rows."""
+    slots = df.groupBy(*keys, slot_of(F.col(order[0]), width).alias(SLOT)).count()
+    return slots.filter(F.col("count") > limit)
+
+
+def resolve_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Slots = AUTO) -> Width | None:
+    """What AUTO stands for: `SLOT_WIDTH` if the first ordering column is a time and no slot is overfull, else ranges.
+
+    Counts the rows per slot in a job of its own, so a caller with several steps over the same rows asks once and passes
+    the answer on.
+    """
+    if width != AUTO:
+        return width
+    timed = df.schema[order[0]].dataType.typeName().startswith("timestamp")
+    return SLOT_WIDTH if timed and overfull_slots(df, keys, order, limit=ROWS_PER_SLOT).isEmpty() else None
 
 
-def with_slot(df: DataFrame, order: Sequence[str], width: Width) -> DataFrame:
-    """Add the slot of the first ordering column."""
-    return df.withColumn(SLOT, slot_of(F.col(order[0]), width))
+def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Slots) -> DataFrame:
+    """Add the slot or range of each row; within a key its number grows with the ordering columns."""
+    width = resolve_slots(df, keys, order, width)
+    if width is not None:
+        return df.withColumn(SLOT, slot_of(F.col(order[0]), width))
+    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = df.repartitionByRange(count, *keys, *order)
+    return checkpointed(ranges.withColumn(SLOT, F.spark_partition_id().cast("bigint")))
 
 
 def earlier_slots(keys: Sequence[str]):
@@ -37,16 +74,16 @@ def fill_forward(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[str],
-    width: Width,
     value: Column,
     name: str,
     inclusive: bool = True,
+    width: Slots = AUTO,
 ) -> DataFrame:
     """Add `name`: the last non-NULL `value` of the key so far, with or without the row's own.
 
-    `order` must be unique within a key; its first column is the one that is cut into slots.
+    `order` must be unique within a key.
     """
-    rows = with_slot(df, order, width).withColumn(VALUE, value).withColumn(SEED, F.lit(False))
+    rows = with_slot(df, keys, order, width).withColumn(VALUE, value).withColumn(SEED, F.lit(False))
     position = F.struct(*order)
     last = F.max_by(VALUE, F.when(F.col(VALUE).isNotNull(), position))
     before = F.last(VALUE, ignorenulls=True).over(earlier_slots(keys))
@@ -66,9 +103,9 @@ def fill_forward(
     )
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Width, n: int) -> DataFrame:
-    """The last `n` rows of each key."""
-    rows = with_slot(df, order, width).withColumn(SEED, F.lit(False))
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, width: Slots = AUTO) -> DataFrame:
+    """The last `n` rows of each key. `order` must be unique within a key."""
+    rows = with_slot(df, keys, order, width).withColumn(SEED, F.lit(False))
     newer = F.coalesce(F.sum(VALUE).over(later_slots(keys)), F.lit(0))
     seeds = (
         rows.groupBy(*keys, SLOT)
@@ -76,10 +113,11 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: W
         .select(*keys, SLOT, newer.alias(VALUE), F.lit(True).alias(SEED))
     )
     window = Window.partitionBy(*keys, SLOT).orderBy(F.col(SEED).desc(), *[F.col(name).desc() for name in order])
+    sofar = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rank = F.row_number().over(window) - 1
     return (
         rows.unionByName(seeds, allowMissingColumns=True)
-        .withColumn(VALUE, F.first(VALUE, ignorenulls=True).over(window) + rank)
+        .withColumn(VALUE, F.first(VALUE, ignorenulls=True).over(sofar) + rank)
         .filter(~F.col(SEED) & (F.col(VALUE) <= n))
         .drop(SLOT, SEED, VALUE)
     )

@@ -15,9 +15,12 @@ from muster.schemas import CORRUPT, OPTION_KEYS, STATE_KEYS
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def read_documents(spark: SparkSession, path: str) -> DataFrame:
-    """One row per file with its text in `raw`; directories like `installation_id=a` become columns."""
-    return spark.read.text(path, wholetext=True).withColumnRenamed("value", "raw")
+def read_documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+    """One row per file, or per line, with its text in `raw`; directories like `installation_id=a` become columns.
+
+    Very many small files are slow to list and open; land documents as lines of large files where possible.
+    """
+    return spark.read.text(path, wholetext=not per_line).withColumnRenamed("value", "raw")
 
 
 def parsed(raw: Column, schema: str) -> Column:
@@ -57,14 +60,14 @@ def parse_options(documents: DataFrame, launch_key: str, raw: str = "raw") -> Da
     )
 
 
-def read_package_state(spark: SparkSession, path: str) -> DataFrame:
+def read_package_state(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
     """Recorded packages, one row per document below `path`."""
-    return parse_package_state(read_documents(spark, path))
+    return parse_package_state(read_documents(spark, path, per_line))
 
 
-def read_options(spark: SparkSession, path: str, launch_key: str) -> DataFrame:
+def read_options(spark: SparkSession, path: str, launch_key: str, per_line: bool = False) -> DataFrame:
     """Declared options, one row per document below `path`."""
-    return parse_options(read_documents(spark, path), launch_key)
+    return parse_options(read_documents(spark, path, per_line), launch_key)
 
 
 def corrupt_documents(parsed_documents: DataFrame) -> DataFrame:

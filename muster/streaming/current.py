@@ -12,8 +12,8 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.functions.timeline import Width
-from muster.operators.history import SLOT_WIDTH, latest_per_key, state_changes
+from muster.operators.history import latest_per_key, state_changes
+from muster.plans.slots import AUTO, Slots
 from muster.sources.versions import committed_versions, latest_version, version_path, write_version
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -82,7 +82,7 @@ def changes_sink(
     keys: Sequence[str],
     order: Sequence[str],
     state: str = "state",
-    width: Width = SLOT_WIDTH,
+    width: Slots = AUTO,
     compact_every: int | None = 50,
 ) -> BatchWriter:
     """For `foreachBatch`: write state changes to versions below `path/changes`, remembering the state between batches.

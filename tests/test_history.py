@@ -1,7 +1,6 @@
 import random
 from datetime import datetime, timedelta
 
-import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
@@ -26,6 +25,8 @@ from muster.operators import (
     summarize_sessions,
     top_n,
 )
+from muster.plans import slots
+from muster.plans.slots import resolve_slots, with_slot
 
 START = datetime(2024, 1, 1)
 EVENTS = "k string, id bigint, ts timestamp, v string"
@@ -55,7 +56,7 @@ def by_key(events):
 
 
 @CHECK
-@given(events=EVENT_LISTS, width=st.sampled_from([1, 7, 1000]))
+@given(events=EVENT_LISTS, width=st.sampled_from([1, 7, 1000, None]))
 def test_state_changes(spark, events, width):
     events = numbered(events)
     expected = []
@@ -66,17 +67,17 @@ def test_state_changes(spark, events, width):
                 expected.append((row[1], previous[3] if previous else None))
             previous = row
     df = spark.createDataFrame(events, EVENTS)
-    found = state_changes(df, ["k"], ["ts", "id"], "v", timedelta(minutes=width)).select("id", "previous").collect()
+    found = state_changes(df, ["k"], ["ts", "id"], "v", width and timedelta(minutes=width)).select("id", "previous").collect()
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
 @CHECK
-@given(events=EVENT_LISTS, width=st.sampled_from([1, 7, 1000]), n=st.sampled_from([1, 3, 20]))
+@given(events=EVENT_LISTS, width=st.sampled_from([1, 7, 1000, None]), n=st.sampled_from([1, 3, 20]))
 def test_retain_last_n(spark, events, width, n):
     events = numbered(events)
     expected = [row[1] for group in by_key(events).values() for row in group[-n:]]
     df = spark.createDataFrame(events, EVENTS)
-    found = retain_last_n(df, ["k"], ["ts", "id"], n, timedelta(minutes=width)).select("id").collect()
+    found = retain_last_n(df, ["k"], ["ts", "id"], n, width and timedelta(minutes=width)).select("id").collect()
     assert sorted(row.id for row in found) == sorted(expected)
     whole = retain_last_n(df, ["k"], ["id"], n, width).select("id").collect()
     kept = [row[1] for key in "ab" for row in [row for row in events if row[0] == key][-n:]]
@@ -128,7 +129,7 @@ ACTIONS = ["attach_or_create", "reconnect", "new", "continue", "ended", "shell"]
 @CHECK
 @given(
     events=st.lists(st.tuples(st.sampled_from("aab"), st.integers(0, 300), st.sampled_from(ACTIONS)), max_size=50),
-    width=st.sampled_from([1, 11, 1000]),
+    width=st.sampled_from([1, 11, 1000, None]),
 )
 def test_explicit_sessions(spark, events, width):
     events = numbered(events)
@@ -144,7 +145,7 @@ def test_explicit_sessions(spark, events, width):
                 current = None
         live[key] = current is not None
     df = spark.createDataFrame(events, EVENTS).withColumnRenamed("v", "action")
-    span = timedelta(minutes=width)
+    span = width and timedelta(minutes=width)
     starts = session_starts(df, ["k"], ["ts", "id"], width=span)
     sessions = explicit_sessions(
         starts, ["k"], ["ts", "id"], F.col("is_start"), F.col("action") == "ended", width=span
@@ -266,12 +267,28 @@ def test_severity_counts(spark, rows):
     assert rows(severity_counts(logs, ["k"])) == [("a", 2, 0, 1), ("b", 0, 0, 0)]
 
 
-@pytest.mark.parametrize("seed", [1])
-def test_hot_key_is_spread(spark, seed):
-    """One key with nearly all rows: no window task sees more than its slot."""
-    random.seed(seed)
-    events = [("hot", n, at(random.randrange(100_000)), "x") for n in range(3000)]
-    df = spark.createDataFrame(events, EVENTS)
+def hot_key(spark, minutes):
+    """One key with nearly all rows."""
+    random.seed(1)
+    events = [("hot", n, at(random.randrange(minutes)), random.choice("xy")) for n in range(3000)]
+    return spark.createDataFrame([*events, ("cold", 3000, at(0), "x")], EVENTS)
+
+
+def test_hot_key_is_spread(spark):
+    df = hot_key(spark, 100_000)
     plan = state_changes(df, ["k"], ["ts", "id"], "v")._jdf.queryExecution().executedPlan().toString()
     shuffles = [line for line in plan.splitlines() if "hashpartitioning(k#" in line and "_slot" not in line]
     assert len(shuffles) == 1, "only slot summaries are shuffled by the key alone"
+
+
+def test_hot_slot_is_cut_into_ranges(spark, rows, monkeypatch):
+    """All rows of the key at one time: they are cut by the second ordering column."""
+    df = hot_key(spark, 1)
+    by_slot = rows(state_changes(df, ["k"], ["ts", "id"], "v"))
+    last = rows(retain_last_n(df, ["k"], ["ts", "id"], 100))
+    monkeypatch.setattr(slots, "ROWS_PER_SLOT", 500)
+    assert resolve_slots(df, ["k"], ["ts", "id"]) is None
+    fullest = with_slot(df, ["k"], ["ts", "id"], "auto").groupBy("k", "_slot").count().agg(F.max("count")).first()[0]
+    assert fullest < 1000
+    assert rows(state_changes(df, ["k"], ["ts", "id"], "v")) == by_slot
+    assert rows(retain_last_n(df, ["k"], ["ts", "id"], 100)) == last

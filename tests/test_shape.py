@@ -130,7 +130,7 @@ def test_scalars(spark):
         date_label(F.col("d").cast("timestamp")).alias("label"),
         F.array(*[has_value(F.lit(v).cast("string")) for v in [None, "", "null", "x"]]).alias("has"),
     ).first()
-    assert row.bare == "abc" and row.squeezed == "a b c" and row.words == ["a", "b", "c"]
+    assert row.bare == "abc" and row.squeezed == "a b c" and row.words == ["", "a", "b", "c", ""]
     assert row.lower == "Äbc" and row.mb == 1 and row.negative == -1
     assert row.same == ["x", "Y"] and row.appended == ["x", "Y", "y"] and row.folded == ["x", "Y"]
     assert row["first"] == ["y"] and row.nothing == ["x", "Y"] and row.removed == ["Y"] and row.kept == ["x", "Y"]
