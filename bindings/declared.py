@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
-from muster.functions import words_of
+from muster.functions import append_absent, joined, remove_every, words_of
 from muster.operators import (
     apply_requests,
     declared_packages,
@@ -132,7 +132,7 @@ def state_documents_with_corrupt(t: Tables) -> DataFrame:
     raw = F.when(F.col("n_chars") > 1000, valid).otherwise(F.concat(F.lit("text: "), "text"))
     parsed = parse_package_state(t("documents").select("doc_id", raw.alias("raw")))
     packages = F.concat(*STATE_KEYS.values())
-    return parsed.select("doc_id", F.size(packages).cast("bigint").alias("n_packages"), F.col(CORRUPT).isNotNull().alias("is_corrupt"))
+    return parsed.select("doc_id", F.size(packages).alias("n_packages"), F.col(CORRUPT).isNotNull().alias("is_corrupt"))
 
 
 LISTED_SQL = """
@@ -342,3 +342,19 @@ def requests_validated(t: Tables) -> DataFrame:
 def customers_without_orders(t: Tables) -> DataFrame:
     orders = t("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("c_custkey"))
     return empty_groups(t("customer").select("c_custkey"), orders, ["c_custkey"])
+
+
+@query("""
+    SELECT doc_id, lang || CASE WHEN source = lang THEN '' ELSE ' ' || source END || CASE WHEN source = 'src1' THEN '' ELSE ' src1' END
+        AS appended, lang || ' ' || source || CASE WHEN source = 'src1' THEN '' ELSE ' SRC1' END AS folded,
+        CASE WHEN lang = 'en' THEN source ELSE lang || ' ' || source END AS removed FROM documents
+""")
+def list_edits(t: Tables) -> DataFrame:
+    """Lists of one document each, edited in place."""
+    words = F.array("lang", "source")
+    return t("documents").select(
+        "doc_id",
+        joined(append_absent(words, F.lit("src1"))).alias("appended"),
+        joined(append_absent(words, F.lit("SRC1"), fold=True)).alias("folded"),
+        joined(remove_every(words, F.lit("en"))).alias("removed"),
+    )

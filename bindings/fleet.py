@@ -21,6 +21,12 @@ def prevalence_rollup(t: Tables) -> DataFrame:
     return package_prevalence(days, ["event_type", "user_id"], "day")
 
 
+@query()
+def prevalence_estimate(t: Tables) -> DataFrame:
+    """Counts from sketches of fixed size; the estimate has no SQL of its own."""
+    return package_prevalence(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", approx=True)
+
+
 @query("""
     SELECT l_returnflag, l_linestatus, count(DISTINCT l_suppkey) AS installations,
         grouping_id(l_returnflag, l_linestatus) AS level FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)

@@ -2,14 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
 from muster.functions import kb_to_mb
 from muster.operators import any_true, attach_severity, classify_environment, error_count, threshold_flags, verdict
 from muster.plans.flows import health_report, resource_flags
-from muster.sources import parse_df, parse_log_lines, parse_meminfo
+from muster.session import scratch_path
+from muster.sources import parse_df, parse_log_lines, parse_meminfo, read_log_lines
 
 # Fixed values of this binding: a rule per event type.
 RULES = [
@@ -160,14 +161,27 @@ def health_reports(t: Tables) -> DataFrame:
     return health_report(check_results(t).withColumn("probe", probe), lines, ["user_id", "run_id"])
 
 
+def log_text() -> Column:
+    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
+    time = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    return F.concat(F.lit("["), time, F.lit("] "), level, F.lit(": type "), "event_type", F.lit(" props "), "props")
+
+
 @query("""
     SELECT event_id, date_trunc('second', ts) AS ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level,
         'type ' || event_type || ' props ' || props AS message FROM events
 """)
 def log_lines(t: Tables) -> DataFrame:
-    level = F.when(F.col("event_type") == "error", "ERROR").otherwise("INFO")
-    text = F.concat(
-        F.lit("["), F.date_format("ts", "yyyy-MM-dd HH:mm:ss"), F.lit("] "), level, F.lit(": type "), "event_type", F.lit(" props "), "props"
-    )
-    parsed = parse_log_lines(t("events").select("event_id", text.alias("value")))
+    parsed = parse_log_lines(t("events").select("event_id", log_text().alias("value")))
     return parsed.withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("""
+    SELECT event_type AS kind, date_trunc('second', ts) AS ts, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level,
+        'type ' || event_type || ' props ' || props AS message FROM events
+""")
+def landed_log_lines(t: Tables) -> DataFrame:
+    """The same lines landed as text, in one directory per event type."""
+    path = scratch_path(t.spark, "log")
+    t("events").select(F.col("event_type").alias("kind"), log_text().alias("value")).write.partitionBy("kind").text(path)
+    return read_log_lines(t.spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))

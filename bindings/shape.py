@@ -6,8 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
-from muster.functions import date_label, has_value
+from muster.functions import ascii_lower, blank_to, date_label, has_value, nth_field, squeeze, strip_all_space
 from muster.operators import explode_records, first_element, first_record, match_any, passthrough, project_fields
+from muster.session import scratch_path
+from muster.sources import read_api_snapshots
 
 
 def reply(endpoint: str, data: Column) -> tuple[Column, Column]:
@@ -99,3 +101,41 @@ def text_globs(t: Tables) -> DataFrame:
 @query("SELECT event_id, strftime(ts, '%a %m-%d %H:%M') AS label FROM events")
 def date_labels(t: Tables) -> DataFrame:
     return t("events").select("event_id", date_label(F.col("ts")).alias("label"))
+
+
+@query(r"""
+    SELECT doc_id, md5(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS lowered,
+        md5(regexp_replace(text, '[ \t\n\x0B\f\r]', '', 'g')) AS bare,
+        md5(trim(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS squeezed,
+        regexp_split_to_array(trim(text), '[ \t\n\x0B\f\r]+')[2] AS second,
+        CASE WHEN lang = 'en' THEN 'default' ELSE lang END AS filled FROM documents
+""")
+def text_scalars(t: Tables) -> DataFrame:
+    text = F.col("text")
+    return t("documents").select(
+        "doc_id",
+        F.md5(ascii_lower(text)).alias("lowered"),
+        F.md5(strip_all_space(text)).alias("bare"),
+        F.md5(squeeze(text)).alias("squeezed"),
+        nth_field(text, 2).alias("second"),
+        blank_to(F.when(F.col("lang") != "en", F.col("lang")).otherwise(""), F.lit("default")).alias("filled"),
+    )
+
+
+@query("""
+    SELECT CAST(o_custkey AS VARCHAR) AS installation_id, o_orderdate AS observed_at, o_orderpriority AS version, o_orderstatus AS machine
+    FROM orders WHERE o_orderstatus <> 'F'
+""")
+def landed_replies(t: Tables) -> DataFrame:
+    """Replies of two endpoints landed as JSON lines; only one endpoint is parsed."""
+    path = scratch_path(t.spark, "replies")
+    data = F.struct(F.col("o_orderpriority").alias("version"), F.col("o_orderstatus").alias("machine"))
+    t("orders").select(
+        F.col("o_custkey").cast("string").alias("installation_id"),
+        F.col("o_orderdate").cast("timestamp").alias("observed_at"),
+        F.when(F.col("o_orderstatus") == "F", "addons").otherwise("core/info").alias("endpoint"),
+        F.to_json(F.struct(data.alias("data"))).alias("payload"),
+    ).write.json(path)
+    replies = read_api_snapshots(t.spark, path, "core/info")
+    found = project_fields(replies, "core/info", ["data.version", "data.machine"])
+    return found.withColumn("observed_at", F.col("observed_at").cast("timestamp_ntz"))

@@ -17,12 +17,14 @@ from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from muster.functions.timeline import Width, slot_of
 from muster.session import checkpointed
 
 SLOT, SEED, VALUE = "_slot", "_seed", "_value"
 SLOT_WIDTH = timedelta(minutes=10)
+NUMBER_WIDTH = 1_000_000
 ROWS_PER_SLOT = 5_000_000
 
 # A width, None for ranges of equal size, or AUTO to look at the fullest slot first.
@@ -39,15 +41,23 @@ def overfull_slots(
 
 
 def resolve_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Slots = AUTO) -> Width | None:
-    """What AUTO stands for: `SLOT_WIDTH` if the first ordering column is a time and no slot is overfull, else ranges.
+    """What AUTO stands for: a fixed width by the type of the first ordering column, or ranges if some slot is overfull.
 
-    Counts the rows per slot in a job of its own, so a caller with several steps over the same rows asks once and passes
-    the answer on.
+    A whole number that alone is unique within a key cannot overfill its slot. Otherwise the rows per slot are counted in
+    a job of its own, so a caller with several steps over the same rows asks once and passes the answer on.
     """
     if width != AUTO:
         return width
-    timed = df.schema[order[0]].dataType.typeName().startswith("timestamp")
-    return SLOT_WIDTH if timed and overfull_slots(df, keys, order, limit=ROWS_PER_SLOT).isEmpty() else None
+    kind = df.schema[order[0]].dataType
+    if isinstance(kind, T.IntegralType):
+        if len(order) == 1:
+            return NUMBER_WIDTH
+        width = NUMBER_WIDTH
+    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
+        width = SLOT_WIDTH
+    else:
+        return None
+    return width if overfull_slots(df, keys, order, width, ROWS_PER_SLOT).isEmpty() else None
 
 
 def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Slots) -> DataFrame:

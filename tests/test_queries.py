@@ -44,5 +44,8 @@ def test_entry(spark):
     assert contract.entry(spark).count() > 0
 
 
-def test_only_file_listing_has_no_sql():
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"table_files"}
+def test_queries_without_sql(spark):
+    assert set(contract.queries()) - set(contract.oracle_sql()) == {"table_files", "prevalence_estimate"}
+    estimate = {row.level: row.installations for row in contract.queries()["prevalence_estimate"](spark, FOLDER).collect()}
+    exact = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_partkey").distinct().count()
+    assert abs(estimate[3] - exact) < 0.15 * exact
