@@ -19,7 +19,7 @@ from muster.operators import (
     silent_keys,
     summarize_sessions,
 )
-from muster.plans.slots import resolve_slots
+from muster.plans.slots import choose_slices
 
 USER = ["user_id"]
 ORDER = ["ts", "event_id"]
@@ -71,9 +71,9 @@ def session_start_flags(t: Tables) -> DataFrame:
 """)
 def session_of_event(t: Tables) -> DataFrame:
     events = session_events(t)
-    width = resolve_slots(events, USER, ORDER)
-    starts = session_starts(events, USER, ORDER, width=width)
-    sessions = explicit_sessions(starts, USER, ORDER, F.col("is_start"), F.col("action") == "ended", width)
+    slices = choose_slices(events, USER, ORDER)
+    starts = session_starts(events, USER, ORDER, slices=slices)
+    sessions = explicit_sessions(starts, USER, ORDER, F.col("is_start"), F.col("action") == "ended", slices)
     return sessions.select("event_id", F.col("session_start.event_id").alias("started_by"))
 
 

@@ -8,7 +8,7 @@ from datetime import timedelta
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.plans.slots import AUTO, Slots, fill_forward, keep_last
+from muster.plans.slots import AUTO, Slices, fill_forward, keep_last
 
 KEEP_ROWS = 50_000
 
@@ -40,10 +40,10 @@ def overlay_layers(
 
 
 def retain_last_n(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = KEEP_ROWS, width: Slots = AUTO
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = KEEP_ROWS, slices: Slices = AUTO
 ) -> DataFrame:
     """The last `n` rows per key in the order of `order`, which must be unique within a key."""
-    return keep_last(df, keys, order, n, width)
+    return keep_last(df, keys, order, n, slices)
 
 
 def state_changes(
@@ -51,11 +51,11 @@ def state_changes(
     keys: Sequence[str] = ("installation_id", "entity_id"),
     order: Sequence[str] = ("ts",),
     state: str = "state",
-    width: Slots = AUTO,
+    slices: Slices = AUTO,
 ) -> DataFrame:
     """Rows whose state differs from the one before, and the first of each key, with the earlier one in `previous`."""
     value = F.struct(F.col(state).alias("state"))
-    rows = fill_forward(states, keys, order, value, "_before", inclusive=False, width=width)
+    rows = fill_forward(states, keys, order, value, "_before", inclusive=False, slices=slices)
     changed = F.col("_before").isNull() | ~F.col(state).eqNullSafe(F.col("_before.state"))
     return rows.filter(changed).withColumn("previous", F.col("_before.state")).drop("_before")
 
@@ -68,7 +68,7 @@ def asof_guard(
     value: Sequence[str],
     tie: Sequence[str] = (),
     max_age: timedelta | None = None,
-    width: Slots = AUTO,
+    slices: Slices = AUTO,
     name: str = "state",
 ) -> DataFrame:
     """Events with `name`: the `value` columns and time of the newest state at or before the event, NULL if none.
@@ -79,7 +79,7 @@ def asof_guard(
     seen = F.struct(*value, F.col(ts))
     tagged = states.select(*keys, ts, *tie, seen.alias("_seen"), F.lit(0).alias("_side"))
     both = events.withColumn("_side", F.lit(1)).unionByName(tagged, allowMissingColumns=True)
-    filled = fill_forward(both, keys, [ts, "_side", *tie], F.col("_seen"), name, width=width)
+    filled = fill_forward(both, keys, [ts, "_side", *tie], F.col("_seen"), name, slices=slices)
     found = filled.filter(F.col("_side") == 1).drop("_side", "_seen")
     if max_age is None:
         return found

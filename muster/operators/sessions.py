@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.text import blank_to, strip_all_space
 from muster.functions.timeline import micros, slot_of, span_text, whole_micros
-from muster.plans.slots import AUTO, SLOT, Slots, fill_forward
+from muster.plans.slots import AUTO, SLOT, Slices, fill_forward
 from muster.plans.small import as_table
 from muster.schemas import ENDED, JOINING, MENU_CODES, MENU_CODES_SCHEMA, REPLACING
 
@@ -100,10 +100,10 @@ def session_starts(
     keys: Sequence[str] = SESSION_KEYS,
     order: Sequence[str] = ("ts", "event_id"),
     action: str = "action",
-    width: Slots = AUTO,
+    slices: Slices = AUTO,
 ) -> DataFrame:
     """Add `is_start`: the event replaces a session, or joins when none is live."""
-    before = fill_forward(events, keys, order, effective(F.col(action)), "_before", inclusive=False, width=width)
+    before = fill_forward(events, keys, order, effective(F.col(action)), "_before", inclusive=False, slices=slices)
     free = F.col("_before").isNull() | (F.col("_before") == ENDED)
     is_start = F.col(action).isin(*REPLACING) | ((F.col(action) == JOINING) & free)
     return before.withColumn("is_start", F.coalesce(is_start, F.lit(False))).drop("_before")
@@ -115,7 +115,7 @@ def explicit_sessions(
     order: Sequence[str],
     is_start: Column,
     is_end: Column | None = None,
-    width: Slots = AUTO,
+    slices: Slices = AUTO,
     name: str = "session_start",
 ) -> DataFrame:
     """Add `name`: the ordering columns of the event that started the event's session, NULL outside a session.
@@ -124,10 +124,10 @@ def explicit_sessions(
     """
     position = F.struct(*order)
     if is_end is None:
-        return fill_forward(events, keys, order, F.when(is_start, position), name, width=width)
+        return fill_forward(events, keys, order, F.when(is_start, position), name, slices=slices)
     starts = F.struct(F.when(is_start, position).alias("start"))
     marker = F.when(is_start | is_end, starts)
-    held = fill_forward(events, keys, order, marker, "_held", inclusive=False, width=width)
+    held = fill_forward(events, keys, order, marker, "_held", inclusive=False, slices=slices)
     own = F.when(is_start, position).otherwise(F.col("_held.start"))
     return held.withColumn(name, own).drop("_held")
 

@@ -1,18 +1,21 @@
-"""Ordered per-key logic without a per-key task.
-
-A window over a key puts all rows of that key into one task, which fails when one key holds a large part of the table.
-Here rows are grouped by key *and slot*, and only one summary row per occupied slot is handled per key. What the earlier
-slots contribute is put back as one seed row in front of each slot.
-
-A slot is a fixed-width piece of the first ordering column. It follows from the value alone, so rows are shuffled once,
-and a key has at most as many summary rows as the covered time has slots. Where a single slot would hold too many rows
-(a burst, or one timestamp for a bulk load), rows are cut into ranges of about equal size in the order of key and all
-ordering columns instead. Ranges are drawn from a sample, so the rows are written once to keep their cut fixed.
+"""Ordered per-key logic without a task that owns a hot key.
+
+A window over a key puts all rows of that key into one task. That is the cheapest plan as long as no key has very many
+rows, and impossible when one key holds a large part of the table. So the keys are counted first. Rows of keys with at
+most `ROWS_PER_TASK` rows go through the plain window. Rows of the others, the hot keys, are grouped by key *and slot*;
+only one summary row per occupied slot is handled per hot key, and what the earlier slots contribute is put back as one
+seed row in front of each slot.
+
+A slot is a fixed-width piece of the first ordering column. It follows from the value alone, so rows are shuffled once.
+Where a single slot would again hold too many rows (a burst, or one timestamp for a bulk load), the rows of hot keys are
+cut into ranges of about equal size in the order of key and all ordering columns instead. Ranges are drawn from a
+sample, so these rows are written once to keep their cut fixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
@@ -23,51 +26,100 @@ from muster.functions.timeline import Width, slot_of
 from muster.session import checkpointed
 
 SLOT, SEED, VALUE = "_slot", "_seed", "_value"
-SLOT_WIDTH = timedelta(minutes=10)
+ROWS_PER_TASK = 5_000_000
+TIME_WIDTH = timedelta(minutes=10)
 NUMBER_WIDTH = 1_000_000
-ROWS_PER_SLOT = 5_000_000
 
-# A width, None for ranges of equal size, or AUTO to look at the fullest slot first.
+
+@dataclass(frozen=True)
+class Slicing:
+    """How rows of a key are divided: by slots of `width`, or by ranges where it is None.
+
+    `hot` lists the keys this applies to, None for all. It has at most one row per `ROWS_PER_TASK` rows of the table, so
+    it may be broadcast.
+    """
+
+    width: Width | None = None
+    hot: DataFrame | None = None
+
+
+# Keys are not divided; or counted first.
+WHOLE = "whole"
 AUTO = "auto"
-Slots = Width | str | None
+Slices = Slicing | str
 
 
-def overfull_slots(
-    df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Width = SLOT_WIDTH, limit: int = ROWS_PER_SLOT
-) -> DataFrame:
-    """Keys and slots with more than `limit` rows."""
-    slots = df.groupBy(*keys, slot_of(F.col(order[0]), width).alias(SLOT)).count()
-    return slots.filter(F.col("count") > limit)
+def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
+    """Equal keys, NULL being a key like any other."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & left[key].eqNullSafe(right[f"_hot_{key}"])
+    return condition
 
 
-def resolve_slots(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Slots = AUTO) -> Width | None:
-    """What AUTO stands for: a fixed width by the type of the first ordering column, or ranges if some slot is overfull.
+def renamed(keyed: DataFrame, keys: Sequence[str]) -> DataFrame:
+    return keyed.withColumnsRenamed({key: f"_hot_{key}" for key in keys})
 
-    A whole number that alone is unique within a key cannot overfill its slot. Otherwise the rows per slot are counted in
-    a job of its own, so a caller with several steps over the same rows asks once and passes the answer on.
-    """
-    if width != AUTO:
-        return width
+
+def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
+    """Keys with more than `limit` rows."""
+    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
+
+
+def of_hot_keys(df: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of the hot keys, or with `left_anti` those of the others."""
+    table = renamed(hot.select(*keys), keys)
+    return df.join(F.broadcast(table), same_key(df, table, keys), how)
+
+
+def default_width(df: DataFrame, order: Sequence[str]) -> Width | None:
     kind = df.schema[order[0]].dataType
     if isinstance(kind, T.IntegralType):
-        if len(order) == 1:
-            return NUMBER_WIDTH
-        width = NUMBER_WIDTH
-    elif isinstance(kind, T.TimestampType | T.TimestampNTZType):
-        width = SLOT_WIDTH
-    else:
-        return None
-    return width if overfull_slots(df, keys, order, width, ROWS_PER_SLOT).isEmpty() else None
-
-
-def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], width: Slots) -> DataFrame:
-    """Add the slot or range of each row; within a key its number grows with the ordering columns."""
-    width = resolve_slots(df, keys, order, width)
+        return NUMBER_WIDTH
+    return TIME_WIDTH if isinstance(kind, T.TimestampType | T.TimestampNTZType) else None
+
+
+def choose_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Slices = AUTO) -> Slices:
+    """What AUTO stands for.
+
+    Counts the rows per key, and if there are hot keys their rows per slot, in jobs that read only those columns. A
+    caller with several steps over the same rows asks once and passes the answer on.
+    """
+    if slices != AUTO:
+        return slices
+    limit = ROWS_PER_TASK
+    hot = hot_keys(df, keys, limit)
+    if hot.isEmpty():
+        return WHOLE
+    width = default_width(df, order)
     if width is not None:
-        return df.withColumn(SLOT, slot_of(F.col(order[0]), width))
+        slot = slot_of(F.col(order[0]), width).alias(SLOT)
+        slots = of_hot_keys(df, keys, hot).groupBy(*keys, slot).count()
+        if not slots.filter(F.col("count") > limit).isEmpty():
+            width = None
+    return Slicing(width, hot)
+
+
+def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slicing: Slicing) -> DataFrame:
+    """Add the slot or range of each row, NULL for keys that are not divided.
+
+    Within a key the number grows with the ordering columns.
+    """
+    if slicing.width is not None:
+        slot = slot_of(F.col(order[0]), slicing.width)
+        if slicing.hot is None:
+            return df.withColumn(SLOT, slot)
+        table = renamed(slicing.hot.select(*keys), keys).withColumn("_is_hot", F.lit(True))
+        marked = df.join(F.broadcast(table), same_key(df, table, keys), "left")
+        return marked.withColumn(SLOT, F.when(F.col("_is_hot"), slot)).select(*df.columns, SLOT)
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.repartitionByRange(count, *keys, *order)
-    return checkpointed(ranges.withColumn(SLOT, F.spark_partition_id().cast("bigint")))
+    divided = df if slicing.hot is None else of_hot_keys(df, keys, slicing.hot)
+    ranges = divided.repartitionByRange(count, *keys, *order)
+    rows = checkpointed(ranges.withColumn(SLOT, F.spark_partition_id().cast("bigint")))
+    if slicing.hot is None:
+        return rows
+    others = of_hot_keys(df, keys, slicing.hot, "left_anti")
+    return others.withColumn(SLOT, F.lit(None).cast("bigint")).unionByName(rows)
 
 
 def earlier_slots(keys: Sequence[str]):
@@ -87,47 +139,68 @@ def fill_forward(
     value: Column,
     name: str,
     inclusive: bool = True,
-    width: Slots = AUTO,
+    slices: Slices = AUTO,
 ) -> DataFrame:
     """Add `name`: the last non-NULL `value` of the key so far, with or without the row's own.
 
     `order` must be unique within a key.
     """
-    rows = with_slot(df, keys, order, width).withColumn(VALUE, value).withColumn(SEED, F.lit(False))
-    position = F.struct(*order)
-    last = F.max_by(VALUE, F.when(F.col(VALUE).isNotNull(), position))
+    slicing = choose_slices(df, keys, order, slices)
+    end = Window.currentRow if inclusive else -1
+    if slicing == WHOLE:
+        sofar = Window.partitionBy(*keys).orderBy(*order).rowsBetween(Window.unboundedPreceding, end)
+        return df.withColumn(name, F.last(value, ignorenulls=True).over(sofar))
+    rows = with_slot(df, keys, order, slicing).withColumn(VALUE, value).withColumn(SEED, F.lit(False))
+    last = F.max_by(VALUE, F.when(F.col(VALUE).isNotNull(), F.struct(*order)))
     before = F.last(VALUE, ignorenulls=True).over(earlier_slots(keys))
     seeds = (
-        rows.groupBy(*keys, SLOT)
+        rows.filter(F.col(SLOT).isNotNull())
+        .groupBy(*keys, SLOT)
         .agg(last.alias(VALUE))
         .select(*keys, SLOT, before.alias(VALUE), F.lit(True).alias(SEED))
         .filter(F.col(VALUE).isNotNull())
     )
-    window = Window.partitionBy(*keys, SLOT).orderBy(F.col(SEED).desc(), *order)
-    frame = window.rowsBetween(Window.unboundedPreceding, Window.currentRow if inclusive else -1)
+    sofar = Window.partitionBy(*keys, SLOT).orderBy(F.col(SEED).desc(), *order)
     return (
         rows.unionByName(seeds, allowMissingColumns=True)
-        .withColumn(name, F.last(VALUE, ignorenulls=True).over(frame))
+        .withColumn(name, F.last(VALUE, ignorenulls=True).over(sofar.rowsBetween(Window.unboundedPreceding, end)))
         .filter(~F.col(SEED))
         .drop(SLOT, SEED, VALUE)
     )
 
 
-def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, width: Slots = AUTO) -> DataFrame:
-    """The last `n` rows of each key. `order` must be unique within a key."""
-    rows = with_slot(df, keys, order, width).withColumn(SEED, F.lit(False))
+def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int, slices: Slices = AUTO) -> DataFrame:
+    """The last `n` rows of each key. `order` must be unique within a key.
+
+    Of a hot key, slots behind which `n` rows follow are dropped before the rows are shuffled.
+    """
+    newest_first = [F.col(name).desc() for name in order]
+    slicing = choose_slices(df, keys, order, slices)
+    if slicing == WHOLE:
+        rank = F.row_number().over(Window.partitionBy(*keys).orderBy(*newest_first))
+        return df.withColumn(VALUE, rank).filter(F.col(VALUE) <= n).drop(VALUE)
+    rows = with_slot(df, keys, order, slicing)
     newer = F.coalesce(F.sum(VALUE).over(later_slots(keys)), F.lit(0))
-    seeds = (
-        rows.groupBy(*keys, SLOT)
+    slots = (
+        rows.filter(F.col(SLOT).isNotNull())
+        .groupBy(*keys, SLOT)
         .agg(F.count("*").alias(VALUE))
-        .select(*keys, SLOT, newer.alias(VALUE), F.lit(True).alias(SEED))
+        .select(*keys, SLOT, newer.alias(VALUE))
+        .filter(F.col(VALUE) < n)
     )
-    window = Window.partitionBy(*keys, SLOT).orderBy(F.col(SEED).desc(), *[F.col(name).desc() for name in order])
+    oldest = renamed(slots.groupBy(*keys).agg(F.min(SLOT).alias("_oldest")), keys)
+    side = oldest if slicing.hot is None else F.broadcast(oldest)
+    kept = rows.join(side, same_key(rows, oldest, keys), "left").filter(
+        F.col(SLOT).isNull() | (F.col(SLOT) >= F.col("_oldest"))
+    )
+    seeded = kept.select(*rows.columns, F.lit(False).alias(SEED)).unionByName(
+        slots.withColumn(SEED, F.lit(True)), allowMissingColumns=True
+    )
+    window = Window.partitionBy(*keys, SLOT).orderBy(F.col(SEED).desc(), *newest_first)
     sofar = window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rank = F.row_number().over(window) - 1
+    rank = F.coalesce(F.first(VALUE, ignorenulls=True).over(sofar), F.lit(0)) + F.count_if(~F.col(SEED)).over(sofar)
     return (
-        rows.unionByName(seeds, allowMissingColumns=True)
-        .withColumn(VALUE, F.first(VALUE, ignorenulls=True).over(sofar) + rank)
+        seeded.withColumn(VALUE, rank)
         .filter(~F.col(SEED) & (F.col(VALUE) <= n))
         .drop(SLOT, SEED, VALUE)
     )

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.history import latest_per_key, state_changes
-from muster.plans.slots import AUTO, Slots
+from muster.plans.slots import AUTO, Slices
 from muster.sources.versions import committed_versions, latest_version, version_path, write_version
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -82,7 +82,7 @@ def changes_sink(
     keys: Sequence[str],
     order: Sequence[str],
     state: str = "state",
-    width: Slots = AUTO,
+    slices: Slices = AUTO,
     compact_every: int | None = 50,
 ) -> BatchWriter:
     """For `foreachBatch`: write state changes to versions below `path/changes`, remembering the state between batches.
@@ -95,7 +95,7 @@ def changes_sink(
         rows = fresh.withColumn("_old", F.lit(False))
         if stored is not None:
             rows = rows.unionByName(stored.withColumn("_old", F.lit(True)))
-        changes = state_changes(rows, keys, order, state, width).filter(~F.col("_old")).drop("_old")
+        changes = state_changes(rows, keys, order, state, slices).filter(~F.col("_old")).drop("_old")
         write_version(changes, f"{path}/changes", number, mode="overwrite")
         store_batch(fresh, number, path, keys, order, compact_every)
 

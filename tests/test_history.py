@@ -26,7 +26,7 @@ from muster.operators import (
     top_n,
 )
 from muster.plans import slots
-from muster.plans.slots import resolve_slots, with_slot
+from muster.plans.slots import AUTO, WHOLE, Slicing, choose_slices, with_slot
 
 START = datetime(2024, 1, 1)
 EVENTS = "k string, id bigint, ts timestamp, v string"
@@ -41,6 +41,16 @@ EVENT_LISTS = st.lists(
     st.tuples(st.sampled_from("aab"), st.integers(-200, 200), st.sampled_from(["x", "y", "z", None])),
     max_size=60,
 )
+# Undivided keys, ranges, and slots in minutes or numbers.
+SLICES = st.sampled_from([WHOLE, None, 1, 7, 1000])
+
+
+def sliced(slices, timed=True):
+    if slices == WHOLE:
+        return WHOLE
+    return Slicing(timedelta(minutes=slices) if timed and slices else slices)
+
+
 CHECK = settings(max_examples=8, deadline=None, suppress_health_check=list(HealthCheck))
 
 
@@ -56,8 +66,8 @@ def by_key(events):
 
 
 @CHECK
-@given(events=EVENT_LISTS, width=st.sampled_from([1, 7, 1000, None]))
-def test_state_changes(spark, events, width):
+@given(events=EVENT_LISTS, slices=SLICES)
+def test_state_changes(spark, events, slices):
     events = numbered(events)
     expected = []
     for group in by_key(events).values():
@@ -67,19 +77,19 @@ def test_state_changes(spark, events, width):
                 expected.append((row[1], previous[3] if previous else None))
             previous = row
     df = spark.createDataFrame(events, EVENTS)
-    found = state_changes(df, ["k"], ["ts", "id"], "v", width and timedelta(minutes=width)).select("id", "previous").collect()
+    found = state_changes(df, ["k"], ["ts", "id"], "v", sliced(slices)).select("id", "previous").collect()
     assert sorted(map(tuple, found)) == sorted(expected)
 
 
 @CHECK
-@given(events=EVENT_LISTS, width=st.sampled_from([1, 7, 1000, None]), n=st.sampled_from([1, 3, 20]))
-def test_retain_last_n(spark, events, width, n):
+@given(events=EVENT_LISTS, slices=SLICES, n=st.sampled_from([1, 3, 20]))
+def test_retain_last_n(spark, events, slices, n):
     events = numbered(events)
     expected = [row[1] for group in by_key(events).values() for row in group[-n:]]
     df = spark.createDataFrame(events, EVENTS)
-    found = retain_last_n(df, ["k"], ["ts", "id"], n, width and timedelta(minutes=width)).select("id").collect()
+    found = retain_last_n(df, ["k"], ["ts", "id"], n, sliced(slices)).select("id").collect()
     assert sorted(row.id for row in found) == sorted(expected)
-    whole = retain_last_n(df, ["k"], ["id"], n, width).select("id").collect()
+    whole = retain_last_n(df, ["k"], ["id"], n, sliced(slices, False)).select("id").collect()
     kept = [row[1] for key in "ab" for row in [row for row in events if row[0] == key][-n:]]
     assert sorted(row.id for row in whole) == sorted(kept)
 
@@ -129,9 +139,9 @@ ACTIONS = ["attach_or_create", "reconnect", "new", "continue", "ended", "shell"]
 @CHECK
 @given(
     events=st.lists(st.tuples(st.sampled_from("aab"), st.integers(0, 300), st.sampled_from(ACTIONS)), max_size=50),
-    width=st.sampled_from([1, 11, 1000, None]),
+    slices=SLICES,
 )
-def test_explicit_sessions(spark, events, width):
+def test_explicit_sessions(spark, events, slices):
     events = numbered(events)
     expected, live = {}, {}
     for key, group in by_key(events).items():
@@ -145,10 +155,10 @@ def test_explicit_sessions(spark, events, width):
                 current = None
         live[key] = current is not None
     df = spark.createDataFrame(events, EVENTS).withColumnRenamed("v", "action")
-    span = width and timedelta(minutes=width)
-    starts = session_starts(df, ["k"], ["ts", "id"], width=span)
+    divided = sliced(slices)
+    starts = session_starts(df, ["k"], ["ts", "id"], slices=divided)
     sessions = explicit_sessions(
-        starts, ["k"], ["ts", "id"], F.col("is_start"), F.col("action") == "ended", width=span
+        starts, ["k"], ["ts", "id"], F.col("is_start"), F.col("action") == "ended", slices=divided
     )
     found = {row.id: row.session_start.id if row.session_start else None for row in sessions.collect()}
     assert found == expected
@@ -274,21 +284,51 @@ def hot_key(spark, minutes):
     return spark.createDataFrame([*events, ("cold", 3000, at(0), "x")], EVENTS)
 
 
-def test_hot_key_is_spread(spark):
+def shuffled_by_key_alone(df):
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return [line for line in plan.splitlines() if "hashpartitioning(k#" in line and "_slot" not in line]
+
+
+def test_plain_window_without_hot_keys(spark):
     df = hot_key(spark, 100_000)
-    plan = state_changes(df, ["k"], ["ts", "id"], "v")._jdf.queryExecution().executedPlan().toString()
-    shuffles = [line for line in plan.splitlines() if "hashpartitioning(k#" in line and "_slot" not in line]
-    assert len(shuffles) == 1, "only slot summaries are shuffled by the key alone"
+    assert choose_slices(df, ["k"], ["ts", "id"]) == WHOLE
+    assert len(shuffled_by_key_alone(state_changes(df, ["k"], ["ts", "id"], "v"))) == 1
+
+
+def both_ways(df, rows):
+    changes = state_changes(df, ["k"], ["ts", "id"], "v")
+    last = retain_last_n(df, ["k"], ["ts", "id"], 100)
+    return rows(changes), rows(last), df.count()
+
+
+def fullest_slot(df):
+    slots_of = with_slot(df, ["k"], ["ts", "id"], choose_slices(df, ["k"], ["ts", "id"]))
+    return slots_of.groupBy("k", "_slot").count().agg(F.max("count")).first()[0]
+
+
+def test_hot_key_is_divided(spark, rows, monkeypatch):
+    df = hot_key(spark, 100_000)
+    whole = both_ways(df, rows)
+    monkeypatch.setattr(slots, "ROWS_PER_TASK", 500)
+    slicing = choose_slices(df, ["k"], ["ts", "id"])
+    assert slicing.width is not None and [row.k for row in slicing.hot.collect()] == ["hot"]
+    assert fullest_slot(df) < 500
+    assert both_ways(df, rows) == whole
+
+
+def test_hot_null_key_is_divided(spark, rows, monkeypatch):
+    df = hot_key(spark, 100_000).withColumn("k", F.nullif("k", F.lit("hot")))
+    whole = both_ways(df, rows)
+    monkeypatch.setattr(slots, "ROWS_PER_TASK", 500)
+    assert fullest_slot(df) < 500
+    assert both_ways(df, rows) == whole
 
 
 def test_hot_slot_is_cut_into_ranges(spark, rows, monkeypatch):
     """All rows of the key at one time: they are cut by the second ordering column."""
     df = hot_key(spark, 1)
-    by_slot = rows(state_changes(df, ["k"], ["ts", "id"], "v"))
-    last = rows(retain_last_n(df, ["k"], ["ts", "id"], 100))
-    monkeypatch.setattr(slots, "ROWS_PER_SLOT", 500)
-    assert resolve_slots(df, ["k"], ["ts", "id"]) is None
-    fullest = with_slot(df, ["k"], ["ts", "id"], "auto").groupBy("k", "_slot").count().agg(F.max("count")).first()[0]
-    assert fullest < 1000
-    assert rows(state_changes(df, ["k"], ["ts", "id"], "v")) == by_slot
-    assert rows(retain_last_n(df, ["k"], ["ts", "id"], 100)) == last
+    whole = both_ways(df, rows)
+    monkeypatch.setattr(slots, "ROWS_PER_TASK", 500)
+    assert choose_slices(df, ["k"], ["ts", "id"], AUTO).width is None
+    assert fullest_slot(df) < 1000
+    assert both_ways(df, rows) == whole
