@@ -134,14 +134,14 @@ def requests_missing(
 ) -> DataFrame:
     """Requested rows whose package is not recorded."""
     on = [*keys, "kind", MATCH]
-    known = matched(state, folded).select(*on)
+    known = matched(state, folded).select(*on).dropDuplicates()
     return matched(requests, folded).join(known, on, "left_anti").drop(MATCH)
 
 
 def remove_packages(state: DataFrame, removals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Recorded rows that no removal names exactly; the others keep their multiplicity."""
     on = [*keys, "kind", "package"]
-    return state.join(removals.select(*on), on, "left_anti")
+    return state.join(removals.select(*on).dropDuplicates(), on, "left_anti")
 
 
 def first_requests(requests: DataFrame, keys: Sequence[str], order: Sequence[str], folded: Sequence[str]) -> DataFrame:
@@ -187,7 +187,7 @@ def apply_requests(
 ) -> DataFrame:
     """Recorded rows plus each requested package that is absent, in the spelling of its first request."""
     on = [*keys, "kind", MATCH]
-    known = matched(state, folded).select(*on)
+    known = matched(state, folded).select(*on).dropDuplicates()
     new = first_requests(requests, keys, order, folded).join(known, on, "left_anti")
     columns = [*keys, "kind", "package"]
     return state.select(*columns).unionByName(new.select(*columns))
@@ -199,7 +199,7 @@ CHUNK = 10_000
 LEVELS = 3
 
 
-def fold_level(steps: DataFrame, group: Sequence[str], chunk: Column | None) -> DataFrame:
+def fold_level(steps: DataFrame, group: Sequence[str], chunk: Column) -> DataFrame:
     """Chain the steps of each chunk in order.
 
     A step is a map from the spelling recorded before it (empty text for none) to the one recorded after it; a spelling
@@ -212,11 +212,13 @@ def fold_level(steps: DataFrame, group: Sequence[str], chunk: Column | None) ->
         moved = F.transform_values(before, lambda _, now: F.coalesce(F.try_element_at(step, now), now))
         return F.map_concat(moved, F.map_filter(step, lambda start, _: ~F.map_contains_key(before, start)))
 
-    grouping = [*group] if chunk is None else [*group, chunk.alias("_chunk")]
-    listed = steps.groupBy(*grouping).agg(F.array_sort(F.collect_list(F.struct("_at", "_step"))).alias("_steps"))
+    # Spread by chunk explicitly: rows that come from a join on the name are all in one task for a hot name, and would
+    # be grouped there.
+    parts = steps.withColumn("_chunk", chunk).repartition(*group, "_chunk")
+    listed = parts.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_at", "_step"))).alias("_steps"))
     result = F.map_entries(F.aggregate("_steps", nothing, lambda acc, item: chain(acc, item["_step"])))
-    at = [] if chunk is None else [F.struct(F.col("_chunk").alias("seq"), F.lit(0).alias("pos")).alias("_at")]
-    return listed.select(*group, *at, result.alias("_step"))
+    at = F.struct(F.col("_chunk").alias("seq"), F.lit(0).alias("pos"))
+    return listed.select(*group, at.alias("_at"), result.alias("_step"))
 
 
 def replay_folded(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -236,7 +238,8 @@ def replay_folded(commands: DataFrame, group: Sequence[str], order: Sequence[str
     for _ in range(LEVELS - 1):
         steps = fold_level(steps, group, F.call_function("div", F.col("_at.seq"), F.lit(CHUNK).cast("bigint")))
     final = F.try_element_at(F.map_from_entries("_step"), F.lit(""))
-    return fold_level(steps, group, None).select(*group, F.nullif(final, F.lit("")).alias("package"))
+    whole = fold_level(steps, group, F.lit(0).cast("bigint"))
+    return whole.select(*group, F.nullif(final, F.lit("")).alias("package"))
 
 
 def replay_commands(

@@ -26,7 +26,7 @@ from muster.functions.timeline import Width, slot_of
 from muster.session import checkpointed
 
 SLOT, SEED, VALUE = "_slot", "_seed", "_value"
-ROWS_PER_TASK = 5_000_000
+ROWS_PER_TASK = 10_000_000
 TIME_WIDTH = timedelta(minutes=10)
 NUMBER_WIDTH = 1_000_000
 

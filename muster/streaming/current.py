@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.history import latest_per_key, state_changes
-from muster.plans.slots import AUTO, Slices
+from muster.plans.slots import AUTO, Slices, choose_slices
 from muster.sources.versions import committed_versions, latest_version, version_path, write_version
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -52,12 +52,12 @@ def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence
     return newest
 
 
-def store_batch(
-    batch: DataFrame, number: int, path: str, keys: Sequence[str], order: Sequence[str], compact_every: int | None
+def store_newest(
+    newest: DataFrame, number: int, path: str, keys: Sequence[str], order: Sequence[str], compact_every: int | None
 ) -> None:
-    write_version(latest_per_key(batch, keys, order), deltas_of(path), number, mode="overwrite")
+    write_version(newest, deltas_of(path), number, mode="overwrite")
     if compact_every and number % compact_every == compact_every - 1:
-        compact(batch.sparkSession, path, keys, order)
+        compact(newest.sparkSession, path, keys, order)
 
 
 def current_state_sink(
@@ -65,7 +65,7 @@ def current_state_sink(
 ) -> BatchWriter:
     """For `foreachBatch`: keep the newest row per key below `path`."""
     def write(batch: DataFrame, number: int) -> None:
-        store_batch(batch, number, path, keys, order, compact_every)
+        store_newest(latest_per_key(batch, keys, order), number, path, keys, order, compact_every)
 
     return write
 
@@ -90,13 +90,16 @@ def changes_sink(
     Rows that arrive behind a stored row of their key are too late and are left out.
     """
     def write(batch: DataFrame, number: int) -> None:
+        chosen = choose_slices(batch, keys, order, slices)
         stored = read_current(batch.sparkSession, path, keys, order, before=number)
-        fresh = batch if stored is None else later_than_stored(batch, stored, keys, order)
+        fresh, newest = batch, latest_per_key(batch, keys, order)
+        if stored is not None:
+            fresh, newest = (later_than_stored(rows, stored, keys, order) for rows in (fresh, newest))
         rows = fresh.withColumn("_old", F.lit(False))
         if stored is not None:
             rows = rows.unionByName(stored.withColumn("_old", F.lit(True)))
-        changes = state_changes(rows, keys, order, state, slices).filter(~F.col("_old")).drop("_old")
+        changes = state_changes(rows, keys, order, state, chosen).filter(~F.col("_old")).drop("_old")
         write_version(changes, f"{path}/changes", number, mode="overwrite")
-        store_batch(fresh, number, path, keys, order, compact_every)
+        store_newest(newest, number, path, keys, order, compact_every)
 
     return write
