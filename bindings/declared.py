@@ -44,7 +44,11 @@ def option_documents(t: Tables) -> DataFrame:
             one_word(F.concat(F.lit("n"), F.col("c_nationkey"))).alias(OPTION_KEYS["pip"]),
         )
     )
-    return parse_options(t("customer").select(F.col("c_custkey").alias("installation_id"), text.alias("raw")), "launch")
+    has_picker = F.col("c_mktsegment") != "BUILDING"
+    documents = t("customer").select(
+        F.col("c_custkey").alias("installation_id"), has_picker.alias("has_picker"), text.alias("raw")
+    )
+    return parse_options(documents, "launch")
 
 
 def state_documents(t: Tables) -> DataFrame:
@@ -119,9 +123,8 @@ def token_distinct(t: Tables) -> DataFrame:
     FROM customer
 """)
 def launch_mode(t: Tables) -> DataFrame:
-    pickers = t("customer").select(F.col("c_custkey").alias("installation_id"), (F.col("c_mktsegment") != "BUILDING").alias("picker"))
-    options = option_documents(t).join(pickers, "installation_id")
-    return resolve_launch_mode(options, F.col("picker")).select("installation_id", "auto_launch", "launch_mode")
+    modes = resolve_launch_mode(option_documents(t), F.col("has_picker"))
+    return modes.select("installation_id", "auto_launch", "launch_mode")
 
 
 @query("""

@@ -40,7 +40,8 @@ def kb_to_mb(col: Column) -> Column:
 
 def nth_field(col: Column, n: int) -> Column:
     """The n-th whitespace-separated field, counted from 1; NULL when there are fewer."""
-    return F.get(F.split(F.trim(col), r"\s+", n + 1), F.lit(n - 1))
+    before = rf"(?:\S+\s+){{{n - 1}}}"
+    return F.nullif(F.regexp_extract(col, rf"^\s*{before}(\S+)", 1), F.lit(""))
 
 
 def date_label(ts: Column) -> Column:

@@ -16,6 +16,8 @@ KEEP_ROWS = 50_000
 def latest_per_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """The whole row with the greatest `order` per key; the first row of each task's share is all that is shuffled."""
     others = [name for name in df.columns if name not in keys]
+    if not others:
+        return df.dropDuplicates()
     newest = df.groupBy(*keys).agg(F.max_by(F.struct(*others), F.struct(*order)).alias("_row"))
     return newest.select(*keys, "_row.*").select(*df.columns)
 

@@ -6,13 +6,19 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 
-def stream_table(spark: SparkSession, folder: str, table: str) -> DataFrame:
-    """A stored parquet table as a stream, be it a directory or a single file in `folder`."""
+def stream_table(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
+    """A stored parquet table as a stream, be it a directory or a single file in `folder`.
+
+    `max_files` limits one micro-batch. Files come in order of their modification; only limit a batch if that is also the
+    order of event time, or rows of later files may be behind the watermark.
+    """
     path = f"{folder}/{table}"
     schema = spark.read.parquet(path).schema
     location = spark._jvm.org.apache.hadoop.fs.Path(path)
     files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
     reader = spark.readStream.schema(schema)
+    if max_files is not None:
+        reader = reader.option("maxFilesPerTrigger", max_files)
     if files.getFileStatus(location).isDirectory():
         return reader.parquet(path)
     return reader.option("pathGlobFilter", table).parquet(folder)

@@ -263,3 +263,21 @@ def test_replay_matches_one_by_one(spark, state, steps, chunk):
 
 def test_recorded_rows_keep_blanks(state_documents, rows):
     assert ("local only", "apk", 2, "B") in rows(recorded_rows(state_documents))
+
+
+def test_remove_undoes_append(spark, rows):
+    state = spark.createDataFrame([("a", "apk", "vim"), ("a", "pip", "Numpy")], STATE)
+    requests = spark.createDataFrame([("a", 1, 0, "add", "pip", "x", True), ("b", 1, 0, "add", "apk", "y", True)], REQUESTS)
+    assert rows(remove_packages(apply_requests(state, requests), requests)) == rows(state)
+
+
+def test_request_copies(spark, rows):
+    """Many copies of one request and of one recorded name."""
+    state = spark.createDataFrame([("a", "apk", "vim")] * 50, STATE)
+    requests = spark.createDataFrame(
+        [("a", n, 0, "add", "apk", name, True) for n in range(50) for name in ("vim", "htop")], REQUESTS
+    )
+    assert requests_missing(requests, state).count() == 50
+    assert request_outcome(requests, state).filter("outcome = 'added'").count() == 1
+    assert apply_requests(state, requests).count() == 51
+    assert remove_packages(state, requests).count() == 0

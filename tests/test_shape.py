@@ -11,6 +11,7 @@ from muster.functions import (
     has_value,
     joined,
     kb_to_mb,
+    nth_field,
     remove_every,
     squeeze,
     strip_all_space,
@@ -127,6 +128,7 @@ def test_scalars(spark):
         joined(F.col("w")).alias("line"),
         joined(null_words).alias("empty"),
         blank_to(F.lit(""), F.lit("d")).alias("default"),
+        F.array(*[nth_field(F.col("t"), n) for n in range(1, 5)]).alias("fields"),
         date_label(F.col("d").cast("timestamp")).alias("label"),
         F.array(*[has_value(F.lit(v).cast("string")) for v in [None, "", "null", "x"]]).alias("has"),
     ).first()
@@ -135,4 +137,5 @@ def test_scalars(spark):
     assert row.same == ["x", "Y"] and row.appended == ["x", "Y", "y"] and row.folded == ["x", "Y"]
     assert row["first"] == ["y"] and row.nothing == ["x", "Y"] and row.removed == ["Y"] and row.kept == ["x", "Y"]
     assert row.line == "x Y" and row.empty == "" and row.default == "d"
+    assert row.fields == ["a", "b", "c", None]
     assert row.label == "Mon 01-15 09:30" and row.has == [False, False, False, True]

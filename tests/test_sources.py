@@ -2,9 +2,12 @@ from datetime import datetime
 
 import pytest
 
+from muster.operators import package_line, package_rows
 from muster.plans.flows import startup_packages
+from muster.schemas import STATE_KEYS
 from muster.sources import (
     committed_versions,
+    corrupt_documents,
     file_inventory,
     latest_version,
     read_log_lines,
@@ -34,6 +37,15 @@ def test_documents_from_files(spark, tmp_path, rows):
     assert rows(startup_packages(options, state)) == [("a", "apk", "jq vim"), ("b", "pip", "x")]
 
 
+def test_documents_from_lines(spark, tmp_path, rows):
+    folder = tmp_path / "installation_id=a"
+    folder.mkdir()
+    (folder / "documents.txt").write_text('{"apk_packages": ["vim"]}\n{"apk_packages": [}\n{"pip_packages": ["x", null]}\n')
+    state = read_package_state(spark, str(tmp_path), per_line=True)
+    assert state.count() == 3 and corrupt_documents(state).count() == 1
+    assert rows(package_line(package_rows(state, STATE_KEYS))) == [("a", "apk", "vim"), ("a", "pip", "x")]
+
+
 def test_versions(spark, tmp_path, rows):
     path = str(tmp_path / "state")
     assert latest_version(spark, path) is None and rows(read_package_versions(spark, path)) == []
