@@ -196,49 +196,72 @@ def apply_requests(
 # A log that mixes additions and removals
 
 CHUNK = 10_000
-LEVELS = 3
 
 
-def fold_level(steps: DataFrame, group: Sequence[str], chunk: Column) -> DataFrame:
-    """Chain the steps of each chunk in order.
+def chunk_of(seq: Column) -> Column:
+    return F.call_function("div", seq, F.lit(CHUNK).cast("bigint"))
 
-    A step is a map from the spelling recorded before it (empty text for none) to the one recorded after it; a spelling
-    that is not in the map stays as it is. Chaining is associative, so chunks can be chained independently.
+
+def follow_commands(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """What the commands of one chunk do to a name, one row per name and chunk.
+
+    A name with at most `CHUNK` commands has one chunk, any other name one per `CHUNK` sequence numbers.
+
+    A name has one spelling recorded or none (empty text). A command changes one particular spelling: an addition turns
+    none into its own, a removal its own into none. `_moves` maps each spelling some command starts from to the one it
+    has become at the end of the chunk; any other spelling stays.
+
+    Rows are spread by chunk explicitly: those that come from a join on the name are all in one task for a hot name, and
+    would be grouped there.
     """
-    nothing = F.create_map().cast("map<string,string>")
+    added = F.col("op") == "add"
+    command = F.struct(
+        *order,
+        F.when(added, F.lit("")).otherwise(F.col("package")).alias("start"),
+        F.when(added, F.col("package")).otherwise(F.lit("")).alias("end"),
+    )
+    few = F.col("_commands") <= CHUNK
+    chunk = F.when(F.coalesce(few, F.lit(False)), F.lit(0).cast("bigint")).otherwise(chunk_of(F.col(order[0]).cast("bigint")))
+    spread = commands.select(*group, chunk.alias("_chunk"), command.alias("_command")).repartition(*group, "_chunk")
+    listed = spread.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list("_command")).alias("_commands"))
+
+    def follow(spelling: Column) -> Column:
+        end = F.aggregate("_commands", spelling, lambda now, c: F.when(c["start"] == now, c["end"]).otherwise(now))
+        return F.struct(spelling.alias("start"), end.alias("end"))
+
+    starts = F.array_distinct(F.transform("_commands", lambda c: c["start"]))
+    return listed.select(*group, "_chunk", F.transform(starts, follow).alias("_moves"))
 
-    def chain(before: Column, entries: Column) -> Column:
-        step = F.map_from_entries(entries)
-        moved = F.transform_values(before, lambda _, now: F.coalesce(F.try_element_at(step, now), now))
-        return F.map_concat(moved, F.map_filter(step, lambda start, _: ~F.map_contains_key(before, start)))
 
-    # Spread by chunk explicitly: rows that come from a join on the name are all in one task for a hot name, and would
-    # be grouped there.
-    parts = steps.withColumn("_chunk", chunk).repartition(*group, "_chunk")
-    listed = parts.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list(F.struct("_at", "_step"))).alias("_steps"))
-    result = F.map_entries(F.aggregate("_steps", nothing, lambda acc, item: chain(acc, item["_step"])))
-    at = F.struct(F.col("_chunk").alias("seq"), F.lit(0).alias("pos"))
-    return listed.select(*group, at.alias("_at"), result.alias("_step"))
+def follow_chunks(chunks: DataFrame, group: Sequence[str], chunk: Column) -> DataFrame:
+    """The moves of several consecutive chunks as those of one."""
+    in_order = F.array_sort(F.collect_list(F.struct("_chunk", "_moves")))
+    listed = chunks.groupBy(*group, chunk.alias("_wider")).agg(in_order.alias("_chunks"))
+
+    def follow(spelling: Column) -> Column:
+        def move(now: Column, item: Column) -> Column:
+            found = F.filter(item["_moves"], lambda entry: entry["start"] == now)
+            return F.coalesce(F.get(found, F.lit(0))["end"], now)
+
+        return F.struct(spelling.alias("start"), F.aggregate("_chunks", spelling, move).alias("end"))
+
+    starts = F.flatten(F.transform("_chunks", lambda item: F.transform(item["_moves"], lambda entry: entry["start"])))
+    return listed.select(
+        *group, F.col("_wider").alias("_chunk"), F.transform(F.array_distinct(starts), follow).alias("_moves")
+    )
 
 
 def replay_folded(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Final spelling per name that starts unrecorded, for kinds added without case but removed exactly.
 
-    The commands of one name are chained in `LEVELS` rounds, each over at most `CHUNK` sequence numbers, so no task
-    receives the whole history of a name that is requested very often.
+    Following moves is associative, so it is done over at most `CHUNK` sequence numbers, then over `CHUNK` chunks, then
+    over the rest: no task receives the whole history of a name that is requested very often.
     """
-    added = F.col("op") == "add"
-    before = F.when(added, F.lit("")).otherwise(F.col("package"))
-    after = F.when(added, F.col("package")).otherwise(F.lit(""))
-    steps = commands.select(
-        *group,
-        F.struct(F.col(order[0]).cast("bigint").alias("seq"), F.col(order[1]).cast("int").alias("pos")).alias("_at"),
-        F.array(F.struct(before.alias("key"), after.alias("value"))).alias("_step"),
-    )
-    for _ in range(LEVELS - 1):
-        steps = fold_level(steps, group, F.call_function("div", F.col("_at.seq"), F.lit(CHUNK).cast("bigint")))
-    final = F.try_element_at(F.map_from_entries("_step"), F.lit(""))
-    whole = fold_level(steps, group, F.lit(0).cast("bigint"))
+    chunks = follow_commands(commands, group, order)
+    wider = follow_chunks(chunks, group, chunk_of(F.col("_chunk")))
+    whole = follow_chunks(wider, group, F.lit(0).cast("bigint"))
+    unrecorded = F.filter("_moves", lambda entry: entry["start"] == "")
+    final = F.get(unrecorded, F.lit(0))["end"]
     return whole.select(*group, F.nullif(final, F.lit("")).alias("package"))
 
 
@@ -262,12 +285,13 @@ def replay_commands(
     removed = log.filter(F.col("op") == "remove").groupBy(*columns).agg(F.min(position).alias("_removed"))
     fate = matched(state.select(*columns), folded).join(removed, columns, "left")
     survivors = fate.filter(F.col("_removed").isNull()).select(*columns)
-    names = fate.groupBy(*group).agg(
+    recorded = fate.groupBy(*group).agg(
         F.bool_or(F.col("_removed").isNull()).alias("_alive"), F.max("_removed").alias("_emptied")
     )
-    counting = log.join(names, group, "left").filter(
-        F.col("_alive").isNull() | (~F.col("_alive") & (position > F.col("_emptied")))
-    )
+    names = log.groupBy(*group).agg(F.count("*").alias("_commands")).join(recorded, group, "left")
+    free = F.col("_alive").isNull() | ~F.col("_alive")
+    after = F.col("_emptied").isNull() | (position > F.col("_emptied"))
+    counting = log.join(names, group, "left").filter(free & after)
     is_folded = F.col("kind").isin(*folded)
     exact = (
         counting.filter(~is_folded)

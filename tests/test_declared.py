@@ -281,3 +281,10 @@ def test_request_copies(spark, rows):
     assert request_outcome(requests, state).filter("outcome = 'added'").count() == 1
     assert apply_requests(state, requests).count() == 51
     assert remove_packages(state, requests).count() == 0
+
+
+def test_replay_keeps_rows_without_installation(spark, rows):
+    commands = [(None, 1, 0, "add", "pip", "x", True), (None, 2, 0, "add", "apk", "y", True)]
+    empty = spark.createDataFrame([], STATE)
+    after = replay_commands(empty, spark.createDataFrame(commands, REQUESTS))
+    assert rows(after) == [(None, "apk", "y"), (None, "pip", "x")]
