@@ -282,22 +282,32 @@ def replay_commands(
     group = [*keys, "kind", MATCH]
     position = F.struct(*order)
     log = matched(commands.select(*columns, "op", *order), folded)
-    removed = log.filter(F.col("op") == "remove").groupBy(*columns).agg(F.min(position).alias("_removed"))
-    fate = matched(state.select(*columns), folded).join(removed, columns, "left")
+    spellings = log.groupBy(*group, "package").agg(
+        F.count("*").alias("_commands"),
+        F.min(F.when(F.col("op") == "remove", position)).alias("_removed"),
+        F.max(F.struct(*order, "op")).alias("_last"),
+    )
+    removed = spellings.select(*group, "package", "_removed")
+    fate = matched(state.select(*columns), folded).join(removed, [*group, "package"], "left")
     survivors = fate.filter(F.col("_removed").isNull()).select(*columns)
     recorded = fate.groupBy(*group).agg(
         F.bool_or(F.col("_removed").isNull()).alias("_alive"), F.max("_removed").alias("_emptied")
     )
-    names = log.groupBy(*group).agg(F.count("*").alias("_commands")).join(recorded, group, "left")
     free = F.col("_alive").isNull() | ~F.col("_alive")
-    after = F.col("_emptied").isNull() | (position > F.col("_emptied"))
-    counting = log.join(names, group, "left").filter(free & after)
     is_folded = F.col("kind").isin(*folded)
     exact = (
-        counting.filter(~is_folded)
-        .groupBy(*columns)
-        .agg(F.max_by("op", position).alias("_op"))
-        .filter(F.col("_op") == "add")
+        spellings.filter(~is_folded & (F.col("_last.op") == "add"))
+        .join(recorded, group, "left")
+        .filter(free)
+        .select(*columns)
     )
-    spelled = replay_folded(counting.filter(is_folded), group, order).filter(F.col("package").isNotNull())
-    return survivors.unionByName(exact.select(*columns)).unionByName(spelled.select(*columns))
+    names = (
+        spellings.filter(is_folded)
+        .groupBy(*group)
+        .agg(F.sum("_commands").alias("_commands"))
+        .join(recorded, group, "left")
+    )
+    after = F.col("_emptied").isNull() | (position > F.col("_emptied"))
+    counting = log.filter(is_folded).join(names, group, "left").filter(free & after)
+    spelled = replay_folded(counting, group, order).filter(F.col("package").isNotNull())
+    return survivors.unionByName(exact).unionByName(spelled.select(*columns))
