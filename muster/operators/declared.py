@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from muster.functions.lists import joined, words_of
 from muster.functions.text import ascii_lower, blank_to, has_value
+from muster.plans.hot import lookup
 from muster.schemas import COMMANDS, DEFAULT_COMMAND, FOLDED_KINDS, KINDS, STATE_KEYS
 
 KEYS = ("installation_id",)
@@ -135,13 +136,13 @@ def requests_missing(
     """Requested rows whose package is not recorded."""
     on = [*keys, "kind", MATCH]
     known = matched(state, folded).select(*on).dropDuplicates()
-    return matched(requests, folded).join(known, on, "left_anti").drop(MATCH)
+    return lookup(matched(requests, folded), known, on, "left_anti").drop(MATCH)
 
 
 def remove_packages(state: DataFrame, removals: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     """Recorded rows that no removal names exactly; the others keep their multiplicity."""
     on = [*keys, "kind", "package"]
-    return state.join(removals.select(*on).dropDuplicates(), on, "left_anti")
+    return lookup(state, removals.select(*on).dropDuplicates(), on, "left_anti")
 
 
 def first_requests(requests: DataFrame, keys: Sequence[str], order: Sequence[str], folded: Sequence[str]) -> DataFrame:
@@ -163,16 +164,14 @@ def request_outcome(
 ) -> DataFrame:
     """Every addition request with `outcome`: `added` for the first one of an unrecorded package, else `present`.
 
-    What is known about a name is settled once per name. The join back to the requests has the requests as its only
-    large side, which Spark splits at run time if one name holds most of them.
+    What is known about a name is settled once per name and looked up for its requests.
     """
     on = [*keys, "kind", MATCH]
     known = matched(state, folded).select(*on).dropDuplicates().withColumn("_known", F.lit(True))
     names = first_requests(requests, keys, order, folded).drop("package").join(known, on, "left")
     added = F.col("_known").isNull() & (F.col("_first") == F.struct(*order))
     return (
-        matched(requests, folded)
-        .join(names, on, "left")
+        lookup(matched(requests, folded), names, on)
         .withColumn("outcome", F.when(added, "added").otherwise("present"))
         .drop(MATCH, "_known", "_first")
     )
@@ -288,7 +287,7 @@ def replay_commands(
         F.max(F.struct(*order, "op")).alias("_last"),
     )
     removed = spellings.select(*group, "package", "_removed")
-    fate = matched(state.select(*columns), folded).join(removed, [*group, "package"], "left")
+    fate = lookup(matched(state.select(*columns), folded), removed, [*group, "package"])
     survivors = fate.filter(F.col("_removed").isNull()).select(*columns)
     recorded = fate.groupBy(*group).agg(
         F.bool_or(F.col("_removed").isNull()).alias("_alive"), F.max("_removed").alias("_emptied")
@@ -308,6 +307,6 @@ def replay_commands(
         .join(recorded, group, "left")
     )
     after = F.col("_emptied").isNull() | (position > F.col("_emptied"))
-    counting = log.filter(is_folded).join(names, group, "left").filter(free & after)
+    counting = lookup(log.filter(is_folded), names, group).filter(free & after)
     spelled = replay_folded(counting, group, order).filter(F.col("package").isNotNull())
     return survivors.unionByName(exact).unionByName(spelled.select(*columns))

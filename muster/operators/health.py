@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from muster.plans.small import as_table
+from muster.plans.small import join_rules
 from muster.schemas import CHECK_RULES, CHECK_RULES_SCHEMA, HOST_LIMITS, HOST_MARKERS
 
 LIMITS_SCHEMA = "metric STRING, lower_limit DOUBLE, severity STRING"
@@ -28,12 +28,9 @@ def threshold_flags(
 
     `rules` is `(metric, lower_limit, severity)`; a metric without a rule and a missing value are `info`.
     """
-    limits = as_table(readings.sparkSession, rules, LIMITS_SCHEMA).select(
-        F.col("metric").alias(metric), "lower_limit", F.col("severity").alias("_severity")
-    )
     below = F.col(value) < F.col("lower_limit")
     return (
-        readings.join(limits, metric, "left")
+        join_rules(readings, rules, LIMITS_SCHEMA, {"metric": metric, "severity": "_severity"}, metric)
         .withColumn("severity", F.when(below, F.col("_severity")).otherwise("info"))
         .drop("lower_limit", "_severity")
     )
@@ -43,12 +40,10 @@ def attach_severity(
     results: DataFrame, rules: DataFrame | Sequence[tuple] = CHECK_RULES, probe: str = "probe", failed: str = "failed"
 ) -> DataFrame:
     """Add the check a probe belongs to, its severity (`info` unless failed) and whether the failure counts."""
-    known = as_table(results.sparkSession, rules, CHECK_RULES_SCHEMA).withColumnsRenamed(
-        {"probe": probe, "severity": "_severity", "counts_as_failure": "_counts"}
-    )
+    names = {"probe": probe, "severity": "_severity", "counts_as_failure": "_counts"}
     hit = F.coalesce(F.col(failed), F.lit(False))
     return (
-        results.join(known, probe, "left")
+        join_rules(results, rules, CHECK_RULES_SCHEMA, names, probe)
         .withColumn("severity", F.when(hit, F.col("_severity")).otherwise("info"))
         .withColumn("counts_as_failure", hit & F.coalesce(F.col("_counts"), F.lit(False)))
         .drop("_severity", "_counts")

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 from muster.functions.text import blank_to, strip_all_space
 from muster.functions.timeline import micros, slot_of, span_text, whole_micros
 from muster.plans.slots import AUTO, SLOT, Slices, fill_forward
-from muster.plans.small import as_table
+from muster.plans.hot import lookup
+from muster.plans.small import join_rules
 from muster.schemas import ENDED, JOINING, MENU_CODES, MENU_CODES_SCHEMA, REPLACING
 
 SESSION_KEYS = ("installation_id", "session_name")
@@ -48,8 +49,7 @@ def resolve_code(
     df: DataFrame, col: str = "answer", codes: DataFrame | Sequence[tuple] = MENU_CODES
 ) -> DataFrame:
     """Add the `action` a code stands for, NULL for an unknown code."""
-    table = as_table(df.sparkSession, codes, MENU_CODES_SCHEMA).withColumnRenamed("answer", col)
-    return df.join(table, col, "left")
+    return join_rules(df, codes, MENU_CODES_SCHEMA, {"answer": col}, col)
 
 
 def resolve_answers(df: DataFrame, answer: str = "answer", has_session: str = "has_session") -> DataFrame:
@@ -86,7 +86,7 @@ def has_live_session(requests: DataFrame, sessions: DataFrame, keys: Sequence[st
     """Requests with `has_session`, given the live sessions."""
     marked = sessions.select(*keys).dropDuplicates().withColumn("_live", F.lit(True))
     return (
-        requests.join(marked, list(keys), "left")
+        lookup(requests, marked, keys)
         .withColumn("has_session", F.col("_live").isNotNull())
         .drop("_live")
     )

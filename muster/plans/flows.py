@@ -19,6 +19,7 @@ from muster.operators.declared import (
 )
 from muster.operators.health import classify_environment, error_count, threshold_flags, unpivot_readings, verdict
 from muster.operators.shape import explode_records, first_record, project_fields
+from muster.plans.hot import lookup
 from muster.schemas import OPTION_KEYS, STATE_KEYS
 
 KEYS = ("installation_id",)
@@ -65,8 +66,8 @@ def health_report(
     """Error count and verdict per run, with the kind of host for runs that failed only."""
     counts = verdict(error_count(results, keys=keys))
     hosts = classify_environment(host_lines, keys[:1]).select(keys[0], "environment")
-    failed = counts.filter(F.col("errors") > 0).select(*keys).join(hosts, keys[0], "left")
-    return counts.join(failed, list(keys), "left")
+    known = F.when(F.col("errors") > 0, F.col("environment"))
+    return lookup(counts, hosts, keys[:1]).withColumn("environment", known)
 
 
 def resource_flags(memory: DataFrame, disk: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:

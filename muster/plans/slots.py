@@ -1,10 +1,9 @@
 """Ordered per-key logic without a task that owns a hot key.
 
 A window over a key puts all rows of that key into one task. That is the cheapest plan as long as no key has very many
-rows, and impossible when one key holds a large part of the table. So the keys are counted first. Rows of keys with at
-most `ROWS_PER_TASK` rows go through the plain window. Rows of the others, the hot keys, are grouped by key *and slot*;
-only one summary row per occupied slot is handled per hot key, and what the earlier slots contribute is put back as one
-seed row in front of each slot.
+rows, and impossible when one key holds a large part of the table. So hot keys are looked for first. Rows of other keys go through
+the plain window. Rows of hot keys are grouped by key *and slot*; only one summary row per occupied slot is handled per
+hot key, and what the earlier slots contribute is put back as one seed row in front of each slot.
 
 A slot is a fixed-width piece of the first ordering column. It follows from the value alone, so rows are shuffled once.
 Where a single slot would again hold too many rows (a burst, or one timestamp for a bulk load), the rows of hot keys are
@@ -23,10 +22,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from muster.functions.timeline import Width, slot_of
+from muster.plans import hot
 from muster.session import checkpointed
 
 SLOT, SEED, VALUE = "_slot", "_seed", "_value"
-ROWS_PER_TASK = 10_000_000
 TIME_WIDTH = timedelta(minutes=10)
 NUMBER_WIDTH = 1_000_000
 
@@ -35,43 +34,19 @@ NUMBER_WIDTH = 1_000_000
 class Slicing:
     """How rows of a key are divided: by slots of `width`, or by ranges where it is None.
 
-    `hot` lists the keys this applies to, None for all. It has at most one row per `ROWS_PER_TASK` rows of the table, so
-    it may be broadcast.
+    `hashes` tells the keys this applies to, None for all.
     """
 
     width: Width | None = None
-    hot: DataFrame | None = None
+    hashes: tuple[int, ...] | None = None
 
 
-# Keys are not divided; or counted first.
+# Keys are not divided; or hot keys are looked for first.
 WHOLE = "whole"
 AUTO = "auto"
 Slices = Slicing | str
 
 
-def same_key(left: DataFrame, right: DataFrame, keys: Sequence[str]) -> Column:
-    """Equal keys, NULL being a key like any other."""
-    condition = F.lit(True)
-    for key in keys:
-        condition = condition & left[key].eqNullSafe(right[f"_hot_{key}"])
-    return condition
-
-
-def renamed(keyed: DataFrame, keys: Sequence[str]) -> DataFrame:
-    return keyed.withColumnsRenamed({key: f"_hot_{key}" for key in keys})
-
-
-def hot_keys(df: DataFrame, keys: Sequence[str], limit: int) -> DataFrame:
-    """Keys with more than `limit` rows."""
-    return df.groupBy(*keys).count().filter(F.col("count") > limit).select(*keys)
-
-
-def of_hot_keys(df: DataFrame, keys: Sequence[str], hot: DataFrame, how: str = "left_semi") -> DataFrame:
-    """Rows of the hot keys, or with `left_anti` those of the others."""
-    table = renamed(hot.select(*keys), keys)
-    return df.join(F.broadcast(table), same_key(df, table, keys), how)
-
-
 def default_width(df: DataFrame, order: Sequence[str]) -> Width | None:
     kind = df.schema[order[0]].dataType
     if isinstance(kind, T.IntegralType):
@@ -82,22 +57,21 @@ def default_width(df: DataFrame, order: Sequence[str]) -> Width | None:
 def choose_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Slices = AUTO) -> Slices:
     """What AUTO stands for.
 
-    Counts the rows per key, and if there are hot keys their rows per slot, in jobs that read only those columns. A
-    caller with several steps over the same rows asks once and passes the answer on.
+    Looks for hot keys, and if there are any counts their rows per slot, in jobs that read only those columns. A caller
+    with several steps over the same rows asks once and passes the answer on.
     """
     if slices != AUTO:
         return slices
-    limit = ROWS_PER_TASK
-    hot = hot_keys(df, keys, limit)
-    if hot.isEmpty():
+    hashes = hot.hot_hashes(df, keys)
+    if not hashes:
         return WHOLE
     width = default_width(df, order)
     if width is not None:
         slot = slot_of(F.col(order[0]), width).alias(SLOT)
-        slots = of_hot_keys(df, keys, hot).groupBy(*keys, slot).count()
-        if not slots.filter(F.col("count") > limit).isEmpty():
+        slots = df.filter(hot.is_hot(keys, hashes)).groupBy(*keys, slot).count()
+        if not slots.filter(F.col("count") > hot.ROWS_PER_TASK).isEmpty():
             width = None
-    return Slicing(width, hot)
+    return Slicing(width, hashes)
 
 
 def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slicing: Slicing) -> DataFrame:
@@ -105,21 +79,13 @@ def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slicing:
 
     Within a key the number grows with the ordering columns.
     """
+    divided = F.lit(True) if slicing.hashes is None else hot.is_hot(keys, slicing.hashes)
     if slicing.width is not None:
-        slot = slot_of(F.col(order[0]), slicing.width)
-        if slicing.hot is None:
-            return df.withColumn(SLOT, slot)
-        table = renamed(slicing.hot.select(*keys), keys).withColumn("_is_hot", F.lit(True))
-        marked = df.join(F.broadcast(table), same_key(df, table, keys), "left")
-        return marked.withColumn(SLOT, F.when(F.col("_is_hot"), slot)).select(*df.columns, SLOT)
+        return df.withColumn(SLOT, F.when(divided, slot_of(F.col(order[0]), slicing.width)))
     count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    divided = df if slicing.hot is None else of_hot_keys(df, keys, slicing.hot)
-    ranges = divided.repartitionByRange(count, *keys, *order)
+    ranges = df.filter(divided).repartitionByRange(count, *keys, *order)
     rows = checkpointed(ranges.withColumn(SLOT, F.spark_partition_id().cast("bigint")))
-    if slicing.hot is None:
-        return rows
-    others = of_hot_keys(df, keys, slicing.hot, "left_anti")
-    return others.withColumn(SLOT, F.lit(None).cast("bigint")).unionByName(rows)
+    return df.filter(~divided).withColumn(SLOT, F.lit(None).cast("bigint")).unionByName(rows)
 
 
 def earlier_slots(keys: Sequence[str]):
@@ -188,11 +154,11 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
         .select(*keys, SLOT, newer.alias(VALUE))
         .filter(F.col(VALUE) < n)
     )
-    oldest = renamed(slots.groupBy(*keys).agg(F.min(SLOT).alias("_oldest")), keys)
-    side = oldest if slicing.hot is None else F.broadcast(oldest)
-    kept = rows.join(side, same_key(rows, oldest, keys), "left").filter(
-        F.col(SLOT).isNull() | (F.col(SLOT) >= F.col("_oldest"))
-    )
+    oldest = slots.groupBy(*keys).agg(F.min(SLOT).alias("_oldest"))
+    oldest = oldest.withColumnsRenamed({key: f"_hot_{key}" for key in keys})
+    same = [rows[key].eqNullSafe(oldest[f"_hot_{key}"]) for key in keys]
+    side = oldest if slicing.hashes is None else F.broadcast(oldest)
+    kept = rows.join(side, same, "left").filter(F.col(SLOT).isNull() | (F.col(SLOT) >= F.col("_oldest")))
     seeded = kept.select(*rows.columns, F.lit(False).alias(SEED)).unionByName(
         slots.withColumn(SEED, F.lit(True)), allowMissingColumns=True
     )

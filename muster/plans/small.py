@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from muster.plans.hot import lookup
+
 MAX_ROWS = 10_000
 
 
@@ -32,6 +34,10 @@ def literal_table(spark: SparkSession, rows: Sequence[tuple], schema: str) -> Da
     return spark.range(1).select(F.inline(records))
 
 
-def as_table(spark: SparkSession, table: DataFrame | Sequence[tuple], schema: str) -> DataFrame:
-    """A DataFrame as it is, or literal rows as a table."""
-    return table if isinstance(table, DataFrame) else literal_table(spark, table, schema)
+def join_rules(
+    df: DataFrame, rules: DataFrame | Sequence[tuple], schema: str, names: Mapping[str, str], on: str
+) -> DataFrame:
+    """Left join with rules of one row per key, given as literal rows or as a DataFrame, with columns renamed."""
+    if isinstance(rules, DataFrame):
+        return lookup(df, rules.withColumnsRenamed(dict(names)), [on])
+    return df.join(literal_table(df.sparkSession, rules, schema).withColumnsRenamed(dict(names)), on, "left")

@@ -37,16 +37,21 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Temporary folders of local sessions, by application.
+LOCAL_FOLDERS: dict[str, str] = {}
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`; a local session without one gets a temporary folder."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
-    if not spark.sparkContext.master.startswith("local"):
+    context = spark.sparkContext
+    if not context.master.startswith("local"):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    folder = tempfile.mkdtemp(prefix="muster-")
-    spark.conf.set("spark.checkpoint.dir", folder)
-    return folder
+    if context.applicationId not in LOCAL_FOLDERS:
+        LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="muster-")
+    return LOCAL_FOLDERS[context.applicationId]
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.operators.history import latest_per_key, state_changes
+from muster.plans.hot import lookup
 from muster.plans.slots import AUTO, Slices, choose_slices
 from muster.sources.versions import committed_versions, latest_version, version_path, write_version
 
@@ -74,7 +75,7 @@ def later_than_stored(batch: DataFrame, stored: DataFrame, keys: Sequence[str],
     """Rows of the batch behind the stored row of their key. The stored side has one row per key."""
     reached = stored.select(*keys, F.struct(*order).alias("_reached"))
     fresh = F.col("_reached").isNull() | (F.struct(*order) > F.col("_reached"))
-    return batch.join(reached, list(keys), "left").filter(fresh).drop("_reached")
+    return lookup(batch, reached, keys).filter(fresh).drop("_reached")
 
 
 def changes_sink(

@@ -1,5 +1,6 @@
 import json
 from datetime import datetime, timedelta
+from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
@@ -157,3 +158,14 @@ def test_stream_table(spark, landed, tmp_path):
 def test_scratch(spark):
     assert scratch_path(spark, "x").startswith(scratch_root(spark))
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
+
+
+@pytest.mark.parametrize("master", ["local[2]", "yarn"])
+def test_scratch_without_setting(master):
+    unset = SimpleNamespace(get=lambda key, default: default)
+    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
+    if master == "yarn":
+        with pytest.raises(ValueError):
+            scratch_root(session)
+    else:
+        assert scratch_root(session) == scratch_root(session)
