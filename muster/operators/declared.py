@@ -37,14 +37,18 @@ def package_rows(documents: DataFrame, columns: Mapping[str, str], keys: Sequenc
 
     A list whose whole text is empty or `null` has no value; an entry with blanks counts as several words.
     """
-    pairs = F.array(
-        *[F.struct(F.lit(kind).alias("kind"), F.array_join(column, "\n").alias("text")) for kind, column in columns.items()]
-    )
-    lists = documents.select(*keys, F.inline(pairs)).filter(has_value(F.col("text")))
-    return lists.select(*keys, "kind", F.explode(words_of(F.col("text"))).alias("package")).filter(F.col("package") != "")
+    pairs = [
+        F.struct(F.lit(kind).alias("kind"), F.array_join(column, "\n").alias("text"))
+        for kind, column in columns.items()
+    ]
+    lists = documents.select(*keys, F.inline(F.array(*pairs))).filter(has_value(F.col("text")))
+    words = lists.select(*keys, "kind", F.explode(words_of(F.col("text"))).alias("package"))
+    return words.filter(F.col("package") != "")
 
 
-def recorded_rows(documents: DataFrame, columns: Mapping[str, str] = STATE_KEYS, keys: Sequence[str] = KEYS) -> DataFrame:
+def recorded_rows(
+    documents: DataFrame, columns: Mapping[str, str] = STATE_KEYS, keys: Sequence[str] = KEYS
+) -> DataFrame:
     """One row per array entry as it is, with its position; blanks inside an entry are kept."""
     pairs = F.array(
         *[F.struct(F.lit(kind).alias("kind"), F.col(column).alias("entries")) for kind, column in columns.items()]
@@ -220,7 +224,8 @@ def follow_commands(commands: DataFrame, group: Sequence[str], order: Sequence[s
         F.when(added, F.col("package")).otherwise(F.lit("")).alias("end"),
     )
     few = F.col("_commands") <= CHUNK
-    chunk = F.when(F.coalesce(few, F.lit(False)), F.lit(0).cast("bigint")).otherwise(chunk_of(F.col(order[0]).cast("bigint")))
+    numbered = chunk_of(F.col(order[0]).cast("bigint"))
+    chunk = F.when(F.coalesce(few, F.lit(False)), F.lit(0).cast("bigint")).otherwise(numbered)
     spread = commands.select(*group, chunk.alias("_chunk"), command.alias("_command")).repartition(*group, "_chunk")
     listed = spread.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list("_command")).alias("_commands"))
 

@@ -58,9 +58,8 @@ def resolve_answers(df: DataFrame, answer: str = "answer", has_session: str = "h
     chosen = df.withColumn(answer, normalize_answer(F.col(answer), default_answer(live)))
     checked = validate_domain(chosen, answer, [code for code, _ in MENU_CODES])
     missing = F.col("valid") & (F.col(answer) == "0") & ~live
-    checked = checked.withColumns(
-        {"valid": F.col("valid") & ~missing, "reason": F.when(missing, "no existing session").otherwise(F.col("reason"))}
-    )
+    reason = F.when(missing, "no existing session").otherwise(F.col("reason"))
+    checked = checked.withColumns({"valid": F.col("valid") & ~missing, "reason": reason})
     action = F.when(F.col("valid"), F.col("action"))
     return resolve_code(checked, answer).withColumn("action", action)
 
@@ -74,7 +73,10 @@ def effective(action: Column) -> Column:
 
 
 def live_sessions(
-    events: DataFrame, keys: Sequence[str] = SESSION_KEYS, order: Sequence[str] = ("ts", "event_id"), action: str = "action"
+    events: DataFrame,
+    keys: Sequence[str] = SESSION_KEYS,
+    order: Sequence[str] = ("ts", "event_id"),
+    action: str = "action",
 ) -> DataFrame:
     """Keys whose newest deciding action leaves a session, merged before the shuffle."""
     deciding = events.withColumn(action, effective(F.col(action))).filter(F.col(action).isNotNull())

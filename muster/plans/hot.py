@@ -27,7 +27,8 @@ def hot_hashes(df: DataFrame, keys: Sequence[str]) -> tuple[int, ...]:
     The sketch may miss or add a key close to the limit; that changes how rows are spread, never the result.
     """
     frequent = F.call_function("approx_top_k", "_hash", F.lit(TOP), F.lit(TRACKED))
-    sketches = df.select(key_hash(keys).alias("_hash")).groupBy(F.pmod("_hash", F.lit(BUCKETS))).agg(frequent.alias("_top"))
+    hashed = df.select(key_hash(keys).alias("_hash"))
+    sketches = hashed.groupBy(F.pmod("_hash", F.lit(BUCKETS))).agg(frequent.alias("_top"))
     hot = sketches.select(F.inline("_top")).filter(F.col("count") > ROWS_PER_TASK)
     return tuple(row["item"] for row in hot.collect())
 
@@ -39,8 +40,8 @@ def is_hot(keys: Sequence[str], hashes: Sequence[int]) -> Column:
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
     """Join with a table of one row per key.
 
-    Adaptive execution splits a hot key only between two plain shuffles, which an aggregated table is not. So rows of hot
-    keys are joined apart: at most one row per hot key is on the other side, and that is broadcast.
+    Adaptive execution splits a hot key only between two plain shuffles, which an aggregated table is not. So rows of
+    hot keys are joined apart: at most one row per hot key is on the other side, and that is broadcast.
     """
     on = list(on)
     comparable = all(left.schema[key].dataType == right.schema[key].dataType for key in on)

@@ -1,9 +1,9 @@
 """Ordered per-key logic without a task that owns a hot key.
 
 A window over a key puts all rows of that key into one task. That is the cheapest plan as long as no key has very many
-rows, and impossible when one key holds a large part of the table. So hot keys are looked for first. Rows of other keys go through
-the plain window. Rows of hot keys are grouped by key *and slot*; only one summary row per occupied slot is handled per
-hot key, and what the earlier slots contribute is put back as one seed row in front of each slot.
+rows, and impossible when one key holds a large part of the table. So hot keys are looked for first. Rows of other keys
+go through the plain window. Rows of hot keys are grouped by key *and slot*; only one summary row per occupied slot is
+handled per hot key, and what the earlier slots contribute is put back as one seed row in front of each slot.
 
 A slot is a fixed-width piece of the first ordering column. It follows from the value alone, so rows are shuffled once.
 Where a single slot would again hold too many rows (a burst, or one timestamp for a bulk load), the rows of hot keys are

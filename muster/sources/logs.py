@@ -10,7 +10,10 @@ LINE_PATTERN = r"^\[?(\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}:\d{2})\]?\s+(\w+):?\s+(.*
 
 
 def parse_log_lines(lines: DataFrame, line: str = "value", pattern: str = LINE_PATTERN) -> DataFrame:
-    """Replace `line` by `ts`, `level` in lower case and `message`; a line that does not match keeps its text as message."""
+    """Replace `line` by `ts`, `level` in lower case and `message`.
+
+    A line that does not match keeps its text as message.
+    """
     others = [name for name in lines.columns if name != line]
     text = F.col(line)
     matches = text.rlike(pattern)

@@ -9,8 +9,8 @@ from pyspark.sql.streaming.readwriter import DataStreamWriter
 def stream_table(spark: SparkSession, folder: str, table: str, max_files: int | None = None) -> DataFrame:
     """A stored parquet table as a stream, be it a directory or a single file in `folder`.
 
-    `max_files` limits one micro-batch. Files come in order of their modification; only limit a batch if that is also the
-    order of event time, or rows of later files may be behind the watermark.
+    `max_files` limits one micro-batch. Files come in order of their modification; only limit a batch if that is also
+    the order of event time, or rows of later files may be behind the watermark.
     """
     path = f"{folder}/{table}"
     schema = spark.read.parquet(path).schema
@@ -32,5 +32,6 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:
     """Append a stream's results below `path` until its input is used up, and read them."""
-    run_available(stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows"), f"{path}/progress")
+    writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
+    run_available(writer, f"{path}/progress")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
