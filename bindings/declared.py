@@ -113,7 +113,7 @@ def union_distinct(t: Tables) -> DataFrame:
     ) WHERE word <> ''
 """)
 def token_distinct(t: Tables) -> DataFrame:
-    words = t("documents").select("source", F.lit("word").alias("kind"), F.explode(words_of(F.col("text"))).alias("package"))
+    words = t("documents").select("source", F.explode(words_of(F.col("text"))).alias("package"))
     return distinct_packages(words, ["source"]).select("source", F.col("package").alias("word"))
 
 

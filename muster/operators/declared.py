@@ -60,9 +60,9 @@ def recorded_rows(
 # Union, distinct, join to text
 
 
-def distinct_packages(df: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
-    """Distinct non-empty names per key and kind, case-sensitive."""
-    return df.select(*keys, "kind", "package").filter(F.col("package") != "").dropDuplicates()
+def distinct_packages(df: DataFrame, keys: Sequence[str] = (*KEYS, "kind")) -> DataFrame:
+    """Distinct non-empty names per key, case-sensitive."""
+    return df.select(*keys, "package").filter(F.col("package") != "").dropDuplicates()
 
 
 def declared_packages(configured: DataFrame, recorded: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
@@ -89,7 +89,7 @@ def package_line(packages: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame:
     Names are made distinct in a shuffle on the name first, so that one task receives each name of a list once, no
     matter how many rows declared it.
     """
-    names = distinct_packages(packages, keys)
+    names = distinct_packages(packages, [*keys, "kind"])
     line = joined(F.array_sort(F.collect_list("package")))
     return names.groupBy(*keys, "kind").agg(line.alias("packages"))
 

@@ -14,6 +14,8 @@ ROWS_PER_TASK = 10_000_000
 BUCKETS = 32
 TOP = 200
 TRACKED = 2_000
+# A table that Catalyst estimates to be smaller fits one task whatever its keys are; it is not looked at.
+SMALL_BYTES = 128 * 1024 * 1024
 
 
 def key_hash(keys: Sequence[str]) -> Column:
@@ -21,11 +23,19 @@ def key_hash(keys: Sequence[str]) -> Column:
     return F.xxhash64(*keys)
 
 
+def is_small(df: DataFrame) -> bool:
+    """Whether the estimated size is below `SMALL_BYTES`. Nothing runs for it; an unknown size counts as large."""
+    plan = df._jdf.queryExecution().optimizedPlan()
+    return int(str(plan.stats().sizeInBytes())) < SMALL_BYTES
+
+
 def hot_hashes(df: DataFrame, keys: Sequence[str]) -> tuple[int, ...]:
-    """Hashes of the hot keys, from one pass over the key columns that shuffles sketches only.
+    """Hashes of the hot keys, from one pass over the key columns that shuffles sketches only. A small table has none.
 
     The sketch may miss or add a key close to the limit; that changes how rows are spread, never the result.
     """
+    if is_small(df):
+        return ()
     frequent = F.call_function("approx_top_k", "_hash", F.lit(TOP), F.lit(TRACKED))
     hashed = df.select(key_hash(keys).alias("_hash"))
     sketches = hashed.groupBy(F.pmod("_hash", F.lit(BUCKETS))).agg(frequent.alias("_top"))

@@ -19,6 +19,16 @@ REQUESTS = "installation_id string, request_seq bigint, pos int, op string, kind
 @pytest.fixture
 def few_rows_per_task(monkeypatch):
     monkeypatch.setattr(hot, "ROWS_PER_TASK", 100)
+    monkeypatch.setattr(hot, "SMALL_BYTES", 0)
+
+
+def test_small_tables_are_not_looked_at(spark, monkeypatch):
+    df = spark.range(3000).select(F.lit(1).alias("k"))
+    monkeypatch.setattr(hot, "ROWS_PER_TASK", 100)
+    assert hot.hot_hashes(df, ["k"]) == ()
+    monkeypatch.setattr(hot, "SMALL_BYTES", 1000)
+    assert len(hot.hot_hashes(df, ["k"])) == 1
+    assert not hot.is_small(spark.createDataFrame([(1,)], "k int"))
 
 
 def test_hot_hashes(spark, few_rows_per_task):
