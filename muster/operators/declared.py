@@ -199,10 +199,11 @@ def apply_requests(
 # A log that mixes additions and removals
 
 CHUNK = 10_000
+WIDER = 100_000
 
 
-def chunk_of(seq: Column) -> Column:
-    return F.call_function("div", seq, F.lit(CHUNK).cast("bigint"))
+def chunk_of(number: Column, size: int) -> Column:
+    return F.call_function("div", number, F.lit(size).cast("bigint"))
 
 
 def follow_commands(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
@@ -224,7 +225,7 @@ def follow_commands(commands: DataFrame, group: Sequence[str], order: Sequence[s
         F.when(added, F.col("package")).otherwise(F.lit("")).alias("end"),
     )
     few = F.col("_commands") <= CHUNK
-    numbered = chunk_of(F.col(order[0]).cast("bigint"))
+    numbered = chunk_of(F.col(order[0]).cast("bigint"), CHUNK)
     chunk = F.when(F.coalesce(few, F.lit(False)), F.lit(0).cast("bigint")).otherwise(numbered)
     spread = commands.select(*group, chunk.alias("_chunk"), command.alias("_command")).repartition(*group, "_chunk")
     listed = spread.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list("_command")).alias("_commands"))
@@ -258,11 +259,11 @@ def follow_chunks(chunks: DataFrame, group: Sequence[str], chunk: Column) -> Dat
 def replay_folded(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Final spelling per name that starts unrecorded, for kinds added without case but removed exactly.
 
-    Following moves is associative, so it is done over at most `CHUNK` sequence numbers, then over `CHUNK` chunks, then
-    over the rest: no task receives the whole history of a name that is requested very often.
+    Following moves is associative, so it is done over `CHUNK` sequence numbers, then over `WIDER` chunks, then over the
+    rest: no task receives the whole history of a name that is requested very often.
     """
     chunks = follow_commands(commands, group, order)
-    wider = follow_chunks(chunks, group, chunk_of(F.col("_chunk")))
+    wider = follow_chunks(chunks, group, chunk_of(F.col("_chunk"), WIDER))
     whole = follow_chunks(wider, group, F.lit(0).cast("bigint"))
     unrecorded = F.filter("_moves", lambda entry: entry["start"] == "")
     final = F.get(unrecorded, F.lit(0))["end"]

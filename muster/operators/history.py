@@ -1,4 +1,7 @@
-"""Ordered histories: overlay, newest row, last rows, changes and state as of an event."""
+"""Ordered histories: overlay, newest row, last rows, changes and state as of an event.
+
+`slices` says how the rows of a key are divided among tasks; see `muster.plans.slots`.
+"""
 
 from __future__ import annotations
 

@@ -1,4 +1,7 @@
-"""Terminal sessions: launch mode, menu answers, explicit sessions and sessions by gap."""
+"""Terminal sessions: launch mode, menu answers, explicit sessions and sessions by gap.
+
+`slices` says how the rows of a key are divided among tasks; see `muster.plans.slots`.
+"""
 
 from __future__ import annotations
 

@@ -48,7 +48,7 @@ def is_hot(keys: Sequence[str], hashes: Sequence[int]) -> Column:
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join with a table of one row per key.
+    """Join with a table that must have one row per key.
 
     Adaptive execution splits a hot key only between two plain shuffles, which an aggregated table is not. So rows of
     hot keys are joined apart: at most one row per hot key is on the other side, and that is broadcast.

@@ -252,12 +252,13 @@ def test_replay_matches_one_by_one(spark, state, steps, chunk):
     from muster.operators import declared
 
     commands = [(i, 2 * seq, seq % 2, op, kind, name, True) for seq, (i, op, kind, name) in enumerate(steps)]
-    whole, declared.CHUNK = declared.CHUNK, chunk
+    sizes = declared.CHUNK, declared.WIDER
+    declared.CHUNK, declared.WIDER = chunk, min(chunk, declared.WIDER)
     try:
         result = replay_commands(spark.createDataFrame(state, STATE), spark.createDataFrame(commands, REQUESTS))
         found = sorted(tuple(row) for row in result.collect())
     finally:
-        declared.CHUNK = whole
+        declared.CHUNK, declared.WIDER = sizes
     assert found == replay_by_hand(state, commands)
 
 
