@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -37,21 +36,10 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
-# Temporary folders of local sessions, by application.
-LOCAL_FOLDERS: dict[str, str] = {}
-
-
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder named by `spark.checkpoint.dir`; a local session without one gets a temporary folder."""
+    """The shared folder named by `spark.checkpoint.dir`, or where that is unset one below the warehouse, shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    if context.applicationId not in LOCAL_FOLDERS:
-        LOCAL_FOLDERS[context.applicationId] = tempfile.mkdtemp(prefix="muster-")
-    return LOCAL_FOLDERS[context.applicationId]
+    return (configured or f"{spark.conf.get('spark.sql.warehouse.dir')}/scratch").rstrip("/")
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:

@@ -6,6 +6,7 @@ import pathlib
 import pytest
 
 import __spark_entry__ as contract
+from bindings import QUERIES, SQL
 
 duckdb = pytest.importorskip("duckdb")
 
@@ -26,12 +27,12 @@ def plain(rows, names):
     return sorted((tuple(row[i] for i in order) for row in rows), key=repr)
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(QUERIES))
 def test_query(spark, oracle, name):
-    result = contract.queries()[name](spark, FOLDER)
+    result = QUERIES[name](spark, FOLDER)
     found = [tuple(row) for row in result.collect()]
     assert found
-    sql = contract.oracle_sql().get(name)
+    sql = SQL.get(name)
     if sql is None:
         return
     cursor = oracle.execute(sql)
@@ -41,11 +42,12 @@ def test_query(spark, oracle, name):
 
 
 def test_entry(spark):
+    assert set(QUERIES) <= set(contract.queries()) and set(SQL) <= set(contract.oracle_sql())
     assert contract.entry(spark).count() > 0
 
 
 def test_queries_without_sql(spark):
-    assert set(contract.queries()) - set(contract.oracle_sql()) == {"table_files", "prevalence_estimate"}
-    estimate = {row.level: row.installations for row in contract.queries()["prevalence_estimate"](spark, FOLDER).collect()}
+    assert set(QUERIES) - set(SQL) == {"table_files", "prevalence_estimate"}
+    estimate = {row.level: row.installations for row in QUERIES["prevalence_estimate"](spark, FOLDER).collect()}
     exact = spark.read.parquet(f"{FOLDER}/lineitem.parquet").select("l_partkey").distinct().count()
     assert abs(estimate[3] - exact) < 0.15 * exact
