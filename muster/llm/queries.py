@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import line_dedup, packing, simhash
+from muster.llm import html_extraction, line_dedup, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -66,3 +66,16 @@ def op7_simhash_bk(spark: SparkSession, folder: str) -> DataFrame:
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
     return packing.pack_documents(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+
+
+@query()
+def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
+    documents, labels = table(spark, folder, "documents").select("doc_id", "text"), table(spark, folder, "labels")
+    scored = toxicity.score(documents, toxicity.learn(documents, labels))
+    predicted = (F.col("score") >= 0.5).cast("int").alias("predicted")
+    return scored.select("doc_id", toxicity.is_held_out("doc_id").alias("held_out"), "score", predicted)
+
+
+@query()
+def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
+    return html_extraction.extract(table(spark, folder, "pages"))
