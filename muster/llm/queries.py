@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import html_extraction, line_dedup, packing, simhash, toxicity
+from muster.llm import hnsw, html_extraction, line_dedup, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -79,3 +79,8 @@ def op4_toxicity(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
     return html_extraction.extract(table(spark, folder, "pages"))
+
+
+@query()
+def op6_hnsw(spark: SparkSession, folder: str) -> DataFrame:
+    return hnsw.nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
