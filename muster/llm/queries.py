@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import hnsw, html_extraction, line_dedup, packing, simhash, toxicity
+from muster.llm import decontamination, hnsw, html_extraction, line_dedup, packing, simhash, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -84,3 +84,10 @@ def op1_html_extraction(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op6_hnsw(spark: SparkSession, folder: str) -> DataFrame:
     return hnsw.nearest(table(spark, folder, "embeddings"), "vec_id % 20 = 0")
+
+
+@query()
+def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
+    documents = table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.with_items(documents, table(spark, folder, "benchmark"))
+    return found.select("doc_id", F.inline("items"))
