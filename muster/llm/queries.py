@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import decontamination, hnsw, html_extraction, line_dedup, packing, simhash, toxicity
+from muster.llm import decontamination, hnsw, html_extraction, line_dedup, packing, simhash, suffix_dedup, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -91,3 +91,15 @@ def op8_decontamination(spark: SparkSession, folder: str) -> DataFrame:
     documents = table(spark, folder, "documents").select("doc_id", "text")
     found = decontamination.with_items(documents, table(spark, folder, "benchmark"))
     return found.select("doc_id", F.inline("items"))
+
+
+@query()
+def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
+    rows = suffix_dedup.remove_repeats(table(spark, folder, "documents"))
+    return rows.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
