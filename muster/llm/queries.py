@@ -8,7 +8,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import decontamination, hnsw, html_extraction, line_dedup, packing, simhash, suffix_dedup, toxicity
+from muster.llm import (
+    decontamination,
+    hnsw,
+    html_extraction,
+    licenses,
+    line_dedup,
+    packing,
+    simhash,
+    suffix_dedup,
+    toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -103,3 +113,8 @@ def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
         F.size("spans").cast("bigint").alias("n_spans"),
         F.sha2("kept", 256).alias("kept_sha256"),
     )
+
+
+@query(licenses.oracle_sql())
+def op3_license_digests(spark: SparkSession, folder: str) -> DataFrame:
+    return licenses.scan(table(spark, folder, "documents"))

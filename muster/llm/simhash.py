@@ -252,7 +252,7 @@ def near_duplicates(
     """
     prints = saved(fingerprints(df, doc_id, text, words), "fingerprints")
     distinct = saved(prints.groupBy("print").agg(F.min("doc_id").alias("first")), "distinct-fingerprints")
-    linked = components(near_links(distinct.select("print"), radius))
+    linked = components(saved(near_links(distinct.select("print"), radius), "near-links"))
     members = distinct.join(linked.withColumnRenamed("node", "print"), "print")
     smallest = saved(members.groupBy("root").agg(F.min("first").alias("component_id")), "components")
     of_print = saved(members.select("print", "root").join(smallest, "root").select("print", "component_id"), "members")
