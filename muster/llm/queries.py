@@ -15,6 +15,7 @@ from muster.llm import (
     licenses,
     line_dedup,
     packing,
+    pii,
     simhash,
     suffix_dedup,
     toxicity,
@@ -118,3 +119,14 @@ def op10_suffix_array(spark: SparkSession, folder: str) -> DataFrame:
 @query(licenses.oracle_sql())
 def op3_license_digests(spark: SparkSession, folder: str) -> DataFrame:
     return licenses.scan(table(spark, folder, "documents"))
+
+
+@query()
+def op5_pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
+    spans = pii.personal_spans(table(spark, folder, "documents"))
+    counts = [
+        F.size(F.array_remove(F.transform("base", lambda x: x["kind"] == k), False)).cast("bigint").alias(f"n_{kind}")
+        for k, kind in enumerate(pii.KINDS)
+    ]
+    base, every = F.col("base"), F.array_sort(F.concat("base", "added"))
+    return spans.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(every).alias("spans"))

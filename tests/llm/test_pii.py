@@ -1,0 +1,122 @@
+import random
+import re
+
+import numpy as np
+import pytest
+from llm.conftest import documents
+from muster.llm import pii
+
+PATTERNS = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def luhn(number):
+    total = 0
+    for k, c in enumerate(reversed(number)):
+        d = int(c) * (2 if k % 2 else 1)
+        total += d - 9 if d > 9 else d
+    return total % 10 == 0
+
+
+def good(kind, part):
+    number = re.sub("[^0-9]", "", part)
+    if kind == "ip":
+        return all(int(x) <= 255 for x in part.split("."))
+    if kind == "card":
+        return 13 <= len(number) <= 19 and luhn(number)
+    return kind == "email" or 9 <= len(number) <= 15
+
+
+def brute(text):
+    return [
+        (n, m.start(), m.end())
+        for n, kind in enumerate(pii.KINDS)
+        for m in re.finditer(PATTERNS[kind], text or "")
+        if good(kind, m[0])
+    ]
+
+
+def card(rng):
+    body = "".join(rng.choices("0123456789", k=15))
+    return next(body + c for c in "0123456789" if luhn(body + c))
+
+
+def made(n=300):
+    rng = random.Random(1)
+    texts = []
+    for _ in range(n):
+        number = "".join(rng.choices("0123456789", k=10))
+        parts = [
+            f"{rng.choice('abc')}x.{rng.randrange(99)}@mail{rng.randrange(9)}.example.com", card(rng),
+            f"+1 ({number[:3]}) {number[3:6]}-{number[6:]}", ".".join(str(rng.randrange(300)) for _ in range(4)),
+            "".join(rng.choices("0123456789 -.+()@é", k=rng.randint(0, 30))), "déjà 😀", "a@b", "a..b@c.d.e_f@g.h",
+        ]
+        texts.append(" ".join(rng.choices(parts, k=rng.randint(0, 6))))
+    return texts
+
+
+def spans(spark, texts, ids=None):
+    rows = pii.personal_spans(documents(spark, texts, ids).repartition(4)).collect()
+    return [(r.doc_id, [tuple(x) for x in r.base], [tuple(x) for x in r.added]) for r in rows]
+
+
+def test_base_against_brute_force(spark, odd_texts):
+    texts = made() + odd_texts + [
+        "1.2.3.4.5.6.7.8", "001.002.0255.256", "1.1.1.1.", "4111 1111 1111 1111", "4111-1111-1111-1112", "+1 2", "+12345678",
+        "+123456789.", "x@y.z@a.b", "😀 é a@b.cd 1.2.3.4", "1" * 20_000, "9 " * 20_000, "+" * 500, "a" * 30_000 + "@b.c",
+        "1" * 50 + ".2.3.4", "@" * 2000, "a.b-" * 5000, "1." * 10_000,
+    ]
+    found = sorted(spans(spark, texts))
+    assert [(i, base) for i, base, _ in found] == [(i, brute(text)) for i, text in enumerate(texts)]
+    for _, base, added in found:
+        every = [(a, b) for _, a, b in added] + [(a, b) for _, a, b in base]
+        for k, (a, b) in enumerate(every[: len(added)]):
+            assert all(d <= a or b <= c for j, (c, d) in enumerate(every) if j != k)
+
+
+def test_what_looks_alike_is_added(spark):
+    rng = random.Random(3)
+    texts = ["call me, phone +1 (%03d) %03d-%04d or so" % tuple(rng.randrange(k) for k in (1000, 1000, 10000)) for _ in range(400)]
+    texts += [f"my card {card(rng)} here" for _ in range(400)]
+    broken = "my card 4111111111111112 here"
+    found = spans(spark, [*texts, broken, "just 2024 and 17", "in 1999, 20 of 300"])
+    by_id = {i: (base, added) for i, base, added in found}
+    assert by_id[800] == ([], [(2, 8, 24)])
+    assert not by_id[801][1] and not by_id[802][1]
+
+
+def test_odd_rows(spark):
+    assert spans(spark, []) == []
+    rows = spans(spark, [None, "", "a@b.c", "a@b.c"], [None, 1, 1, 1])
+    assert sorted(map(repr, rows)) == sorted(map(repr, [(None, [], []), (1, [], []), (1, [(0, 0, 5)], []), (1, [(0, 0, 5)], [])]))
+
+
+def test_redacted(spark):
+    df = documents(spark, ["é a@b.c, 1.2.3.4!", "none", None])
+    out = pii.redacted(df, pii.personal_spans(df)).orderBy("doc_id").collect()
+    assert [row.text for row in out] == ["é [email], [ip]!", "none", None]
+
+
+def test_trees_learn_counts():
+    rng = np.random.default_rng(1)
+    table = rng.integers(0, 2, (400, len(pii.FEATURES))).astype(float)
+    rule = (table[:, 0] == 1) & (table[:, 3] == 0)
+    seen = rng.integers(1, 50, 400).astype(float)
+    scores = pii.margins(pii.boost(table, seen, seen * rule), table)
+    assert scores[rule].min() > scores[~rule].max()
+    assert pii.calibrated(scores, seen, seen * rule) <= scores[rule].min()
+
+
+def test_plan_is_native(spark):
+    plan = pii.candidates(documents(spark, ["a"]))._jdf.queryExecution().toString()
+    assert not re.search("Python|Arrow|Pandas", plan)
+
+
+@pytest.mark.parametrize("text, sql", [("a@b.c", "email:0:5"), ("", "")])
+def test_written(spark, text, sql):
+    rows = pii.personal_spans(documents(spark, [text])).select(pii.written(pii.F.col("base"))).collect()
+    assert rows[0][0] == sql
