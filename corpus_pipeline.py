@@ -4,23 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from muster.llm import line_dedup
+from muster.llm import decontamination, line_dedup, near_copies, packing, toxicity
 from muster.llm.common import saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score 0.5 or more go. What is learned comes from the labels of documents that are not held out."""
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), name="_score")
+    return scored.filter("_score < 0.5").select(docs.columns)
+
+
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that at least ten documents share go from all documents; every document stays."""
     kept = line_dedup.drop_frequent_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
     return kept.select(docs.columns)
 
 
-STAGES: list[tuple[str, Stage]] = [("line_dedup", drop_shared_lines)]
-# Fingerprints, a learned score and packing are not SQL; the stages are tested against brute force.
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near copies stays, the one with the smallest id."""
+    return near_copies.one_of_each(docs)
+
+
+def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    found = decontamination.with_items(docs, items, name="_items")
+    return found.filter(F.size("_items") == 0).select(docs.columns)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """A row per piece of a document, with its place in a sequence."""
+    ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return packing.pack_documents(docs, ranks, public_tokenizers.PATTERN)
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("toxicity", drop_toxic),
+    ("line_dedup", drop_shared_lines),
+    ("near_copies", drop_near_copies),
+    ("decontamination", drop_benchmark_copies),
+    ("packing", pack),
+]
+# A learned score, fingerprints, ranked search and packing are not SQL; every stage is tested against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -29,7 +29,15 @@ MAX_KNOWN = 20_000
 WINDOW = 25
 QUOTED_WEIGHT = 0.3
 FUZZY_WEIGHT = {0: 1.0, 1: 0.5, 2: 0.35}
-PREFIXES = range(4, 9)
+PREFIXES = range(3, 9)
+LEAST_RATIO = 8.0
+# A term that many toxic documents hold, and clean ones hardly ever, weighs 1; misspelled it still weighs more than any
+# other term.
+STRONG_RATIO = 50.0
+STRONG_PURITY = 100
+STRONG_SHARE = 0.05
+WEAK_WEIGHT = 0.3
+STRONG = 0.34
 TOKEN = re.compile(r"[^\W_][\w*$@]*")
 OPEN = {"“": "”", "«": "»", "„": "“", '"': '"', "‘": "’"}
 QUOTE_SPAN = 200
@@ -50,35 +58,36 @@ def allowed_errors(term: str) -> int:
 
 
 class Matcher:
-    """Smallest number of errors from a word to a lexicon term, or None."""
+    """The weight of a word: that of the heaviest lexicon term it spells, less for each error; 0 if it spells none."""
 
-    def __init__(self, terms: list[str]) -> None:
+    def __init__(self, terms: Mapping[str, float]) -> None:
         self.children: list[dict[str, int]] = [{}]
-        self.limit, self.final, self.prefix = [-1], [-1], [-1]
-        for term in terms:
-            self.insert(term.rstrip("*"), allowed_errors(term), term.endswith("*"))
+        self.limit, self.final, self.prefix = [-1], [(-1, 0.0)], [(-1, 0.0)]
+        for term, weight in terms.items():
+            self.insert(term.rstrip("*"), allowed_errors(term), weight, term.endswith("*"))
         self.reset()
 
-    def insert(self, word: str, errors: int, beginning: bool) -> None:
+    def insert(self, word: str, errors: int, weight: float, beginning: bool) -> None:
         node = 0
         self.limit[0] = max(self.limit[0], errors)
         for letter in word:
             if letter not in self.children[node]:
                 self.children[node][letter] = len(self.children)
                 self.children.append({})
-                for table in (self.limit, self.final, self.prefix):
-                    table.append(-1)
+                self.limit.append(-1)
+                self.final.append((-1, 0.0))
+                self.prefix.append((-1, 0.0))
             node = self.children[node][letter]
             self.limit[node] = max(self.limit[node], errors)
         ends = self.prefix if beginning else self.final
-        ends[node] = max(ends[node], errors)
+        ends[node] = (errors, weight)
 
     def reset(self) -> None:
-        self.memo: dict[str, int | None] = {}
+        self.memo: dict[str, float] = {}
         self.ids: dict[frozenset, int] = {}
         self.steps: list[dict[str, int]] = []
-        self.accepts: list[int | None] = []
-        self.begins: list[int | None] = []
+        self.accepts: list[float] = []
+        self.begins: list[float] = []
         self.sets: list[frozenset] = []
         self.start = self.state({(0, 0)})
 
@@ -96,8 +105,8 @@ class Matcher:
             self.ids[key] = len(self.sets)
             self.sets.append(key)
             self.steps.append({})
-            self.accepts.append(min((e for n, e in key if e <= self.final[n]), default=None))
-            self.begins.append(min((e for n, e in key if e <= self.prefix[n]), default=None))
+            self.accepts.append(heaviest(key, self.final))
+            self.begins.append(heaviest(key, self.prefix))
         return self.ids[key]
 
     def step(self, state: int, letter: str) -> int:
@@ -109,21 +118,21 @@ class Matcher:
         after = {(node, errors) for node, errors in after if errors <= self.limit[node]}
         return self.state(after) if after else -1
 
-    def walk(self, word: str) -> int | None:
-        state, best = self.start, None
-        for letter in word:
+    def walk(self, word: str) -> float:
+        state, best, last = self.start, 0.0, len(word) - 1
+        for at, letter in enumerate(word):
             after = self.steps[state].get(letter)
             if after is None:
                 after = self.steps[state][letter] = self.step(state, letter)
             if after < 0:
                 return best
-            state, begun = after, self.begins[after]
-            if begun is not None and (best is None or begun < best):
-                best = begun
-        end = self.accepts[state]
-        return end if best is None or end is not None and end < best else best
+            state = after
+            # A beginning is one only if the word goes on.
+            if at < last and self.begins[after] > best:
+                best = self.begins[after]
+        return max(best, self.accepts[state])
 
-    def errors(self, word: str) -> int | None:
+    def weight(self, word: str) -> float:
         if word not in self.memo:
             if len(self.memo) > MEMO or len(self.sets) > STATES:
                 self.reset()
@@ -131,6 +140,10 @@ class Matcher:
         return self.memo[word]
 
 
+def heaviest(members: frozenset[tuple[int, int]], ends: list[tuple[int, float]]) -> float:
+    return max((ends[n][1] * FUZZY_WEIGHT[e] for n, e in members if e <= ends[n][0]), default=0.0)
+
+
 def quoted(text: str, start: int, end: int) -> bool:
     """Whether the place is inside quotation marks on its line, or on a line that cites with '>'."""
     line = text.rfind("\n", 0, start) + 1
@@ -146,28 +159,35 @@ def quoted(text: str, start: int, end: int) -> bool:
     return False
 
 
-def features(text: str, matcher: Matcher, known: frozenset[str]) -> tuple[float, float]:
-    """Weight of the hits in the densest window of words, and in the whole text."""
+def features(text: str, matcher: Matcher, known: frozenset[str]) -> tuple[float, ...]:
+    """Weight of the hits in the densest window of words; of strong terms in the whole text; of others there, and per
+    hundred words."""
     low = text.lower()
     same = len(low) == len(text)
+    tokens = TOKEN.findall(low)
     forms = {}
-    for raw in set(TOKEN.findall(low)):
+    for raw in set(tokens):
         word = raw.rstrip("*$@_")
-        errors = matcher.errors(word)
-        if errors is not None and not (errors and word in known):
-            forms[raw] = FUZZY_WEIGHT[errors]
+        weight = matcher.weight(word)
+        if weight and word not in known:
+            forms[raw] = weight
     if not forms:
-        return 0.0, 0.0
-    at, weights = [], []
+        return 0.0, 0.0, 0.0, 0.0
+    at, weights, strong, weak = [], [], 0.0, 0.0
     for place, found in enumerate(TOKEN.finditer(low)):
         weight = forms.get(found.group())
         if weight is not None:
-            shown = text if same else low
+            counted = weight * (QUOTED_WEIGHT if quoted(text if same else low, *found.span()) else 1.0)
             at.append(place)
-            weights.append(weight * (QUOTED_WEIGHT if quoted(shown, *found.span()) else 1.0))
+            weights.append(counted)
+            if weight >= STRONG:
+                strong += counted
+            else:
+                weak += counted
     sums = np.concatenate(([0.0], np.cumsum(weights)))
     first = np.searchsorted(at, np.asarray(at) - WINDOW, "right")
-    return float((sums[1:] - sums[first]).max()), float(sums[-1])
+    # The constant keeps one hit in a short text from looking dense.
+    return float((sums[1:] - sums[first]).max()), strong, weak, 100 * weak / (len(tokens) + 50)
 
 
 def terms_of(text: str) -> set[str]:
@@ -208,20 +228,21 @@ def held_terms(candidates):
     return run
 
 
-def cover(documents: list[list[str]], least: float) -> list[str]:
-    """Terms picked one by one for the documents they add; a document counts half as much after each hit.
+def cover(documents: list[list[str]], weights: Mapping[str, float], least: float) -> list[str]:
+    """Terms picked one by one for the weight they add to documents; a document counts half as much after each.
 
-    Of terms that add the same, whole words go before beginnings, and longer before shorter.
+    Of terms that add the same, whole words go before beginnings, and longer before shorter. A term that contains a
+    picked one, or is contained in it, is dropped if nearly all documents that hold it hold that one.
     """
     holders: dict[str, list[int]] = {}
     for at, terms in enumerate(documents):
         for term in terms:
             holders.setdefault(term, []).append(at)
     rows = {term: np.array(some) for term, some in holders.items()}
-    weight, picked = np.ones(len(documents)), []
+    worth, picked = np.ones(len(documents)), []
 
     def rank(term: str) -> tuple:
-        return weight[rows[term]].sum(), not term.endswith("*"), len(term), term
+        return weights[term] * worth[rows[term]].sum(), not term.endswith("*"), len(term), term
 
     bound = {term: rank(term) for term in rows}
     while bound and len(picked) < MAX_TERMS:
@@ -233,8 +254,11 @@ def cover(documents: list[list[str]], least: float) -> list[str]:
         if now[0] < least:
             break
         picked.append(best)
-        weight[rows[best]] *= 0.5
-        del bound[best]
+        worth[rows[best]] *= 0.5
+        stem, held = best.rstrip("*"), set(holders[best])
+        for term in [one for one in bound if one == best or one.startswith(stem) or stem.startswith(one.rstrip("*"))]:
+            if len(held.intersection(holders[term])) >= 0.9 * len(holders[term]):
+                del bound[term]
     return picked
 
 
@@ -269,11 +293,11 @@ def is_held_out(doc_id: str) -> Column:
 class Model:
     """Lexicon, ordinary words that only look like its terms, and the logistic weights."""
 
-    def __init__(self, terms: list[str], known: frozenset[str], weights: np.ndarray) -> None:
+    def __init__(self, terms: Mapping[str, float], known: frozenset[str], weights: np.ndarray) -> None:
         self.terms, self.known, self.weights = terms, known, weights
 
-    def score(self, pair: tuple[float, float]) -> float:
-        margin = float(self.weights[0] + self.weights[1:] @ np.log1p(pair))
+    def score(self, found: tuple[float, ...]) -> float:
+        margin = float(self.weights[0] + self.weights[1:] @ np.log1p(found))
         return 1 / (1 + np.exp(-np.clip(margin, -30, 30)))
 
 
@@ -288,59 +312,80 @@ def labelled_sample(df: DataFrame, labels: DataFrame, doc_id: str, text: str, la
     rows = df.select(df[doc_id].alias("_id"), F.coalesce(df[text].cast("string"), F.lit("")).alias("text"))
     # At most `sample` ids, so their size is bounded whatever the tables hold.
     pairs = rows.join(F.broadcast(chosen), "_id").select("text", "label")
-    return saved(pairs.groupBy(F.sha2("text", 256)).agg(F.min("text").alias("text"), F.max("label").alias("label")).select("text", "label"), "labelled")
+    once = pairs.groupBy(F.sha2("text", 256)).agg(F.min("text").alias("text"), F.max("label").alias("label"))
+    return saved(once.select("text", "label"), "labelled")
 
 
-def learn_terms(sample: DataFrame) -> list[str]:
-    """Lexicon terms: those that mostly toxic documents hold, picked for the documents they add."""
+def learn_terms(sample: DataFrame) -> dict[str, float]:
+    """Lexicon terms and their weights: those that toxic documents hold `LEAST_RATIO` times as often as clean ones.
+
+    A strong term weighs 1; the weight of others grows with the logarithm of that ratio, up to `WEAK_WEIGHT`.
+    """
     toxic, clean = sample.filter("label = 1"), sample.filter("label = 0")
-    n = toxic.count()
+    n, n_clean = toxic.count(), clean.count()
     least = max(2.0, 0.01 * n)
 
     def counts(rows: DataFrame, known=None) -> DataFrame:
-        return map_arrow(rows.select("text"), counted_terms(known), "term string, n long").groupBy("term").agg(F.sum("n").alias("n"))
+        made = map_arrow(rows.select("text"), counted_terms(known), "term string, n long")
+        return made.groupBy("term").agg(F.sum("n").alias("n"))
 
     often = counts(toxic).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(MAX_CANDIDATES)
     in_toxic = {row["term"]: row["n"] for row in often.collect()}
     in_clean = {row["term"]: row["n"] for row in counts(clean, shared(sample, frozenset(in_toxic))).collect()}
-    pure = frozenset(term for term, hits in in_toxic.items() if hits >= 9 * in_clean.get(term, 0))
-    held = map_arrow(toxic.select("text"), held_terms(shared(sample, pure)), "terms array<string>")
-    return cover([row["terms"] for row in held.collect()], least)
+    ratio = {
+        term: (hits + 0.5) / (n + 1) * (n_clean + 1) / (in_clean.get(term, 0) + 0.5) for term, hits in in_toxic.items()
+    }
+    rise = WEAK_WEIGHT / np.log(STRONG_RATIO)
+
+    def weight(term: str) -> float:
+        hits = in_toxic[term]
+        often = hits >= max(3, STRONG_SHARE * n) and ratio[term] >= STRONG_RATIO
+        if often and hits >= STRONG_PURITY * in_clean.get(term, 0):
+            return 1.0
+        return min(WEAK_WEIGHT, float(np.log(ratio[term]) * rise))
+
+    weights = {term: weight(term) for term, one in ratio.items() if one >= LEAST_RATIO}
+    held = map_arrow(toxic.select("text"), held_terms(shared(sample, frozenset(weights))), "terms array<string>")
+    return {term: weights[term] for term in cover([row["terms"] for row in held.collect()], weights, 0.25 * least)}
 
 
-def looks_like(matcher):
-    """Words that match with errors, per label."""
+def looks_like(matcher, exact):
+    """Words that match, but are no term and do not begin like one, per label."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: Counter[tuple[str, int]] = Counter()
         for batch in batches:
             for text, label in zip(decoded(batch), batch.column("label").to_pylist()):
-                counts.update((word, label) for word in set(words_of(text)) if matcher.value.errors(word))
+                words = {word for word in words_of(text) if matcher.value.weight(word)}
+                counts.update((word, label) for word in words if not terms_of(word) & exact.value)
         yield {"word": [k[0] for k in counts], "label": [k[1] for k in counts], "n": list(counts.values())}
 
     return run
 
 
 def learn(df: DataFrame, labels: DataFrame, doc_id="doc_id", text="text", label="toxic", sample: int = SAMPLE) -> Model:
-    """A model from labelled documents; without toxic or without clean ones every score is the share of toxic ones."""
+    """A model from labelled documents; without toxic or without clean ones every score is the share of toxic ones,
+    counted with half a toxic and one and a half clean ones more."""
     rows = labelled_sample(df, labels, doc_id, text, label, sample)
     terms = learn_terms(rows)
-    forms = map_arrow(rows, looks_like(shared(rows, Matcher(terms))), "word string, label int, n long")
+    forms = map_arrow(rows, looks_like(shared(rows, Matcher(terms)), shared(rows, frozenset(terms))), "word string, label int, n long")
     usual = forms.groupBy("word").agg(F.sum(F.col("n") * (1 - 2 * F.col("label"))).alias("n")).filter("n >= 0")
     known = frozenset(row["word"] for row in usual.orderBy(F.desc("n"), "word").limit(MAX_KNOWN).collect())
-    model = shared(rows, Model(terms, known, np.zeros(3)))
+    model = shared(rows, Model(terms, known, np.zeros(5)))
 
     def measured(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         matcher = Matcher(model.value.terms)
         for batch in batches:
             pairs = [features(one, matcher, model.value.known) for one in decoded(batch)]
-            yield {"label": batch.column("label"), "near": [p[0] for p in pairs], "all": [p[1] for p in pairs]}
+            names = ("near", "strong", "weak", "dense")
+            yield {"label": batch.column("label")} | {name: [one[k] for one in pairs] for k, name in enumerate(names)}
 
-    table = np.array(map_arrow(rows, measured, "label int, near double, all double").collect(), float).reshape(-1, 3)
+    found = map_arrow(rows, measured, "label int, near double, strong double, weak double, dense double")
+    table = np.array(found.collect(), float).reshape(-1, 5)
     y = table[:, 0]
     if not len(y) or y.min() == y.max():
-        share = (y.sum() + 1) / (len(y) + 2)
-        return Model(terms, known, np.array([np.log(share / (1 - share)), 0.0, 0.0]))
+        share = (y.sum() + 0.5) / (len(y) + 2)
+        return Model(terms, known, np.array([np.log(share / (1 - share)), 0.0, 0.0, 0.0, 0.0]))
     return Model(terms, known, fit(np.log1p(table[:, 1:]), y))
 
 
@@ -355,9 +400,10 @@ def score(df: DataFrame, model: Model, text: str = "text", name: str = "score")
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        matcher = Matcher(known.value.terms)
+        model = known.value
+        matcher = Matcher(model.terms)
         for batch in batches:
-            scores = [known.value.score(features(one, matcher, known.value.known)) for one in decoded(batch, text)]
+            scores = [model.score(features(one, matcher, model.known)) for one in decoded(batch, text)]
             yield {field: batch.column(field) for field in batch.schema.names} | {name: scores}
 
     return map_arrow(rest, run, schema)
