@@ -1,63 +1,80 @@
-"""Finding hot keys, and joins that do not send a hot key to one task."""
+"""Finding hot keys by counting, and joins that do not send a hot key to one task.
+
+Bytes say little about rows: a table of one repeated row takes almost none. So rows are counted. A table of at most
+`ROWS_PER_TASK` rows has no hot key; of a larger one the rows per key are counted, which combines before it shuffles.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# A key with more rows is hot. Keys are followed in BUCKETS groups, the TOP most frequent of each group being reported
-# from a sketch of TRACKED keys. So at most BUCKETS * TOP keys are hot, and a key left out holds less than one part in
-# TOP of its group.
+from muster.session import written
+
+# A key with more rows is hot. In a table so large that more than MAX_HOT keys could be, the limit is higher: the table's
+# rows divided by MAX_HOT. So the table of hot keys, which is broadcast, has at most MAX_HOT rows.
 ROWS_PER_TASK = 10_000_000
-BUCKETS = 32
-TOP = 200
-TRACKED = 2_000
-# A table that Catalyst estimates to be smaller fits one task whatever its keys are; it is not looked at.
-SMALL_BYTES = 128 * 1024 * 1024
+MAX_HOT = 100_000
+ROWS = "_rows"
 
 
-def key_hash(keys: Sequence[str]) -> Column:
-    """One number per key; NULL is a key like any other."""
-    return F.xxhash64(*keys)
+@dataclass(frozen=True)
+class HotKeys:
+    """The hot keys of a table with their rows, the limit above which a key is hot, and the rows of all of them."""
 
+    table: DataFrame
+    limit: int
+    rows: int
 
-def is_small(df: DataFrame) -> bool:
-    """Whether the estimated size is below `SMALL_BYTES`. Nothing runs for it; an unknown size counts as large."""
-    plan = df._jdf.queryExecution().optimizedPlan()
-    return int(str(plan.stats().sizeInBytes())) < SMALL_BYTES
+    def parts(self) -> int:
+        """How many tasks the rows of hot keys are for."""
+        return max(2, -(-self.rows // self.limit))
 
 
-def hot_hashes(df: DataFrame, keys: Sequence[str]) -> tuple[int, ...]:
-    """Hashes of the hot keys, from one pass over the key columns that shuffles sketches only. A small table has none.
+def hot_keys(df: DataFrame, keys: Sequence[str]) -> HotKeys | None:
+    """The keys with too many rows for one task; NULL is a key like any other. Runs one or two jobs."""
+    rows = df.count()
+    if rows <= ROWS_PER_TASK:
+        return None
+    limit = max(ROWS_PER_TASK, rows // MAX_HOT)
+    counts = df.groupBy(*keys).agg(F.count("*").alias(ROWS)).filter(F.col(ROWS) > limit)
+    table = written(counts, "hot-keys")
+    total = table.agg(F.sum(ROWS)).first()[0]
+    return HotKeys(table, limit, total) if total else None
 
-    The sketch may miss or add a key close to the limit; that changes how rows are spread, never the result.
-    """
-    if is_small(df):
-        return ()
-    frequent = F.call_function("approx_top_k", "_hash", F.lit(TOP), F.lit(TRACKED))
-    hashed = df.select(key_hash(keys).alias("_hash"))
-    sketches = hashed.groupBy(F.pmod("_hash", F.lit(BUCKETS))).agg(frequent.alias("_top"))
-    hot = sketches.select(F.inline("_top")).filter(F.col("count") > ROWS_PER_TASK)
-    return tuple(row["item"] for row in hot.collect())
+
+def same_keys(left: DataFrame, right: DataFrame, keys: Sequence[str], renamed: str = "_hot_") -> Column:
+    """The NULL-safe condition that joins `keys` of one side to their renamed copies on the other."""
+    condition = F.lit(True)
+    for key in keys:
+        condition = condition & left[key].eqNullSafe(right[f"{renamed}{key}"])
+    return condition
 
 
-def is_hot(keys: Sequence[str], hashes: Sequence[int]) -> Column:
-    return key_hash(keys).isin(*hashes)
+def flagged(df: DataFrame, keys: Sequence[str], hot: HotKeys) -> DataFrame:
+    """Add `_rows`, NULL for rows of keys that are not hot."""
+    # At most MAX_HOT rows.
+    side = F.broadcast(hot.table.withColumnsRenamed({key: f"_hot_{key}" for key in keys}))
+    return df.join(side, same_keys(df, side, keys), "left").drop(*[f"_hot_{key}" for key in keys])
 
 
 def lookup(left: DataFrame, right: DataFrame, on: Sequence[str], how: str = "left") -> DataFrame:
-    """Join with a table that must have one row per key.
+    """Join with a table that has few rows per key, such as one.
 
-    Adaptive execution splits a hot key only between two plain shuffles, which an aggregated table is not. So rows of
-    hot keys are joined apart: at most one row per hot key is on the other side, and that is broadcast.
+    Rows of a hot key are dealt to as many tasks as their number asks for, and the other side's rows of that key are
+    copied to each of them. Which task a row goes to follows from its place in its partition, so a retried task deals
+    the same.
     """
     on = list(on)
     comparable = all(left.schema[key].dataType == right.schema[key].dataType for key in on)
-    hashes = hot_hashes(left, on) if comparable and not left.isStreaming else ()
-    if not hashes:
+    hot = hot_keys(left, on) if comparable and not left.isStreaming else None
+    if hot is None:
         return left.join(right, on, how)
-    hot = is_hot(on, hashes)
-    others = left.filter(~hot).join(right.filter(~hot), on, how)
-    return others.unionByName(left.filter(hot).join(F.broadcast(right.filter(hot)), on, how))
+    salts = F.coalesce(F.ceil(F.col(ROWS) / hot.limit), F.lit(1)).cast("int")
+    dealt = flagged(left, on, hot).withColumn("_salt", F.pmod(F.monotonically_increasing_id(), salts).cast("int"))
+    copies = F.explode(F.sequence(F.lit(0), salts - 1))
+    copied = flagged(right, on, hot).withColumn("_salt", copies)
+    return dealt.drop(ROWS).join(copied.drop(ROWS), [*on, "_salt"], how).drop("_salt")

@@ -5,73 +5,53 @@ rows, and impossible when one key holds a large part of the table. So hot keys a
 go through the plain window. Rows of hot keys are grouped by key *and slot*; only one summary row per occupied slot is
 handled per hot key, and what the earlier slots contribute is put back as one seed row in front of each slot.
 
-A slot is a fixed-width piece of the first ordering column. It follows from the value alone, so rows are shuffled once.
-Where a single slot would again hold too many rows (a burst, or one timestamp for a bulk load), the rows of hot keys are
-cut into ranges of about equal size in the order of key and all ordering columns instead. Ranges are drawn from a
-sample, so these rows are written once to keep their cut fixed.
+Rows of hot keys are cut into ranges of about equal size in the order of key and all ordering columns, as many as their
+number asks for. Ranges are drawn from a sample, so these rows are written once to keep their cut fixed. A caller that
+knows its data may ask for slots of fixed width of the first ordering column instead, which follow from the value alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from datetime import timedelta
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from muster.functions.timeline import Width, slot_of
 from muster.plans import hot
 from muster.session import checkpointed
 
 SLOT, SEED, VALUE = "_slot", "_seed", "_value"
-TIME_WIDTH = timedelta(minutes=10)
-NUMBER_WIDTH = 1_000_000
 
 
 @dataclass(frozen=True)
 class Slicing:
     """How rows of a key are divided: by slots of `width`, or by ranges where it is None.
 
-    `hashes` tells the keys this applies to, None for all.
+    `hot` tells the keys this applies to, None for all.
     """
 
     width: Width | None = None
-    hashes: tuple[int, ...] | None = None
+    hot: hot.HotKeys | None = None
 
 
-# Keys are not divided; or hot keys are looked for first.
+# Keys are not divided; or rows are counted first, and only hot keys are divided.
 WHOLE = "whole"
 AUTO = "auto"
 Slices = Slicing | str
 
 
-def default_width(df: DataFrame, order: Sequence[str]) -> Width | None:
-    kind = df.schema[order[0]].dataType
-    if isinstance(kind, T.IntegralType):
-        return NUMBER_WIDTH
-    return TIME_WIDTH if isinstance(kind, T.TimestampType | T.TimestampNTZType) else None
-
-
 def choose_slices(df: DataFrame, keys: Sequence[str], order: Sequence[str], slices: Slices = AUTO) -> Slices:
     """What AUTO stands for.
 
-    Looks for hot keys, and if there are any counts their rows per slot, in jobs that read only those columns. A caller
-    with several steps over the same rows asks once and passes the answer on.
+    Counts rows, and if there are many rows per key, in jobs that read only the key columns. A caller with several steps
+    over the same rows asks once and passes the answer on.
     """
     if slices != AUTO:
         return slices
-    hashes = hot.hot_hashes(df, keys)
-    if not hashes:
-        return WHOLE
-    width = default_width(df, order)
-    if width is not None:
-        slot = slot_of(F.col(order[0]), width).alias(SLOT)
-        slots = df.filter(hot.is_hot(keys, hashes)).groupBy(*keys, slot).count()
-        if not slots.filter(F.col("count") > hot.ROWS_PER_TASK).isEmpty():
-            width = None
-    return Slicing(width, hashes)
+    found = hot.hot_keys(df, keys)
+    return WHOLE if found is None else Slicing(None, found)
 
 
 def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slicing: Slicing) -> DataFrame:
@@ -79,13 +59,22 @@ def with_slot(df: DataFrame, keys: Sequence[str], order: Sequence[str], slicing:
 
     Within a key the number grows with the ordering columns.
     """
-    divided = F.lit(True) if slicing.hashes is None else hot.is_hot(keys, slicing.hashes)
+    if slicing.hot is None:
+        divided, others = df, None
+    else:
+        marked = hot.flagged(df, keys, slicing.hot)
+        divided = marked.filter(F.col(hot.ROWS).isNotNull()).drop(hot.ROWS)
+        others = marked.filter(F.col(hot.ROWS).isNull()).drop(hot.ROWS)
     if slicing.width is not None:
-        return df.withColumn(SLOT, F.when(divided, slot_of(F.col(order[0]), slicing.width)))
-    count = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    ranges = df.filter(divided).repartitionByRange(count, *keys, *order)
-    rows = checkpointed(ranges.withColumn(SLOT, F.spark_partition_id().cast("bigint")))
-    return df.filter(~divided).withColumn(SLOT, F.lit(None).cast("bigint")).unionByName(rows)
+        rows = divided.withColumn(SLOT, slot_of(F.col(order[0]), slicing.width))
+    else:
+        default = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+        count = default if slicing.hot is None else slicing.hot.parts()
+        ranges = divided.repartitionByRange(count, *keys, *order)
+        rows = checkpointed(ranges.withColumn(SLOT, F.spark_partition_id().cast("bigint")))
+    if others is None:
+        return rows
+    return others.withColumn(SLOT, F.lit(None).cast("bigint")).unionByName(rows)
 
 
 def earlier_slots(keys: Sequence[str]):
@@ -156,9 +145,9 @@ def keep_last(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int,
     )
     oldest = slots.groupBy(*keys).agg(F.min(SLOT).alias("_oldest"))
     oldest = oldest.withColumnsRenamed({key: f"_hot_{key}" for key in keys})
-    same = [rows[key].eqNullSafe(oldest[f"_hot_{key}"]) for key in keys]
-    side = oldest if slicing.hashes is None else F.broadcast(oldest)
-    kept = rows.join(side, same, "left").filter(F.col(SLOT).isNull() | (F.col(SLOT) >= F.col("_oldest")))
+    # One row per hot key.
+    side = oldest if slicing.hot is None else F.broadcast(oldest)
+    kept = rows.join(side, hot.same_keys(rows, oldest, keys), "left").filter(F.col(SLOT).isNull() | (F.col(SLOT) >= F.col("_oldest")))
     seeded = kept.select(*rows.columns, F.lit(False).alias(SEED)).unionByName(
         slots.withColumn(SEED, F.lit(True)), allowMissingColumns=True
     )

@@ -19,25 +19,36 @@ REQUESTS = "installation_id string, request_seq bigint, pos int, op string, kind
 @pytest.fixture
 def few_rows_per_task(monkeypatch):
     monkeypatch.setattr(hot, "ROWS_PER_TASK", 100)
-    monkeypatch.setattr(hot, "SMALL_BYTES", 0)
 
 
-def test_small_tables_are_not_looked_at(spark, monkeypatch):
-    df = spark.range(3000).select(F.lit(1).alias("k"))
-    monkeypatch.setattr(hot, "ROWS_PER_TASK", 100)
-    assert hot.hot_hashes(df, ["k"]) == ()
-    monkeypatch.setattr(hot, "SMALL_BYTES", 1000)
-    assert len(hot.hot_hashes(df, ["k"])) == 1
-    assert not hot.is_small(spark.createDataFrame([(1,)], "k int"))
+def test_hot_keys(spark, few_rows_per_task):
+    key = F.when(F.col("id") % 3 != 0, F.lit(-1)).otherwise(F.col("id"))
+    df = spark.range(3000).select(key.alias("a"), F.lit(None).cast("string").alias("b"))
+    found = hot.hot_keys(df, ["a", "b"])
+    assert [row.a for row in found.table.collect()] == [-1] and (found.rows, found.limit, found.parts()) == (2000, 100, 20)
+    assert hot.flagged(df, ["a", "b"], found).filter("_rows IS NOT NULL").select("a").distinct().collect()[0].a == -1
+    assert hot.hot_keys(df.limit(0), ["a"]) is None
+    assert hot.hot_keys(spark.range(1000), ["id"]) is None
+    assert hot.hot_keys(df.limit(100), ["a"]) is None
+
+
+def test_limit_follows_the_table(spark, few_rows_per_task, monkeypatch):
+    monkeypatch.setattr(hot, "MAX_HOT", 10)
+    df = spark.range(4000).select((F.col("id") % 20).alias("k"))
+    assert hot.hot_keys(df, ["k"]) is None
+    more = df.unionByName(spark.range(600).select(F.lit(3).cast("bigint").alias("k")))
+    found = hot.hot_keys(more, ["k"])
+    assert (found.limit, found.rows, found.table.count()) == (460, 800, 1)
 
 
-def test_hot_hashes(spark, few_rows_per_task):
-    df = spark.range(3000).select(F.when(F.col("id") % 3 != 0, F.lit(-1)).otherwise(F.col("id")).alias("a"), F.lit(None).cast("string").alias("b"))
-    hashes = hot.hot_hashes(df, ["a", "b"])
-    assert len(hashes) == 1
-    assert df.filter(hot.is_hot(["a", "b"], hashes)).select("a").distinct().collect()[0].a == -1
-    assert hot.hot_hashes(df.limit(0), ["a"]) == ()
-    assert hot.hot_hashes(spark.range(1000), ["id"]) == ()
+def test_many_rows_in_few_bytes(spark):
+    """One key, twenty million rows, next to nothing on disk: no task gets them all."""
+    left = spark.range(20_000_000).select(F.lit(1).alias("k"))
+    right = spark.createDataFrame([(1, "x"), (2, "y")], "k int, v string")
+    found = hot.lookup(left, right.hint("shuffle_merge"), ["k"])
+    tasks = found.groupBy(F.spark_partition_id()).count().collect()
+    assert sum(row["count"] for row in tasks) == 20_000_000
+    assert max(row["count"] for row in tasks) <= 12_000_000
 
 
 @pytest.mark.parametrize("how", ["left", "left_anti", "left_semi", "inner"])
@@ -46,7 +57,7 @@ def test_lookup_is_the_join(spark, rows, few_rows_per_task, how):
     left = spark.range(2000).select("id", key.alias("k"))
     right = spark.range(0, 4000, 2).select(F.col("id").cast("string").alias("k"), F.lit(1).alias("v"))
     for table in (right, right.unionByName(spark.createDataFrame([("hot", 2), (None, 3)], "k string, v int"))):
-        assert len(hot.hot_hashes(left, ["k"])) == 2
+        assert hot.hot_keys(left, ["k"]).table.count() == 2
         assert rows(hot.lookup(left, table, ["k"], how)) == rows(left.join(table, ["k"], how))
 
 

@@ -160,12 +160,7 @@ def test_scratch(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
-@pytest.mark.parametrize("master", ["local[2]", "yarn"])
-def test_scratch_without_setting(master):
-    unset = SimpleNamespace(get=lambda key, default: default)
-    session = SimpleNamespace(conf=unset, sparkContext=SimpleNamespace(master=master, applicationId=f"app-{master}"))
-    if master == "yarn":
-        with pytest.raises(ValueError):
-            scratch_root(session)
-    else:
-        assert scratch_root(session) == scratch_root(session)
+def test_scratch_without_setting():
+    settings = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
+    session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key, default)))
+    assert scratch_root(session) == "file:/shared/warehouse/scratch"
