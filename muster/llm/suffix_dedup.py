@@ -31,15 +31,14 @@ from muster.llm.common import map_arrow, saved, texts_of
 
 LENGTH = 50
 RUN = 20
-BATCH_BYTES = 4 * 1024 * 1024
+BATCH_BYTES = 2 * 1024 * 1024
 BUCKET_BYTES = 16 * 1024 * 1024
 BUCKETS = 64
 WINDOWS = 64
 HOT = 20_000
-CHUNK = 4_000_000
+CHUNK = 1_000_000
 NO_ID = np.iinfo(np.int64).max
 BATCH = "batch long, bytes long, ids binary, sizes binary, texts binary"
-ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
 def batches_of(batch_bytes: int):
@@ -97,11 +96,10 @@ class Batch:
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
             return
-        smallest = sliding_minimum(run_hashes(np.frombuffer(self.text, np.uint8)), LENGTH - RUN + 1)[:n]
-        doc = np.repeat(np.arange(len(self.sizes)), self.sizes)[:n]
-        inside = np.arange(n) + LENGTH <= self.starts[doc + 1]
+        smallest = sliding_minimum(run_hashes(self.text), LENGTH - RUN + 1)[:n]
         begins = np.ones(n, bool)
-        begins[1:] = (smallest[1:] != smallest[:-1]) | (doc[1:] != doc[:-1])
+        begins[1:] = smallest[1:] != smallest[:-1]
+        begins[self.starts[:-1][self.starts[:-1] < n]] = True
         first = np.flatnonzero(begins)
         length = np.diff(np.append(first, n))
         # Long groups, as in periodic text, are cut; the strings that would leave their document are at its end.
@@ -110,13 +108,11 @@ class Batch:
         step = np.arange(len(owner)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
         low = first[owner] + step * WINDOWS
         high = np.minimum(low + WINDOWS, first[owner] + length[owner])
-        high = np.minimum(high, self.starts[doc[low] + 1] - LENGTH + 1)
-        real = (low < high) & inside[low]
-        self.first, self.last = low[real], high[real] - 1
-        self.anchor, self.doc = smallest[self.first], doc[self.first]
-
-    def piece(self, group: int) -> bytes:
-        return self.text[self.first[group] : self.last[group] + LENGTH]
+        doc = np.searchsorted(self.starts, low, "right") - 1
+        high = np.minimum(high, self.starts[doc + 1] - LENGTH + 1)
+        real = low < high
+        self.first, self.last, self.doc = low[real], high[real] - 1, doc[real]
+        self.anchor = smallest[self.first]
 
 
 def mixed(values: np.ndarray) -> np.ndarray:
@@ -124,23 +120,15 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(32))
 
 
-def run_hashes(data: np.ndarray) -> np.ndarray:
-    """A hash of the `RUN` bytes from each place on, put together from hashes of 1, 2, 4, 8 and 16 bytes."""
-    hashes, width, parts = mixed(data.astype(np.uint64) + np.uint64(1)), 1, []
-    remaining = RUN
-    while remaining:
-        if remaining & width:
-            parts.append((width, hashes))
-            remaining -= width
-        if remaining:
-            hashes = mixed(hashes[:-width] * ODD + hashes[width:])
-            width *= 2
+def run_hashes(data: bytes) -> np.ndarray:
+    """A hash of the `RUN` bytes from each place on, from the 8-byte words that cover them."""
     n = len(data) - RUN + 1
-    offset, total = 0, np.zeros(n, np.uint64)
-    for width, hashes in reversed(parts):
-        total = mixed(total * ODD + hashes[offset : offset + n])
-        offset += width
-    return total
+    total = np.zeros(n, np.uint64)
+    for k, at in enumerate(sorted({*range(0, RUN - 7, 8), RUN - 8})):
+        word = np.ndarray((n,), "<u8", data, at, (1,))
+        total += word * np.uint64((0x9E3779B97F4A7C15 * (2 * k + 1)) % 2**64 | 1)
+        total ^= total >> np.uint64(29)
+    return mixed(total)
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -175,8 +163,12 @@ def anchors_by_bucket(buckets: int):
             batch = Batch(row)
             if not len(batch.anchor):
                 continue
-            pair = np.unique(np.rec.fromarrays([batch.anchor, batch.doc]))
-            anchors, count = np.unique(pair.f0, return_counts=True)
+            order = np.argsort(batch.anchor, kind="stable")
+            sorted_anchors, docs = batch.anchor[order], batch.doc[order]
+            new = np.append(True, sorted_anchors[1:] != sorted_anchors[:-1])
+            other = np.append(False, docs[1:] != docs[:-1]) & ~new
+            first = np.flatnonzero(new)
+            anchors, several = sorted_anchors[first], np.logical_or.reduceat(other, first)
             bucket = (anchors % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -186,7 +178,7 @@ def anchors_by_bucket(buckets: int):
                 "batch": [row["batch"]] * len(groups),
                 # Sorted numbers of 48 bits: more than enough to forget most anchors; the rest is compared as text.
                 "anchors": [short(anchors[some]) for some in groups],
-                "several": [packed(np.packbits(count[some] > 1))[0] for some in groups],
+                "several": [packed(np.packbits(several[some]))[0] for some in groups],
             }
 
     return run
@@ -288,7 +280,7 @@ def pieces_by_shard(shards: int):
                 names = ("keys", "sizes", "low", "high")
                 yield {"shard": [int(shard[some[0]])], "batch": [row["batch"]]} | {
                     name: [blob] for name, blob in zip(names, blobs)
-                } | {"texts": [zlib.compress(b"".join(mine), 1)]}
+                } | {"texts": [zstandard.compress(b"".join(mine), 3)]}
 
     return run
 
@@ -398,7 +390,7 @@ def first_by_batch(rows: pa.Table) -> pa.Table:
     blobs = rows.select(["keys", "sizes", "low", "high", "texts"]).to_pylist()
     texts: list[bytes] = []
     for blob in blobs:
-        joined, at = zlib.decompress(blob["texts"]), 0
+        joined, at = zstandard.decompress(blob["texts"]), 0
         for size in unpacked(blob["sizes"], np.uint16).tolist():
             texts.append(joined[at : at + size])
             at += size
@@ -429,29 +421,30 @@ def first_by_batch(rows: pa.Table) -> pa.Table:
         firsts.update(zip(some.tolist(), found))
         begin = stop
 
-    out: dict[str, list] = {"batch": [], "digests": [], "counts": [], "firsts": []}
+    out: dict[str, list] = {"batch": [], "digests": [], "counts": [], "firsts": [], "keys": []}
     numbers = rows.column("batch").to_pylist()
     cuts = np.flatnonzero(np.diff(mine, prepend=-1)).tolist() + [len(mine)]
     for a, b in zip(cuts, cuts[1:]):
-        chosen, counts, docs = [], [], []
+        chosen, counts, docs, named = [], [], [], []
         for k in range(a, b):
             group = int(slot[k])
             per_string = firsts.get(group)
             if per_string is None:
                 if smallest[group] < high[k]:
                     chosen.append(digest[k])
+                    named.append(keys[k])
                     counts.append(1)
                     docs.append(smallest[group : group + 1])
             elif (per_string < high[k]).any():
                 chosen.append(digest[k])
+                named.append(keys[k])
                 counts.append(len(per_string))
                 docs.append(per_string)
         if chosen:
-            blobs = packed(np.array(chosen, np.uint64), np.array(counts, np.uint16), np.concatenate(docs))
+            blobs = packed(np.array(chosen, np.uint64), np.array(counts, np.uint16), np.concatenate(docs), np.array(named, np.uint64))
             for name, value in zip(out, (numbers[mine[a]], *blobs)):
                 out[name].append(value)
-    kinds = [("batch", pa.int64()), ("digests", pa.binary()), ("counts", pa.binary()), ("firsts", pa.binary())]
-    return pa.table(out, schema=pa.schema(kinds))
+    return pa.table(out, schema=pa.schema([("batch", pa.int64())] + [(name, pa.binary()) for name in list(out)[1:]]))
 
 
 def removed_strings(batch: Batch, row: dict) -> np.ndarray:
@@ -465,7 +458,9 @@ def removed_strings(batch: Batch, row: dict) -> np.ndarray:
     )
     ends = np.cumsum(counts.astype(np.int64))
     known = {d: firsts[end - count : end] for d, end, count in zip(digest.tolist(), ends.tolist(), counts.tolist())}
-    texts, owner, _, first = sent_pieces(batch, together(row["anchors"]), together(row["hot"]))
+    hot = together(row["hot"])
+    near = np.union1d(together(row["keys"]) >> np.uint64(16), hot)
+    texts, owner, _, first = sent_pieces(batch, near, hot)
     docs = batch.ids[batch.doc[owner]] if len(owner) else owner
     for text, doc, at, d in zip(texts, docs.tolist(), first.tolist(), digests(texts).tolist()):
         smaller = known.get(d)
@@ -528,9 +523,9 @@ def remove_repeats(
     kinds = "shard long, batch long, keys binary, sizes binary, low binary, high binary, texts binary"
     pieces = map_arrow(work, pieces_by_shard(buckets), kinds)
     answers = pieces.groupBy("shard").applyInArrow(
-        first_by_batch, "batch long, digests binary, counts binary, firsts binary"
+        first_by_batch, "batch long, digests binary, counts binary, firsts binary, keys binary"
     )
-    lists = [F.collect_list(name).alias(name) for name in ("digests", "counts", "firsts")]
+    lists = [F.collect_list(name).alias(name) for name in ("digests", "counts", "firsts", "keys")]
     firsts = answers.groupBy("batch").agg(*lists)
     marked = packs.join(shared, "batch", "left").join(firsts, "batch", "left")
     out = "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"

@@ -110,9 +110,9 @@ def test_maximal_repeats(texts, least):
 def test_equal_strings_have_equal_anchors():
     rng = np.random.default_rng(1)
     text = bytes(rng.integers(97, 101, 400, np.uint8))
-    hashes = s.sliding_minimum(s.run_hashes(np.frombuffer(text, np.uint8)), s.LENGTH - s.RUN + 1)
+    hashes = s.sliding_minimum(s.run_hashes(text), s.LENGTH - s.RUN + 1)
     alone = [
-        s.sliding_minimum(s.run_hashes(np.frombuffer(text[k : k + s.LENGTH], np.uint8)), s.LENGTH - s.RUN + 1)
+        s.sliding_minimum(s.run_hashes(text[k : k + s.LENGTH]), s.LENGTH - s.RUN + 1)
         for k in range(len(text) - s.LENGTH + 1)
     ]
     assert all(len(one) == 1 for one in alone) and (np.concatenate(alone) == hashes).all()
