@@ -17,8 +17,10 @@ from muster.operators import (
     distinct_packages,
     empty_groups,
     list_packages,
+    package_documents,
     package_line,
     package_rows,
+    recorded_rows,
     remove_packages,
     replay_commands,
     request_outcome,
@@ -29,7 +31,14 @@ from muster.operators import (
 from muster.plans.flows import startup_packages
 from muster.schemas import CORRUPT, OPTION_KEYS, STATE_KEYS
 from muster.session import scratch_path
-from muster.sources import parse_options, parse_package_state, read_package_versions, write_package_state
+from muster.sources import (
+    parse_options,
+    parse_package_state,
+    read_options,
+    read_package_state,
+    read_package_versions,
+    write_package_state,
+)
 
 
 def one_word(col: Column) -> Column:
@@ -164,15 +173,19 @@ def package_requests(t: Tables) -> DataFrame:
     )
 
 
+# Fixed values of this binding: the languages of the documents.
+LANGUAGES = ("de", "en", "es", "fr")
+
+
 def package_state(t: Tables) -> DataFrame:
-    """Sources with a very long document count as recorded."""
+    """The source of each document is recorded, for another language's installation; whose, follows from its length."""
+    shifted = F.element_at(F.array(*map(F.lit, LANGUAGES)), (F.col("n_chars") % 4 + 1).cast("int"))
     return (
         t("documents")
-        .filter(F.col("n_chars") > 8000)
         .select(
-            F.col("lang").alias("installation_id"),
-            F.when(F.col("n_chars") < 12000, "apk").otherwise("pip").alias("kind"),
-            F.col("source").alias("package"),
+            shifted.alias("installation_id"),
+            F.when(F.col("n_chars") % 3 == 0, "apk").otherwise("pip").alias("kind"),
+            F.concat(F.col("source"), F.when(F.col("n_chars") % 5 > 0, "0").otherwise("")).alias("package"),
         )
         .dropDuplicates()
     )
@@ -185,9 +198,11 @@ REQUESTS_SQL = """
     FROM documents
 """
 STATE_SQL = """
-    SELECT DISTINCT lang AS installation_id, CASE WHEN n_chars < 12000 THEN 'apk' ELSE 'pip' END AS kind, source AS package,
-        CASE WHEN n_chars < 12000 THEN source ELSE lower(source) END AS match
-    FROM documents WHERE n_chars > 8000
+    SELECT DISTINCT ['de', 'en', 'es', 'fr'][n_chars % 4 + 1] AS installation_id,
+        CASE WHEN n_chars % 3 = 0 THEN 'apk' ELSE 'pip' END AS kind,
+        source || CASE WHEN n_chars % 5 > 0 THEN '0' ELSE '' END AS package,
+        CASE WHEN n_chars % 3 = 0 THEN package ELSE lower(package) END AS match
+    FROM documents
 """
 
 
@@ -263,6 +278,56 @@ def state_versions(t: Tables) -> DataFrame:
     return read_package_versions(t.spark, path)
 
 
+@query("""
+    WITH lists AS (
+        SELECT doc_id, 'apk' AS kind, list_filter([source, lang] || CASE WHEN n_chars % 2 = 0 THEN ['SRC1'] ELSE [] END,
+            lambda x: x <> 'en') AS entries FROM documents
+        UNION ALL
+        SELECT doc_id, 'pip', [source] || CASE WHEN n_chars % 2 = 1 AND source <> 'src1' THEN ['SRC1'] ELSE [] END FROM documents
+    )
+    SELECT doc_id, kind, CASE WHEN len(entries) > 0 THEN unnest(range(len(entries)))::INTEGER END AS pos,
+        CASE WHEN len(entries) > 0 THEN unnest(entries) ELSE '(none)' END AS package FROM lists
+""")
+def documents_edited(t: Tables) -> DataFrame:
+    """State documents read, edited by requests through stored versions, written as documents and listed again."""
+    path, key = scratch_path(t.spark, "documents-edited"), ["doc_id"]
+    lists = F.struct(F.array("source", "lang").alias("apk_packages"), F.array("source").alias("pip_packages"))
+    texts = t("documents").select("doc_id", F.to_json(lists).alias("raw"))
+    columns = "doc_id BIGINT, package STRING, pos INT"
+    write_package_state(recorded_rows(parse_package_state(texts), keys=key), path, 1)
+    kind = F.when(F.col("n_chars") % 2 == 0, "apk").otherwise("pip").alias("kind")
+    number = F.lit(1).alias("request_seq")
+    additions = t("documents").select("doc_id", kind, F.lit("SRC1").alias("package"), number, F.lit(0).alias("pos"))
+    removals = t("documents").select("doc_id", F.lit("apk").alias("kind"), F.lit("en").alias("package"))
+    state = read_package_versions(t.spark, path, columns=columns)
+    grown = apply_requests(state, additions, key, position="pos")
+    write_package_state(remove_packages(grown, removals, key), path, 2)
+    stored = read_package_versions(t.spark, path, columns=columns)
+    return list_packages(parse_package_state(package_documents(stored, key)), key)
+
+
+@query("""
+    SELECT lang AS installation_id, kind, string_agg(DISTINCT package, ' ' ORDER BY package) AS packages FROM (
+        SELECT lang, 'apk' AS kind, source AS package FROM documents
+        UNION ALL SELECT lang, 'pip', lang || n_chars % 10 FROM documents) GROUP BY ALL
+""")
+def startup_from_files(t: Tables) -> DataFrame:
+    """Option and state documents landed as lines below a directory per installation, and read by path.
+
+    A path where nothing has landed counts as empty documents.
+    """
+    path = scratch_path(t.spark, "landed-documents")
+    key = F.col("lang").alias("installation_id")
+    options = F.to_json(F.struct(F.array("source").alias("persistent_apk_packages")))
+    state = F.to_json(F.struct(F.array(F.concat("lang", F.col("n_chars") % 10)).alias("pip_packages")))
+    for name, text in (("options", options), ("state", state)):
+        t("documents").select(key, text.alias("value")).write.partitionBy("installation_id").text(f"{path}/{name}")
+    declared = read_options(t.spark, f"{path}/options", "launch", per_line=True)
+    recorded = read_package_state(t.spark, f"{path}/state", per_line=True)
+    nothing = read_package_state(t.spark, f"{path}/nowhere")
+    return startup_packages(declared, recorded.unionByName(nothing))
+
+
 # Fixed values of this binding: the command and the spelling each event type stands for.
 COMMANDS = {
     "click": ("add", "Tool"),
@@ -340,10 +405,10 @@ def requests_validated(t: Tables) -> DataFrame:
 
 
 @query("""
-    SELECT c_custkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 400000) AS is_empty FROM customer
+    SELECT c_custkey, NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey) AS is_empty FROM customer
 """)
 def customers_without_orders(t: Tables) -> DataFrame:
-    orders = t("orders").filter(F.col("o_totalprice") > 400000).select(F.col("o_custkey").alias("c_custkey"))
+    orders = t("orders").select(F.col("o_custkey").alias("c_custkey"))
     return empty_groups(t("customer").select("c_custkey"), orders, ["c_custkey"])
 
 

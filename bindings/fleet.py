@@ -9,7 +9,6 @@ from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
 from muster.operators import average_states, package_prevalence, severity_counts
-from muster.sources import file_inventory
 
 
 @query("""
@@ -21,10 +20,22 @@ def prevalence_rollup(t: Tables) -> DataFrame:
     return package_prevalence(days, ["event_type", "user_id"], "day")
 
 
-@query()
+@query("""
+    SELECT l_returnflag, l_linestatus, count(DISTINCT l_partkey) AS installations,
+        grouping_id(l_returnflag, l_linestatus) AS level, true AS is_close
+    FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)
+""")
 def prevalence_estimate(t: Tables) -> DataFrame:
-    """Counts from sketches of fixed size; the estimate has no SQL of its own."""
-    return package_prevalence(t("lineitem"), ["l_returnflag", "l_linestatus"], "l_partkey", approx=True)
+    """Whether counts from sketches of fixed size are within a tenth of the exact ones."""
+    dimensions = ["l_returnflag", "l_linestatus"]
+    exact = package_prevalence(t("lineitem"), dimensions, "l_partkey")
+    estimates = package_prevalence(t("lineitem"), dimensions, "l_partkey", approx=True).select(
+        *[F.col(name).alias(f"_{name}") for name in [*dimensions, "level"]], F.col("installations").alias("estimate")
+    )
+    same = [F.col(name).eqNullSafe(F.col(f"_{name}")) for name in [*dimensions, "level"]]
+    is_close = F.abs(F.col("estimate") - F.col("installations")) <= 0.1 * F.col("installations")
+    joined = exact.join(estimates, same[0] & same[1] & same[2], "left")
+    return joined.select(*exact.columns, F.coalesce(is_close, F.lit(False)).alias("is_close"))
 
 
 @query("""
@@ -37,10 +48,11 @@ def prevalence_cube(t: Tables) -> DataFrame:
 
 @query("""
     SELECT user_id, count(CASE WHEN event_type = 'click' THEN 1 END) AS click, count(CASE WHEN event_type = 'error' THEN 1 END) AS error,
-        count(CASE WHEN event_type = 'view' THEN 1 END) AS view FROM events GROUP BY user_id
+        count(CASE WHEN event_type = 'view' THEN 1 END) AS view, count(CASE WHEN event_type = 'purchase' THEN 1 END) AS purchase,
+        count(CASE WHEN event_type NOT IN ('click', 'error', 'view', 'purchase') THEN 1 END) AS other FROM events GROUP BY user_id
 """)
 def severity_count_list(t: Tables) -> DataFrame:
-    return severity_counts(t("events"), ["user_id"], "event_type", ["click", "error", "view"])
+    return severity_counts(t("events"), ["user_id"], "event_type", ["click", "error", "view", "purchase"])
 
 
 def hundredths(col: str) -> Column:
@@ -71,9 +83,3 @@ def sliding_average(t: Tables) -> DataFrame:
     states = t("events").withColumn("state", hundredths("value"))
     averages = average_states(states, ["event_type"], timedelta(hours=12), timedelta(hours=6))
     return averages.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
-
-
-@query()
-def table_files(t: Tables) -> DataFrame:
-    """The files the tables are stored in, found by name."""
-    return file_inventory(t.spark, t.folder, "*.parquet")

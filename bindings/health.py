@@ -11,6 +11,7 @@ from muster.operators import any_true, attach_severity, classify_environment, er
 from muster.plans.flows import health_report, resource_flags
 from muster.session import scratch_path
 from muster.sources import parse_df, parse_log_lines, parse_meminfo, read_log_lines
+from muster.streaming import run_to_table
 
 # Fixed values of this binding: a rule per event type.
 RULES = [
@@ -185,3 +186,13 @@ def landed_log_lines(t: Tables) -> DataFrame:
     path = scratch_path(t.spark, "log")
     t("events").select(F.col("event_type").alias("kind"), log_text().alias("value")).write.partitionBy("kind").text(path)
     return read_log_lines(t.spark, path).withColumn("ts", F.col("ts").cast("timestamp_ntz"))
+
+
+@query("SELECT event_type AS kind, CASE WHEN event_type = 'error' THEN 'error' ELSE 'info' END AS level, count(*) AS n_lines FROM events GROUP BY ALL")
+def followed_log_lines(t: Tables) -> DataFrame:
+    """The same lines followed as a stream, which keeps the directory of each line."""
+    path = scratch_path(t.spark, "followed-log")
+    lines = t("events").select(F.col("event_type").alias("kind"), log_text().alias("value"))
+    lines.write.partitionBy("kind").text(f"{path}/log")
+    followed = read_log_lines(t.spark, f"{path}/log", stream=True, keys="kind STRING")
+    return run_to_table(followed, path).groupBy("kind", "level").agg(F.count("*").alias("n_lines"))

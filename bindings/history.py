@@ -94,7 +94,7 @@ def asof_view(t: Tables) -> DataFrame:
     events = t("events").select("event_id", "user_id", "ts", "event_type", "value")
     purchases = events.filter(F.col("event_type") == "purchase").drop("value")
     views = events.filter(F.col("event_type") == "view")
-    found = asof_guard(purchases, views, ["user_id"], "ts", ["value"])
+    found = asof_guard(purchases, views, ["user_id"], "ts", ["value"], ["event_id"])
     return found.select("event_id", "user_id", F.col("state.value").alias("seen_value"), F.col("state.ts").alias("seen_ts"))
 
 
@@ -106,7 +106,7 @@ def asof_view(t: Tables) -> DataFrame:
 def asof_recent_error(t: Tables) -> DataFrame:
     events = t("events").select("event_id", "user_id", "ts", "event_type", "value")
     errors = events.filter(F.col("event_type") == "error")
-    found = asof_guard(events.select("event_id", "user_id", "ts"), errors, ["user_id"], "ts", ["value"], max_age=timedelta(days=1))
+    found = asof_guard(events.select("event_id", "user_id", "ts"), errors, ["user_id"], "ts", ["value"], ["event_id"], timedelta(days=1))
     return found.select("event_id", F.col("state.value").alias("seen_value"))
 
 

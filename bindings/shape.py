@@ -67,10 +67,10 @@ def first_array_element(t: Tables) -> DataFrame:
     return t("embeddings").select("vec_id", first_element(F.col("embedding")).alias("first_value"))
 
 
-@query("SELECT event_id, json(props)::VARCHAR AS payload FROM events")
+@query("SELECT event_id, props AS payload, json(props)::VARCHAR AS document FROM events")
 def reply_passthrough(t: Tables) -> DataFrame:
     replies = t("events").select("event_id", F.col("props").alias("payload"))
-    return passthrough(replies).withColumn("payload", F.to_json("payload"))
+    return passthrough(replies).withColumn("document", F.to_json("document"))
 
 
 @query("""

@@ -6,7 +6,8 @@ one hour, before the newest event.
 
 from __future__ import annotations
 
-from datetime import timedelta
+from collections.abc import Iterator
+from datetime import datetime, timedelta, timezone
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -20,6 +21,7 @@ from muster.streaming import (
     changes_sink,
     current_state_sink,
     dedupe_events,
+    flush_changes,
     read_current,
     run_available,
     run_to_table,
@@ -40,10 +42,35 @@ def events_stream(t: Tables) -> DataFrame:
     return stream_table(t.spark, t.folder, "events.parquet")
 
 
+ARRIVALS = 3
+
+
+def arriving(t: Tables, name: str, late_every: int = 0) -> Iterator[tuple[DataFrame, str]]:
+    """Events that land in `ARRIVALS` steps in order of time; yields their stream and a path after each step.
+
+    With `late_every`, every so many events land one step too late.
+    """
+    path = scratch_path(t.spark, name)
+    events = t("events").select("user_id", "event_id", "ts", "event_type")
+    first, last = events.agg(F.min("ts"), F.max("ts")).first()
+    width = (last - first) / ARRIVALS + timedelta(seconds=1)
+    step = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - micros(first)) / (width / timedelta(microseconds=1)))
+    if late_every:
+        step = F.least(step + (F.col("event_id") % late_every == 0).cast("int"), F.lit(ARRIVALS - 1))
+    for number in range(ARRIVALS):
+        events.filter(step == number).write.mode("append").parquet(f"{path}/landed")
+        yield t.spark.readStream.schema(events.schema).parquet(f"{path}/landed"), path
+
+
+def micros(time: datetime) -> int:
+    return (time.replace(tzinfo=timezone.utc) - datetime(1970, 1, 1, tzinfo=timezone.utc)) // timedelta(microseconds=1)
+
+
 @query(f"SELECT * FROM ({GAP_SQL}) WHERE session_end <= {CLOSED}")
 def stream_gap_sessions(t: Tables) -> DataFrame:
-    sessions = gap_sessions(events_stream(t), USER, "ts", timedelta(hours=6))
-    return zoneless(run_to_table(sessions, scratch_path(t.spark, "gap-sessions")))
+    for events, path in arriving(t, "gap-sessions"):
+        found = run_to_table(gap_sessions(events, USER, "ts", timedelta(hours=6)), path)
+    return zoneless(found)
 
 
 @query(f"SELECT user_id, last_ts, session_end AS silent_from FROM ({GAP_SQL}) WHERE session_end <= {CLOSED}")
@@ -63,10 +90,10 @@ def stream_severity_counts(t: Tables) -> DataFrame:
 
 @query("SELECT event_id, user_id, event_type FROM events")
 def stream_dedupe(t: Tables) -> DataFrame:
-    """Every event delivered twice."""
-    events = events_stream(t).select("event_id", "user_id", "event_type", "ts")
-    once = dedupe_events(events.unionByName(events), "event_id")
-    return run_to_table(once, scratch_path(t.spark, "dedupe")).drop("ts")
+    """Every event delivered twice, in several steps."""
+    for events, path in arriving(t, "dedupe"):
+        found = run_to_table(dedupe_events(events.unionByName(events), "event_id"), path)
+    return found.select("event_id", "user_id", "event_type")
 
 
 @query("""
@@ -74,10 +101,10 @@ def stream_dedupe(t: Tables) -> DataFrame:
     QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) = 1
 """)
 def stream_current_state(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "current")
-    events = events_stream(t).select("user_id", "event_id", "ts", "event_type")
-    run_available(events.writeStream.foreachBatch(current_state_sink(path, USER, ORDER)), f"{path}/progress")
-    return read_current(t.spark, path, USER, ORDER)
+    for events, path in arriving(t, "current", late_every=7):
+        sink = current_state_sink(path, USER, ORDER, every=2)
+        run_available(events.writeStream.foreachBatch(sink), f"{path}/progress")
+    return read_current(t.spark, path, USER, ORDER, events.schema)
 
 
 @query("""
@@ -86,9 +113,12 @@ def stream_current_state(t: Tables) -> DataFrame:
     WHERE previous IS DISTINCT FROM event_type
 """)
 def stream_state_changes(t: Tables) -> DataFrame:
-    path = scratch_path(t.spark, "changes")
-    events = events_stream(t).select("user_id", "event_id", "ts", "event_type")
-    run_available(events.writeStream.foreachBatch(changes_sink(path, USER, ORDER, "event_type")), f"{path}/progress")
+    """Events that land in steps, some of them out of order by up to two thirds of the whole time."""
+    first, last = t("events").agg(F.min("ts"), F.max("ts")).first()
+    for events, path in arriving(t, "changes", late_every=7):
+        sink = changes_sink(path, USER, ORDER, "event_type", every=2, delay=(last - first) * 2 / ARRIVALS)
+        run_available(events.writeStream.foreachBatch(sink), f"{path}/progress")
+    flush_changes(t.spark, path, events.schema, USER, ORDER, "event_type", every=2)
     return t.spark.read.parquet(f"{path}/changes").select("event_id", "user_id", "event_type", "previous")
 
 

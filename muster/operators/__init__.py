@@ -7,6 +7,7 @@ from muster.operators.declared import (
     empty_groups,
     list_packages,
     match_name,
+    package_documents,
     package_line,
     package_rows,
     recorded_rows,
@@ -89,6 +90,7 @@ __all__ = [
     "match_name",
     "normalize_answer",
     "overlay_layers",
+    "package_documents",
     "package_line",
     "package_prevalence",
     "package_rows",

@@ -8,13 +8,14 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from muster.functions.lists import joined, words_of
 from muster.functions.text import ascii_lower, blank_to, has_value
 from muster.plans.hot import lookup
-from muster.schemas import COMMANDS, DEFAULT_COMMAND, FOLDED_KINDS, KINDS, STATE_KEYS
+from muster.schemas import COMMANDS, DEFAULT_COMMAND, FOLDED_KINDS, HELP_OPTIONS, KINDS, STATE_KEYS
+from muster.session import checkpointed, written
 
 KEYS = ("installation_id",)
 MATCH = "_match"
@@ -114,8 +115,10 @@ def list_packages(documents: DataFrame, keys: Sequence[str] = KEYS) -> DataFrame
 
 
 def validate_requests(requests: DataFrame, kinds: Sequence[str] = KINDS) -> DataFrame:
-    """Add `reason`, NULL for a valid request. `op` is one of add, remove, list, help; a missing one is help."""
-    op = blank_to(F.col("op"), F.lit(DEFAULT_COMMAND))
+    """Add `reason`, NULL for a valid request. `op` is one of add, remove, list, help; a missing one, or an option that
+    asks for help, is help."""
+    given = blank_to(F.col("op"), F.lit(DEFAULT_COMMAND))
+    op = F.when(given.isin(*HELP_OPTIONS), DEFAULT_COMMAND).otherwise(given)
     kind, package = F.nullif(F.col("kind"), F.lit("")), F.nullif(F.col("package"), F.lit(""))
     known = F.coalesce(kind.isin(*kinds), F.lit(False))
     reason = (
@@ -187,36 +190,73 @@ def apply_requests(
     keys: Sequence[str] = KEYS,
     order: Sequence[str] = ("request_seq", "pos"),
     folded: Sequence[str] = FOLDED_KINDS,
+    position: str | None = None,
 ) -> DataFrame:
-    """Recorded rows plus each requested package that is absent, in the spelling of its first request."""
+    """Recorded rows plus each requested package that is absent, in the spelling of its first request.
+
+    With `position`, the column of `state` that orders a list, new packages follow the recorded ones in the order of
+    their requests; a list belongs to one document, so its new packages are numbered in one task.
+    """
     on = [*keys, "kind", MATCH]
     known = matched(state, folded).select(*on).dropDuplicates()
     new = first_requests(requests, keys, order, folded).join(known, on, "left_anti")
     columns = [*keys, "kind", "package"]
-    return state.select(*columns).unionByName(new.select(*columns))
+    if position is None:
+        return state.select(*columns).unionByName(new.select(*columns))
+    lists = [*keys, "kind"]
+    number = F.row_number().over(Window.partitionBy(*lists).orderBy("_first"))
+    ends = state.groupBy(*lists).agg((F.max(position) + 1).alias("_end"))
+    numbered = new.withColumn("_number", number).join(ends, lists, "left")
+    place = (F.coalesce("_end", F.lit(0)) + F.col("_number") - 1).cast(state.schema[position].dataType)
+    return state.select(*columns, position).unionByName(numbered.select(*columns, place.alias(position)))
+
+
+def package_documents(
+    state: DataFrame, keys: Sequence[str] = KEYS, position: str = "pos", raw: str = "raw"
+) -> DataFrame:
+    """One state document per key as JSON text, each list in the order of `position`."""
+    lists = [
+        F.transform(
+            F.array_sort(F.collect_list(F.when(F.col("kind") == kind, F.struct(position, "package")))),
+            lambda entry: entry["package"],
+        ).alias(column)
+        for kind, column in STATE_KEYS.items()
+    ]
+    columns = list(STATE_KEYS.values())
+    return state.groupBy(*keys).agg(*lists).select(*keys, F.to_json(F.struct(*columns)).alias(raw))
 
 
 # A log that mixes additions and removals
 
+# Commands of one name that are followed by one task, and chunks of one name that are put together by one task.
 CHUNK = 10_000
-WIDER = 100_000
+WIDER = 1_000
 
 
-def chunk_of(number: Column, size: int) -> Column:
-    return F.call_function("div", number, F.lit(size).cast("bigint"))
+def chunked(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> tuple[DataFrame, int]:
+    """Add `_chunk`, and tell how many there are at most.
+
+    A name with at most `CHUNK` commands is one chunk. The commands of other names are cut into ranges of about `CHUNK`
+    rows in order of name and position, whatever the position is made of; they are written once, so that a range keeps
+    its rows.
+    """
+    many = commands.filter(F.col("_commands") > CHUNK)
+    rows = many.count()
+    few = commands.filter(F.coalesce(F.col("_commands") <= CHUNK, F.lit(True)))
+    single = few.withColumn("_chunk", F.lit(0).cast("bigint")).repartition(*group)
+    if not rows:
+        return single, 1
+    chunks = -(-rows // CHUNK)
+    ranges = many.repartitionByRange(chunks, *group, *order)
+    return single.unionByName(checkpointed(ranges.withColumn("_chunk", F.spark_partition_id().cast("bigint")))), chunks
 
 
 def follow_commands(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """What the commands of one chunk do to a name, one row per name and chunk.
 
-    A name with at most `CHUNK` commands has one chunk, any other name one per `CHUNK` sequence numbers.
-
     A name has one spelling recorded or none (empty text). A command changes one particular spelling: an addition turns
     none into its own, a removal its own into none. `_moves` maps each spelling some command starts from to the one it
     has become at the end of the chunk; any other spelling stays.
-
-    Rows are spread by chunk explicitly: those that come from a join on the name are all in one task for a hot name, and
-    would be grouped there.
     """
     added = F.col("op") == "add"
     command = F.struct(
@@ -224,11 +264,11 @@ def follow_commands(commands: DataFrame, group: Sequence[str], order: Sequence[s
         F.when(added, F.lit("")).otherwise(F.col("package")).alias("start"),
         F.when(added, F.col("package")).otherwise(F.lit("")).alias("end"),
     )
-    few = F.col("_commands") <= CHUNK
-    numbered = chunk_of(F.col(order[0]).cast("bigint"), CHUNK)
-    chunk = F.when(F.coalesce(few, F.lit(False)), F.lit(0).cast("bigint")).otherwise(numbered)
-    spread = commands.select(*group, chunk.alias("_chunk"), command.alias("_command")).repartition(*group, "_chunk")
-    listed = spread.groupBy(*group, "_chunk").agg(F.array_sort(F.collect_list("_command")).alias("_commands"))
+    listed = (
+        commands.select(*group, "_chunk", command.alias("_command"))
+        .groupBy(*group, "_chunk")
+        .agg(F.array_sort(F.collect_list("_command")).alias("_commands"))
+    )
 
     def follow(spelling: Column) -> Column:
         end = F.aggregate("_commands", spelling, lambda now, c: F.when(c["start"] == now, c["end"]).otherwise(now))
@@ -259,15 +299,18 @@ def follow_chunks(chunks: DataFrame, group: Sequence[str], chunk: Column) -> Dat
 def replay_folded(commands: DataFrame, group: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Final spelling per name that starts unrecorded, for kinds added without case but removed exactly.
 
-    Following moves is associative, so it is done over `CHUNK` sequence numbers, then over `WIDER` chunks, then over the
-    rest: no task receives the whole history of a name that is requested very often.
+    Following moves is associative, so it is done over chunks of commands, then over `WIDER` chunks, and so on until one
+    is left: no task receives the whole history of a name that is requested very often.
     """
-    chunks = follow_commands(commands, group, order)
-    wider = follow_chunks(chunks, group, chunk_of(F.col("_chunk"), WIDER))
-    whole = follow_chunks(wider, group, F.lit(0).cast("bigint"))
+    rows, left = chunked(commands, group, order)
+    moves = follow_commands(rows, group, order)
+    while left > 1:
+        step = max(2, WIDER)
+        moves = follow_chunks(moves, group, F.call_function("div", F.col("_chunk"), F.lit(step).cast("bigint")))
+        left = -(-left // step)
     unrecorded = F.filter("_moves", lambda entry: entry["start"] == "")
     final = F.get(unrecorded, F.lit(0))["end"]
-    return whole.select(*group, F.nullif(final, F.lit("")).alias("package"))
+    return moves.select(*group, F.nullif(final, F.lit("")).alias("package"))
 
 
 def replay_commands(
@@ -281,17 +324,19 @@ def replay_commands(
 
     An addition does nothing while a spelling of the name is recorded. So recorded spellings that are never removed
     survive and shut out every addition; only if all are removed do the commands after the last of those removals count.
-    For exact names the last command then decides.
+    For exact names the last command then decides. The log is written once and read from there, so what made it runs
+    once.
     """
     columns = [*keys, "kind", "package"]
     group = [*keys, "kind", MATCH]
     position = F.struct(*order)
-    log = matched(commands.select(*columns, "op", *order), folded)
+    log = written(matched(commands.select(*columns, "op", *order), folded), "commands")
     spellings = log.groupBy(*group, "package").agg(
         F.count("*").alias("_commands"),
         F.min(F.when(F.col("op") == "remove", position)).alias("_removed"),
         F.max(F.struct(*order, "op")).alias("_last"),
     )
+    spellings = written(spellings, "spellings")
     removed = spellings.select(*group, "package", "_removed")
     fate = lookup(matched(state.select(*columns), folded), removed, [*group, "package"])
     survivors = fate.filter(F.col("_removed").isNull()).select(*columns)

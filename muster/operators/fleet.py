@@ -23,19 +23,31 @@ def package_prevalence(
 ) -> DataFrame:
     """Installations per dimension with subtotals, `level` telling which dimensions are summed over.
 
-    Exact counts make installations distinct per group in a shuffle of their own, so a package that is found everywhere
-    is spread over tasks; `approx` sends a sketch of fixed size instead.
+    Rows are reduced before they are multiplied by the subtotals: to one per finest group and installation, or with
+    `approx` to one sketch of fixed size per finest group, which subtotals unite.
     """
-    grouped = packages.cube(*dimensions) if cube else packages.rollup(*dimensions)
-    count = F.approx_count_distinct(installation) if approx else F.count_distinct(F.col(installation))
+    if approx:
+        sketch = F.hll_sketch_agg(installation).alias("_sketch")
+        finest = packages.filter(F.col(installation).isNotNull()).groupBy(*dimensions).agg(sketch)
+        count = F.hll_sketch_estimate(F.hll_union_agg("_sketch"))
+    else:
+        finest = packages.select(*dimensions, installation).distinct()
+        count = F.count_distinct(F.col(installation))
+    grouped = finest.cube(*dimensions) if cube else finest.rollup(*dimensions)
     return grouped.agg(count.alias("installations"), F.grouping_id().alias("level"))
 
 
 def severity_counts(
     logs: DataFrame, keys: Sequence[str], level: str = "level", levels: Sequence[str] = LEVELS
 ) -> DataFrame:
-    """Number of lines per key, one column per level, 0 where there are none."""
-    return logs.groupBy(*keys).agg(*[F.count_if(F.col(level) == name).alias(name) for name in levels])
+    """Number of lines per key, one column per level and `other` for the rest, 0 where there are none.
+
+    Lines without a level, such as those that did not match their pattern, are among the rest.
+    """
+    listed = F.coalesce(F.col(level).isin(*levels), F.lit(False))
+    return logs.groupBy(*keys).agg(
+        *[F.count_if(F.col(level) == name).alias(name) for name in levels], F.count_if(~listed).alias("other")
+    )
 
 
 def severity_counts_stream(

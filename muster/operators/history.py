@@ -53,12 +53,15 @@ def retain_last_n(
 
 def state_changes(
     states: DataFrame,
-    keys: Sequence[str] = ("installation_id", "entity_id"),
-    order: Sequence[str] = ("ts",),
+    keys: Sequence[str],
+    order: Sequence[str],
     state: str = "state",
     slices: Slices = AUTO,
 ) -> DataFrame:
-    """Rows whose state differs from the one before, and the first of each key, with the earlier one in `previous`."""
+    """Rows whose state differs from the one before, and the first of each key, with the earlier one in `previous`.
+
+    `order` must be unique within a key, so it ends with something that tells states of equal time apart.
+    """
     value = F.struct(F.col(state).alias("state"))
     rows = fill_forward(states, keys, order, value, "_before", inclusive=False, slices=slices)
     changed = F.col("_before").isNull() | ~F.col(state).eqNullSafe(F.col("_before.state"))

@@ -85,9 +85,13 @@ def first_element(array: Column) -> Column:
     return F.get(array, F.lit(0))
 
 
-def passthrough(df: DataFrame, payload: str = "payload") -> DataFrame:
-    """The whole payload as a variant value; NULL where it is not JSON."""
-    return df.withColumn(payload, F.try_parse_json(F.col(payload)))
+def passthrough(df: DataFrame, payload: str = "payload", name: str = "document") -> DataFrame:
+    """The payload as it is, and beside it in `name` the same as a variant value.
+
+    The value is NULL where the text is not JSON, or has a key twice, and may write numbers in another way; the text is
+    what was received.
+    """
+    return df.withColumn(name, F.try_parse_json(F.col(payload)))
 
 
 def any_of(conditions: Sequence[Column]) -> Column:

@@ -19,6 +19,7 @@ ENDPOINTS = {
 # Commands of a package request; a missing command asks for help.
 DEFAULT_COMMAND = "help"
 COMMANDS = ("add", "list", "remove", "help")
+HELP_OPTIONS = ("--help", "-h")
 
 # Limits of the host readings in megabytes; a reading below its limit is an error.
 HOST_LIMITS = [

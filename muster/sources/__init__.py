@@ -9,11 +9,9 @@ from muster.sources.documents import (
     read_package_state,
 )
 from muster.sources.feeds import read_api_snapshots, stream_entity_states
-from muster.sources.files import file_inventory
 from muster.sources.host import parse_df, parse_meminfo, read_host_lines
 from muster.sources.logs import parse_log_lines, read_log_lines
 from muster.sources.versions import (
-    committed_versions,
     latest_version,
     read_package_versions,
     read_version,
@@ -22,9 +20,7 @@ from muster.sources.versions import (
 )
 
 __all__ = [
-    "committed_versions",
     "corrupt_documents",
-    "file_inventory",
     "latest_version",
     "parse_df",
     "parse_log_lines",

@@ -7,20 +7,34 @@ never written back.
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from muster.schemas import CORRUPT, OPTION_KEYS, STATE_KEYS
 
 PERMISSIVE = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": CORRUPT}
 
 
-def read_documents(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
+KEYS = "installation_id STRING"
+
+
+def read_documents(spark: SparkSession, path: str, per_line: bool = False, keys: str = KEYS) -> DataFrame:
     """One row per file, or per line, with its text in `raw`; directories like `installation_id=a` become columns.
 
-    Very many small files are slow to list and open; land documents as lines of large files where possible.
+    `keys` declares those columns and their types, "" for none. A path that does not exist has no documents. Very many
+    small files are slow to list and open; land documents as lines of large files where possible.
     """
-    return spark.read.text(path, wholetext=not per_line).withColumnRenamed("value", "raw")
+    columns = T.StructType.fromDDL(keys).fields if keys else []
+    try:
+        rows = spark.read.text(path, wholetext=not per_line)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], T.StructType([T.StructField("raw", T.StringType()), *columns]))
+    named = [F.col(column.name).cast(column.dataType).alias(column.name) for column in columns if column.name in rows.columns]
+    return rows.select(F.col("value").alias("raw"), *named)
 
 
 def parsed(raw: Column, schema: str) -> Column:
@@ -60,14 +74,16 @@ def parse_options(documents: DataFrame, launch_key: str, raw: str = "raw") -> Da
     )
 
 
-def read_package_state(spark: SparkSession, path: str, per_line: bool = False) -> DataFrame:
-    """Recorded packages, one row per document below `path`."""
-    return parse_package_state(read_documents(spark, path, per_line))
+def read_package_state(spark: SparkSession, path: str, per_line: bool = False, keys: str = KEYS) -> DataFrame:
+    """Recorded packages, one row per document below `path`; none if there is no such path."""
+    return parse_package_state(read_documents(spark, path, per_line, keys))
 
 
-def read_options(spark: SparkSession, path: str, launch_key: str, per_line: bool = False) -> DataFrame:
-    """Declared options, one row per document below `path`."""
-    return parse_options(read_documents(spark, path, per_line), launch_key)
+def read_options(
+    spark: SparkSession, path: str, launch_key: str, per_line: bool = False, keys: str = KEYS
+) -> DataFrame:
+    """Declared options, one row per document below `path`; none if there is no such path."""
+    return parse_options(read_documents(spark, path, per_line, keys), launch_key)
 
 
 def corrupt_documents(parsed_documents: DataFrame) -> DataFrame:

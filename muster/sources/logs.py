@@ -25,12 +25,14 @@ def parse_log_lines(lines: DataFrame, line: str = "value", pattern: str = LINE_P
     )
 
 
-def read_log_lines(spark: SparkSession, path: str, stream: bool = False, pattern: str = LINE_PATTERN) -> DataFrame:
+def read_log_lines(
+    spark: SparkSession, path: str, stream: bool = False, pattern: str = LINE_PATTERN, keys: str = ""
+) -> DataFrame:
     """Log lines below `path`; directories like `installation_id=a` become columns.
 
-    A stream needs the directory columns up front, so it takes the line and its file path only.
+    A stream needs the directory columns up front: `keys` declares them.
     """
     if stream:
-        lines = spark.readStream.format("text").load(path).select("value", F.col("_metadata.file_path").alias("file"))
-        return parse_log_lines(lines, pattern=pattern)
+        schema = f"value STRING, {keys}" if keys else "value STRING"
+        return parse_log_lines(spark.readStream.schema(schema).text(path), pattern=pattern)
     return parse_log_lines(spark.read.text(path), pattern=pattern)

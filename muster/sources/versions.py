@@ -1,46 +1,47 @@
 """State kept as numbered versions.
 
-A version is written once, into a directory of its own, and counts only when Spark's committer has finished it. A plan
-that reads version n and writes version n + 1 never overwrites what it reads, and a lost executor or a failed job leaves
-the newest finished version untouched.
+A version is written once, into a directory of its own, and then named in a pointer. So a version that is not finished
+is never read, a plan that reads version n and writes version n + 1 never overwrites what it reads, and a lost executor
+or a failed job leaves the newest finished version untouched. The pointer is two one-row tables that are written in turn;
+nothing is listed to find the newest version.
 """
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-PREFIX = "version="
-MARKER = "_SUCCESS"
+
+def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A parquet table with a declared schema, empty if there is no such path."""
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as problem:
+        if problem.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], schema)
 
 
-def committed_versions(spark: SparkSession, path: str) -> list[int]:
-    """Numbers of the finished versions below `path`, ascending. Only directory names are listed."""
-    root = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = root.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    if not files.exists(root):
-        return []
-    numbers = []
-    for status in files.listStatus(root):
-        folder = status.getPath()
-        number = folder.getName().removeprefix(PREFIX)
-        if number.isdigit() and files.exists(spark._jvm.org.apache.hadoop.fs.Path(folder, MARKER)):
-            numbers.append(int(number))
-    return sorted(numbers)
+def point_to(spark: SparkSession, path: str, version: int) -> None:
+    """Make a finished version the newest one. Versions follow each other without gaps."""
+    row = spark.createDataFrame([(version,)], "version BIGINT").coalesce(1)
+    row.write.mode("overwrite").parquet(f"{path}/pointer/turn={version % 2}")
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """The newest finished version, if there is one."""
-    numbers = committed_versions(spark, path)
-    return numbers[-1] if numbers else None
+    return read_if_there(spark, f"{path}/pointer", "version BIGINT, turn INT").agg(F.max("version")).first()[0]
 
 
 def version_path(path: str, version: int) -> str:
-    return f"{path}/{PREFIX}{version}"
+    return f"{path}/version={version}"
 
 
 def write_version(df: DataFrame, path: str, version: int, mode: str = "errorifexists") -> None:
     """Write one version; an existing one is an error unless `mode` says otherwise."""
     df.write.mode(mode).parquet(version_path(path, version))
+    point_to(df.sparkSession, path, version)
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None, schema: str | None = None) -> DataFrame:
@@ -60,17 +61,25 @@ def write_package_state(state: DataFrame, path: str, version: int) -> None:
     Rows are clustered by kind inside each task only, so a kind that holds most rows is not sent to one task.
     """
     state.write.mode("errorifexists").partitionBy("kind").parquet(version_path(path, version))
+    point_to(state.sparkSession, path, version)
 
 
-def read_package_versions(spark: SparkSession, path: str, version: int | None = None) -> DataFrame:
-    """Recorded packages in row form; a path without versions has none."""
-    schema = "installation_id STRING, package STRING, kind STRING"
-    return read_version(spark, path, version, schema)
+def read_package_versions(
+    spark: SparkSession,
+    path: str,
+    version: int | None = None,
+    columns: str = "installation_id STRING, package STRING",
+) -> DataFrame:
+    """Recorded packages in row form; a path without versions has none.
+
+    `columns` declares what was written beside the kind: keys with their types, the package, a position if there is one.
+    """
+    return read_version(spark, path, version, f"{columns}, kind STRING")
 
 
 __all__ = [
-    "committed_versions",
     "latest_version",
+    "read_if_there",
     "read_package_versions",
     "read_version",
     "version_path",

@@ -3,15 +3,15 @@
 Sessions by gap, silences, windowed averages and line counts are the batch operators themselves; they accept a stream.
 """
 
-from muster.streaming.current import changes_sink, compact, current_state_sink, read_current
+from muster.streaming.current import changes_sink, current_state_sink, flush_changes, read_current
 from muster.streaming.dedupe import dedupe_events
 from muster.streaming.run import run_available, run_to_table, stream_table
 
 __all__ = [
     "changes_sink",
-    "compact",
     "current_state_sink",
     "dedupe_events",
+    "flush_changes",
     "read_current",
     "run_available",
     "run_to_table",

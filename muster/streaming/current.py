@@ -1,81 +1,150 @@
-"""Current state per key, kept as versions.
+"""Current state per key, and changes of state, kept by micro-batches.
 
-Every micro-batch writes only the newest row per key it has seen, into a version named after the batch. Reading merges
-the versions; now and then they are merged into a base, so that a reader has few files to open. Nothing is rewritten in
-place, and a batch that is delivered again replaces its own version by the same rows.
+Every micro-batch writes only the newest row per key it has seen, as one part of a generation of `every` parts. The first
+batch of the next generation merges the last one into a base. Three generations take turns in the same directories, so
+that neither their number nor what a batch has to list grows with the stream, and the generation before the last is what
+gets replaced. The generation of a row is in the row, and a pointer tells readers which base is finished. A batch that is
+delivered again replaces its own parts by the same rows.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from muster.operators.history import latest_per_key, state_changes
-from muster.plans.hot import lookup
-from muster.plans.slots import AUTO, Slices, choose_slices
-from muster.sources.versions import committed_versions, latest_version, version_path, write_version
+from muster.plans.hot import same_keys
+from muster.plans.slots import AUTO, Slices
+from muster.sources.versions import latest_version, point_to, read_if_there, version_path
 
 BatchWriter = Callable[[DataFrame, int], None]
+GENERATION, PART, BASE = "_generation", "_part", -1
+EVERY = 50
+TURNS = 3
 
 
-def deltas_of(path: str) -> str:
-    return f"{path}/delta"
+def ddl(schema: T.StructType, *more: str) -> str:
+    return ", ".join([*(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields), *more])
 
 
-def base_of(path: str) -> str:
-    return f"{path}/base"
+def generation_path(path: str, generation: int) -> str:
+    return f"{path}/state/turn={generation % TURNS}"
 
 
-def read_current(
-    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], before: int | None = None
-) -> DataFrame | None:
-    """The newest row per key, None if nothing is stored. `before` leaves out that version and all later ones."""
-    def usable(folder: str) -> list[int]:
-        return [number for number in committed_versions(spark, folder) if before is None or number < before]
-
-    base = max(usable(base_of(path)), default=None)
-    newer = [number for number in usable(deltas_of(path)) if base is None or number > base]
-    paths = [version_path(deltas_of(path), number) for number in newer]
-    if base is not None:
-        paths.append(version_path(base_of(path), base))
-    return latest_per_key(spark.read.parquet(*paths), keys, order) if paths else None
-
-
-def compact(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str]) -> int | None:
-    """Merge everything stored into a new base and return its number. Older versions stay for readers that use them."""
-    newest = latest_version(spark, deltas_of(path))
-    if newest is None or newest == latest_version(spark, base_of(path)):
-        return newest
-    merged = read_current(spark, path, keys, order, before=newest + 1)
-    write_version(merged, base_of(path), newest, mode="overwrite")
-    return newest
+def generation_rows(spark: SparkSession, path: str, schema: T.StructType, generation: int, parts: int) -> DataFrame:
+    """The base and the first `parts` parts of a generation, newest or not."""
+    kinds = ddl(schema, f"{GENERATION} BIGINT", f"{PART} INT")
+    rows = read_if_there(spark, generation_path(path, generation), kinds)
+    return rows.filter((F.col(GENERATION) == generation) & (F.col(PART) < parts)).select(*schema.names)
+
+
+def write_part(rows: DataFrame, path: str, generation: int, part: int) -> None:
+    numbered = rows.withColumn(GENERATION, F.lit(generation).cast("bigint"))
+    numbered.write.mode("overwrite").parquet(f"{generation_path(path, generation)}/{PART}={part}")
+
+
+def stored_rows(spark: SparkSession, path: str, schema: T.StructType, number: int, every: int) -> DataFrame:
+    """What the batches before `number` have stored: at most a base row and a row per part for each key."""
+    if number == 0:
+        return spark.createDataFrame([], schema)
+    generation = (number - 1) // every
+    return generation_rows(spark, path, schema, generation, number - generation * every)
 
 
 def store_newest(
-    newest: DataFrame, number: int, path: str, keys: Sequence[str], order: Sequence[str], compact_every: int | None
+    newest: DataFrame, number: int, path: str, keys: Sequence[str], order: Sequence[str], every: int
 ) -> None:
-    write_version(newest, deltas_of(path), number, mode="overwrite")
-    if compact_every and number % compact_every == compact_every - 1:
-        compact(newest.sparkSession, path, keys, order)
+    """Write the rows of a batch; the first of a generation writes its base before."""
+    spark, generation, part = newest.sparkSession, number // every, number % every
+    if part == 0 and generation:
+        before = stored_rows(spark, path, newest.schema, number, every)
+        write_part(latest_per_key(before, keys, order), path, generation, BASE)
+        point_to(spark, f"{path}/state", generation)
+    write_part(newest, path, generation, part)
 
 
-def current_state_sink(
-    path: str, keys: Sequence[str], order: Sequence[str], compact_every: int | None = 50
-) -> BatchWriter:
-    """For `foreachBatch`: keep the newest row per key below `path`."""
+def read_current(
+    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], schema: str | T.StructType
+) -> DataFrame:
+    """The newest row per key, of rows with the given columns; empty if nothing is stored."""
+    columns = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
+    generation = latest_version(spark, f"{path}/state") or 0
+    return latest_per_key(generation_rows(spark, path, columns, generation, 2**31 - 1), keys, order)
+
+
+def current_state_sink(path: str, keys: Sequence[str], order: Sequence[str], every: int = EVERY) -> BatchWriter:
+    """For `foreachBatch`: keep the newest row per key below `path`. Nothing that is stored is read but by the first
+    batch of a generation."""
     def write(batch: DataFrame, number: int) -> None:
-        store_newest(latest_per_key(batch, keys, order), number, path, keys, order, compact_every)
+        store_newest(latest_per_key(batch, keys, order), number, path, keys, order, every)
 
     return write
 
 
-def later_than_stored(batch: DataFrame, stored: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
-    """Rows of the batch behind the stored row of their key. The stored side has one row per key."""
-    reached = stored.select(*keys, F.struct(*order).alias("_reached"))
-    fresh = F.col("_reached").isNull() | (F.struct(*order) > F.col("_reached"))
-    return lookup(batch, reached, keys).filter(fresh).drop("_reached")
+def turn_path(path: str, name: str, number: int) -> str:
+    """Where a batch leaves something for the next one only."""
+    return f"{path}/{name}/turn={number % 2}"
+
+
+def left_behind(spark: SparkSession, path: str, name: str, number: int, schema: T.StructType) -> DataFrame:
+    """What batch `number` has left."""
+    rows = read_if_there(spark, turn_path(path, name, number), ddl(schema, "_number BIGINT"))
+    return rows.filter(F.col("_number") == number).drop("_number")
+
+
+def leave(rows: DataFrame, path: str, name: str, number: int) -> None:
+    numbered = rows.withColumn("_number", F.lit(number).cast("bigint"))
+    numbered.write.mode("overwrite").parquet(turn_path(path, name, number))
+
+
+def of_keys(stored: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """The stored rows whose key occurs in `rows`."""
+    named = rows.select(*[F.col(key).alias(f"_hot_{key}") for key in keys]).distinct()
+    return stored.join(named, same_keys(stored, named, keys), "left_semi")
+
+
+def write_changes(
+    batch: DataFrame,
+    number: int,
+    path: str,
+    keys: Sequence[str],
+    order: Sequence[str],
+    state: str,
+    slices: Slices,
+    every: int,
+    delay: timedelta,
+    whole: bool,
+) -> None:
+    spark, schema = batch.sparkSession, batch.schema
+    ts = order[0]
+    mark = T.StructType([T.StructField("newest", schema[ts].dataType)])
+    batch = batch.persist()
+    try:
+        seen = left_behind(spark, path, "mark", number - 1, mark)
+        newest_time = batch.agg(F.max(ts).alias("newest")).unionByName(seen).agg(F.max("newest")).first()[0]
+        waiting = batch.unionByName(left_behind(spark, path, "waiting", number - 1, schema))
+        horizon = F.lit(newest_time).cast(schema[ts].dataType)
+        is_ready = F.lit(True) if whole or newest_time is None else F.col(ts).isNull() | (F.col(ts) <= horizon - F.lit(delay))
+        ready = waiting.filter(is_ready)
+        stored = latest_per_key(of_keys(stored_rows(spark, path, schema, number, every), ready, keys), keys, order)
+        reached = stored.select(*[F.col(key).alias(f"_hot_{key}") for key in keys], F.struct(*order).alias("_reached"))
+        beside = ready.join(reached, same_keys(ready, reached, keys), "left")
+        is_late = F.coalesce(F.struct(*order) <= F.col("_reached"), F.lit(False))
+        fresh, late = beside.filter(~is_late).select(*schema.names), beside.filter(is_late).select(*schema.names)
+        rows = fresh.withColumn("_old", F.lit(False)).unionByName(stored.withColumn("_old", F.lit(True)))
+        changes = state_changes(rows, keys, order, state, slices).filter(~F.col("_old")).drop("_old")
+        changes.write.mode("overwrite").parquet(version_path(f"{path}/changes", number))
+        late.write.mode("overwrite").parquet(version_path(f"{path}/late", number))
+        leave(waiting.filter(~is_ready), path, "waiting", number)
+        store_newest(latest_per_key(fresh, keys, order), number, path, keys, order, every)
+        leave(spark.createDataFrame([(newest_time,)], mark), path, "mark", number)
+        point_to(spark, f"{path}/batches", number)
+    finally:
+        batch.unpersist()
 
 
 def changes_sink(
@@ -84,23 +153,33 @@ def changes_sink(
     order: Sequence[str],
     state: str = "state",
     slices: Slices = AUTO,
-    compact_every: int | None = 50,
+    every: int = EVERY,
+    delay: timedelta = timedelta(0),
 ) -> BatchWriter:
     """For `foreachBatch`: write state changes to versions below `path/changes`, remembering the state between batches.
 
-    Rows that arrive behind a stored row of their key are too late and are left out.
+    `order` begins with the event time and is unique within a key. Rows wait until the newest time seen is `delay` later
+    than theirs, so rows that arrive out of order by less are put in order; `flush_changes` ends the wait. What arrives
+    behind a row of its key that did not wait any more is written to `path/late`, not dropped.
     """
     def write(batch: DataFrame, number: int) -> None:
-        chosen = choose_slices(batch, keys, order, slices)
-        stored = read_current(batch.sparkSession, path, keys, order, before=number)
-        fresh, newest = batch, latest_per_key(batch, keys, order)
-        if stored is not None:
-            fresh, newest = (later_than_stored(rows, stored, keys, order) for rows in (fresh, newest))
-        rows = fresh.withColumn("_old", F.lit(False))
-        if stored is not None:
-            rows = rows.unionByName(stored.withColumn("_old", F.lit(True)))
-        changes = state_changes(rows, keys, order, state, chosen).filter(~F.col("_old")).drop("_old")
-        write_version(changes, f"{path}/changes", number, mode="overwrite")
-        store_newest(newest, number, path, keys, order, compact_every)
+        write_changes(batch, number, path, keys, order, state, slices, every, delay, False)
 
     return write
+
+
+def flush_changes(
+    spark: SparkSession,
+    path: str,
+    schema: str | T.StructType,
+    keys: Sequence[str],
+    order: Sequence[str],
+    state: str = "state",
+    slices: Slices = AUTO,
+    every: int = EVERY,
+) -> None:
+    """Write the changes of all rows that still wait. For the end of a stream: it counts as one more batch."""
+    last = latest_version(spark, f"{path}/batches")
+    if last is not None:
+        nothing = spark.createDataFrame([], schema)
+        write_changes(nothing, last + 1, path, keys, order, state, slices, every, timedelta(0), True)

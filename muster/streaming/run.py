@@ -12,16 +12,13 @@ def stream_table(spark: SparkSession, folder: str, table: str, max_files: int |
     `max_files` limits one micro-batch. Files come in order of their modification; only limit a batch if that is also
     the order of event time, or rows of later files may be behind the watermark.
     """
-    path = f"{folder}/{table}"
-    schema = spark.read.parquet(path).schema
-    location = spark._jvm.org.apache.hadoop.fs.Path(path)
-    files = location.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
-    reader = spark.readStream.schema(schema)
+    stored = spark.read.parquet(f"{folder}/{table}")
+    reader = spark.readStream.schema(stored.schema)
     if max_files is not None:
         reader = reader.option("maxFilesPerTrigger", max_files)
-    if files.getFileStatus(location).isDirectory():
-        return reader.parquet(path)
-    return reader.option("pathGlobFilter", table).parquet(folder)
+    if any(path.rstrip("/").endswith(f"/{table}") for path in stored.inputFiles()):
+        return reader.option("pathGlobFilter", table).parquet(folder)
+    return reader.parquet(f"{folder}/{table}")
 
 
 def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
@@ -31,7 +28,10 @@ def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:
-    """Append a stream's results below `path` until its input is used up, and read them."""
+    """Append a stream's results below `path` until its input is used up, and read them.
+
+    Called again with the same stream and path after more input has landed, it goes on from there.
+    """
     writer = stream.writeStream.format("parquet").outputMode("append").option("path", f"{path}/rows")
     run_available(writer, f"{path}/progress")
     return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")

@@ -3,9 +3,11 @@ import random
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from muster.operators import (
     apply_requests,
+    declared,
     declared_packages,
     distinct_packages,
     empty_groups,
@@ -135,6 +137,8 @@ def test_validate(spark, rows):
             ("a", 9, 0, None, None, None, None),
             ("a", 10, 0, "upgrade", "apk", "x", None),
             ("a", 11, 0, "add", "pip", "y", False),
+            ("a", 12, 0, "--help", None, None, None),
+            ("a", 13, 0, "-h", None, None, None),
         ],
         REQUESTS,
     )
@@ -151,6 +155,8 @@ def test_validate(spark, rows):
         9: None,
         10: "unknown command",
         11: None,
+        12: None,
+        13: None,
     }
     assert rows(valid_requests(requests), "request_seq") == [(1,), (8,)]
 
@@ -249,7 +255,6 @@ KINDS = st.sampled_from(["apk", "pip"])
     chunk=st.sampled_from([2, 3, 10_000]),
 )
 def test_replay_matches_one_by_one(spark, state, steps, chunk):
-    from muster.operators import declared
 
     commands = [(i, 2 * seq, seq % 2, op, kind, name, True) for seq, (i, op, kind, name) in enumerate(steps)]
     sizes = declared.CHUNK, declared.WIDER
@@ -289,3 +294,47 @@ def test_replay_keeps_rows_without_installation(spark, rows):
     empty = spark.createDataFrame([], STATE)
     after = replay_commands(empty, spark.createDataFrame(commands, REQUESTS))
     assert rows(after) == [(None, "apk", "y"), (None, "pip", "x")]
+
+
+def test_many_commands_under_one_number(spark, rows):
+    """Chunks are cut by rows, so positions under one number are divided too."""
+    n = 50_000
+    added = F.col("id") % 2 == 0
+    commands = spark.range(n).select(
+        F.lit("a").alias("installation_id"),
+        F.lit(1).cast("bigint").alias("request_seq"),
+        F.col("id").cast("int").alias("pos"),
+        F.when(added, "add").otherwise("remove").alias("op"),
+        F.lit("pip").alias("kind"),
+        F.when(F.col("id") == n - 2, "TOOL").otherwise("Tool").alias("package"),
+    )
+    cut, chunks = declared.chunked(commands.withColumn("_commands", F.lit(n)), ["installation_id", "kind"], ["request_seq", "pos"])
+    sizes = [row["count"] for row in cut.groupBy("_chunk").count().collect()]
+    assert chunks == 5 and len(sizes) == 5 and max(sizes) < 2 * declared.CHUNK
+    state = spark.createDataFrame([], STATE)
+    # The last removal does not name the spelling that the last addition recorded.
+    assert rows(replay_commands(state, commands)) == [("a", "pip", "TOOL")]
+    assert rows(replay_commands(state, commands.filter(F.col("pos") < n - 2))) == []
+
+
+def test_replay_reads_the_log_once(spark, tmp_path, rows):
+    path = str(tmp_path / "log")
+    spark.createDataFrame([("a", 1, 0, "add", "pip", "x", True), ("a", 2, 0, "remove", "apk", "y", True)], REQUESTS).write.parquet(path)
+    result = replay_commands(spark.createDataFrame([("a", "apk", "y")], STATE), spark.read.parquet(path))
+    plan = result._jdf.queryExecution().optimizedPlan().toString()
+    assert path not in plan and rows(result) == [("a", "pip", "x")]
+
+
+def test_new_packages_follow_recorded_ones(spark, rows):
+    state = spark.createDataFrame([("a", "apk", "vim", 0), ("a", "apk", "jq", 4)], "installation_id string, kind string, package string, pos int")
+    requests = spark.createDataFrame(
+        [("a", 2, 0, "add", "apk", "b", True), ("a", 1, 1, "add", "apk", "z", True), ("a", 1, 0, "add", "apk", "vim", True), ("b", 1, 0, "add", "pip", "x", True)],
+        REQUESTS,
+    )
+    grown = declared.apply_requests(state, requests, position="pos")
+    assert rows(grown, "installation_id", "pos", "package") == [("a", 0, "vim"), ("a", 4, "jq"), ("a", 5, "z"), ("a", 6, "b"), ("b", 0, "x")]
+    documents = rows(declared.package_documents(remove_packages(grown, state.filter("package = 'jq'"))))
+    assert documents == [
+        ("a", '{"apk_packages":["vim","z","b"],"pip_packages":[]}'),
+        ("b", '{"apk_packages":[],"pip_packages":["x"]}'),
+    ]

@@ -274,7 +274,7 @@ def test_prevalence(spark, rows):
 
 def test_severity_counts(spark, rows):
     logs = spark.createDataFrame([("a", "info"), ("a", "info"), ("a", "error"), ("b", "debug")], "k string, level string")
-    assert rows(severity_counts(logs, ["k"])) == [("a", 2, 0, 1), ("b", 0, 0, 0)]
+    assert rows(severity_counts(logs, ["k"])) == [("a", 2, 0, 1, 0), ("b", 0, 0, 0, 1)]
 
 
 def one_hot_key(spark, minutes):

@@ -89,7 +89,8 @@ def test_custom_schema(snapshots, rows):
 
 def test_passthrough(snapshots):
     health = passthrough(snapshots.filter("endpoint = 'system_health/info' or installation_id = 'c'"))
-    texts = {row.endpoint: row.text for row in health.select("endpoint", F.to_json("payload").alias("text")).collect()}
+    assert health.select("payload").exceptAll(snapshots.select("payload")).isEmpty()
+    texts = {row.endpoint: row.text for row in health.select("endpoint", F.to_json("document").alias("text")).collect()}
     assert json.loads(texts["system_health/info"]) == {"a": "x", "b": [1, {"c": None}]}
     assert texts["addons/self/info"] is None
 

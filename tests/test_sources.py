@@ -6,9 +6,7 @@ from muster.operators import package_line, package_rows
 from muster.plans.flows import startup_packages
 from muster.schemas import STATE_KEYS
 from muster.sources import (
-    committed_versions,
     corrupt_documents,
-    file_inventory,
     latest_version,
     read_log_lines,
     read_options,
@@ -18,6 +16,7 @@ from muster.sources import (
     write_package_state,
     write_version,
 )
+from muster.sources.versions import version_path
 
 STATE = "installation_id string, kind string, package string"
 
@@ -64,23 +63,35 @@ def test_versions(spark, tmp_path, rows):
 def test_unfinished_version_does_not_count(spark, tmp_path):
     path = str(tmp_path / "table")
     write_version(spark.range(3), path, 1)
-    (tmp_path / "table" / "version=2").mkdir()
-    assert committed_versions(spark, path) == [1]
+    spark.range(9).write.parquet(version_path(path, 2))
+    assert latest_version(spark, path) == 1
     assert read_version(spark, path).count() == 3
     with pytest.raises(FileNotFoundError):
         read_version(spark, str(tmp_path / "nowhere"))
 
 
-def test_inventory(spark, tmp_path, rows):
-    (tmp_path / "deep").mkdir()
-    (tmp_path / "deep" / "a.json").write_text("12345")
-    (tmp_path / "b.txt").write_text("1")
-    files = file_inventory(spark, str(tmp_path), "*.json")
-    assert [(row.path.rsplit("/", 1)[-1], row.length) for row in files.collect()] == [("a.json", 5)]
-    assert file_inventory(spark, str(tmp_path)).count() == 2
-    assert file_inventory(spark, str(tmp_path), modified_after=datetime(2999, 1, 1)).count() == 0
-    assert file_inventory(spark, str(tmp_path), modified_before=datetime(2999, 1, 1)).count() == 2
-    assert file_inventory(spark, str(tmp_path)).columns == ["path", "modificationTime", "length"]
+def test_versions_with_other_keys_and_positions(spark, tmp_path, rows):
+    path, columns = str(tmp_path / "state"), "site BIGINT, package STRING, pos INT"
+    write_package_state(spark.createDataFrame([(7, "apk", "vim", 0)], "site bigint, kind string, package string, pos int"), path, 1)
+    found = read_package_versions(spark, path, columns=columns)
+    assert rows(found, "site", "kind", "package", "pos") == [(7, "apk", "vim", 0)]
+    assert found.schema["site"].dataType.typeName() == "long"
+
+
+def test_paths_that_are_not_there(spark, tmp_path, rows):
+    missing = str(tmp_path / "nowhere")
+    state = read_package_state(spark, missing, keys="site BIGINT")
+    assert rows(state) == [] and state.columns == ["site", "apk_packages", "pip_packages", "_corrupt_record"]
+    options = read_options(spark, missing, "launch")
+    assert rows(options) == [] and options.columns[:2] == ["installation_id", "auto_launch"]
+
+
+def test_directory_keys_have_declared_types(spark, tmp_path, rows):
+    folder = tmp_path / "site=007"
+    folder.mkdir()
+    (folder / "document.json").write_text('{"apk_packages": ["jq"]}')
+    assert rows(read_package_state(spark, str(tmp_path), keys="site STRING"), "site") in ([("007",)], [("7",)])
+    assert rows(read_package_state(spark, str(tmp_path), keys="site BIGINT"), "site") == [(7,)]
 
 
 def test_log_lines(spark, tmp_path, rows):

@@ -17,9 +17,9 @@ from muster.session import scratch_path, scratch_root
 from muster.sources import read_log_lines, stream_entity_states
 from muster.streaming import (
     changes_sink,
-    compact,
     current_state_sink,
     dedupe_events,
+    flush_changes,
     read_current,
     run_available,
     run_to_table,
@@ -99,14 +99,43 @@ def test_dedupe(spark, stream, table, rows, salts):
 
 def test_current_state(spark, stream, table, rows):
     path = scratch_path(spark, "current")
-    sink = current_state_sink(path, ["k"], ["ts", "id"], compact_every=3)
+    sink = current_state_sink(path, ["k"], ["ts", "id"], every=3)
+    assert read_current(spark, path, ["k"], ["ts", "id"], SCHEMA).count() == 0
     run_available(stream.writeStream.foreachBatch(sink), f"{path}/progress")
     expected = rows(latest_per_key(table, ["k"], ["ts", "id"]))
-    assert rows(read_current(spark, path, ["k"], ["ts", "id"])) == expected
-    assert compact(spark, path, ["k"], ["ts", "id"]) == 3
-    assert rows(read_current(spark, path, ["k"], ["ts", "id"])) == expected
-    sink(table.filter("id < 10"), 3)
-    assert rows(read_current(spark, path, ["k"], ["ts", "id"])) == expected
+    assert rows(read_current(spark, path, ["k"], ["ts", "id"], SCHEMA)) == expected
+    for number in (4, 5):
+        sink(table.filter("id < 10"), number)
+        assert rows(read_current(spark, path, ["k"], ["ts", "id"], SCHEMA)) == expected
+
+
+def test_folders_do_not_grow_with_the_stream(spark, tmp_path, rows):
+    """What a batch has to list stays the same: three generations of four parts and a base each."""
+    path = str(tmp_path / "current")
+    sink = current_state_sink(path, ["k"], ["ts", "id"], every=4)
+    counts = []
+    for number in range(60):
+        sink(spark.createDataFrame([("abc"[number % 3], number, at(number), "x")], SCHEMA), number)
+        counts.append(len(list((tmp_path / "current").glob("state/turn=*/_part=*"))))
+    assert max(counts) == counts[11] + 1 == 15 and len(set(counts[16:])) <= 2
+    assert rows(read_current(spark, path, ["k"], ["ts", "id"], SCHEMA), "k", "id") == [("a", 57), ("b", 58), ("c", 59)]
+
+
+def test_late_rows_wait_to_be_put_in_order(spark, rows):
+    """Two hundred events in files whose times interleave, one file per batch."""
+    events = [("abc"[n % 3], n, at(n), "xyz"[n * n % 7 % 3]) for n in range(200)]
+    whole = spark.createDataFrame(events, SCHEMA)
+    expected = rows(state_changes(whole, ["k"], ["ts", "id"], "v"), "id", "v", "previous")
+    for delay, waits in ((timedelta(days=1), True), (timedelta(minutes=60), False)):
+        path = scratch_path(spark, "interleaved")
+        sink = changes_sink(path, ["k"], ["ts", "id"], "v", every=2, delay=delay)
+        for number in range(5):
+            part = [e for e in events if (e[1] % 5 == number if waits else (e[1] + 40 * (e[1] % 2)) // 48 == number)]
+            for _ in range(2 if number == 3 else 1):
+                sink(spark.createDataFrame(part, SCHEMA), number)
+        flush_changes(spark, path, SCHEMA, ["k"], ["ts", "id"], "v", every=2)
+        assert rows(spark.read.parquet(f"{path}/changes"), "id", "v", "previous") == expected
+        assert spark.read.schema(SCHEMA).parquet(f"{path}/late").count() == 0
 
 
 def test_changes(spark, stream, table, rows):
@@ -129,6 +158,7 @@ def test_changes_late_and_repeated_batches(spark, rows):
     for _ in range(2):
         sink(batch((3, "z"), (6, "y"), (7, "x")), 1)
     assert rows(spark.read.parquet(f"{path}/changes"), "id", "v", "previous") == [(1, "x", None), (5, "y", "x"), (7, "x", "y")]
+    assert rows(spark.read.parquet(f"{path}/late"), "id") == [(3,)]
 
 
 def test_feeds(spark, tmp_path, rows):
@@ -143,6 +173,10 @@ def test_feeds(spark, tmp_path, rows):
     (logs / "0.log").write_text("2024-01-01 00:00:01 WARNING slow\n")
     found = run_to_table(read_log_lines(spark, str(logs), stream=True), scratch_path(spark, "logs"))
     assert rows(found, "level", "message") == [("warning", "slow")]
+    (logs / "installation_id=a").mkdir()
+    (logs / "0.log").rename(logs / "installation_id=a" / "0.log")
+    followed = read_log_lines(spark, str(logs), stream=True, keys="installation_id STRING")
+    assert rows(run_to_table(followed, scratch_path(spark, "logs")), "installation_id", "level") == [("a", "warning")]
 
 
 def test_stream_table(spark, landed, tmp_path):
