@@ -44,6 +44,11 @@ NAMES = frozenset(
     " recommendations share sharing social comment comments commentlist respond replies reply disqus discussion pager"
     " pagination toolbar contentinfo complementary search skip toc tags".split()
 )
+# Those of them in which an article is not the page's article, even if one begins there.
+ASIDE_NAMES = frozenset(
+    "sidebar aside widget widgets related recommended recommendations comment comments commentlist respond replies reply"
+    " disqus discussion".split()
+)
 HEAD_NAMES = frozenset("header masthead topbar banner".split())
 SPLIT = re.compile(r"[^a-z0-9]+")
 CAMEL = re.compile(r"([a-z0-9])([A-Z])")
@@ -60,6 +65,7 @@ class Box:
     apart: bool
     named: bool
     article: bool
+    beside: bool
 
 
 @dataclass(slots=True)
@@ -136,13 +142,15 @@ class Lines(HTMLParser):
                     break
         top = self.boxes[-1] if self.boxes else None
         apart, named, article = (top.apart, top.named, top.article) if top else (False, False, False)
+        beside = (top is not None and top.beside) or tag == "aside" or has_name(attrs, ASIDE_NAMES)
         marked = tag not in ("html", "body", "main") and has_name(attrs, NAMES | HEAD_NAMES if not article else NAMES)
-        if tag in ("article", "main") and not marked and not article and all(box.tag != "aside" for box in self.boxes):
+        if tag in ("article", "main") and not marked and not article and not beside:
+            # A menu or advert that was never closed.
             apart = named = False
         apart = apart or tag in APART or (tag == "header" and not article)
         self.count += 1
         self.kinds[self.count] = "main" if tag == "main" or is_main(attrs) else tag
-        self.boxes.append(Box(tag, self.count, apart, named or marked, article or (tag == "article" and not marked)))
+        self.boxes.append(Box(tag, self.count, apart, named or marked, article or (tag == "article" and not marked), beside))
 
     def handle_endtag(self, tag: str) -> None:
         if self.hidden:

@@ -21,7 +21,9 @@ CASES = {
     "cookie": (f"<body><div class='cookie-notice'><p>{LONG}</p></div><article><p>{LONG}</p><div class='ad-slot'>Buy</div></article>", [LONG]),
     "hidden": (f"<article><p hidden>no</p><p>{LONG}</p><p style='display:none'>no</p></article>", [LONG]),
     "teasers": (f"<main><article><p>{LONG} {LONG}</p></article><article><p>short one</p></article></main>", [f"{LONG} {LONG}"]),
-    "quote in nav": (f"<nav>menu<article><p>{LONG}</p></article>", [LONG]),
+    "comments": (f"<article><p>{LONG}</p></article><section id=comments><article><p>{LONG} {LONG}</p></article></section>", [LONG]),
+    "sidebar": (f"<main><p>{LONG}</p></main><div class='site-sidebar'><article><p>{LONG} {LONG}</p></article></div>", [LONG]),
+    "menu never closed": (f"<nav>menu<article><p>{LONG}</p></article>", [LONG]),
     "only menu": ("<nav><a>x</a></nav>", []),
     "empty": ("", []),
     "blank": (" \n ", []),
