@@ -9,22 +9,29 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from muster.llm import decontamination, line_dedup, near_copies, packing, toxicity
-from muster.llm.common import saved
+from muster.llm.common import fresh, saved
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def names(docs: DataFrame) -> list:
+    """The columns as they are named, dots included."""
+    return [F.col(f"`{name}`") for name in docs.columns]
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.5 or more go. What is learned comes from the labels of documents that are not held out."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
-    scored = toxicity.score(docs, toxicity.learn(docs, labels), name="_score")
-    return scored.filter("_score < 0.5").select(docs.columns)
+    score = fresh("_score", docs.columns)
+    scored = toxicity.score(docs, toxicity.learn(docs, labels), name=score)
+    return scored.filter(F.col(score) < 0.5).select(names(docs))
 
 
 def drop_shared_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Lines that at least ten documents share go from all documents; every document stays."""
-    kept = line_dedup.drop_frequent_lines(docs).withColumn("n_chars", F.length("text").cast("bigint"))
-    return kept.select(docs.columns)
+    """Lines that at least ten documents share go from all documents; every document stays, with its new length."""
+    counts = (fresh("_n_lines", docs.columns), fresh("_n_dropped", docs.columns))
+    kept = line_dedup.drop_frequent_lines(docs, counts=counts)
+    return kept.withColumn("n_chars", F.length("text").cast("bigint")).select(names(docs))
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,8 +42,9 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold a benchmark item go."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.with_items(docs, items, name="_items")
-    return found.filter(F.size("_items") == 0).select(docs.columns)
+    name = fresh("_items", docs.columns)
+    found = decontamination.with_items(docs, items, name=name)
+    return found.filter(F.size(name) == 0).select(names(docs))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -38,12 +38,14 @@ def texts_of(column: pa.Array) -> list[bytes]:
 
 
 def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
-    """`mapInArrow` for a function that yields dictionaries of columns."""
+    """`mapInArrow` for a function that yields dictionaries of columns. Column names may hold dots."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
-    names = fields.names
+    names, given = fields.names, df.columns
+    if any("." in name for name in given):
+        df = df.toDF(*[f"_{number}" for number in range(len(given))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for columns in rows(batches):
+        for columns in rows(pa.RecordBatch.from_arrays(batch.columns, given) for batch in batches):
             yield pa.RecordBatch.from_arrays([as_arrow(columns[name], fields[name].dataType) for name in names], names)
 
     return df.mapInArrow(run, fields)
@@ -60,6 +62,14 @@ def as_arrow(values: object, kind: T.DataType) -> pa.Array:
     return pa.array(values, type=target)
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """A column name like `name` that is not among `columns`, whatever their case."""
+    taken = {column.lower() for column in columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def without(schema: T.StructType, names: list[str]) -> list[str]:
     """Column names of a schema except some."""
     return [field.name for field in schema.fields if field.name not in names]

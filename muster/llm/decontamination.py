@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import map_arrow, shared, texts_of
+from muster.llm.common import fresh, map_arrow, shared, texts_of
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.7
@@ -268,11 +268,11 @@ def with_items(
         # One part is at most about `index_bytes` of text, whatever the number of items.
         mine = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
         index = shared(df, Index([(row["item_id"], row["text"]) for row in mine.collect()]))
-        column = name if parts == 1 else f"_{name}_{part}"
+        column = name if parts == 1 else fresh(f"_{name}_{part}", df.columns)
         fields = T.StructType([*result.schema.fields, T.StructField(column, schema[name].dataType)])
         result = map_arrow(result, matched(index, text, column, least), fields)
     if parts > 1:
-        columns = [f"_{name}_{part}" for part in range(parts)]
+        columns = [fresh(f"_{name}_{part}", df.columns) for part in range(parts)]
         result = result.withColumn(name, F.array_sort(F.concat(*columns))).drop(*columns)
     return result
 

@@ -20,7 +20,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import UPPER, WHITE, map_arrow, saved, shared, texts_of, without
+from muster.llm.common import UPPER, WHITE, fresh, map_arrow, saved, shared, texts_of, without
 
 MIN_DOCS = 10
 BITS_PER_LINE = 16
@@ -175,11 +175,11 @@ def kept_lines(text: bytes, drop) -> tuple[bytes, int, int]:
     return b"\n".join(kept), len(lines), len(lines) - len(kept)
 
 
-def rewritten(schema: T.StructType, text: str, dropper) -> tuple:
+def rewritten(schema: T.StructType, text: str, counts: tuple[str, str], dropper, gone: str | None = None) -> tuple:
     """A batch function that replaces the text and adds the counts, and the schema of its result."""
-    rest = without(schema, ["n_lines", "n_dropped", "_drop"])
+    rest = without(schema, [*counts, gone])
     fields = [schema[name] if name != text else T.StructField(text, T.StringType()) for name in rest]
-    counts = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
+    added = [T.StructField(name, T.LongType()) for name in counts]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for batch in batches:
@@ -188,19 +188,21 @@ def rewritten(schema: T.StructType, text: str, dropper) -> tuple:
             columns = {name: batch.column(name) for name in rest}
             yield columns | {
                 text: pa.array([one[0] for one in new], pa.binary()).cast(pa.string()),
-                "n_lines": [one[1] for one in new],
-                "n_dropped": [one[2] for one in new],
+                counts[0]: [one[1] for one in new],
+                counts[1]: [one[2] for one in new],
             }
 
-    return run, T.StructType(fields + counts)
+    return run, T.StructType(fields + added)
 
 
-def drop_frequent_lines(df: DataFrame, min_docs: int = MIN_DOCS, text: str = "text") -> DataFrame:
+def drop_frequent_lines(
+    df: DataFrame, min_docs: int = MIN_DOCS, text: str = "text", counts: tuple[str, str] = ("n_lines", "n_dropped")
+) -> DataFrame:
     """All columns, with the lines gone whose key at least `min_docs` documents hold; adds `n_lines`, `n_dropped`.
 
     A line's key is the line without ASCII white space at its ends, A-Z lower-cased. Empty keys never count. A NULL or
     empty text has one empty line and becomes an empty text. Every row is a document, repeated ids and NULL ids
-    included; an empty table gives an empty table. Columns named `n_lines` or `n_dropped` are replaced.
+    included; an empty table gives an empty table. Columns named like the added ones (`counts`) are replaced.
     """
     df = df.withColumn(text, F.col(text).cast("string"))
     frequent = saved(frequent_keys(df, min_docs, text), "frequent-lines")
@@ -212,25 +214,27 @@ def drop_frequent_lines(df: DataFrame, min_docs: int = MIN_DOCS, text: str = "te
             keys = known.value
             return [lambda _, line: key_of(line) in keys] * batch.num_rows
 
-        return map_arrow(df, *rewritten(df.schema, text, by_key))
-    return drop_by_join(df, frequent, text)
+        return map_arrow(df, *rewritten(df.schema, text, counts, by_key))
+    return drop_by_join(df, frequent, text, counts)
 
 
-def drop_by_join(df: DataFrame, frequent: DataFrame, text: str = "text") -> DataFrame:
+def drop_by_join(df: DataFrame, frequent: DataFrame, text: str, counts: tuple[str, str]) -> DataFrame:
     """The same where the frequent keys are too many to broadcast.
 
     Which lines go depends on the text alone, so places are found once per different text, by joins that adaptive
     execution can split: both sides are plain shuffles.
     """
+    same, gone = fresh("_digest", df.columns), fresh("_drop", df.columns)
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
     lines = df.select(digest.alias("_digest"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)))
     key = F.encode(F.translate(F.btrim("col", F.lit(WHITE)), UPPER, UPPER.lower()), "UTF-8")
     hits = lines.select("_digest", "pos", key.alias("key")).join(frequent.select("key"), "key", "left_semi")
     found = saved(hits.groupBy("_digest").agg(F.collect_set("pos").alias("_drop")), "frequent-places")
-    rows = df.withColumn("_digest", digest).join(found, "_digest", "left").drop("_digest")
+    found = found.withColumnsRenamed({"_digest": same, "_drop": gone})
+    rows = df.withColumn(same, digest).join(found, same, "left").drop(same)
 
     def by_place(batch: pa.RecordBatch):
-        places = [frozenset(value or ()) for value in batch.column("_drop").to_pylist()]
+        places = [frozenset(value or ()) for value in batch.column(gone).to_pylist()]
         return [lambda at, _, places=one: at in places for one in places]
 
-    return map_arrow(rows, *rewritten(rows.schema, text, by_place))
+    return map_arrow(rows, *rewritten(rows.schema, text, counts, by_place, gone))

@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from muster.llm.common import map_arrow, saved, texts_of
+from muster.llm.common import fresh, map_arrow, saved, texts_of
 from muster.llm.components import components
 from muster.llm.simhash import build_forest, majority, search_forest, shingle_hashes
 
@@ -188,20 +188,21 @@ def one_of_each(
     of rows with one id, the one that comes first by a hash of all columns; of rows that are equal in all columns, any
     one. Texts without words are one group. An empty table stays empty.
     """
-    named = df.withColumn("_row", F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]))
+    row_name, id_name, number = (fresh(name, df.columns) for name in ("_row", "_id", "_first"))
+    named = df.withColumn(row_name, F.xxhash64(*[F.col(f"`{name}`") for name in df.columns]))
     # NULL ids count as the largest.
     order = F.coalesce(F.col(doc_id).cast("bigint"), F.lit(np.iinfo(np.int64).max))
-    docs = named.select(order.alias("doc_id"), F.col("_row").alias("row"), F.col(text).cast("string").alias("text"))
+    docs = named.select(order.alias("doc_id"), F.col(row_name).alias("row"), F.col(text).cast("string").alias("text"))
     made = map_arrow(docs, signatures(words), "doc_id long, row long, node long, print long, bands array<long>")
     rows = saved(made, "signatures")
     roots = components(saved(node_links(docs, rows, words, least, limit), "copy-links"))
     of_node = rows.select("doc_id", "row", "node").join(roots, "node", "left")
     group = F.coalesce("root", "node").alias("group")
     kept = of_node.select(group, "doc_id", "row").groupBy("group").agg(F.min(F.struct("doc_id", "row")).alias("one"))
-    keep = saved(kept.select("one.*").withColumnsRenamed({"doc_id": "_id", "row": "_row"}), "kept")
-    left = named.withColumn("_id", order).join(keep, ["_id", "_row"], "left_semi")
+    keep = saved(kept.select("one.*").withColumnsRenamed({"doc_id": id_name, "row": row_name}), "kept")
+    left = named.withColumn(id_name, order).join(keep, [id_name, row_name], "left_semi")
     again = rows.groupBy("doc_id", "row").agg(F.count("*").alias("n")).filter("n > 1")
     if not again.isEmpty():
-        first = F.row_number().over(Window.partitionBy("_id", "_row").orderBy(F.lit(0)))
-        left = left.withColumn("_first", first).filter("_first = 1")
+        first = F.row_number().over(Window.partitionBy(id_name, row_name).orderBy(F.lit(0)))
+        left = left.withColumn(number, first).filter(F.col(number) == 1)
     return left.select([F.col(f"`{name}`") for name in df.columns])

@@ -84,6 +84,21 @@ def test_small_tables(spark, tmp_path, rows):
     assert corpus_pipeline.run(spark, str(tmp_path)).count() == rows
 
 
+def test_clashing_columns_keep_their_values(spark, tmp_path):
+    extra = "_score score _n_lines n_lines n_dropped _items items _row row _id _first node print _digest _drop title.x".split()
+    rng = random.Random(5)
+    texts = [" ".join(rng.choices("one two three four five six seven eight nine".split(), k=60)) for _ in range(12)]
+    docs = documents(spark, texts).drop("key", "print").selectExpr("*", *[f"concat('{name}', doc_id) AS `{name}`" for name in extra])
+    spark.createDataFrame([(1, "x")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    expected = sorted(map(tuple, docs.collect()))
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        kept = stage(spark, docs, str(tmp_path))
+        assert kept.columns == docs.columns
+        assert [row[:3] + row[5:] for row in sorted(map(tuple, kept.collect()))] == [row[:3] + row[5:] for row in expected]
+    assert corpus_pipeline.pack(spark, docs, str(tmp_path)).count() == 12
+
+
 def test_odd_rows(spark, odd_texts, tmp_path):
     ids = [None if k % 9 == 0 else k // 2 for k in range(len(odd_texts))]
     documents(spark, odd_texts, ids).drop("print").write.parquet(f"{tmp_path}/documents.parquet")
