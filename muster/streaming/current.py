@@ -127,7 +127,9 @@ def write_changes(
         seen = left_behind(spark, path, "mark", number - 1, mark)
         newest_time = batch.agg(F.max(ts).alias("newest")).unionByName(seen).agg(F.max("newest")).first()[0]
         waiting = batch.unionByName(left_behind(spark, path, "waiting", number - 1, schema))
-        horizon = F.lit(newest_time).cast(schema[ts].dataType)
+        # A time without a zone goes through text, so that Python's own zone does not matter.
+        zoneless = isinstance(schema[ts].dataType, T.TimestampNTZType)
+        horizon = F.lit(str(newest_time) if zoneless else newest_time).cast(schema[ts].dataType)
         is_ready = F.lit(True) if whole or newest_time is None else F.col(ts).isNull() | (F.col(ts) <= horizon - F.lit(delay))
         ready = waiting.filter(is_ready)
         stored = latest_per_key(of_keys(stored_rows(spark, path, schema, number, every), ready, keys), keys, order)
