@@ -31,14 +31,14 @@ from muster.llm.common import map_arrow, saved, texts_of
 
 LENGTH = 50
 RUN = 20
-BATCH_BYTES = 2 * 1024 * 1024
-BUCKET_BYTES = 16 * 1024 * 1024
+BATCH_BYTES = 1024 * 1024
+BUCKET_BYTES = 8 * 1024 * 1024
 BUCKETS = 64
 WINDOWS = 64
 HOT = 20_000
-CHUNK = 1_000_000
+CHUNK = 400_000
 NO_ID = np.iinfo(np.int64).max
-BATCH = "batch long, bytes long, ids binary, sizes binary, texts binary"
+BATCH = "batch long, bytes long, ids binary, sizes binary, digests binary, texts binary"
 
 
 def batches_of(batch_bytes: int):
@@ -58,6 +58,7 @@ def batches_of(batch_bytes: int):
                 "bytes": [int(sizes.sum())],
                 "ids": [np.array(ids, np.int64).tobytes()],
                 "sizes": [sizes.tobytes()],
+                "digests": [b"".join(map(xxhash.xxh3_128_digest, texts))],
                 "texts": [zstandard.compress(b"".join(texts), 3)],
             }
             ids.clear()
@@ -155,6 +156,23 @@ def unpacked(blob: bytes, kind) -> np.ndarray:
     return np.frombuffer(zlib.decompress(blob), kind)
 
 
+def listed_documents(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """The documents of each batch that have a string, by the digest of their text."""
+    for row in rows_of(batches):
+        sizes, ids = np.frombuffer(row["sizes"], np.int64), np.frombuffer(row["ids"], np.int64)
+        places = np.flatnonzero(sizes >= LENGTH)
+        digests = [row["digests"][16 * place : 16 * place + 16] for place in places.tolist()]
+        yield {"batch": np.full(len(places), row["batch"]), "place": places, "id": ids[places], "digest": digests}
+
+
+def copies_of(packs: DataFrame) -> DataFrame:
+    """`batch`, `copies`: places of documents whose whole text a document with a smaller id has."""
+    rows = map_arrow(packs.select("batch", "ids", "sizes", "digests"), listed_documents, "batch long, place long, id long, digest binary")
+    first = saved(rows.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("n")).filter("n > 1"), "copied")
+    later = rows.join(first, "digest").filter("id > first")
+    return later.groupBy("batch").agg(F.collect_list("place").alias("copies"))
+
+
 def anchors_by_bucket(buckets: int):
     """Per batch and bucket: its different anchors, and whether two of its documents have them."""
 
@@ -227,10 +245,16 @@ def together(blobs: list[bytes] | None, kind=np.uint64) -> np.ndarray:
     return np.concatenate([unpacked(blob, kind) for blob in blobs]) if blobs else np.zeros(0, kind)
 
 
-def sent_pieces(batch: Batch, shared: np.ndarray, hot: np.ndarray):
-    """The pieces around shared anchors: their text, group and shard key. Strings of hot anchors are pieces by themselves."""
+def sent_pieces(batch: Batch, shared: np.ndarray, hot: np.ndarray, copies: list[int] | None):
+    """The pieces around shared anchors: their text, group and shard key. Strings of hot anchors are pieces by themselves.
+
+    Copies need none: all of their strings are in an earlier document.
+    """
     near = batch.anchor >> np.uint64(16)
-    groups = np.flatnonzero(np.isin(near, shared))
+    wanted = np.isin(near, shared)
+    if copies:
+        wanted &= ~np.isin(batch.doc, copies)
+    groups = np.flatnonzero(wanted)
     frequent = np.isin(near[groups], hot)
     texts, owner, keys, first = [], [], [], []
     for group, single in zip(groups.tolist(), frequent.tolist()):
@@ -263,7 +287,7 @@ def pieces_by_shard(shards: int):
             if not len(shared):
                 continue
             batch = Batch(row)
-            texts, owner, keys, _ = sent_pieces(batch, shared, together(row["hot"]))
+            texts, owner, keys, _ = sent_pieces(batch, shared, together(row["hot"]), row["copies"])
             if not texts:
                 continue
             docs = batch.ids[batch.doc[owner]]
@@ -285,86 +309,95 @@ def pieces_by_shard(shards: int):
     return run
 
 
-def suffix_array(data: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
-    """Sorted places, and the rank of each place by its first 8, 16, 32 … bytes."""
-    n = len(data)
-    words = np.zeros(n + 8, np.uint64)
-    words[:n] = data
-    key = np.zeros(n, np.uint64)
-    for k in range(8):
-        key |= words[k : k + n] << np.uint64(56 - 8 * k)
-    order = np.argsort(key, kind="stable")
-    rank = np.zeros(n, np.int64)
-    rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
-    ranks, width = [rank], 8
-    while width < n and width < 2 * (WINDOWS + LENGTH):
-        after = np.zeros(n, np.int64)
-        after[: n - width] = rank[width:] + 1
-        key = rank * (n + 1) + after
-        order = np.argsort(key, kind="stable")
-        rank = np.zeros(n, np.int64)
-        rank[order] = np.cumsum(np.append(False, key[order][1:] != key[order][:-1]))
-        ranks.append(rank)
-        width *= 2
-    return order, ranks
-
-
-def common_prefixes(order: np.ndarray, ranks: list[np.ndarray], data: np.ndarray, room: np.ndarray) -> np.ndarray:
+def suffix_words(data: bytes, n: int, more: int) -> np.ndarray:
+    """The 8 bytes from each place on as a number that sorts as they do, with `more` zeros behind."""
+    words = np.zeros(n + more, np.uint64)
+    words[:n] = np.ndarray((n,), ">u8", data + bytes(8), 0, (1,))
+    return words
+
+
+def repeated_starts(words: np.ndarray, starts: np.ndarray, least: int) -> np.ndarray:
+    """The places whose first `least` bytes occur again; no other suffix is in an interval of that length."""
+    total = np.zeros(len(starts), np.uint64)
+    for at in range(0, least, 8):
+        unused = max(0, at + 8 - least) * 8
+        total = mixed(total * np.uint64(0x9E3779B97F4A7C15) + (words[starts + at] >> np.uint64(unused)) + np.uint64(1))
+    _, slot, count = np.unique(total, return_inverse=True, return_counts=True)
+    return starts[count[slot] > 1]
+
+
+def common_prefixes(words: np.ndarray, places: np.ndarray, room: np.ndarray, depth: int) -> np.ndarray:
     """Bytes that each sorted suffix shares with the one before it, at most to the end of either piece."""
-    a, b = order[:-1].copy(), order[1:].copy()
-    n, shared = len(data), np.zeros(len(order) - 1, np.int64)
-    for level in range(len(ranks) - 1, -1, -1):
-        ok = (a < n) & (b < n)
-        same = np.zeros(len(shared), bool)
-        same[ok] = ranks[level][a[ok]] == ranks[level][b[ok]]
-        step = np.where(same, 8 << level, 0)
-        shared, a, b = shared + step, a + step, b + step
-    for _ in range(8):
-        ok = (a < n) & (b < n)
-        same = np.zeros(len(shared), bool)
-        same[ok] = data[a[ok]] == data[b[ok]]
+    a, b = places[:-1], places[1:]
+    shared, same = np.zeros(len(a), np.int64), np.ones(len(a), bool)
+    for k in range(depth):
+        differ = words[a + 8 * k] ^ words[b + 8 * k]
+        for byte in range(8):
+            same &= (differ >> np.uint64(56 - 8 * byte)) == 0
+            shared += same
         if not same.any():
             break
-        shared, a, b = shared + same, a + same, np.where(same, b + 1, n + 8)
-    return np.minimum(shared, np.minimum(room[order[:-1]], room[order[1:]]))
+    return np.minimum(shared, np.minimum(room[a], room[b]))
 
 
-def intervals(shared: np.ndarray, least: int) -> Iterator[tuple[int, int, int]]:
-    """Common-prefix intervals of at least `least` bytes: length, first and last sorted place; inner before outer."""
+def intervals(shared: np.ndarray, least: int) -> np.ndarray:
+    """Common-prefix intervals of at least `least` bytes, found with a stack: rows of length, first and last place."""
     stack: list[tuple[int, int]] = []
-    for at in np.flatnonzero(shared >= least).tolist():
-        value, low = int(shared[at]), at
-        if stack and at and shared[at - 1] < least:
+    found: list[tuple[int, int, int]] = []
+    end = 0
+    hits = np.flatnonzero(shared >= least)
+    for at, value in zip(hits.tolist(), shared[hits].tolist()):
+        low = at
+        if stack and at > end:
             while stack:
                 length, first = stack.pop()
-                yield length, first, end
+                found.append((length, first, end))
         while stack and stack[-1][0] > value:
             length, low = stack.pop()
-            yield length, low, at
+            found.append((length, low, at))
         if not stack or stack[-1][0] < value:
             stack.append((value, low))
         end = at + 1
     while stack:
         length, first = stack.pop()
-        yield length, first, end
+        found.append((length, first, end))
+    return np.array(found, np.int64).reshape(-1, 3)
 
 
-def maximal_repeats(pieces: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
-    """Length and all places, in the pieces joined by one separator each, of every repeat that can be extended neither
-    to the left nor to the right without losing an occurrence. Pieces hold no byte 255, as UTF-8 does not."""
-    data = np.frombuffer(b"\xff".join(pieces) + b"\xff", np.uint8)
+def repeat_intervals(pieces: list[bytes], least: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sorted places of suffixes of the pieces, joined by one separator each, and the intervals that are maximal repeats.
+
+    Intervals whose occurrences all follow the same byte are left out: the longer repeat that begins there has the same
+    occurrences. Pieces hold no byte 255, as UTF-8 does not.
+    """
+    data = b"\xff".join(pieces) + b"\xff"
     sizes = np.array([len(piece) + 1 for piece in pieces])
-    ends = np.repeat(np.cumsum(sizes) - 1, sizes)
-    room = ends - np.arange(len(data))
-    order, ranks = suffix_array(data)
-    shared = common_prefixes(order, ranks, data, room)
+    room = np.repeat(np.cumsum(sizes) - 1, sizes) - np.arange(len(data))
+    depth = -(-int(sizes.max()) // 8) + 1
+    words = suffix_words(data, len(data), 8 * depth + 8)
+    starts = repeated_starts(words, np.flatnonzero(room >= max(least, 1)), least)
+    if not len(starts):
+        return starts, np.zeros((0, 3), np.int64)
+    places = starts[np.lexsort([words[starts + 8 * k] for k in range(depth - 1, -1, -1)])]
+    found = intervals(common_prefixes(words, places, room, depth), least)
     # The byte before each suffix; the first of a piece differs from all others.
-    before = np.where(order > 0, data[order - 1].astype(np.int64), 255)
-    before = np.where(before == 255, 256 + np.arange(len(order)), before)
+    before = np.frombuffer(data, np.uint8)[places - 1].astype(np.int64)
+    before = np.where((places == 0) | (before == 255), 256 + np.arange(len(places)), before)
     changes = np.concatenate(([0], np.cumsum(before[1:] != before[:-1])))
-    for length, first, last in intervals(shared, least):
-        if changes[last] > changes[first]:
-            yield length, order[first : last + 1]
+    return places, found[changes[found[:, 2]] > changes[found[:, 1]]]
+
+
+def maximal_repeats(pieces: list[bytes], least: int = LENGTH) -> Iterator[tuple[int, np.ndarray]]:
+    """Length and all places of every repeat that can be extended neither to the left nor to the right without losing an
+    occurrence."""
+    places, found = repeat_intervals(pieces, least)
+    for length, first, last in found.tolist():
+        yield length, places[first : last + 1]
+
+
+def spread(counts: np.ndarray) -> np.ndarray:
+    """0, 1, … for each count, one after the other."""
+    return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
 def first_documents(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
@@ -372,16 +405,17 @@ def first_documents(pieces: list[bytes], docs: np.ndarray) -> list[np.ndarray]:
     sizes = np.array([len(piece) + 1 for piece in pieces])
     starts = np.cumsum(sizes) - sizes
     owner = np.repeat(np.arange(len(pieces)), sizes)
-    first = docs[owner].copy()
-    places, lengths, smallest = [], [], []
-    for length, found in maximal_repeats(pieces):
-        places.append(found)
-        lengths.append(np.full(len(found), length - LENGTH + 1))
-        smallest.append(np.full(len(found), docs[owner[found]].min()))
-    if places:
-        place, count, least = (np.concatenate(some) for some in (places, lengths, smallest))
-        at = np.repeat(place, count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        np.minimum.at(first, at, np.repeat(least, count))
+    first = docs[owner]
+    places, found = repeat_intervals(pieces, LENGTH)
+    if len(found):
+        members = found[:, 2] - found[:, 1] + 1
+        every = places[np.repeat(found[:, 1], members) + spread(members)]
+        smallest = np.repeat(np.minimum.reduceat(docs[owner[every]], np.cumsum(members) - members), members)
+        strings = np.repeat(found[:, 0] - LENGTH + 1, members)
+        # Where the occurrence's own document is the smallest there is nothing to learn.
+        news = smallest < docs[owner[every]]
+        every, smallest, strings = every[news], smallest[news], strings[news]
+        np.minimum.at(first, np.repeat(every, strings) + spread(strings), np.repeat(smallest, strings))
     return [first[a : a + size - LENGTH] for a, size in zip(starts.tolist(), sizes.tolist())]
 
 
@@ -407,6 +441,7 @@ def first_by_batch(rows: pa.Table) -> pa.Table:
     # Only anchors with several different pieces need the array; anchors do not share strings.
     _, family, count = np.unique(keys[one], return_inverse=True, return_counts=True)
     firsts: dict[int, np.ndarray] = {}
+    least = np.full(len(one), NO_ID)
     several = np.flatnonzero(count[family] > 1)
     several = several[np.argsort(family[several], kind="stable")]
     size = np.cumsum([len(texts[k]) for k in one[several].tolist()]) if len(several) else np.zeros(0)
@@ -419,30 +454,28 @@ def first_by_batch(rows: pa.Table) -> pa.Table:
         some = several[begin:stop]
         found = first_documents([texts[k] for k in one[some].tolist()], smallest[some])
         firsts.update(zip(some.tolist(), found))
+        least[some] = [first.min() for first in found]
         begin = stop
 
-    out: dict[str, list] = {"batch": [], "digests": [], "counts": [], "firsts": [], "keys": []}
+    out: dict[str, list] = {"batch": [], "found": [], "counts": [], "firsts": [], "keys": []}
     numbers = rows.column("batch").to_pylist()
+    in_array = np.zeros(len(one), bool)
+    in_array[several] = True
+    plain = ~in_array[slot] & (smallest[slot] < high)
+    strung = in_array[slot] & (least[slot] < high)
     cuts = np.flatnonzero(np.diff(mine, prepend=-1)).tolist() + [len(mine)]
     for a, b in zip(cuts, cuts[1:]):
-        chosen, counts, docs, named = [], [], [], []
-        for k in range(a, b):
-            group = int(slot[k])
-            per_string = firsts.get(group)
-            if per_string is None:
-                if smallest[group] < high[k]:
-                    chosen.append(digest[k])
-                    named.append(keys[k])
-                    counts.append(1)
-                    docs.append(smallest[group : group + 1])
-            elif (per_string < high[k]).any():
-                chosen.append(digest[k])
-                named.append(keys[k])
-                counts.append(len(per_string))
-                docs.append(per_string)
-        if chosen:
-            blobs = packed(np.array(chosen, np.uint64), np.array(counts, np.uint16), np.concatenate(docs), np.array(named, np.uint64))
-            for name, value in zip(out, (numbers[mine[a]], *blobs)):
+        simple = a + np.flatnonzero(plain[a:b])
+        chosen, counts, docs = [simple], [np.ones(len(simple), np.uint16)], [smallest[slot[simple]]]
+        some = a + np.flatnonzero(strung[a:b])
+        per_string = [firsts[group] for group in slot[some].tolist()]
+        chosen.append(some)
+        counts.append(np.array([len(firsts_of) for firsts_of in per_string], np.uint16))
+        docs += per_string
+        which = np.concatenate(chosen).astype(np.int64)
+        if len(which):
+            arrays = (digest[which], np.concatenate(counts).astype(np.uint16), np.concatenate(docs), keys[which])
+            for name, value in zip(out, (numbers[mine[a]], *packed(*arrays))):
                 out[name].append(value)
     return pa.table(out, schema=pa.schema([("batch", pa.int64())] + [(name, pa.binary()) for name in list(out)[1:]]))
 
@@ -450,17 +483,19 @@ def first_by_batch(rows: pa.Table) -> pa.Table:
 def removed_strings(batch: Batch, row: dict) -> np.ndarray:
     """Whether the string from each place on is one that a smaller document has."""
     marks = np.zeros(len(batch.text) + 1, bool)
-    if not row["digests"]:
+    for place in row["copies"] or ():
+        marks[batch.starts[place] : batch.starts[place + 1] - LENGTH + 1] = True
+    if not row["found"]:
         return marks
     digest, counts, firsts = (
         np.concatenate([unpacked(blob, kind) for blob in row[name]])
-        for name, kind in (("digests", np.uint64), ("counts", np.uint16), ("firsts", np.int64))
+        for name, kind in (("found", np.uint64), ("counts", np.uint16), ("firsts", np.int64))
     )
     ends = np.cumsum(counts.astype(np.int64))
     known = {d: firsts[end - count : end] for d, end, count in zip(digest.tolist(), ends.tolist(), counts.tolist())}
     hot = together(row["hot"])
     near = np.union1d(together(row["keys"]) >> np.uint64(16), hot)
-    texts, owner, _, first = sent_pieces(batch, near, hot)
+    texts, owner, _, first = sent_pieces(batch, near, hot, row["copies"])
     docs = batch.ids[batch.doc[owner]] if len(owner) else owner
     for text, doc, at, d in zip(texts, docs.tolist(), first.tolist(), digests(texts).tolist()):
         smaller = known.get(d)
@@ -519,14 +554,15 @@ def remove_repeats(
     shared = saved(
         told.groupBy("batch").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "anchors"
     )
-    work = packs.join(shared, "batch")
+    copies = saved(copies_of(packs), "copies")
+    work = packs.join(shared, "batch").join(copies, "batch", "left")
     kinds = "shard long, batch long, keys binary, sizes binary, low binary, high binary, texts binary"
     pieces = map_arrow(work, pieces_by_shard(buckets), kinds)
     answers = pieces.groupBy("shard").applyInArrow(
-        first_by_batch, "batch long, digests binary, counts binary, firsts binary, keys binary"
+        first_by_batch, "batch long, found binary, counts binary, firsts binary, keys binary"
     )
-    lists = [F.collect_list(name).alias(name) for name in ("digests", "counts", "firsts", "keys")]
+    lists = [F.collect_list(name).alias(name) for name in ("found", "counts", "firsts", "keys")]
     firsts = answers.groupBy("batch").agg(*lists)
-    marked = packs.join(shared, "batch", "left").join(firsts, "batch", "left")
+    marked = packs.join(shared, "batch", "left").join(copies, "batch", "left").join(firsts, "batch", "left")
     out = "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"
     return map_arrow(marked, cleaned, out)
