@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import tempfile
+import zipfile
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark import Broadcast
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import types as T
 
+import muster
 from muster.session import scratch_path
 
 WHITE = " \t\n\x0b\x0c\r"
@@ -37,9 +42,28 @@ def texts_of(column: pa.Array) -> list[bytes]:
     return [value.as_buffer().to_pybytes() if value.is_valid else b"" for value in column]
 
 
+# Applications that have this package.
+SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give tasks this package, unless they find it where the driver does: Spark hands its archive to every executor."""
+    root, context = pathlib.Path(muster.__file__).resolve().parents[1], spark.sparkContext
+    known = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if known or context.applicationId in SHIPPED or not root.is_dir():
+        return
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="muster-")) / "muster.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "muster").rglob("*.py")):
+            out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    SHIPPED.add(context.applicationId)
+
+
 def map_arrow(df: DataFrame, rows: Callable[[Iterator[pa.RecordBatch]], Iterator[dict]], schema: str | T.StructType) -> DataFrame:
     """`mapInArrow` for a function that yields dictionaries of columns. Column names may hold dots."""
     fields = schema if isinstance(schema, T.StructType) else T.StructType.fromDDL(schema)
+    ship(df.sparkSession)
     names, given = fields.names, df.columns
     if any("." in name for name in given):
         df = df.toDF(*[f"_{number}" for number in range(len(given))])

@@ -1,6 +1,10 @@
 """Every registered query on the given tables: against its SQL, or against brute force."""
 
 import hashlib
+import os
+import pathlib
+import subprocess
+import sys
 import zlib
 
 import __spark_entry__ as contract
@@ -118,3 +122,19 @@ def test_repeats(spark, texts):
 def test_pipeline(spark, texts):
     rows = result(spark, "pipeline").collect()
     assert {row.doc_id for row in rows} <= {doc_id for doc_id, _ in texts} and rows
+
+
+def test_tasks_find_the_package_from_another_folder(tmp_path):
+    """A session that somebody else built, in a folder from which this package cannot be imported."""
+    root = pathlib.Path(contract.__file__).resolve().parent
+    program = f"""
+import sys
+sys.path.insert(0, {str(root)!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.ui.enabled", "false").getOrCreate()
+import __spark_entry__
+print("ROWS", __spark_entry__.queries()["op1_html_extraction"](spark, {FOLDER!r}).count())
+"""
+    env = {name: value for name, value in os.environ.items() if name != "PYTHONPATH"}
+    done = subprocess.run([sys.executable, "-c", program], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=300)
+    assert "ROWS 50" in done.stdout, done.stderr[-2000:]
