@@ -3,8 +3,11 @@
 A radius that finds all documents of similarity 0.8 is too wide to deal 64-bit fingerprints into small shards by their
 bits. So shards are dealt by min-hashes of the shingles: documents of that similarity share one of `BANDS` pairs of
 min-hashes all but three times in ten thousand. Inside a shard, the BK-tree of `muster.llm.simhash` gives the pairs
-within `RADIUS` bits, and those whose sets of shingles are similar enough are linked. A shard yields a spanning forest of
-its links. Documents with the same set of shingles are one node; only nodes with a partner take their shingles along.
+within `RADIUS` bits, and those whose sets of shingles are similar enough are linked. Fingerprints are made from the
+different shingles, as similarity is: a bit of two of them differs with a chance of at most 0.19 at similarity 0.8 (texts
+of four and five shingles; 0.15 for long ones), so more than `RADIUS` bits at most once in eight thousand. A shard yields
+a spanning forest of its links. Documents with the same set of shingles are one node; only nodes with a partner take
+their shingles along.
 """
 
 from __future__ import annotations
@@ -23,7 +26,7 @@ from muster.llm.simhash import build_forest, majority, search_forest, shingle_ha
 
 WORDS = 5
 SIMILARITY = 0.8
-RADIUS = 16
+RADIUS = 24
 BANDS = 8
 SHARD_LIMIT = 2_048
 STEP = 256
@@ -43,9 +46,8 @@ def signatures(words: int):
         for batch in batches:
             nodes, prints, bands = [], [], []
             for text in texts_of(batch.column("text")):
-                hashes = shingle_hashes(text, words)
+                hashes = np.unique(shingle_hashes(text, words))
                 prints.append(majority(hashes))
-                hashes = np.unique(hashes)
                 nodes.append(xxhash.xxh3_64_intdigest(hashes.tobytes()))
                 bands.append(band_values(hashes))
             yield {

@@ -64,3 +64,28 @@ def test_repeated_and_missing_ids(spark):
     assert sorted((row.doc_id, row.text) for row in found if row.doc_id) == [(1, long), (3, ""), (4, "x")]
     assert [row.text for row in found if row.doc_id is None] == ["other words are here now"]
     assert near_copies.one_of_each(df.limit(0)).count() == 0
+
+
+def test_single_pairs(spark):
+    """Pairs alone, with no third text to link them: lines repeated in one of two, and similarities from 0.8 to 0.85."""
+    rng, texts, groups = random.Random(4), [], []
+
+    def words(k, n):
+        return [f"p{k}w{rng.randrange(10**9)}" for _ in range(n)]
+
+    for k in range(60):
+        shared = words(k, 104)
+        line = shared[:20]
+        pair = (shared + words(k, 1), shared + line * 60) if k % 2 else (shared, shared + line[:10] * 10)
+        groups += [k, k]
+        texts += [" ".join(one) for one in pair]
+    for k in range(60, 660):
+        # 104 words are 100 runs of five; n more words on each side are n more runs on each.
+        shared, n = words(k, 104), rng.randint(9, 12)
+        groups += [k, k]
+        texts += [" ".join(shared + words(k, n)) for _ in range(2)]
+    sets = [runs(text) for text in texts]
+    assert all(len(a & b) >= 0.8 * len(a | b) for a, b in zip(sets[::2], sets[1::2]))
+    left = near_copies.one_of_each(documents(spark, texts).repartition(4)).collect()
+    lost = [groups[row.doc_id] for row in left if row.doc_id % 2]
+    assert not [k for k in lost if k < 60] and len(lost) <= 2
