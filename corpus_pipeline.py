@@ -50,7 +50,7 @@ def drop_benchmark_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row per piece of a document, with its place in a sequence."""
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(docs, ranks, public_tokenizers.PATTERN)
+    return packing.pack_documents(docs, ranks, public_tokenizers.PATTERN, special=packing.SPECIAL)
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -14,6 +14,7 @@ import zlib
 from bisect import bisect_left, insort
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -25,18 +26,20 @@ from muster.llm.common import map_arrow, saved, shared, texts_of
 
 CAPACITY = 1024
 END_ID = 2
+# The special tokens of `byte_bpe_50k.json`; the file of ranks leaves them out.
+SPECIAL = {"<|endoftext|>": 50256}
 PIECES = "piece int, start long, length long, ids_crc32 long, _part int, _rank long"
 
 
-def encoder(ranks_path: str, pattern: str):
-    """Byte-level BPE from a file of ranks; strings of special tokens are ordinary text."""
+def encoder(ranks_path: str, pattern: str, special: dict[str, int]):
+    """Byte-level BPE from a file of ranks, which has no special tokens; any other strings are ordinary text."""
     import base64
 
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
 
 
 def cut(length: int, capacity: int) -> list[tuple[int, int]]:
@@ -45,11 +48,11 @@ def cut(length: int, capacity: int) -> list[tuple[int, int]]:
     return [(0, first)] + [(at, capacity) for at in range(first, length, capacity)]
 
 
-def cut_pieces(id_name: str, ranks_path: str, pattern: str, capacity: int, end_id: int):
+def cut_pieces(id_name: str, ranks_path: str, pattern: str, capacity: int, end_id: int, special: dict[str, int]):
     """A row per piece, with its rank among the pieces of its length in the same partition."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encode = encoder(ranks_path, pattern).encode_ordinary
+        encode = partial(encoder(ranks_path, pattern, special).encode, allowed_special="all")
         part, seen = TaskContext.get().partitionId(), Counter()
         for batch in batches:
             ids, rows = batch.column(0), []
@@ -176,16 +179,19 @@ def pack_documents(
     text: str = "text",
     capacity: int = CAPACITY,
     end_id: int = END_ID,
+    special: dict[str, int] | None = None,
 ) -> DataFrame:
     """A row per piece: `doc_id`, `piece`, `start`, `length`, `ids_crc32`, `sequence_id`, `offset`.
 
     A NULL or empty text is the end id alone. Every row is a document of its own, whatever its id; ids may be NULL or
     repeat. Documents of more than `capacity` tokens are cut, all pieces but the first being full. Other columns are
-    not read. An empty table gives no rows. Sequences are numbered from 0.
+    not read. An empty table gives no rows. Sequences are numbered from 0. `special` has the ids of the vocabulary's
+    special tokens, by their strings; without it those strings are ordinary text.
     """
     rows = df.select(df[doc_id].alias("doc_id"), df[text].cast("string").alias("text"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    made = map_arrow(rows, cut_pieces("doc_id", ranks_path, pattern, capacity, end_id), f"doc_id {kind}, {PIECES}")
+    cutter = cut_pieces("doc_id", ranks_path, pattern, capacity, end_id, special or {})
+    made = map_arrow(rows, cutter, f"doc_id {kind}, {PIECES}")
     pieces = saved(made, "pieces")
     counts = pieces.groupBy("_part", "length").agg(F.count("*").alias("_n"))
     earlier = Window.partitionBy("length").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)

@@ -76,7 +76,8 @@ def op7_simhash_bk(spark: SparkSession, folder: str) -> DataFrame:
 @query()
 def op9_best_fit_packing(spark: SparkSession, folder: str) -> DataFrame:
     ranks = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    return packing.pack_documents(table(spark, folder, "documents"), ranks, public_tokenizers.PATTERN)
+    docs = table(spark, folder, "documents")
+    return packing.pack_documents(docs, ranks, public_tokenizers.PATTERN, special=packing.SPECIAL)
 
 
 @query()

@@ -2,13 +2,14 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.conftest import documents
-from muster.llm import packing
+from muster.llm import packing, queries
 from tokenizers import Tokenizer
 
 RANKS = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -92,3 +93,20 @@ def test_few_sequences():
 @pytest.mark.parametrize("length, sizes", [(1, [1]), (1024, [1024]), (1025, [1, 1024]), (2500, [452, 1024, 1024])])
 def test_cut(length, sizes):
     assert [size for _, size in packing.cut(length, 1024)] == sizes
+
+
+@pytest.mark.parametrize("made", [queries.op9_best_fit_packing, corpus_pipeline.pack])
+def test_special_tokens_as_the_vocabulary_has_them(spark, tmp_path, odd_texts, made):
+    marked = ["<|endoftext|>", "a <|endoftext|> b", "<|endoftext|><|endoftext|>  \n<|endoftext|", "é <|endoftext|>\t x " * 700]
+    texts = odd_texts + marked + ["<|EndOfText|> <|fim_prefix|>"]
+    docs = documents(spark, texts)
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    other = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert other.encode("a <|endoftext|> b", add_special_tokens=False).ids == [64, 220, 50256, 275]
+    expected = []
+    for k, text in enumerate(texts):
+        ids = np.array(other.encode(text or "", add_special_tokens=False).ids + [2], "<u4")
+        for piece, (a, n) in enumerate(packing.cut(len(ids), 1024)):
+            expected.append((k, piece, a, n, zlib.crc32(ids[a : a + n].tobytes())))
+    rows = (made(spark, docs, str(tmp_path)) if made is corpus_pipeline.pack else made(spark, str(tmp_path))).collect()
+    assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
