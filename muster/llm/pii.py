@@ -3,8 +3,10 @@
 Base spans follow fixed patterns and checks. Beside them, generous patterns propose candidates that may overlap each
 other and the base spans. A candidate's format and context are a handful of yes/no features, so all candidates of all
 documents are counted by feature pattern, and trees are boosted on those counts: what they learn is which formats and
-contexts the base rules mostly accept. A candidate that no base span covers is added if its calibrated score is high,
-such as a phone number without its plus sign, or a mail address written with words.
+contexts are mostly right. Right are the base spans, and of the others those with evidence that the base rules do not ask
+for: a phone number of usual length behind a word that announces one, a mail address with its signs spelled out, a card
+number whose check digit is right. A candidate that no base span covers is added if its calibrated score is high, such as
+a phone number without its plus sign, or a mail address written with words.
 
 All text work is Spark's own expressions. What reaches the driver are the counts of feature patterns, whose number is
 bounded by the number of features.
@@ -13,6 +15,7 @@ bounded by the number of features.
 from __future__ import annotations
 
 from collections import defaultdict
+from collections.abc import Callable
 from dataclasses import dataclass
 
 import numpy as np
@@ -44,15 +47,17 @@ CUES = {
     "email": r"(?i)(?:e-?mails?|mail(?: to)?|contact|write|reach|kontakt|correo|courriel)\W*$",
     "ip": r"(?i)(?:ip|address|host|server|client|from|ping)\W*$",
     "card": r"(?i)(?:card|visa|mastercard|amex|credit|karte|carte|tarjeta|no|number|nr)\W*$",
-    "phone": r"(?i)(?:tel|phone|call|fax|mobile|cell|whatsapp|sms|telefon|tél|teléfono|móvil)\W*$",
+    "phone": r"(?i)\b(?:tel|(?:tele)?phone|call|fax|mobile|cell|whatsapp|sms|telefon|tél|teléfono|móvil)\W*$",
 }
+# A mail address that hides its sign or its dots on purpose; ` at ` alone is also prose ("look at host.org").
+SPELLED = r"[\[(](?:at|AT|dot|DOT)[\])]| (?:dot|DOT) "
 BEFORE = 24
+# The plus sign is none: base phones all have it, other candidates never.
 FEATURES = (
-    "signed", "brackets", "spaces", "hyphens", "dots", "words", "exact", "long", "short", "cue", "glued_before", "glued_after",
+    "brackets", "spaces", "hyphens", "dots", "spelled", "exact", "long", "short", "cue", "glued_before", "glued_after",
 )
-ROUNDS, RATE, LEAST_LEAF = 24, 0.3, 20.0
+ROUNDS, RATE = 24, 0.3
 LEAST_SHARE = 0.9
-LEAST_SEEN = 50
 FOLDS = 5
 SPAN = "struct<start: bigint, end: bigint, part: string, before: string, after: string>"
 
@@ -139,12 +144,11 @@ def bits(kind: str, x: Column) -> Column:
     low, high = {"email": (0, 9), "ip": (4, 12), "card": (13, 19), "phone": (9, 15)}[kind]
     usual = {"email": n <= 4, "ip": n <= 12, "card": n == 16, "phone": n.isin(10, 11, 12)}[kind]
     tests = [
-        part.startswith("+"),
         part.contains("(") | part.contains("["),
         part.contains(" "),
         part.contains("-"),
         part.contains("."),
-        F.regexp_like(part, F.lit(r"(?i)\b(?:at|dot)\b")),
+        F.regexp_like(part, F.lit(SPELLED)),
         usual,
         n > high,
         n < low,
@@ -159,21 +163,37 @@ def bits(kind: str, x: Column) -> Column:
     return total
 
 
+def evident(kind: str, x: Column) -> Column:
+    """Whether a candidate is right without its base pattern: the check of its kind, and a sign of what is meant where
+    that check says little."""
+    if kind == "email":
+        return F.regexp_like(x["part"], F.lit(SPELLED))
+    if kind == "phone":
+        return accepted(kind, x["part"]) & F.regexp_like(x["before"], F.lit(CUES[kind]))
+    return accepted(kind, x["part"])
+
+
 def candidates(df: DataFrame, text: str = "text") -> DataFrame:
-    """Add `base` and `proposed`: arrays of `kind` (its place in `KINDS`), `start`, `end`, `bits`.
+    """Add `base` and `proposed`: arrays of `kind` (its place in `KINDS`), `start`, `end`, `bits`, `right` (1 or 0).
 
-    What is proposed overlaps no base span.
+    What is proposed overlaps no base span. Base spans are right, proposed ones if there is evidence.
     """
     rows = base_spans(df, text)
 
-    def marked(kind: str, spans: str) -> Column:
+    def marked(kind: str, right: Callable[[str, Column], Column]) -> Column:
         number = F.lit(KINDS.index(kind)).alias("kind")
-        return F.transform(spans, lambda x: F.struct(number, x["start"].alias("start"), x["end"].alias("end"), bits(kind, x).alias("bits")))
 
-    rows = rows.withColumn("base", F.concat(*[marked(kind, kind) for kind in KINDS])).drop(*KINDS)
+        def one(x: Column) -> Column:
+            mark = F.when(right(kind, x), 1).otherwise(0).alias("right")
+            return F.struct(number, x["start"].alias("start"), x["end"].alias("end"), bits(kind, x).alias("bits"), mark)
+
+        return F.transform(kind, one)
+
+    base = F.concat(*[marked(kind, lambda kind, x: F.lit(True)) for kind in KINDS])
+    rows = rows.withColumn("base", base).drop(*KINDS)
     for kind in KINDS:
         rows = found(rows, text, PROPOSALS[kind], kind, hint(kind, text, True))
-    proposed = F.concat(*[marked(kind, kind) for kind in KINDS])
+    proposed = F.concat(*[marked(kind, evident) for kind in KINDS])
 
     def is_free(x: Column) -> Column:
         return ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
@@ -239,26 +259,25 @@ def unpacked(patterns: list[int]) -> np.ndarray:
 
 
 def calibrated(scores: np.ndarray, seen: np.ndarray, right: np.ndarray) -> float | None:
-    """The lowest score from which on, among rows not trained on, the base accepts at least `LEAST_SHARE`."""
+    """The lowest score from which on, among rows not trained on, at least `LEAST_SHARE` are right; one right and one
+    wrong row are added, so that few rows have to be all right and very few never suffice."""
     least = None
     for score in sorted(set(scores.tolist()), reverse=True):
         above = scores >= score
-        if seen[above].sum() >= LEAST_SEEN and right[above].sum() < LEAST_SHARE * seen[above].sum():
-            break
-        if seen[above].sum() >= LEAST_SEEN:
+        if right[above].sum() + 1 >= LEAST_SHARE * (seen[above].sum() + 2):
             least = score
     return least
 
 
 def learn(spans: DataFrame) -> dict[int, tuple[tuple[float, list[Tree]], float]]:
-    """Per kind: trees and threshold, from the counts of all candidates; kinds without enough of them are left out.
+    """Per kind: trees and threshold, from the counts of all candidates; kinds too rare for a threshold are left out.
 
-    A fifth of the candidates, by a hash of document and place, is kept for the threshold.
+    The threshold is found on scores by trees of other candidates: each fifth, by a hash of document and place, is
+    scored by trees of the other four.
     """
-    rows = spans.select("doc_id", F.inline("base"), F.lit(1).alias("right")).unionByName(
-        spans.select("doc_id", F.inline("proposed"), F.lit(0).alias("right"))
-    )
-    fold = (F.pmod(F.xxhash64("doc_id", "start"), F.lit(FOLDS)) == 0).alias("kept")
+    columns = ("kind", "start", "bits", "right")
+    rows = spans.select("doc_id", F.inline("base")).unionByName(spans.select("doc_id", F.inline("proposed"))).select("doc_id", *columns)
+    fold = F.pmod(F.xxhash64("doc_id", "start"), F.lit(FOLDS)).alias("fold")
     # At most one row per kind, fold and feature pattern.
     counts = rows.groupBy("kind", fold, "bits").agg(F.count("*").alias("seen"), F.sum("right").alias("right")).collect()
     by_kind = defaultdict(list)
@@ -266,14 +285,16 @@ def learn(spans: DataFrame) -> dict[int, tuple[tuple[float, list[Tree]], float]]
         by_kind[row["kind"]].append(row)
     models = {}
     for kind, some in by_kind.items():
-        train, kept = ([row for row in some if row["kept"] == flag] for flag in (False, True))
-        if sum(row["seen"] for row in train) < LEAST_LEAF or not kept:
-            continue
-        columns = [(unpacked([row["bits"] for row in part]), *(np.array([row[n] for row in part], float) for n in ("seen", "right"))) for part in (train, kept)]
-        model = boost(*columns[0])
-        least = calibrated(margins(model, columns[1][0]), *columns[1][1:])
+        table = unpacked([row["bits"] for row in some])
+        of, seen, right = (np.array([row[name] for row in some], float) for name in ("fold", "seen", "right"))
+        scores = np.zeros(len(some))
+        for held in np.unique(of):
+            mine = of == held
+            if not mine.all():
+                scores[mine] = margins(boost(table[~mine], seen[~mine], right[~mine]), table[mine])
+        least = calibrated(scores, seen, right)
         if least is not None:
-            models[kind] = (model, least)
+            models[kind] = (boost(table, seen, right), least)
     return models
 
 

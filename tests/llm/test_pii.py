@@ -120,3 +120,23 @@ def test_plan_is_native(spark):
 def test_written(spark, text, sql):
     rows = pii.personal_spans(documents(spark, [text])).select(pii.written(pii.F.col("base"))).collect()
     assert rows[0][0] == sql
+
+
+@pytest.mark.parametrize("n", [3, 60])
+def test_unsigned_and_spelled_outnumber_the_base(spark, n):
+    """Few base matches and four times as many of the others; prose and bare numbers stay."""
+    rng = random.Random(5)
+
+    def number():
+        return "%03d %03d-%04d" % tuple(rng.randrange(k) for k in (1000, 1000, 10000))
+
+    texts = [f"phone +1 {number()} or mail me: a{k}@host{k}.org" for k in range(n)]
+    unsigned = [f"we are here, phone {number()} all day" for _ in range(4 * n)]
+    spelled = [f"ask for name{k} at host{k} dot org, please" for k in range(4 * n)]
+    others = [f"item {number()} was sold" for _ in range(2 * n)] + [f"look at host{k}.org for more" for k in range(2 * n)]
+    others += [f"the hotel {number()} was full" for _ in range(n)]
+    found = spans(spark, texts + unsigned + spelled + others)
+    added = {i: [one[:2] for one in some] for i, _, some in found}
+    assert all(added[i] == [(3, 19)] for i in range(n, 5 * n))
+    assert all(added[i] == [(0, 8)] for i in range(5 * n, 9 * n))
+    assert not any(added[i] for i in range(9 * n, len(found)))
