@@ -11,6 +11,7 @@ Fitting reads a bounded sample of labelled rows (`SAMPLE`); scoring reads every
 from __future__ import annotations
 
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator, Mapping
 
@@ -39,8 +40,10 @@ STRONG_SHARE = 0.05
 WEAK_WEIGHT = 0.3
 STRONG = 0.34
 TOKEN = re.compile(r"[^\W_][\w*$@]*")
-OPEN = {"“": "”", "«": "»", "„": "“", '"': '"', "‘": "’"}
-QUOTE_SPAN = 200
+MARK = re.compile('["“”„«»‘’]')
+# Marks that close each other; “ closes a quotation that „ opened, and opens one otherwise.
+KINDS_OF_MARKS = {'"': '"', "“": "“", "”": "“", "„": "“", "«": "«", "»": "«", "‘": "‘", "’": "‘"}
+STOPS = ",.;:!?)]}"
 MEMO = 300_000
 STATES = 50_000
 
@@ -144,19 +147,61 @@ def heaviest(members: frozenset[tuple[int, int]], ends: list[tuple[int, float]])
     return max((ends[n][1] * FUZZY_WEIGHT[e] for n, e in members if e <= ends[n][0]), default=0.0)
 
 
-def quoted(text: str, start: int, end: int) -> bool:
-    """Whether the place is inside quotation marks on its line, or on a line that cites with '>'."""
-    line = text.rfind("\n", 0, start) + 1
-    if text[line : line + 2].lstrip().startswith(">"):
-        return True
-    before, after = text[max(line, start - QUOTE_SPAN) : start], text[end : end + QUOTE_SPAN].split("\n", 1)[0]
-    for left, right in OPEN.items():
-        if left == right:
-            if before.count(left) % 2 and right in after:
-                return True
-        elif before.rfind(left) > before.rfind(right) and right in after:
-            return True
-    return False
+def quotations(line: str) -> list[tuple[int, int]]:
+    """Places from an opening mark to its closing mark, found in one pass; what is not closed is no quotation.
+
+    A straight mark behind a space opens, one before a space or a stop closes, others do what is due.
+    """
+    if line[:2].lstrip().startswith(">"):
+        return [(0, len(line))]
+    spans, opened = [], {kind: [] for kind in KINDS_OF_MARKS.values()}
+    for found in MARK.finditer(line):
+        at, mark = found.start(), found.group()
+        before, after = line[at - 1 : at] if at else " ", line[at + 1 : at + 2] or " "
+        waiting = opened[KINDS_OF_MARKS[mark]]
+        if mark == '"':
+            opens = before.isspace() and not after.isspace()
+            closes = not before.isspace() and (after.isspace() or after in STOPS)
+            if waiting and opens:
+                waiting[:] = [at]
+                continue
+            if not waiting and closes:
+                continue
+            starts = not waiting
+        elif mark == "’" and before.isalnum() and after.isalnum():
+            # An apostrophe.
+            continue
+        else:
+            starts = mark in "„«‘" or mark == "“" and not (waiting and line[waiting[-1]] == "„")
+        if starts:
+            waiting.append(at)
+        elif waiting:
+            spans.append((waiting.pop(), at))
+    return spans
+
+
+class Quoted:
+    """Whether places of a text, asked for in order, are in quotations of their line, which is looked at once."""
+
+    def __init__(self, text: str) -> None:
+        self.text, self.end = text, -1
+        self.starts: list[int] = []
+        self.ends: list[int] = []
+
+    def __call__(self, start: int, end: int) -> bool:
+        if start > self.end:
+            low, high = self.text.rfind("\n", 0, start) + 1, self.text.find("\n", start)
+            self.end = len(self.text) if high < 0 else high
+            self.starts, self.ends = [], []
+            for first, last in sorted(quotations(self.text[low : self.end])):
+                # Those inside others, or that cross them, make one with them.
+                if self.ends and low + first < self.ends[-1]:
+                    self.ends[-1] = max(self.ends[-1], low + last)
+                else:
+                    self.starts.append(low + first)
+                    self.ends.append(low + last)
+        at = bisect_right(self.starts, start) - 1
+        return at >= 0 and end <= self.ends[at]
 
 
 def features(text: str, matcher: Matcher, known: frozenset[str]) -> tuple[float, ...]:
@@ -174,10 +219,11 @@ def features(text: str, matcher: Matcher, known: frozenset[str]) -> tuple[float,
     if not forms:
         return 0.0, 0.0, 0.0, 0.0
     at, weights, strong, weak = [], [], 0.0, 0.0
+    quoted = Quoted(text if same else low)
     for place, found in enumerate(TOKEN.finditer(low)):
         weight = forms.get(found.group())
         if weight is not None:
-            counted = weight * (QUOTED_WEIGHT if quoted(text if same else low, *found.span()) else 1.0)
+            counted = weight * (QUOTED_WEIGHT if quoted(*found.span()) else 1.0)
             at.append(place)
             weights.append(counted)
             if weight >= STRONG:

@@ -100,3 +100,22 @@ def test_labels_of_held_out_rows_do_not_matter(spark):
     held = toxicity.is_held_out("doc_id")
     other = labels.filter(~held).unionByName(turned.filter(held))
     assert np.allclose(toxicity.learn(docs, labels).weights, toxicity.learn(docs, other).weights)
+
+
+def test_quotations_of_whole_lines():
+    matcher, filler = toxicity.Matcher({"stupid": 1.0}), "word " * 100
+
+    def strong(text):
+        return round(toxicity.features(text, matcher, frozenset())[1], 6)
+
+    for left, right in ('""', "“”", "«»", "„“", "‘’"):
+        assert strong(f"he wrote {left}{filler}stupid {filler}end{right} there") == 0.3
+        assert strong(f"{left}{filler}end{right} so stupid {left}{filler}end{right}") == 1.0
+        assert strong(f"he wrote {left}{filler}stupid {filler}") == 1.0
+        assert strong(f"{left}{filler}\nstupid{right} x\n{left}stupid{right}\nstupid") == 2.3
+    assert strong(f'"cited" {"x" * 180} stupid {filler} "cited" {filler}') == 1.0
+    assert strong(f'a 5" pipe, stupid, "cited" and stupid "stupid"') == 2.3
+    assert strong("‘you don’t be stupid’ “a “b” stupid” stupid") == 1.6
+    assert strong(f"> {filler}stupid\nİ stupid «stupid»") == 1.6
+    many = '"stupid" stupid ' * 20_000
+    assert strong(many) == 26_000
