@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from muster.llm import (
     decontamination,
+    fill_middle,
     hnsw,
     html_extraction,
     licenses,
@@ -131,3 +132,42 @@ def op5_pii_boosting(spark: SparkSession, folder: str) -> DataFrame:
     ]
     base, every = F.col("base"), F.array_sort(F.concat("base", "added"))
     return spans.select("doc_id", *counts, F.sha2(pii.written(base), 256).alias("base_sha256"), pii.written(every).alias("spans"))
+
+
+FILL_MIDDLE = r"""
+WITH cut AS (
+  SELECT doc_id, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[\x20\x09-\x0D]*[^\x20\x09-\x0D]+|[\x20\x09-\x0D]+') AS units,
+         sha256('42:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS digest
+  FROM documents
+), drawn AS (
+  SELECT *, len(units) AS n,
+         CAST('0x' || substr(digest, 1, 8) AS BIGINT) % (len(units) + 1) AS c1,
+         CAST('0x' || substr(digest, 9, 8) AS BIGINT) % (len(units) + 1) AS c2,
+         CAST('0x' || substr(digest, 17, 8) AS BIGINT) % 100 AS c3,
+         CAST('0x' || substr(digest, 25, 8) AS BIGINT) % 100 AS c4
+  FROM cut
+), parts AS (
+  SELECT doc_id, text, n,
+         CASE WHEN text = '' OR c3 >= 50 OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>')
+              THEN 'plain' WHEN c4 < 80 THEN 'spm' ELSE 'psm' END AS form,
+         array_to_string(units[1:least(c1, c2)], '') AS prefix,
+         array_to_string(units[least(c1, c2) + 1:greatest(c1, c2)], '') AS middle,
+         array_to_string(units[greatest(c1, c2) + 1:n], '') AS suffix
+  FROM drawn
+)
+SELECT doc_id, n, form,
+       CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+              ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM parts
+"""
+
+
+@query(FILL_MIDDLE)
+def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
+    cut = fill_middle.rearrange(table(spark, folder, "documents").select("doc_id", "text"))
+    back = fill_middle.restore(cut.drop("text"))
+    return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
