@@ -16,6 +16,7 @@ from muster.llm import (
     licenses,
     line_dedup,
     packing,
+    pieces,
     pii,
     simhash,
     suffix_dedup,
@@ -171,3 +172,17 @@ def op12_fill_middle(spark: SparkSession, folder: str) -> DataFrame:
     cut = fill_middle.rearrange(table(spark, folder, "documents").select("doc_id", "text"))
     back = fill_middle.restore(cut.drop("text"))
     return back.select("doc_id", "n", "form", "prefix_chars", "middle_chars", "output_sha256", "restored_sha256")
+
+
+@query()
+def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    encoded = pieces.encode(table(spark, folder, "documents").select("doc_id", "text"), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    decoded = pieces.decode(encoded.drop("text"), model)
+    return decoded.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(listed, 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
