@@ -29,8 +29,8 @@ from muster.llm.common import map_arrow, texts_of, without
 
 SPACE = "▁"
 BAD = "�"
-# Parts of at most so many characters are remembered, so many of them in a task; likewise pairs of pieces.
-SHORT, REMEMBERED = 64, 1 << 17
+# Parts of at most so many characters are remembered, up to twice so many of them in a task; likewise pairs of pieces.
+SHORT, REMEMBERED = 64, 1 << 18
 PAIRS = 1 << 20
 # The parts of longer texts are not listed all at once.
 LONG = 1 << 20
@@ -133,7 +133,7 @@ class Encoder:
         self.automaton = ahocorasick.Automaton()
         for piece, k in self.ids.items():
             if known.reached[k]:
-                self.automaton.add_word(piece, (k, len(piece)))
+                self.automaton.add_word(piece, k)
         self.automaton.make_automaton()
         single = {piece for piece in self.ids if len(piece) == 1}
         # A character without a piece of its own is in no piece, so nothing reaches across it.
@@ -143,7 +143,10 @@ class Encoder:
         cut = f"[{rest}{SPACE}]+" if inner else f"{SPACE}*[{rest}]+|{SPACE}+"
         self.parts = re.compile(f"{cut}|[^{rest}{SPACE}]+")
         self.pairs: dict[tuple[int, int], bool] = {}
+        # Parts met lately, and those met before them: parts that come often are always in one of the two.
         self.remembered: dict[str, list[int]] = {}
+        self.earlier: dict[str, list[int]] = {}
+        self.lengths = [len(piece) for piece in known.pieces]
         # What a piece stands for; leading white space is taken off later, where it is the first.
         self.surfaces = [self.surface(k) for k in range(len(known.pieces))]
 
@@ -192,13 +195,17 @@ class Encoder:
 
     def table(self, text: str) -> list[int]:
         """The last piece of every prefix of a text whose characters all have pieces, from the prefix of one character."""
-        last, compatible = [FIRST] * len(text), self.compatible
-        for end, (piece, length) in self.automaton.iter(text):
-            if last[end] != FIRST:
-                continue
-            before = end - length
-            if before < 0 or compatible(last[before], piece):
-                last[end] = piece
+        last, lengths, answers = [FIRST] * len(text), self.lengths, self.pairs.get
+        for end, piece in self.automaton.iter(text):
+            if last[end] < 0:
+                before = end - lengths[piece]
+                if before < 0:
+                    last[end] = piece
+                else:
+                    left = last[before]
+                    answer = answers((left, piece))
+                    if answer or (answer is None and self.compatible(left, piece)):
+                        last[end] = piece
         if FIRST in last:
             raise ValueError(f"a prefix without a last piece in {text[:40]!r}")
         return last
@@ -206,10 +213,11 @@ class Encoder:
     def ids_of_part(self, part: str) -> list[int]:
         if part[0] not in self.letters:
             return [self.bytes[code] for code in part.encode()]
-        last, lengths, at, ids = self.table(part), self.known.pieces, len(part) - 1, []
+        last, lengths, at, ids = self.table(part), self.lengths, len(part) - 1, []
         while at >= 0:
-            ids.append(last[at])
-            at -= len(lengths[last[at]])
+            piece = last[at]
+            ids.append(piece)
+            at -= lengths[piece]
         ids.reverse()
         return ids
 
@@ -224,10 +232,11 @@ class Encoder:
         for part in parts:
             found = remembered.get(part)
             if found is None:
-                found = self.ids_of_part(part)
+                found = self.earlier.get(part) or self.ids_of_part(part)
                 if len(part) <= SHORT:
                     if len(remembered) >= REMEMBERED:
-                        remembered.clear()
+                        self.earlier, self.remembered = remembered, {}
+                        remembered = self.remembered
                     remembered[part] = found
             ids += found
         return ids

@@ -67,8 +67,8 @@ def test_one_last_piece(encoder):
     for _ in range(200):
         text = "▁" + "".join(rng.choices("aehinorst", k=40))
         last = encoder.table(text)
-        for end, (piece, length) in encoder.automaton.iter(text):
-            before = end - length
+        for end, piece in encoder.automaton.iter(text):
+            before = end - encoder.lengths[piece]
             fits = before < 0 or encoder.compatible(last[before], piece)
             assert fits == (piece == last[end])
 
