@@ -13,6 +13,7 @@ from muster.llm import (
     fill_middle,
     hnsw,
     html_extraction,
+    lexical_search,
     licenses,
     line_dedup,
     packing,
@@ -186,3 +187,45 @@ def op11_sentencepiece(spark: SparkSession, folder: str) -> DataFrame:
         F.sha2(listed, 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"),
     )
+
+
+LEXICAL_SEARCH = r"""
+WITH item_terms AS (
+  SELECT DISTINCT item_id, unnest(regexp_extract_all(
+           translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')) AS term
+  FROM benchmark
+), numbered AS (
+  SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+') AS terms
+  FROM documents
+), docs AS (
+  SELECT r, doc_id, terms, len(terms) AS n FROM numbered WHERE len(terms) > 0
+), totals AS (
+  SELECT count(*) AS n_docs, CAST(sum(n) AS BIGINT) AS n_terms FROM docs
+), measured AS (
+  SELECT r, doc_id, terms, 10 + (90 * n * n_docs) // n_terms AS m FROM docs, totals
+), words AS (
+  SELECT r, doc_id, m, unnest(terms) AS term FROM measured
+), counts AS (
+  SELECT r, doc_id, m, term, count(*) AS tf FROM words
+  WHERE term IN (SELECT term FROM item_terms) GROUP BY r, doc_id, m, term
+), weights AS (
+  SELECT term, CAST(floor(1000 * ln((2 * n_docs + 2) / (2 * df + 1))) AS BIGINT) AS w
+  FROM (SELECT term, count(*) AS df FROM counts GROUP BY term), totals
+), scores AS (
+  SELECT item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM item_terms JOIN weights USING (term) JOIN counts USING (term) GROUP BY item_id, r, doc_id
+), ranked AS (
+  SELECT item_id, CAST(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id, r) AS INTEGER) AS rank,
+         doc_id, score
+  FROM scores WHERE score > 0
+)
+SELECT item_id, rank, doc_id, score FROM ranked WHERE rank <= 10
+"""
+
+
+@query(LEXICAL_SEARCH)
+def op13_lexical_search(spark: SparkSession, folder: str) -> DataFrame:
+    return lexical_search.rank_documents(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
