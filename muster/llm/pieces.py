@@ -31,7 +31,9 @@ SPACE = "▁"
 BAD = "�"
 # Parts of at most so many characters are remembered, up to twice so many of them in a task; likewise pairs of pieces.
 SHORT, REMEMBERED = 64, 1 << 18
-PAIRS = 1 << 20
+PAIRS = 1 << 19
+# Rows that are encoded or decoded before they are handed on.
+ROWS = 256
 # The parts of longer texts are not listed all at once.
 LONG = 1 << 20
 # Kinds of pieces in a model file.
@@ -120,8 +122,38 @@ def in_class(characters) -> str:
     return "".join(map(re.escape, sorted(characters)))
 
 
+class Decoder:
+    """Decodes with one vocabulary."""
+
+    def __init__(self, known: Vocabulary) -> None:
+        self.known = known
+        # What a piece stands for; leading white space is taken off later, where it is the first.
+        self.surfaces = [self.surface(k) for k in range(len(known.pieces))]
+
+    def surface(self, piece: int) -> bytes:
+        kind, text = self.known.kinds[piece], self.known.pieces[piece]
+        if kind == CONTROL:
+            return b""
+        if kind == BYTE:
+            return bytes([int(text[1:-1], 16)])
+        return (self.known.unknown if kind == UNKNOWN else text.replace(SPACE, " ")).encode()
+
+    def decode(self, ids: list[int]) -> str:
+        """The text of ids: white space for its sign, without the one put before the text, bytes joined to characters."""
+        kinds, surfaces = self.known.kinds, self.surfaces
+        data = b"".join(map(surfaces.__getitem__, ids))
+        if self.known.dummy_prefix and data.startswith(b" "):
+            first = next(k for k in ids if surfaces[k])
+            if kinds[first] == NORMAL:
+                data = data[1:]
+        try:
+            return data.decode()
+        except UnicodeDecodeError:
+            return replaced(data)
+
+
 class Encoder:
-    """Encodes and decodes with one vocabulary."""
+    """Encodes with one vocabulary."""
 
     def __init__(self, known: Vocabulary) -> None:
         import ahocorasick
@@ -147,16 +179,6 @@ class Encoder:
         self.remembered: dict[str, list[int]] = {}
         self.earlier: dict[str, list[int]] = {}
         self.lengths = [len(piece) for piece in known.pieces]
-        # What a piece stands for; leading white space is taken off later, where it is the first.
-        self.surfaces = [self.surface(k) for k in range(len(known.pieces))]
-
-    def surface(self, piece: int) -> bytes:
-        kind, text = self.known.kinds[piece], self.known.pieces[piece]
-        if kind == CONTROL:
-            return b""
-        if kind == BYTE:
-            return bytes([int(text[1:-1], 16)])
-        return (self.known.unknown if kind == UNKNOWN else text.replace(SPACE, " ")).encode()
 
     def compatible(self, left: int, right: int) -> bool:
         """Whether merging the joined text of two pieces gives these two."""
@@ -241,19 +263,6 @@ class Encoder:
             ids += found
         return ids
 
-    def decode(self, ids: list[int]) -> str:
-        """The text of ids: white space for its sign, without the one put before the text, bytes joined to characters."""
-        kinds, surfaces = self.known.kinds, self.surfaces
-        data = b"".join(map(surfaces.__getitem__, ids))
-        if self.known.dummy_prefix and data.startswith(b" "):
-            first = next(k for k in ids if surfaces[k])
-            if kinds[first] == NORMAL:
-                data = data[1:]
-        try:
-            return data.decode()
-        except UnicodeDecodeError:
-            return replaced(data)
-
 
 def replaced(data: bytes) -> str:
     """Characters as far as bytes are some; each other byte is the sign for a bad character."""
@@ -268,6 +277,23 @@ def replaced(data: bytes) -> str:
     return "".join(out)
 
 
+# The last coder of each kind that this process has made, so that tasks that follow each other use what it remembers.
+MADE: dict[type, tuple[Vocabulary, object]] = {}
+
+
+def coder(kind: type, known: Vocabulary):
+    if MADE.get(kind, (None, None))[0] is not known:
+        MADE[kind] = known, kind(known)
+    return MADE[kind][1]
+
+
+def slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Some rows at a time."""
+    for batch in batches:
+        for low in range(0, batch.num_rows, ROWS):
+            yield batch.slice(low, ROWS)
+
+
 def shared_vocabulary(spark: SparkSession, path: str) -> Broadcast:
     """The vocabulary for every task; its size is that of the model file, whatever the number of documents."""
     with open(path, "rb") as file:
@@ -286,8 +312,8 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids") -> Da
     fields = [given.schema[name] for name in rest] + [T.StructField(ids, T.ArrayType(T.IntegerType()))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = Encoder(known.value)
-        for batch in batches:
+        encoder = coder(Encoder, known.value)
+        for batch in slices(batches):
             found = [encoder.encode(value.decode("utf-8", "replace")) for value in texts_of(batch.column(text))]
             yield {name: batch.column(name) for name in rest} | {ids: pa.array(found, pa.list_(pa.int32()))}
 
@@ -306,9 +332,10 @@ def decode(df: DataFrame, path: str, ids: str = "ids", decoded: str = "decoded")
     fields = [given.schema[name] for name in rest] + [T.StructField(decoded, T.StringType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        encoder = Encoder(known.value)
-        for batch in batches:
-            texts = [encoder.decode(some or []) for some in batch.column(ids).to_pylist()]
+        decoder = coder(Decoder, known.value)
+        for batch in slices(batches):
+            lists = [row.values for row in batch.column(ids)]
+            texts = [decoder.decode([] if some is None else some.to_numpy(zero_copy_only=False).tolist()) for some in lists]
             yield {name: batch.column(name) for name in rest} | {decoded: texts}
 
     return map_arrow(given, run, T.StructType(fields))
