@@ -22,10 +22,13 @@ from muster.operators import (
     package_rows,
     recorded_rows,
     remove_packages,
+    remove_stored,
     replay_commands,
     request_outcome,
     requests_missing,
     resolve_launch_mode,
+    store_packages,
+    stored_packages,
     validate_requests,
 )
 from muster.plans.flows import startup_packages
@@ -278,6 +281,44 @@ def state_versions(t: Tables) -> DataFrame:
     return read_package_versions(t.spark, path)
 
 
+def stored_state(t: Tables) -> DataFrame:
+    path = scratch_path(t.spark, "stored-packages")
+    store_packages(package_state(t), path, 1)
+    return stored_packages(t.spark, path)
+
+
+@query(f"""
+    SELECT installation_id, request_seq, kind, package FROM ({REQUESTS_SQL}) r
+    WHERE NOT EXISTS (
+        SELECT 1 FROM ({STATE_SQL}) s
+        WHERE s.installation_id = r.installation_id AND s.kind = r.kind AND s.match = r.match
+    )
+""")
+def missing_stored(t: Tables) -> DataFrame:
+    """Requests against packages stored by buckets."""
+    return requests_missing(package_requests(t), stored_state(t)).drop("pos")
+
+
+@query(f"""
+    SELECT installation_id, kind, package FROM ({STATE_SQL}) s
+    WHERE NOT EXISTS (
+        SELECT 1 FROM ({REQUESTS_SQL}) r
+        WHERE s.installation_id = r.installation_id AND s.kind = r.kind AND s.package = r.package
+    )
+""")
+def removed_stored(t: Tables) -> DataFrame:
+    return remove_stored(stored_state(t), package_requests(t)).drop("_match")
+
+
+@query(APPLIED_SQL)
+def applied_stored(t: Tables) -> DataFrame:
+    """Requests applied to stored packages, stored as the next version and read from there."""
+    path = scratch_path(t.spark, "stored-packages")
+    store_packages(package_state(t), path, 1)
+    store_packages(apply_requests(stored_packages(t.spark, path), package_requests(t)), path, 2)
+    return stored_packages(t.spark, path).drop("_match")
+
+
 @query("""
     WITH lists AS (
         SELECT doc_id, 'apk' AS kind, list_filter([source, lang] || CASE WHEN n_chars % 2 = 0 THEN ['SRC1'] ELSE [] END,

@@ -8,7 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
-from muster.operators import average_states, package_prevalence, severity_counts
+from muster.operators import average_states, compare_sets, installation_sketches, package_prevalence, severity_counts
+from muster.session import scratch_path
 
 
 @query("""
@@ -83,3 +84,42 @@ def sliding_average(t: Tables) -> DataFrame:
     states = t("events").withColumn("state", hundredths("value"))
     averages = average_states(states, ["event_type"], timedelta(hours=12), timedelta(hours=6))
     return averages.withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+    WITH holds AS (SELECT DISTINCT l_linenumber AS package, l_partkey FROM lineitem),
+    numbers AS (SELECT DISTINCT package FROM holds)
+    SELECT a.package AS first, b.package AS second,
+        (SELECT count(*) FROM holds x JOIN holds y USING (l_partkey) WHERE x.package = a.package AND y.package = b.package) AS both,
+        (SELECT count(*) FROM holds x WHERE x.package = a.package) AS firsts,
+        (SELECT count(*) FROM holds x WHERE x.package = b.package) AS seconds, true AS is_close
+    FROM numbers a JOIN numbers b ON a.package <> b.package
+""")
+def set_comparison(t: Tables) -> DataFrame:
+    """Line numbers stand for packages, parts for installations. Sketches land in three steps, one per return flag.
+
+    Whether what sketches say about pairs is within a twentieth of the exact numbers.
+    """
+    path = scratch_path(t.spark, "sketches")
+    lines = t("lineitem").select(F.col("l_linenumber").alias("package"), "l_returnflag", "l_partkey")
+    for flag in ("A", "N", "R"):
+        landed = installation_sketches(lines.filter(F.col("l_returnflag") == flag), ["l_returnflag", "package"], "l_partkey")
+        landed.write.mode("append").parquet(path)
+    held = lines.select("package", "l_partkey").distinct()
+    numbers = held.groupBy("package").agg(F.count("*").alias("n"))
+    two = held.select(F.col("package").alias("second"), "l_partkey")
+    exact = (
+        held.withColumnRenamed("package", "first").join(two, "l_partkey").filter("first <> second")
+        .groupBy("first", "second").agg(F.count("*").alias("both"))
+        .join(numbers.select(F.col("package").alias("first"), F.col("n").alias("firsts")), "first")
+        .join(numbers.select(F.col("package").alias("second"), F.col("n").alias("seconds")), "second")
+    )
+    sketched = compare_sets(t.spark.read.parquet(path), exact.select("first", "second"))
+    sketched = sketched.select("first", "second", F.col("both").alias("_both"), "only_first", "either")
+    either = F.col("firsts") + F.col("seconds") - F.col("both")
+
+    def near(name: str, value: Column) -> Column:
+        return F.abs(F.col(name) - value) <= 0.05 * either
+
+    is_close = near("_both", F.col("both")) & near("only_first", F.col("firsts") - F.col("both")) & near("either", either)
+    return exact.join(sketched, ["first", "second"]).select(*exact.columns, is_close.alias("is_close"))

@@ -7,7 +7,18 @@ from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
 from muster.functions import ascii_lower, blank_to, date_label, has_value, nth_field, squeeze, strip_all_space
-from muster.operators import explode_records, first_element, first_record, match_any, passthrough, project_fields
+from muster.operators import (
+    explode_paths,
+    explode_records,
+    first_element,
+    first_path,
+    first_record,
+    match_any,
+    passthrough,
+    project_fields,
+    project_paths,
+    schema_of_replies,
+)
 from muster.session import scratch_path
 from muster.sources import read_api_snapshots
 
@@ -37,19 +48,59 @@ def host_info(t: Tables) -> DataFrame:
     return project_fields(replies, "core/info", fields, ["o_orderkey"])
 
 
+def addon_replies(t: Tables) -> DataFrame:
+    record = F.transform(
+        F.split("text", "\n"),
+        lambda line: F.struct(line.alias("name"), F.col("lang").alias("slug"), F.col("source").alias("version")),
+    )
+    return t("documents").select("doc_id", *reply("addons", F.struct(record.alias("addons"))))
+
+
 @query("""
     SELECT doc_id, unnest(string_split(text, chr(10))) AS name, lang AS slug, source AS version, NULL::VARCHAR AS state FROM documents
 """)
 def addon_records(t: Tables) -> DataFrame:
     """One record per line of the whole text."""
-    record = F.transform(
-        F.split("text", "\n"),
-        lambda line: F.struct(line.alias("name"), F.col("lang").alias("slug"), F.col("source").alias("version")),
-    )
-    replies = t("documents").select("doc_id", *reply("addons", F.struct(record.alias("addons"))))
+    replies = addon_replies(t)
     return explode_records(replies, "addons", "data.addons", ["name", "slug", "version", "state"], ["doc_id"])
 
 
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k FROM events")
+def json_path(t: Tables) -> DataFrame:
+    """The same without a schema."""
+    replies = t("events").select("event_id", F.lit("event").alias("endpoint"), F.col("props").alias("payload"))
+    return project_paths(replies, "event", {"k": ("k", "bigint")}, ["event_id"])
+
+
+@query("""
+    SELECT doc_id, unnest(string_split(text, chr(10))) AS name, lang AS slug, source AS version, NULL::VARCHAR AS state FROM documents
+""")
+def addon_paths(t: Tables) -> DataFrame:
+    """The records of `addon_records` without a schema."""
+    fields = {name: (name, "string") for name in ("name", "slug", "version", "state")}
+    return explode_paths(addon_replies(t), "addons", "data.addons", fields, ["doc_id"])
+
+
+@query("SELECT doc_id, string_split(text, chr(10))[1] AS name, source AS version FROM documents")
+def first_addon_path(t: Tables) -> DataFrame:
+    fields = {"name": ("name", "string"), "version": ("version", "string")}
+    return first_path(addon_replies(t), "addons", "data.addons", fields, ["doc_id"])
+
+
+@query("""
+    SELECT o_orderkey, CASE WHEN o_orderkey % 2 = 0 THEN o_custkey END AS customer, o_orderstatus AS status,
+        CASE WHEN o_orderkey % 3 = 0 THEN o_orderpriority END AS priority FROM orders
+""")
+def found_schema(t: Tables) -> DataFrame:
+    """Replies whose keys differ, read with the schema that fits them all."""
+    customer = F.when(F.col("o_orderkey") % 2 == 0, F.col("o_custkey")).alias("customer")
+    priority = F.when(F.col("o_orderkey") % 3 == 0, F.col("o_orderpriority")).alias("priority")
+    data = F.struct(customer, F.col("o_orderstatus").alias("status"), priority)
+    replies = t("orders").select("o_orderkey", *reply("orders", data))
+    fields = ["data.customer", "data.status", "data.priority"]
+    return project_fields(replies, "orders", fields, ["o_orderkey"], schema=schema_of_replies(replies, "orders"))
+
+
 @query("SELECT doc_id, source AS interface, to_json(string_split(text, chr(10))[1])::VARCHAR AS ip_address FROM documents")
 def network_first(t: Tables) -> DataFrame:
     record = F.transform(

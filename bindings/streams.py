@@ -13,24 +13,31 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from bindings.registry import Tables, query
-from bindings.sessions import GAP_SQL
+from bindings.sessions import ACTIONS_SQL, GAP_SQL, session_events
 from muster.operators import average_states, gap_sessions, severity_counts_stream, silent_keys
 from muster.session import scratch_path
 from muster.sources import stream_entity_states
 from muster.streaming import (
-    changes_sink,
-    current_state_sink,
+    asof_guard_stream,
+    current_states,
     dedupe_events,
-    flush_changes,
+    explicit_sessions_stream,
     read_current,
+    read_retained,
+    retain_last_n_stream,
     run_available,
     run_to_table,
+    state_changes_stream,
     stream_table,
+    updates_to,
 )
 
 USER = ["user_id"]
 ORDER = ["ts", "event_id"]
 CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
+# How much later than others rows of `arriving` land, and up to when everything has come: watermarks are whole milliseconds.
+LATENESS = timedelta(days=1)
+SETTLED = "(SELECT date_trunc('millisecond', max(ts)) - INTERVAL 1 DAY FROM events)"
 
 
 def zoneless(df: DataFrame) -> DataFrame:
@@ -45,18 +52,20 @@ def events_stream(t: Tables) -> DataFrame:
 ARRIVALS = 3
 
 
-def arriving(t: Tables, name: str, late_every: int = 0) -> Iterator[tuple[DataFrame, str]]:
+def arriving(t: Tables, name: str, events: DataFrame | None = None, late_every: int = 0) -> Iterator[tuple[DataFrame, str]]:
     """Events that land in `ARRIVALS` steps in order of time; yields their stream and a path after each step.
 
-    With `late_every`, every so many events land one step too late.
+    With `late_every`, every so many of the events of the last `LATENESS` before a step land with the next step.
     """
     path = scratch_path(t.spark, name)
-    events = t("events").select("user_id", "event_id", "ts", "event_type")
+    events = t("events").select("user_id", "event_id", "ts", "event_type") if events is None else events
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     width = (last - first) / ARRIVALS + timedelta(seconds=1)
-    step = F.floor((F.unix_micros(F.col("ts").cast("timestamp")) - micros(first)) / (width / timedelta(microseconds=1)))
+    since = F.unix_micros(F.col("ts").cast("timestamp")) - micros(first)
+    step = F.floor(since / (width / timedelta(microseconds=1)))
     if late_every:
-        step = F.least(step + (F.col("event_id") % late_every == 0).cast("int"), F.lit(ARRIVALS - 1))
+        later = F.floor((since + LATENESS / timedelta(microseconds=1)) / (width / timedelta(microseconds=1)))
+        step = F.least(F.when(F.col("event_id") % late_every == 0, later).otherwise(step), F.lit(ARRIVALS - 1))
     for number in range(ARRIVALS):
         events.filter(step == number).write.mode("append").parquet(f"{path}/landed")
         yield t.spark.readStream.schema(events.schema).parquet(f"{path}/landed"), path
@@ -73,10 +82,16 @@ def stream_gap_sessions(t: Tables) -> DataFrame:
     return zoneless(found)
 
 
-@query(f"SELECT user_id, last_ts, session_end AS silent_from FROM ({GAP_SQL}) WHERE session_end <= {CLOSED}")
+@query(f"""
+    SELECT user_id, ts AS last_ts, ts + INTERVAL 6 HOUR AS silent_from, CASE WHEN back <= {SETTLED} THEN back END AS back_ts
+    FROM (SELECT *, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS back FROM events)
+    WHERE (back IS NULL OR back > ts + INTERVAL 6 HOUR) AND ts + INTERVAL 6 HOUR <= {SETTLED}
+""")
 def stream_silent_keys(t: Tables) -> DataFrame:
-    silent = silent_keys(events_stream(t), USER, "ts", timedelta(hours=6))
-    return zoneless(run_to_table(silent, scratch_path(t.spark, "silent-keys")))
+    """Each silence is told when it begins and, where the key has come back, once more."""
+    for events, path in arriving(t, "silent-keys", late_every=7):
+        told = run_to_table(silent_keys(events, USER, "ts", timedelta(hours=6), delay=LATENESS), path)
+    return told.groupBy("user_id", "last_ts", "silent_from").agg(F.max("back_ts").alias("back_ts"))
 
 
 @query(f"""
@@ -102,24 +117,69 @@ def stream_dedupe(t: Tables) -> DataFrame:
 """)
 def stream_current_state(t: Tables) -> DataFrame:
     for events, path in arriving(t, "current", late_every=7):
-        sink = current_state_sink(path, USER, ORDER, every=2)
-        run_available(events.writeStream.foreachBatch(sink), f"{path}/progress")
+        updates = current_states(events, USER, ORDER).writeStream.outputMode("update").foreachBatch(updates_to(path))
+        run_available(updates, f"{path}/progress")
     return read_current(t.spark, path, USER, ORDER, events.schema)
 
 
-@query("""
+@query(f"""
     SELECT event_id, user_id, event_type, previous FROM (
         SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
-    WHERE previous IS DISTINCT FROM event_type
+    WHERE previous IS DISTINCT FROM event_type AND ts <= {SETTLED}
 """)
 def stream_state_changes(t: Tables) -> DataFrame:
-    """Events that land in steps, some of them out of order by up to two thirds of the whole time."""
-    first, last = t("events").agg(F.min("ts"), F.max("ts")).first()
+    """Events that land in steps, some of them a step too late."""
     for events, path in arriving(t, "changes", late_every=7):
-        sink = changes_sink(path, USER, ORDER, "event_type", every=2, delay=(last - first) * 2 / ARRIVALS)
-        run_available(events.writeStream.foreachBatch(sink), f"{path}/progress")
-    flush_changes(t.spark, path, events.schema, USER, ORDER, "event_type", every=2)
-    return t.spark.read.parquet(f"{path}/changes").select("event_id", "user_id", "event_type", "previous")
+        changes = run_to_table(state_changes_stream(events, USER, ORDER, "event_type", LATENESS), path)
+    return changes.select("event_id", "user_id", "event_type", "previous")
+
+
+@query(f"""
+    WITH actions AS (SELECT event_id, user_id, ts, {ACTIONS_SQL} AS action FROM events),
+    decided AS (SELECT *, lag(CASE WHEN action IN ('new', 'attach_or_create', 'ended') THEN action END IGNORE NULLS)
+        OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM actions),
+    starts AS (SELECT *, action = 'new' OR (action = 'attach_or_create' AND coalesce(before, 'ended') = 'ended') AS is_start
+        FROM decided),
+    numbered AS (SELECT *, count(CASE WHEN is_start THEN 1 END) OVER (PARTITION BY user_id ORDER BY ts, event_id
+        ROWS UNBOUNDED PRECEDING) AS number FROM starts WHERE is_start OR coalesce(before, 'ended') <> 'ended'),
+    sessions AS (SELECT user_id, number, arg_min(event_id, ts) AS started_by, min(ts) AS first_ts, max(ts) AS last_ts,
+        count(*) AS n_events, max(CASE WHEN action = 'ended' THEN ts END) AS ended FROM numbered GROUP BY user_id, number),
+    followed AS (SELECT *, lead(first_ts) OVER (PARTITION BY user_id ORDER BY number) AS next FROM sessions)
+    SELECT user_id, started_by, first_ts, last_ts, n_events, CASE WHEN ended IS NULL THEN 'replaced' ELSE 'ended' END AS ended_by
+    FROM followed WHERE coalesce(ended, next) <= {SETTLED}
+""")
+def stream_explicit_sessions(t: Tables) -> DataFrame:
+    """Sessions that were ended or replaced."""
+    for events, path in arriving(t, "explicit", session_events(t), late_every=7):
+        sessions = run_to_table(explicit_sessions_stream(events, USER, ORDER, delay=LATENESS), path)
+    return sessions.select("user_id", F.col("start_event_id").alias("started_by"), "first_ts", "last_ts", "n_events", "ended_by")
+
+
+@query("""
+    SELECT user_id, event_id, event_type FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 20
+""")
+def stream_last_events(t: Tables) -> DataFrame:
+    """The last twenty events of every user, after all updates."""
+    for events, path in arriving(t, "last-events", late_every=7):
+        updates = retain_last_n_stream(events, USER, ORDER, 20).writeStream.outputMode("update").foreachBatch(updates_to(path))
+        run_available(updates, f"{path}/progress")
+    return read_retained(t.spark, path, USER, ORDER, events.schema).select("user_id", "event_id", "event_type")
+
+
+@query(f"""
+    SELECT p.event_id, p.user_id, v.value AS seen_value, v.ts AS seen_ts
+    FROM (SELECT * FROM events WHERE event_type = 'purchase' AND ts <= {SETTLED}) p
+    ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'view') v ON p.user_id = v.user_id AND p.ts >= v.ts
+""")
+def stream_asof_view(t: Tables) -> DataFrame:
+    """Two streams of the same feed: purchases, and the views they look back at."""
+    rows = t("events").select("user_id", "event_id", "ts", "event_type", "value")
+    for events, path in arriving(t, "asof", rows, late_every=7):
+        purchases = events.filter(F.col("event_type") == "purchase").drop("value")
+        views = events.filter(F.col("event_type") == "view")
+        found = run_to_table(asof_guard_stream(purchases, views, USER, "ts", ["value"], ["event_id"], delay=LATENESS), path)
+    return found.select("event_id", "user_id", F.col("state.value").alias("seen_value"), F.col("state.ts").alias("seen_ts"))
 
 
 @query(f"""

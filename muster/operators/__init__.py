@@ -18,7 +18,14 @@ from muster.operators.declared import (
     valid_requests,
     validate_requests,
 )
-from muster.operators.fleet import average_states, package_prevalence, severity_counts, severity_counts_stream
+from muster.operators.fleet import (
+    average_states,
+    compare_sets,
+    installation_sketches,
+    package_prevalence,
+    severity_counts,
+    severity_counts_stream,
+)
 from muster.operators.health import (
     any_true,
     attach_severity,
@@ -62,6 +69,8 @@ from muster.operators.shape import (
     passthrough,
     project_fields,
 )
+from muster.operators.stored import remove_stored, store_packages, stored_packages
+from muster.operators.variants import explode_paths, first_path, project_paths, schema_of_replies
 
 __all__ = [
     "any_of",
@@ -71,6 +80,7 @@ __all__ = [
     "attach_severity",
     "average_states",
     "classify_environment",
+    "compare_sets",
     "conversation_list",
     "declared_packages",
     "default_answer",
@@ -78,11 +88,14 @@ __all__ = [
     "empty_groups",
     "error_count",
     "explicit_sessions",
+    "explode_paths",
     "explode_records",
     "first_element",
+    "first_path",
     "first_record",
     "gap_sessions",
     "has_live_session",
+    "installation_sketches",
     "latest_per_key",
     "list_packages",
     "live_sessions",
@@ -96,8 +109,10 @@ __all__ = [
     "package_rows",
     "passthrough",
     "project_fields",
+    "project_paths",
     "recorded_rows",
     "remove_packages",
+    "remove_stored",
     "replay_commands",
     "request_outcome",
     "requests_missing",
@@ -105,11 +120,14 @@ __all__ = [
     "resolve_code",
     "resolve_launch_mode",
     "retain_last_n",
+    "schema_of_replies",
     "session_starts",
     "severity_counts",
     "severity_counts_stream",
     "silent_keys",
     "state_changes",
+    "store_packages",
+    "stored_packages",
     "summarize_sessions",
     "threshold_flags",
     "top_n",

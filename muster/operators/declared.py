@@ -27,6 +27,9 @@ def match_name(kind: Column, package: Column, folded: Sequence[str] = FOLDED_KIN
 
 
 def matched(df: DataFrame, folded: Sequence[str]) -> DataFrame:
+    """Add the name under which a package is looked up; stored rows have it."""
+    if MATCH in df.columns:
+        return df
     return df.withColumn(MATCH, match_name(F.col("kind"), F.col("package"), folded))
 
 

@@ -230,12 +230,13 @@ def silent_keys(
 ) -> DataFrame:
     """Silences of a key: `last_ts` before it, `silent_from` = `last_ts` + timeout, and `back_ts`, NULL if still silent.
 
-    A silence that is still going on is listed if it began by `as_of`, or always without it. On a stream, each silence
-    appears once the watermark has passed `silent_from`, without `back_ts`.
+    A silence that is still going on is listed if it began by `as_of`, or always without it. On a stream, see
+    `muster.streaming.silent_keys_stream`: `delay` is that of its watermark.
     """
     if events.isStreaming:
-        ended = gap_sessions(events, keys, ts, timeout, delay=delay)
-        return ended.select(*keys, "last_ts", F.col("session_end").alias("silent_from"))
+        from muster.streaming.silence import silent_keys_stream
+
+        return silent_keys_stream(events, keys, ts, timeout, delay)
     ordered = Window.partitionBy(*keys).orderBy(SLOT)
     silences = (
         activity(events, keys, ts, timeout, {})

@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import os
+import pathlib
+import tempfile
 import uuid
+import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -36,6 +40,25 @@ def apply_settings(spark: SparkSession) -> SparkSession:
     return spark
 
 
+# Applications whose tasks have this package.
+SHARED: set[str] = set()
+
+
+def share_package(spark: SparkSession) -> None:
+    """Give Python tasks this package, unless they find it where the driver does: Spark hands its archive to executors."""
+    root, context = pathlib.Path(__file__).resolve().parents[1], spark.sparkContext
+    known = str(root) in os.environ.get("PYTHONPATH", "").split(os.pathsep)
+    if known or context.applicationId in SHARED or not root.is_dir():
+        return
+    archive = pathlib.Path(tempfile.mkdtemp(prefix="muster-")) / "muster-package.zip"
+    with zipfile.ZipFile(archive, "w") as out:
+        for path in sorted((root / "muster").rglob("*.py")):
+            if "llm" not in path.relative_to(root).parts:
+                out.write(path, path.relative_to(root))
+    context.addPyFile(str(archive))
+    SHARED.add(context.applicationId)
+
+
 def scratch_root(spark: SparkSession) -> str:
     """The shared folder named by `spark.checkpoint.dir`, or where that is unset one below the warehouse, shared too."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

@@ -1,16 +1,14 @@
-"""State kept as numbered versions.
+"""State kept as numbered versions, each in a folder of its own.
 
-A version is written once, into a directory of its own, and then named in a pointer. So a version that is not finished
-is never read, a plan that reads version n and writes version n + 1 never overwrites what it reads, and a lost executor
-or a failed job leaves the newest finished version untouched. The pointer is two one-row tables that are written in turn;
-nothing is listed to find the newest version.
+A version counts once Spark has marked its folder as finished. So a version that is being written is never read, a plan that
+reads version n and writes version n + 1 never overwrites what it reads, and what a failed job left is replaced when the
+version is written again.
 """
 
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 
 def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
@@ -23,25 +21,38 @@ def read_if_there(spark: SparkSession, path: str, schema: str) -> DataFrame:
         return spark.createDataFrame([], schema)
 
 
-def point_to(spark: SparkSession, path: str, version: int) -> None:
-    """Make a finished version the newest one. Versions follow each other without gaps."""
-    row = spark.createDataFrame([(version,)], "version BIGINT").coalesce(1)
-    row.write.mode("overwrite").parquet(f"{path}/pointer/turn={version % 2}")
+def finished_folders(spark: SparkSession, pattern: str) -> list[str]:
+    """The folders that match the pattern and hold Spark's mark of a finished write."""
+    context = spark.sparkContext
+    marks = context._jvm.org.apache.hadoop.fs.Path(f"{pattern}/_SUCCESS")
+    found = marks.getFileSystem(context._jsc.hadoopConfiguration()).globStatus(marks)
+    return [status.getPath().getParent().toString() for status in found or []]
+
+
+def version_of(folder: str) -> int:
+    return int(folder.rsplit("version=", 1)[1])
 
 
 def latest_version(spark: SparkSession, path: str) -> int | None:
     """The newest finished version, if there is one."""
-    return read_if_there(spark, f"{path}/pointer", "version BIGINT, turn INT").agg(F.max("version")).first()[0]
+    return max(map(version_of, finished_folders(spark, version_path(path, "*"))), default=None)
 
 
-def version_path(path: str, version: int) -> str:
+def version_path(path: str, version: int | str) -> str:
     return f"{path}/version={version}"
 
 
-def write_version(df: DataFrame, path: str, version: int, mode: str = "errorifexists") -> None:
-    """Write one version; an existing one is an error unless `mode` says otherwise."""
-    df.write.mode(mode).parquet(version_path(path, version))
-    point_to(df.sparkSession, path, version)
+def free_version(spark: SparkSession, path: str, version: int) -> str:
+    """Where a version is to be written; a finished one is an error."""
+    folder = version_path(path, version)
+    if finished_folders(spark, folder):
+        raise FileExistsError(f"{folder} already exists")
+    return folder
+
+
+def write_version(df: DataFrame, path: str, version: int) -> None:
+    """Write one version."""
+    df.write.mode("overwrite").parquet(free_version(df.sparkSession, path, version))
 
 
 def read_version(spark: SparkSession, path: str, version: int | None = None, schema: str | None = None) -> DataFrame:
@@ -60,8 +71,7 @@ def write_package_state(state: DataFrame, path: str, version: int) -> None:
 
     Rows are clustered by kind inside each task only, so a kind that holds most rows is not sent to one task.
     """
-    state.write.mode("errorifexists").partitionBy("kind").parquet(version_path(path, version))
-    point_to(state.sparkSession, path, version)
+    state.write.mode("overwrite").partitionBy("kind").parquet(free_version(state.sparkSession, path, version))
 
 
 def read_package_versions(
@@ -78,6 +88,7 @@ def read_package_versions(
 
 
 __all__ = [
+    "finished_folders",
     "latest_version",
     "read_if_there",
     "read_package_versions",

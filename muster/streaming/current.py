@@ -1,187 +1,124 @@
-"""Current state per key, and changes of state, kept by micro-batches.
+"""The newest row and the last rows per key of a stream, kept in Spark's state.
 
-Every micro-batch writes only the newest row per key it has seen, as one part of a generation of `every` parts. The first
-batch of the next generation merges the last one into a base. Three generations take turns in the same directories, so
-that neither their number nor what a batch has to list grows with the stream, and the generation before the last is what
-gets replaced. The generation of a row is in the row, and a pointer tells readers which base is finished. A batch that is
-delivered again replaces its own parts by the same rows.
+Both come out as updates: after each micro-batch, what has changed. `updates_to` writes them as plain Parquet, a folder per
+micro-batch that a repeated micro-batch replaces.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
-from datetime import timedelta
+import heapq
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.stateful_processor import TimerValues
 
-from muster.operators.history import latest_per_key, state_changes
-from muster.plans.hot import same_keys
-from muster.plans.slots import AUTO, Slices
-from muster.sources.versions import latest_version, point_to, read_if_there, version_path
+from muster.operators.history import KEEP_ROWS, latest_per_key
+from muster.session import share_package
+from muster.sources.versions import read_if_there
+from muster.streaming.ordered import place, plain_schema, plain_times, times_again
 
 BatchWriter = Callable[[DataFrame, int], None]
-GENERATION, PART, BASE = "_generation", "_part", -1
-EVERY = 50
-TURNS = 3
+BATCH = "_batch"
+KEPT = "kept"
 
 
-def ddl(schema: T.StructType, *more: str) -> str:
-    return ", ".join([*(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields), *more])
+def columns_of(schema: T.StructType) -> str:
+    return ", ".join(f"`{field.name}` {field.dataType.simpleString()}" for field in schema.fields)
 
 
-def generation_path(path: str, generation: int) -> str:
-    return f"{path}/state/turn={generation % TURNS}"
+def current_states(stream: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
+    """`latest_per_key` of a stream, in update mode: after each micro-batch, the newest row of every key it has changed.
 
-
-def generation_rows(spark: SparkSession, path: str, schema: T.StructType, generation: int, parts: int) -> DataFrame:
-    """The base and the first `parts` parts of a generation, newest or not."""
-    kinds = ddl(schema, f"{GENERATION} BIGINT", f"{PART} INT")
-    rows = read_if_there(spark, generation_path(path, generation), kinds)
-    return rows.filter((F.col(GENERATION) == generation) & (F.col(PART) < parts)).select(*schema.names)
+    The state is one row per key. Rows may arrive in any order.
+    """
+    return latest_per_key(stream, keys, order)
 
 
-def write_part(rows: DataFrame, path: str, generation: int, part: int) -> None:
-    numbered = rows.withColumn(GENERATION, F.lit(generation).cast("bigint"))
-    numbered.write.mode("overwrite").parquet(f"{generation_path(path, generation)}/{PART}={part}")
+def updates_to(path: str) -> BatchWriter:
+    """For `foreachBatch`: write the rows of a micro-batch to its own folder below `path`."""
 
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/updates/{BATCH}={number}")
 
-def stored_rows(spark: SparkSession, path: str, schema: T.StructType, number: int, every: int) -> DataFrame:
-    """What the batches before `number` have stored: at most a base row and a row per part for each key."""
-    if number == 0:
-        return spark.createDataFrame([], schema)
-    generation = (number - 1) // every
-    return generation_rows(spark, path, schema, generation, number - generation * every)
+    return write
 
 
-def store_newest(
-    newest: DataFrame, number: int, path: str, keys: Sequence[str], order: Sequence[str], every: int
-) -> None:
-    """Write the rows of a batch; the first of a generation writes its base before."""
-    spark, generation, part = newest.sparkSession, number // every, number % every
-    if part == 0 and generation:
-        before = stored_rows(spark, path, newest.schema, number, every)
-        write_part(latest_per_key(before, keys, order), path, generation, BASE)
-        point_to(spark, f"{path}/state", generation)
-    write_part(newest, path, generation, part)
+def read_updates(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
+    """All updates with the number of their micro-batch; none if nothing is written."""
+    columns = schema if isinstance(schema, str) else columns_of(schema)
+    return read_if_there(spark, f"{path}/updates", f"{columns}, {BATCH} BIGINT")
 
 
 def read_current(
     spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], schema: str | T.StructType
 ) -> DataFrame:
-    """The newest row per key, of rows with the given columns; empty if nothing is stored."""
-    columns = T.StructType.fromDDL(schema) if isinstance(schema, str) else schema
-    generation = latest_version(spark, f"{path}/state") or 0
-    return latest_per_key(generation_rows(spark, path, columns, generation, 2**31 - 1), keys, order)
-
-
-def current_state_sink(path: str, keys: Sequence[str], order: Sequence[str], every: int = EVERY) -> BatchWriter:
-    """For `foreachBatch`: keep the newest row per key below `path`. Nothing that is stored is read but by the first
-    batch of a generation."""
-    def write(batch: DataFrame, number: int) -> None:
-        store_newest(latest_per_key(batch, keys, order), number, path, keys, order, every)
-
-    return write
-
-
-def turn_path(path: str, name: str, number: int) -> str:
-    """Where a batch leaves something for the next one only."""
-    return f"{path}/{name}/turn={number % 2}"
-
-
-def left_behind(spark: SparkSession, path: str, name: str, number: int, schema: T.StructType) -> DataFrame:
-    """What batch `number` has left."""
-    rows = read_if_there(spark, turn_path(path, name, number), ddl(schema, "_number BIGINT"))
-    return rows.filter(F.col("_number") == number).drop("_number")
-
-
-def leave(rows: DataFrame, path: str, name: str, number: int) -> None:
-    numbered = rows.withColumn("_number", F.lit(number).cast("bigint"))
-    numbered.write.mode("overwrite").parquet(turn_path(path, name, number))
-
-
-def of_keys(stored: DataFrame, rows: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """The stored rows whose key occurs in `rows`."""
-    named = rows.select(*[F.col(key).alias(f"_hot_{key}") for key in keys]).distinct()
-    return stored.join(named, same_keys(stored, named, keys), "left_semi")
-
-
-def write_changes(
-    batch: DataFrame,
-    number: int,
-    path: str,
-    keys: Sequence[str],
-    order: Sequence[str],
-    state: str,
-    slices: Slices,
-    every: int,
-    delay: timedelta,
-    whole: bool,
-) -> None:
-    spark, schema = batch.sparkSession, batch.schema
-    ts = order[0]
-    mark = T.StructType([T.StructField("newest", schema[ts].dataType)])
-    batch = batch.persist()
-    try:
-        seen = left_behind(spark, path, "mark", number - 1, mark)
-        newest_time = batch.agg(F.max(ts).alias("newest")).unionByName(seen).agg(F.max("newest")).first()[0]
-        waiting = batch.unionByName(left_behind(spark, path, "waiting", number - 1, schema))
-        # A time without a zone goes through text, so that Python's own zone does not matter.
-        zoneless = isinstance(schema[ts].dataType, T.TimestampNTZType)
-        horizon = F.lit(str(newest_time) if zoneless else newest_time).cast(schema[ts].dataType)
-        is_ready = F.lit(True) if whole or newest_time is None else F.col(ts).isNull() | (F.col(ts) <= horizon - F.lit(delay))
-        ready = waiting.filter(is_ready)
-        stored = latest_per_key(of_keys(stored_rows(spark, path, schema, number, every), ready, keys), keys, order)
-        reached = stored.select(*[F.col(key).alias(f"_hot_{key}") for key in keys], F.struct(*order).alias("_reached"))
-        beside = ready.join(reached, same_keys(ready, reached, keys), "left")
-        is_late = F.coalesce(F.struct(*order) <= F.col("_reached"), F.lit(False))
-        fresh, late = beside.filter(~is_late).select(*schema.names), beside.filter(is_late).select(*schema.names)
-        rows = fresh.withColumn("_old", F.lit(False)).unionByName(stored.withColumn("_old", F.lit(True)))
-        changes = state_changes(rows, keys, order, state, slices).filter(~F.col("_old")).drop("_old")
-        changes.write.mode("overwrite").parquet(version_path(f"{path}/changes", number))
-        late.write.mode("overwrite").parquet(version_path(f"{path}/late", number))
-        leave(waiting.filter(~is_ready), path, "waiting", number)
-        store_newest(latest_per_key(fresh, keys, order), number, path, keys, order, every)
-        leave(spark.createDataFrame([(newest_time,)], mark), path, "mark", number)
-        point_to(spark, f"{path}/batches", number)
-    finally:
-        batch.unpersist()
-
-
-def changes_sink(
-    path: str,
-    keys: Sequence[str],
-    order: Sequence[str],
-    state: str = "state",
-    slices: Slices = AUTO,
-    every: int = EVERY,
-    delay: timedelta = timedelta(0),
-) -> BatchWriter:
-    """For `foreachBatch`: write state changes to versions below `path/changes`, remembering the state between batches.
-
-    `order` begins with the event time and is unique within a key. Rows wait until the newest time seen is `delay` later
-    than theirs, so rows that arrive out of order by less are put in order; `flush_changes` ends the wait. What arrives
-    behind a row of its key that did not wait any more is written to `path/late`, not dropped.
+    """The newest row per key, of written updates of `current_states`; empty if there are none."""
+    return latest_per_key(read_updates(spark, path, schema).drop(BATCH), keys, order)
+
+
+class LastRows(StatefulProcessor):
+    """The last rows of a key in map state: at most `n`, by their place in the order."""
+
+    def __init__(self, row: T.StructType, place: T.StructType, names: list[str], n: int) -> None:
+        self.row, self.place, self.names, self.n = row, place, names, n
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.output = Row(*self.names)
+        self.kept = handle.getMapState("kept", self.place, self.row)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
+        order = self.place.names
+        places = {place(one, range(len(order))): tuple(one) for one in self.kept.keys()}
+        arrived: dict[tuple, Row] = {}
+        least: list[tuple] = []
+        for row in rows:
+            at = place(row, order)
+            if at in places or at in arrived or (len(arrived) == self.n and at < least[0]):
+                continue
+            arrived[at] = row
+            if len(arrived) > self.n:
+                del arrived[heapq.heappushpop(least, at)]
+            else:
+                heapq.heappush(least, at)
+        stay = set(heapq.nlargest(self.n, [*places, *arrived]))
+        for at, names in places.items():
+            if at not in stay:
+                values = self.kept.getValue(names)
+                self.kept.removeKey(names)
+                yield self.output(*key, *values, False)
+        for at, row in arrived.items():
+            if at in stay:
+                values = tuple(row[name] for name in self.row.names)
+                self.kept.updateValue(tuple(row[name] for name in order), values)
+                yield self.output(*key, *values, True)
+
+    def close(self) -> None:
+        pass
+
+
+def retain_last_n_stream(stream: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = KEEP_ROWS) -> DataFrame:
+    """`retain_last_n` of a stream, in update mode: rows that have come among the last `n` of their key (`kept`) and rows
+    that have left them (not `kept`).
+
+    `order` is unique within a key: of rows with an equal place the first to arrive counts. The state holds at most `n` rows
+    per key, however long the stream, and rows may arrive in any order.
     """
-    def write(batch: DataFrame, number: int) -> None:
-        write_changes(batch, number, path, keys, order, state, slices, every, delay, False)
-
-    return write
+    share_package(stream.sparkSession)
+    schema = plain_schema(stream.schema)
+    row = T.StructType([field for field in schema.fields if field.name not in keys])
+    found = T.StructType([*[schema[key] for key in keys], *row.fields, T.StructField(KEPT, T.BooleanType())])
+    processor = LastRows(row, T.StructType([schema[name] for name in order]), found.names, n)
+    updates = plain_times(stream).groupBy(*keys).transformWithState(processor, found, "Update", "None")
+    return times_again(updates, stream.schema).select(*stream.columns, KEPT)
 
 
-def flush_changes(
-    spark: SparkSession,
-    path: str,
-    schema: str | T.StructType,
-    keys: Sequence[str],
-    order: Sequence[str],
-    state: str = "state",
-    slices: Slices = AUTO,
-    every: int = EVERY,
-) -> None:
-    """Write the changes of all rows that still wait. For the end of a stream: it counts as one more batch."""
-    last = latest_version(spark, f"{path}/batches")
-    if last is not None:
-        nothing = spark.createDataFrame([], schema)
-        write_changes(nothing, last + 1, path, keys, order, state, slices, every, timedelta(0), True)
+def read_retained(
+    spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[str], schema: str | T.StructType
+) -> DataFrame:
+    """The rows that are kept by the written updates of `retain_last_n_stream`."""
+    columns = schema if isinstance(schema, str) else columns_of(schema)
+    updates = read_updates(spark, path, f"{columns}, {KEPT} BOOLEAN")
+    return latest_per_key(updates, [*keys, *order], [BATCH]).filter(KEPT).drop(KEPT, BATCH)

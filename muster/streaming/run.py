@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.streaming.readwriter import DataStreamWriter
 
 
@@ -21,10 +22,16 @@ def stream_table(spark: SparkSession, folder: str, table: str, max_files: int |
     return reader.parquet(f"{folder}/{table}")
 
 
-def run_available(writer: DataStreamWriter, checkpoint: str) -> None:
-    """Run a stream over everything available and wait for its end."""
+def run_available(writer: DataStreamWriter, checkpoint: str) -> StreamingQuery:
+    """Run a stream over everything available, wait for its end and return the finished query."""
     query = writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
     query.awaitTermination()
+    return query
+
+
+def late_rows(query: StreamingQuery) -> int:
+    """Rows that came behind the watermark and were dropped, in the micro-batches whose progress Spark still has."""
+    return sum(state.numRowsDroppedByWatermark for progress in query.recentProgress for state in progress.stateOperators)
 
 
 def run_to_table(stream: DataFrame, path: str) -> DataFrame:

@@ -64,8 +64,15 @@ def test_unfinished_version_does_not_count(spark, tmp_path):
     path = str(tmp_path / "table")
     write_version(spark.range(3), path, 1)
     spark.range(9).write.parquet(version_path(path, 2))
+    (tmp_path / "table" / "version=2" / "_SUCCESS").unlink()
     assert latest_version(spark, path) == 1
     assert read_version(spark, path).count() == 3
+    write_version(spark.range(4), path, 2)
+    assert latest_version(spark, path) == 2 and read_version(spark, path).count() == 4
+    write_version(spark.range(5), path, 10)
+    assert latest_version(spark, path) == 10
+    with pytest.raises(FileExistsError):
+        write_version(spark.range(5), path, 2)
     with pytest.raises(FileNotFoundError):
         read_version(spark, str(tmp_path / "nowhere"))
 
