@@ -9,7 +9,9 @@ Passages are two neighbouring blocks of words, so that an item lies within one o
 classed by length, and each class has blocks of its own length. What the pivot test of WAND would find first, whether
 the rarer terms and all that the common terms may add can reach the threshold at all, is asked for many passages at once.
 
-The index is broadcast, so its size is checked: items of more than `INDEX_BYTES` are indexed in parts, one after the other.
+The index is broadcast, so its size is checked: items of more than `INDEX_BYTES` are indexed in parts, and the rows are
+written between parts, so that no task holds two. All parts have the word counts of all items, and a passage is searched for
+the items of its own class only, so neither parts nor other items change what is found or its score.
 """
 
 from __future__ import annotations
@@ -18,6 +20,7 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -25,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import fresh, map_arrow, shared, texts_of
+from muster.llm.common import fresh, map_arrow, saved, shared, texts_of
 
 K1, B = 1.2, 0.75
 LEAST_SCORE = 0.7
@@ -68,6 +71,8 @@ class Item:
     def __init__(self, item_id: int, text: str) -> None:
         self.item_id = item_id
         self.words = words_of(text)
+        # Words of a block of its class.
+        self.length = max(16, 1 << max(0, len(self.words) - 1).bit_length())
         question, answer = question_and_answer(text)
         self.runs, self.question, self.answer = shingles(self.words), shingles(question), set(answer)
 
@@ -89,16 +94,24 @@ def holds(overlaps: tuple[float, float, float]) -> bool:
     return whole >= LEAST_OVERLAP or (question >= LEAST_OVERLAP and answer >= LEAST_OVERLAP and whole >= 0.5)
 
 
+class Totals(NamedTuple):
+    """Of all items, whatever part an index has of them: how many have words, their words, and items by word."""
+
+    items: int
+    words: int
+    holding: dict[str, int]
+
+
 class Index:
     """Postings by term: items in order, their impacts, the largest impact of each block and of the whole list."""
 
-    def __init__(self, items: list[tuple[int, str]]) -> None:
+    def __init__(self, items: list[tuple[int, str]], totals: Totals | None = None) -> None:
         self.items = [item for item in (Item(*pair) for pair in sorted(items)) if item.words]
-        n = len(self.items)
         counts = [Counter(item.words) for item in self.items]
         held = Counter(word for count in counts for word in count)
-        idf = {word: math.log(1 + (n - k + 0.5) / (k + 0.5)) for word, k in held.items()}
-        mean = sum(map(len, (item.words for item in self.items))) / max(1, n)
+        n, n_words, holding = totals or (len(self.items), sum(len(item.words) for item in self.items), held)
+        idf = {word: math.log(1 + (n - holding[word] + 0.5) / (holding[word] + 0.5)) for word in held}
+        mean = n_words / max(1, n)
         postings: dict[str, list[tuple[int, float]]] = {word: [] for word in held}
         for at, (item, count) in enumerate(zip(self.items, counts)):
             norm = K1 * (1 - B + B * len(item.words) / mean)
@@ -118,7 +131,7 @@ class Index:
         common = max(COMMON, len(self.items) // 50)
         by_length: dict[int, set[int]] = {}
         for at, item in enumerate(self.items):
-            by_length.setdefault(max(16, 1 << (len(item.words) - 1).bit_length()), set()).add(at)
+            by_length.setdefault(item.length, set()).add(at)
         out = []
         for length, members in sorted(by_length.items()):
             starts, rows, weights, rest = [0], [], [], np.zeros(len(self.items))
@@ -163,7 +176,7 @@ class Index:
             if bound < least - 1e-9:
                 target = max(end, pivot + 1)
             elif lists[0][1][lists[0][0]] == pivot:
-                score = sum(one[2][one[0]] for one in upto)
+                score = math.fsum(one[2][one[0]] for one in upto)
                 if score >= least - 1e-9:
                     found.append((pivot, score))
                 target = pivot + 1
@@ -179,8 +192,8 @@ class Index:
         return found
 
 
-def candidate_passages(index: Index, ids: np.ndarray, starts: np.ndarray, least: float) -> Iterator[tuple[int, int, int]]:
-    """Document, first and last word of passages that may reach the threshold.
+def candidate_passages(index: Index, ids: np.ndarray, starts: np.ndarray, least: float) -> Iterator[tuple[int, int, int, int]]:
+    """Class, document, first and last word of passages that may reach the threshold for an item of the class.
 
     `ids` are the terms of all documents one after the other, -1 for words that are in no item.
     """
@@ -216,7 +229,7 @@ def candidate_passages(index: Index, ids: np.ndarray, starts: np.ndarray, least:
         for number, k in zip(hot.tolist(), which.tolist()):
             low = (number - int(base[k])) * length
             if k >= 0 and 0 <= low < sizes[k]:
-                yield k, low, min(low + 2 * length, int(sizes[k]))
+                yield length, k, low, min(low + 2 * length, int(sizes[k]))
 
 
 def found_items(index: Index, texts: list[str], least: float) -> list[dict[int, tuple[float, float, float, float]]]:
@@ -225,10 +238,12 @@ def found_items(index: Index, texts: list[str], least: float) -> list[dict[int,
     words = [words_of(text) for text in texts]
     ids = np.array([known(word, -1) for some in words for word in some], np.int64)
     starts = np.concatenate(([0], np.cumsum([len(some) for some in words]))).astype(np.int64)
-    for k, low, high in candidate_passages(index, ids, starts, least):
+    for length, k, low, high in candidate_passages(index, ids, starts, least):
         terms = set(ids[starts[k] + low : starts[k] + high].tolist()) - {-1}
         for at, score in index.search(terms, least):
             item = index.items[at]
+            if item.length != length:
+                continue
             overlaps = item.overlaps(words[k][low:high])
             if holds(overlaps):
                 best = out[k].get(item.item_id)
@@ -263,18 +278,35 @@ def with_items(
     parts = max(1, math.ceil(size / index_bytes))
     rest = df.drop(name).withColumn(text, F.col(text).cast("string"))
     schema = T.StructType([*rest.schema.fields, T.StructField(name, T._parse_datatype_string(MATCH))])
-    result = rest
-    for part in range(parts):
+    if parts == 1:
+        index = shared(df, Index([(row["item_id"], row["text"]) for row in usable.collect()]))
+        return map_arrow(rest, matched(index, text, name, least), schema)
+    columns = [fresh(f"_{name}_{part}", df.columns) for part in range(parts)]
+    result, usable = rest, saved(usable.withColumn("part", F.pmod(F.xxhash64("item_id"), F.lit(parts))), "items")
+    for part, (column, totals) in enumerate(zip(columns, totals_of_parts(usable, parts))):
         # One part is at most about `index_bytes` of text, whatever the number of items.
-        mine = usable.filter(F.pmod(F.xxhash64("item_id"), F.lit(parts)) == part)
-        index = shared(df, Index([(row["item_id"], row["text"]) for row in mine.collect()]))
-        column = name if parts == 1 else fresh(f"_{name}_{part}", df.columns)
+        rows = usable.filter(F.col("part") == part).collect()
+        index = shared(df, Index([(row["item_id"], row["text"]) for row in rows], totals))
         fields = T.StructType([*result.schema.fields, T.StructField(column, schema[name].dataType)])
-        result = map_arrow(result, matched(index, text, column, least), fields)
-    if parts > 1:
-        columns = [fresh(f"_{name}_{part}", df.columns) for part in range(parts)]
-        result = result.withColumn(name, F.array_sort(F.concat(*columns))).drop(*columns)
-    return result
+        result = saved(map_arrow(result, matched(index, text, column, least), fields), "decontamination")
+    return result.withColumn(name, F.array_sort(F.concat(*columns))).drop(*columns)
+
+
+def totals_of_parts(items: DataFrame, parts: int) -> Iterator[Totals]:
+    """The totals of all items for each part, with the counts of the part's words only."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            words = [words_of(one.decode("utf-8", "replace")) for one in texts_of(batch.column("text"))]
+            yield {"part": batch.column("part"), "n": list(map(len, words)), "words": [sorted(set(some)) for some in words]}
+
+    listed = saved(map_arrow(items.select("part", "text"), run, "part long, n long, words array<string>"), "item-words")
+    n, n_words = listed.filter("n > 0").agg(F.count("*"), F.sum("n")).first()
+    words = listed.select("part", F.explode("words").alias("word"))
+    holding = saved(words.groupBy("word").agg(F.count("*").alias("n")), "item-word-counts")
+    for part in range(parts):
+        mine = holding.join(words.filter(F.col("part") == part).select("word").distinct(), "word", "left_semi")
+        yield Totals(n, n_words or 0, {row["word"]: row["n"] for row in mine.collect()})
 
 
 def matched(index, text: str, name: str, least: float):

@@ -60,6 +60,24 @@ def test_against_brute_force(spark, odd_texts):
     assert {r.key: [m.item_id for m in r["items"]] for r in parted.collect()} == rows
 
 
+def test_parts_change_neither_items_nor_scores(spark):
+    """Passages that hold a part of an item: what is near the threshold is found alike, with equal scores."""
+    items, _ = made(4)
+    rng = random.Random(5)
+    texts = []
+    for _ in range(300):
+        words = rng.choice(items)[1].split()
+        kept = [word for word in words if rng.random() < rng.choice([0.75, 0.85, 0.95])]
+        other = rng.choice(items)[1].split()
+        texts.append(" ".join([*other[: rng.randint(0, 30)], *kept, *rng.choice(items)[1].split()[: rng.randint(0, 90)]]))
+    df = documents(spark, texts).select("doc_id", "text").repartition(3)
+    whole, parted = (
+        {r.doc_id: [tuple(m) for m in r["items"]] for r in d.with_items(df, item_table(spark, items), index_bytes=size).collect()}
+        for size in (d.INDEX_BYTES, 3000)
+    )
+    assert parted == whole and 20 < sum(map(bool, whole.values())) < 300
+
+
 def test_odd_items(spark):
     items = [(1, None), (2, ""), (None, "one two three four five"), (3, " . "), (4, "Zebra quagga"), (5, "b"), (5, "a"), (5, "a")]
     texts = ["one two three four five", "a zebra, quagga!", "zebra a quagga", None, "b"]
