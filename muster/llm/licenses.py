@@ -1,15 +1,17 @@
 """Licence texts and notices, found by the digest of their canonical form.
 
 A text's canonical form has no copyright lines, no case, no punctuation and one spelling of words that licences spell
-differently. Entire texts are compared: a whole document, each of its blocks of lines, and each line. Their digests are
-joined with the digests of known texts, a table of fixed size that Spark broadcasts; nothing else is shuffled.
+differently. Entire texts are compared: a whole document, each of its blocks of lines, each line, and each run of
+neighbouring blocks that begins like a known text, so that a licence in its usual paragraphs is found within a larger
+document however its paragraphs are divided. Their digests are joined with the digests of known texts, a table of fixed size
+that Spark broadcasts; only rows that are found are shuffled.
 """
 
 from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.llm.common import UPPER
@@ -136,17 +138,96 @@ Unless required by applicable law or agreed to in writing, software distributed
 }
 
 
+# The licence of three clauses is that of two with one more.
+FULL_TEXTS["BSD-3-Clause"] = FULL_TEXTS["BSD-2-Clause"].replace(
+    "\n\nTHIS SOFTWARE IS",
+    "\n\n3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products"
+    " derived from this software without specific prior written permission.\n\nTHIS SOFTWARE IS",
+)
+FULL_TEXTS["BSL-1.0"] = """Boost Software License - Version 1.0 - August 17th, 2003
+
+Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the "Software") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:
+
+The copyright notices in the Software and this entire statement, including the above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software, unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+# Standard notices of licences that are too long to be quoted in full.
+NOTICES = {
+    "BSL-1.0": ["Distributed under the Boost Software License, Version 1.0. (See accompanying file LICENSE_1_0.txt or copy at https://www.boost.org/LICENSE_1_0.txt)"],
+    "MPL-2.0": [
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
+        "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, you can obtain one at https://mozilla.org/MPL/2.0/.\n\nThis Source Code Form is \"Incompatible With Secondary Licenses\", as defined by the Mozilla Public License, v. 2.0.",
+    ],
+    "EPL-2.0": [
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License v. 2.0 which is available at https://www.eclipse.org/legal/epl-2.0.",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which accompanies this distribution, and is available at https://www.eclipse.org/legal/epl-2.0/",
+    ],
+    "CC0-1.0": [
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.\n\nYou should have received a copy of the CC0 Public Domain Dedication along with this software. If not, see <https://creativecommons.org/publicdomain/zero/1.0/>.",
+        "To the extent possible under law, the author(s) have dedicated all copyright and related and neighboring rights to this software to the public domain worldwide. This software is distributed without any warranty.",
+    ],
+}
+GNU = {
+    "GPL-2.0": ("General", "2"),
+    "GPL-3.0": ("General", "3"),
+    "LGPL-2.1": ("Lesser General", "2.1"),
+    "LGPL-3.0": ("Lesser General", "3"),
+    "AGPL-3.0": ("Affero General", "3"),
+}
+GNU_ENDS = (
+    "If not, see <https://www.gnu.org/licenses/>.",
+    "If not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    "If not, write to the Free Software Foundation, Inc., 59 Temple Place, Suite 330, Boston, MA 02111-1307 USA",
+)
+CC_ENDS = (
+    "",
+    " or send a letter to Creative Commons, PO Box 1866, Mountain View, CA 94042, USA.",
+    " or send a letter to Creative Commons, 444 Castro Street, Suite 900, Mountain View, California, 94041, USA.",
+)
+
+
+def gnu_notices(kind: str, version: str) -> list[str]:
+    """The notice as the licence gives it: its first paragraph, its first two, or all three, for a program or a library."""
+    notices = []
+    for noun in ("program", "library", "software"):
+        for choice in (f"either version {version} of the License, or (at your option) any later version", f"version {version} of the License"):
+            first = (
+                f"This {noun} is free software: you can redistribute it and/or modify it under the terms of the GNU {kind} Public"
+                f" License as published by the Free Software Foundation, {choice}."
+            )
+            second = (
+                f"This {noun} is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+                f" warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU {kind} Public License for more details."
+            )
+            third = f"You should have received a copy of the GNU {kind} Public License along with this {noun}. "
+            notices += [first, f"{first}\n\n{second}", *[f"{first}\n\n{second}\n\n{third}{end}" for end in GNU_ENDS]]
+    return notices
+
+
 def known_texts() -> list[tuple[str, str]]:
-    """Identifier and text: full texts, also without their title; SPDX lines; and notices by rule."""
+    """Identifier and text: full texts, also without their title; SPDX lines; standard notices; and notices by rule."""
     rows = list(FULL_TEXTS.items())
-    rows += [(name, text.split("\n\n", 1)[1]) for name, text in FULL_TEXTS.items() if name in ("MIT", "ISC")]
+    rows += [(name, text.split("\n\n", 1)[1]) for name, text in FULL_TEXTS.items() if name in ("MIT", "ISC", "BSL-1.0")]
+    rows.append(("Unlicense", FULL_TEXTS["Unlicense"] + "\n\nFor more information, please refer to <https://unlicense.org/>"))
+    rows += [(name, notice) for name, notices in NOTICES.items() for notice in notices]
+    rows += [(name, notice) for name, of in GNU.items() for notice in gnu_notices(*of)]
     for identifier, names in NAMES.items():
         rows.append((identifier, f"SPDX-License-Identifier: {identifier}"))
         titles = names + [f"{name} license" for name in names if not name.endswith("License")]
         rows += [(identifier, f"{intro} {title}") for title in titles for intro in ("License:", "Licensed under")]
+        if identifier.startswith("CC-"):
+            kind, version = identifier.removeprefix("CC-").lower().rsplit("-", 1)
+            address = f"To view a copy of this license, visit https://creativecommons.org/licenses/{kind}/{version}/"
+            rows += [(identifier, f"Licensed under {title}. {address}{end}") for title in names[2:] for end in CC_ENDS]
     return rows
 
 
+# A run of blocks has at most as many as the longest known text, and some that its paragraphs may be divided into.
+RUN = 3 + max(text.count("\n\n") + 1 for _, text in known_texts())
+OPENING = r"^\S+(?: \S+){0,3}"
+
+
 def canonical(text: Column) -> Column:
     """The canonical form; empty if nothing is left."""
     lowered = F.translate(text, UPPER, UPPER.lower())
@@ -157,11 +238,46 @@ def canonical(text: Column) -> Column:
     return F.btrim(reduce(lambda one, pair: F.regexp_replace(one, F.lit(pair[0]), F.lit(pair[1])), WORDINGS, spelt))
 
 
-def known_digests(spark: SparkSession, texts: list[tuple[str, str]] | None = None) -> DataFrame:
-    """`digest`, `license`: one row per known canonical form; of two names for one form the first in order counts."""
-    rows = literal_table(spark, texts if texts is not None else known_texts(), "license string, text string")
-    made = rows.select(canonical(F.col("text")).alias("form"), "license").filter("form <> ''")
-    return made.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+def block_forms(text: Column) -> Column:
+    """Number and canonical form of each block that has one."""
+    blocks = F.split(text, BLOCK_END, -1)
+    forms = F.transform(blocks, lambda part, at: F.struct(at.alias("place"), canonical(part).alias("form")))
+    return F.filter(forms, lambda one: one["form"] != "")
+
+
+def by_blocks(text: Column) -> Column:
+    """The canonical forms of a text's blocks."""
+    return F.transform(block_forms(text), lambda one: one["form"])
+
+
+def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    """`digest`, `license`: one row per canonical form of a text, or of its blocks one after the other; of two names for one
+    form the first in order counts."""
+    rows = literal_table(spark, texts, "license string, text string")
+    both = F.array(canonical(F.col("text")), F.array_join(by_blocks(F.col("text")), " "))
+    forms = rows.select(F.explode(both).alias("form"), "license").filter("form <> ''")
+    return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
+
+
+def openings(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
+    """`words`: the first words of the texts of several blocks, and of their first blocks, which may be titles."""
+    rows = literal_table(spark, [one for one in texts if "\n\n" in one[1]], "license string, text string")
+    forms = rows.select(by_blocks(F.col("text")).alias("_forms"))
+    starts = F.array(F.array_join("_forms", " "), F.get("_forms", F.lit(0)))
+    words = forms.select(F.explode(starts).alias("form")).select(F.regexp_extract("form", OPENING, 0).alias("words"))
+    return words.distinct()
+
+
+# Digests and first words of the built-in texts, some hundred short rows, once they have been computed.
+BUILT_IN: list[tuple[list[tuple[str, str]], list[str]]] = []
+
+
+def built_in(spark: SparkSession) -> tuple[list[tuple[str, str]], list[str]]:
+    if not BUILT_IN:
+        digests = [tuple(row) for row in known_digests(spark, known_texts()).collect()]
+        words = [row["words"] for row in openings(spark, known_texts()).collect()]
+        BUILT_IN.append((sorted(digests), sorted(words)))
+    return BUILT_IN[0]
 
 
 def units(text: Column) -> Column:
@@ -182,20 +298,59 @@ def units(text: Column) -> Column:
     )
 
 
+def runs(forms: Column, first_words: list[str]) -> Column:
+    """The runs of several blocks that begin like a known text: numbers of the first and last block, and the form."""
+    n = F.size(forms)
+    begins = F.filter(
+        F.sequence(F.lit(0), n - 1),
+        lambda p: (p < n - 1) & F.regexp_extract(F.get(forms, p)["form"], OPENING, 0).isin(first_words),
+    )
+
+    def run(p: Column, k: Column) -> Column:
+        some = F.slice(forms, p + 1, k)
+        return F.struct(
+            F.lit("blocks").alias("scope"),
+            F.get(forms, p)["place"].alias("place"),
+            F.lit(None).cast("string").alias("part"),
+            F.get(forms, p + k - 1)["place"].alias("last"),
+            F.array_join(F.transform(some, lambda one: one["form"]), " ").alias("form"),
+        )
+
+    made = F.transform(begins, lambda p: F.transform(F.sequence(F.lit(2), F.least(F.lit(RUN), n - p)), lambda k: run(p, k)))
+    return F.when(n > 1, F.flatten(made)).otherwise(F.array())
+
+
 def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataFrame | None = None) -> DataFrame:
     """A row per licence text found: `doc_id`, `scope`, `place` (number of the block or line from 0), `license`, `digest`.
 
-    A whole text, block or line is found if its canonical form is that of a known text. NULL, empty and blank texts
-    hold none. Every row is a document, whatever its id; repeated rows give repeated results. An empty table gives no
-    rows; other columns are not read. `known` (`digest`, `license`) replaces the built-in table; one row per digest.
+    A whole text, block, line or run of blocks (`blocks`, by its first) is found if its canonical form is that of a known
+    text. Of runs that begin or end with the same block the longest counts, and none in a document that is a known text as
+    a whole. NULL, empty and blank texts hold none. Every row is a document, whatever its id; repeated rows give repeated
+    results. An empty table gives no rows; other columns are not read. `known` (`digest`, `license`) replaces the built-in
+    table, one row per digest; runs begin like the built-in texts then too.
     """
+    spark = df.sparkSession
     rows = df.select(df[doc_id].alias("doc_id"), df[text].cast("string").alias("text"))
-    hinted = rows.filter(F.regexp_like("text", F.lit(HINT)))
-    parts = hinted.select("doc_id", F.inline(units(F.col("text"))))
-    digests = parts.select("doc_id", "scope", "place", F.sha2(canonical(F.col("part")), 256).alias("digest"))
+    hinted = rows.filter(F.regexp_like("text", F.lit(HINT))).withColumn("_row", F.monotonically_increasing_id())
+    formed = hinted.withColumn("_forms", block_forms(F.col("text")))
+    none = (F.lit(None).cast("int").alias("last"), F.lit(None).cast("string").alias("form"))
+    plain = F.transform(units(F.col("text")), lambda one: F.struct(one["scope"].alias("scope"), one["place"].alias("place"), one["part"].alias("part"), *none))
+    built_in_digests, first_words = built_in(spark)
+    every = formed.select("doc_id", "_row", F.inline(F.concat(plain, runs(F.col("_forms"), first_words))))
+    form = F.coalesce(F.col("form"), canonical(F.col("part")))
+    digests = every.select("doc_id", "_row", "scope", "place", "last", F.sha2(form, 256).alias("digest"))
     # The built-in table is some hundred literal rows; one that is given is broadcast only if Spark finds it small.
-    table = F.broadcast(known_digests(df.sparkSession)) if known is None else known
-    return digests.join(table, "digest").select("doc_id", "scope", "place", "license", "digest")
+    table = F.broadcast(literal_table(spark, built_in_digests, "digest string, license string")) if known is None else known
+    found = digests.join(table, "digest")
+    is_run = F.col("scope") == "blocks"
+    same_row = Window.partitionBy("_row")
+    whole = F.max((F.col("scope") == "document").cast("int")).over(same_row) == 1
+    longest = F.max("last").over(Window.partitionBy("_row", "scope", "place"))
+    widest = F.min("place").over(Window.partitionBy("_row", "scope", "last"))
+    kept = found.withColumn("_whole", whole).filter(~is_run | (~F.col("_whole") & (F.col("last") > F.col("place"))))
+    kept = kept.withColumn("_longest", longest).filter(~is_run | (F.col("last") == F.col("_longest")))
+    kept = kept.withColumn("_widest", widest).filter(~is_run | (F.col("place") == F.col("_widest")))
+    return kept.select("doc_id", "scope", "place", "license", "digest")
 
 
 def oracle_sql() -> str:
@@ -212,23 +367,47 @@ def oracle_sql() -> str:
         return f"trim({worded})"
 
     values = ",\n".join(f"({quoted(name)}, {quoted(text)})" for name, text in known_texts())
-    hint = quoted(HINT)
+    hint, end, opening = quoted(HINT), quoted(BLOCK_END), quoted(OPENING)
     return f"""
 WITH known(license, text) AS (VALUES {values}),
-forms AS (SELECT {form("text")} AS form, license FROM known),
+known_blocks AS (SELECT license, text, unnest(range(len(blocks))) AS pos, unnest(blocks) AS part
+                 FROM (SELECT license, text, regexp_split_to_array(text, {end}) AS blocks FROM known)),
+known_runs AS (SELECT license, text, string_agg(form, ' ' ORDER BY pos) AS form
+               FROM (SELECT license, text, pos, {form("part")} AS form FROM known_blocks) WHERE form <> '' GROUP BY license, text),
+forms AS (SELECT {form("text")} AS form, license, text FROM known UNION ALL SELECT form, license, text FROM known_runs),
+starts AS (SELECT form, text FROM known_runs UNION ALL SELECT {form("part")}, text FROM known_blocks WHERE pos = 0),
+openings AS (SELECT DISTINCT regexp_extract(form, {opening}) AS words FROM starts WHERE contains(text, chr(10) || chr(10))),
 digests AS (SELECT sha256(form) AS digest, min(license) AS license FROM forms WHERE form <> '' GROUP BY form),
-docs AS (SELECT doc_id, text, regexp_split_to_array(text, {quoted(BLOCK_END)}) AS blocks, string_split(text, chr(10)) AS lines
+docs AS (SELECT row_number() OVER () AS r, doc_id, text, regexp_split_to_array(text, {end}) AS blocks, string_split(text, chr(10)) AS lines
          FROM documents WHERE regexp_matches(text, {hint})),
+blocks AS (SELECT r, doc_id, unnest(range(len(blocks))) AS place, unnest(blocks) AS part FROM docs WHERE len(blocks) > 1),
 parts AS (
-  SELECT doc_id, 'document' AS scope, 0 AS place, text AS part FROM docs
+  SELECT r, doc_id, 'document' AS scope, 0 AS place, text AS part FROM docs
   UNION ALL
-  SELECT doc_id, 'block', unnest(range(len(blocks))), unnest(blocks) FROM docs WHERE len(blocks) > 1
+  SELECT r, doc_id, 'block', place, part FROM blocks
   UNION ALL
-  SELECT doc_id, 'line', unnest(range(len(lines))), unnest(lines) FROM docs WHERE len(lines) > 1
+  SELECT r, doc_id, 'line', unnest(range(len(lines))), unnest(lines) FROM docs WHERE len(lines) > 1
+),
+formed AS (SELECT *, row_number() OVER (PARTITION BY r ORDER BY place) AS p
+           FROM (SELECT r, doc_id, place, {form("part")} AS form FROM blocks) WHERE form <> ''),
+lists AS (SELECT r, list(form ORDER BY p) AS forms, list(place ORDER BY p) AS places FROM formed GROUP BY r),
+runs AS (
+  SELECT f.r, doc_id, place, places[p + n - 1] AS last, sha256(array_to_string(forms[p:p + n - 1], ' ')) AS digest
+  FROM formed f JOIN lists USING (r), (SELECT unnest(range(2, {RUN + 1})) AS n)
+  WHERE p + n - 1 <= len(forms) AND regexp_extract(form, {opening}) IN (SELECT words FROM openings)
 ),
 found AS (
-  SELECT doc_id, scope, place, sha256({form("part")}) AS digest FROM parts
-  WHERE (scope <> 'block' OR contains(part, chr(10))) AND regexp_matches(part, {hint})
+  SELECT r, doc_id, scope, place, license, digest
+  FROM (SELECT r, doc_id, scope, place, sha256({form("part")}) AS digest FROM parts
+        WHERE (scope <> 'block' OR contains(part, chr(10))) AND regexp_matches(part, {hint})) JOIN digests USING (digest)
+),
+found_runs AS (
+  SELECT r, doc_id, place, last, license, digest FROM runs JOIN digests USING (digest)
+  WHERE r NOT IN (SELECT r FROM found WHERE scope = 'document')
+  QUALIFY last = max(last) OVER (PARTITION BY r, place)
 )
-SELECT doc_id, scope, CAST(place AS INTEGER) AS place, license, digest FROM found JOIN digests USING (digest)
+SELECT doc_id, scope, CAST(place AS INTEGER) AS place, license, digest FROM found
+UNION ALL
+SELECT doc_id, 'blocks', CAST(place AS INTEGER), license, digest FROM
+  (SELECT * FROM found_runs QUALIFY place = min(place) OVER (PARTITION BY r, last))
 """
