@@ -59,6 +59,7 @@ FEATURES = (
 ROUNDS, RATE = 24, 0.3
 LEAST_SHARE = 0.9
 FOLDS = 5
+CHUNK = 128
 SPAN = "struct<start: bigint, end: bigint, part: string, before: string, after: string>"
 
 
@@ -73,6 +74,7 @@ def found(df: DataFrame, text: str, pattern: str, name: str, hint: Column) -> Da
     zipped = F.arrays_zip(
         F.col("_part").alias("part"), F.slice("_gap", 1, n).alias("gap"), F.slice("_gap", 2, n).alias("next")
     )
+    rows = rows.withColumn("_zipped", zipped).drop("_part", "_gap")
     start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast(f"array<{SPAN}>").alias("all"))
 
     def step(s: Column, x: Column) -> Column:
@@ -87,7 +89,45 @@ def found(df: DataFrame, text: str, pattern: str, name: str, hint: Column) -> Da
         )
         return F.struct(high.cast("bigint").alias("at"), F.array_append(s["all"], span).alias("all"))
 
-    return rows.withColumn(name, F.aggregate(zipped, start, step, lambda s: s["all"])).drop("_part", "_gap")
+    # An array that grows is copied with every element, so spans are placed in chunks, and the chunks after that.
+    rows = rows.withColumn("_chunks", F.transform(chunks(F.col("_zipped")), lambda chunk: F.aggregate(chunk, start, step)))
+    nothing = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<bigint>").alias("all"))
+
+    def add(s: Column, x: Column) -> Column:
+        return F.struct((s["at"] + x["at"]).alias("at"), F.array_append(s["all"], s["at"]).alias("all"))
+
+    rows = rows.withColumn("_offsets", F.aggregate("_chunks", nothing, add, lambda s: s["all"])).drop("_zipped")
+    moved = F.zip_with(
+        "_chunks",
+        "_offsets",
+        lambda chunk, offset: F.transform(
+            chunk["all"],
+            lambda x: F.struct((x["start"] + offset).alias("start"), (x["end"] + offset).alias("end"), x["part"], x["before"], x["after"]),
+        ),
+    )
+    return rows.withColumn(name, F.flatten(moved)).drop("_chunks", "_offsets")
+
+
+def chunks(array: Column) -> Column:
+    """The array in parts of `CHUNK` elements; none of an empty one. `array` is a column, so that it is computed once."""
+    n = F.size(array)
+    firsts = F.when(n > 0, F.sequence(F.lit(1), n, F.lit(CHUNK))).otherwise(F.array().cast("array<int>"))
+    return F.transform(firsts, lambda first: F.slice(array, first, F.lit(CHUNK)))
+
+
+def with_bounds(spans: Column) -> Column:
+    """Chunks of spans in order of place, each with its first start and last end."""
+    def bound(chunk: Column) -> Column:
+        low, high = F.array_min(F.transform(chunk, lambda x: x["start"])), F.array_max(F.transform(chunk, lambda x: x["end"]))
+        return F.struct(low.alias("low"), high.alias("high"), chunk.alias("spans"))
+
+    return F.transform(chunks(spans), bound)
+
+
+def overlapped(bounded: Column, x: Column, and_also: Callable[[Column], Column] = lambda b: F.lit(True)) -> Column:
+    """Whether a span overlaps one of those in chunks, of which only a few come near it."""
+    near = F.filter(bounded, lambda chunk: (chunk["low"] < x["end"]) & (x["start"] < chunk["high"]))
+    return F.exists(near, lambda chunk: F.exists(chunk["spans"], lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]) & and_also(b)))
 
 
 def digits(part: Column) -> Column:
@@ -195,10 +235,12 @@ def candidates(df: DataFrame, text: str = "text") -> DataFrame:
         rows = found(rows, text, PROPOSALS[kind], kind, hint(kind, text, True))
     proposed = F.concat(*[marked(kind, evident) for kind in KINDS])
 
-    def is_free(x: Column) -> Column:
-        return ~F.exists("base", lambda b: (b["start"] < x["end"]) & (x["start"] < b["end"]))
-
-    return rows.withColumn("proposed", F.filter(proposed, is_free)).drop(*KINDS)
+    rows = rows.withColumn("_proposed", proposed).drop(*KINDS)
+    ordered = F.array_sort(F.transform("base", lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"))))
+    rows = rows.withColumn("_base", ordered).withColumn("_bounded", with_bounds(F.col("_base")))
+    # Asked for twice, the chunks are a column of their own and not computed again for each span.
+    free = F.when(F.size("_bounded") == 0, F.col("_proposed")).otherwise(F.filter("_proposed", lambda x: ~overlapped(F.col("_bounded"), x)))
+    return rows.withColumn("proposed", free).drop("_proposed", "_base", "_bounded")
 
 
 @dataclass
@@ -298,10 +340,13 @@ def learn(spans: DataFrame) -> dict[int, tuple[tuple[float, list[Tree]], float]]
     return models
 
 
-def chosen(models: dict, spans: Column) -> Column:
-    """The proposed spans that reach their kind's threshold and overlap no better one, in order."""
+def chosen(df: DataFrame, models: dict, name: str) -> DataFrame:
+    """Add the proposed spans that reach their kind's threshold and overlap no better one that does.
+
+    Of equally good ones the first counts.
+    """
     if not models:
-        return F.filter(spans, lambda x: F.lit(False))
+        return df.withColumn(name, F.filter("proposed", lambda x: F.lit(False)))
 
     def score(x: Column) -> Column:
         out = F.lit(None).cast("double")
@@ -317,15 +362,18 @@ def chosen(models: dict, spans: Column) -> Column:
             out = F.when(x["kind"] == kind, total).otherwise(out)
         return out
 
-    scored = F.transform(spans, lambda x: F.struct((-score(x)).alias("rank"), x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind")))
-    good = F.array_sort(F.filter(scored, lambda x: F.coalesce(x["rank"] <= 1e-9, F.lit(False))))
-    none = F.filter(good, lambda x: F.lit(False))
+    def scored(x: Column) -> Column:
+        return F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"), (-score(x)).alias("rank"))
+
+    good = F.filter(F.transform("proposed", scored), lambda x: F.coalesce(x["rank"] <= 1e-9, F.lit(False)))
+    rows = df.withColumn("_good", F.array_sort(good)).withColumn("_bounded", with_bounds(F.col("_good")))
 
-    def apart(kept: Column, x: Column) -> Column:
-        free = ~F.exists(kept, lambda y: (y["start"] < x["end"]) & (x["start"] < y["end"]))
-        return F.when(free, F.array_append(kept, x)).otherwise(kept)
+    def order(x: Column) -> Column:
+        return F.struct(x["rank"], x["start"], x["end"], x["kind"])
 
-    return F.aggregate(good, none, apart)
+    best = F.filter("_good", lambda x: ~overlapped(F.col("_bounded"), x, lambda b: order(b) < order(x)))
+    best = F.when(F.size("_bounded") < 1, F.col("_good")).otherwise(best)
+    return rows.withColumn(name, best).drop("_good", "_bounded")
 
 
 def personal_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -337,13 +385,13 @@ def personal_spans(df: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """
     rows = df.select(df[doc_id].alias("doc_id"), F.coalesce(df[text].cast("string"), F.lit("")).alias("text"))
     spans = saved(candidates(rows).select("doc_id", "base", "proposed"), "spans")
-    added = chosen(learn(spans), F.col("proposed"))
+    spans = chosen(spans, learn(spans), "added")
 
     def plain(array: Column) -> Column:
         made = F.transform(array, lambda x: F.struct(x["kind"].alias("kind"), x["start"].alias("start"), x["end"].alias("end")))
         return F.array_sort(made)
 
-    return spans.select("doc_id", plain(F.col("base")).alias("base"), plain(added).alias("added"))
+    return spans.select("doc_id", plain(F.col("base")).alias("base"), plain(F.col("added")).alias("added"))
 
 
 def written(spans: Column) -> Column:

@@ -89,6 +89,25 @@ def test_what_looks_alike_is_added(spark):
     assert not by_id[801][1] and not by_id[802][1]
 
 
+@pytest.mark.parametrize("chunk", [1, 3])
+def test_chunks_change_nothing(spark, monkeypatch, chunk):
+    texts = made(60)
+    expected = sorted(spans(spark, texts))
+    monkeypatch.setattr(pii, "CHUNK", chunk)
+    assert sorted(spans(spark, texts)) == expected
+
+
+def test_very_many_matches_in_one_text(spark):
+    """Forty thousand addresses and numbers: in seconds, as positions are not copied with every match."""
+    import time
+
+    texts = [" ".join(f"a{k}@b.cd" for k in range(40_000)), " ".join(f"call +1 (017) 555-{k % 10000:04d}" for k in range(20_000))]
+    started = time.perf_counter()
+    found = spans(spark, texts)
+    assert time.perf_counter() - started < 120
+    assert [(i, base) for i, base, _ in sorted(found)] == [(i, brute(text)) for i, text in enumerate(texts)]
+
+
 def test_odd_rows(spark):
     assert spans(spark, []) == []
     rows = spans(spark, [None, "", "a@b.c", "a@b.c"], [None, 1, 1, 1])
