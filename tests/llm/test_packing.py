@@ -110,3 +110,42 @@ def test_special_tokens_as_the_vocabulary_has_them(spark, tmp_path, odd_texts, m
             expected.append((k, piece, a, n, zlib.crc32(ids[a : a + n].tobytes())))
     rows = (made(spark, docs, str(tmp_path)) if made is corpus_pipeline.pack else made(spark, str(tmp_path))).collect()
     assert sorted((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in rows) == expected
+
+
+def fewest(lengths, capacity):
+    """The least number of sequences, by trying all assignments that differ."""
+    best = len(lengths)
+    lengths = sorted(lengths, reverse=True)
+
+    def place(at, rooms):
+        nonlocal best
+        if len(rooms) >= best and (at < len(lengths) or len(rooms) > best):
+            return
+        if at == len(lengths):
+            best = min(best, len(rooms))
+            return
+        for k, room in enumerate(rooms):
+            if room >= lengths[at] and room not in rooms[:k]:
+                place(at + 1, [*rooms[:k], room - lengths[at], *rooms[k + 1 :]])
+        place(at + 1, [*rooms, capacity - lengths[at]])
+
+    place(0, [])
+    return best
+
+
+def test_against_the_fewest_sequences():
+    """Small packings: never more than one sequence above the least number, mostly none."""
+    rng, exact = random.Random(2), 0
+    for _ in range(400):
+        capacity = rng.randint(6, 20)
+        lengths = [rng.randint(1, capacity) for _ in range(rng.randint(1, 9))]
+        segments = packing.plan(dict(Counter(lengths)), capacity)
+        used = set()
+        for length, n in Counter(lengths).items():
+            for rank in range(n):
+                first, sequence, _ = max(one for one in segments[length] if one[0] <= rank)
+                used.add(sequence + rank - first)
+        least = fewest(lengths, capacity)
+        assert least <= len(used) <= least + 1
+        exact += len(used) == least
+    assert exact > 360
