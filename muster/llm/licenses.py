@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from muster.llm.common import UPPER
-from muster.plans.small import literal_table
 
 # Spellings that count as one (words without punctuation, in this order).
 SPELLINGS = [
@@ -250,10 +249,19 @@ def by_blocks(text: Column) -> Column:
     return F.transform(block_forms(text), lambda one: one["form"])
 
 
+def values(spark: SparkSession, rows: list[tuple[str, str]], first: str, second: str) -> DataFrame:
+    """Pairs of texts as rows of the plan, of a size that Spark knows, in one statement."""
+    def quoted(text: str) -> str:
+        return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
+
+    listed = ", ".join(f"({quoted(one)}, {quoted(two)})" for one, two in rows)
+    return spark.sql(f"SELECT * FROM VALUES {listed} AS known({first}, {second})")
+
+
 def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """`digest`, `license`: one row per canonical form of a text, or of its blocks one after the other; of two names for one
     form the first in order counts."""
-    rows = literal_table(spark, texts, "license string, text string")
+    rows = values(spark, texts, "license", "text")
     both = F.array(canonical(F.col("text")), F.array_join(by_blocks(F.col("text")), " "))
     forms = rows.select(F.explode(both).alias("form"), "license").filter("form <> ''")
     return forms.groupBy(F.sha2("form", 256).alias("digest")).agg(F.min("license").alias("license"))
@@ -261,7 +269,7 @@ def known_digests(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFram
 
 def openings(spark: SparkSession, texts: list[tuple[str, str]]) -> DataFrame:
     """`words`: the first words of the texts of several blocks, and of their first blocks, which may be titles."""
-    rows = literal_table(spark, [one for one in texts if "\n\n" in one[1]], "license string, text string")
+    rows = values(spark, [one for one in texts if "\n\n" in one[1]], "license", "text")
     forms = rows.select(by_blocks(F.col("text")).alias("_forms"))
     starts = F.array(F.array_join("_forms", " "), F.get("_forms", F.lit(0)))
     words = forms.select(F.explode(starts).alias("form")).select(F.regexp_extract("form", OPENING, 0).alias("words"))
@@ -301,9 +309,11 @@ def units(text: Column) -> Column:
 def runs(forms: Column, first_words: list[str]) -> Column:
     """The runs of several blocks that begin like a known text: numbers of the first and last block, and the form."""
     n = F.size(forms)
+    # One constant, which Spark folds, rather than hundreds.
+    known_words = F.split(F.lit("\n".join(first_words)), "\n")
     begins = F.filter(
         F.sequence(F.lit(0), n - 1),
-        lambda p: (p < n - 1) & F.regexp_extract(F.get(forms, p)["form"], OPENING, 0).isin(first_words),
+        lambda p: (p < n - 1) & F.array_contains(known_words, F.regexp_extract(F.get(forms, p)["form"], OPENING, 0)),
     )
 
     def run(p: Column, k: Column) -> Column:
@@ -340,7 +350,7 @@ def scan(df: DataFrame, doc_id: str = "doc_id", text: str = "text", known: DataF
     form = F.coalesce(F.col("form"), canonical(F.col("part")))
     digests = every.select("doc_id", "_row", "scope", "place", "last", F.sha2(form, 256).alias("digest"))
     # The built-in table is some hundred literal rows; one that is given is broadcast only if Spark finds it small.
-    table = F.broadcast(literal_table(spark, built_in_digests, "digest string, license string")) if known is None else known
+    table = F.broadcast(values(spark, built_in_digests, "digest", "license")) if known is None else known
     found = digests.join(table, "digest")
     is_run = F.col("scope") == "blocks"
     same_row = Window.partitionBy("_row")
