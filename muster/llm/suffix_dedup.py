@@ -10,8 +10,9 @@ bytes the smallest is its anchor, so equal strings have equal anchors, and neigh
    smallest document among all its occurrences. Pieces without a partner need no array.
 4. Batches learn, for their pieces, which document has each string first, and drop what a smaller document has.
 
-Anchors in very many batches (`HOT`) are not gathered in one shard: their strings are sent one by one, each to the shard
-of its own hash.
+Anchors with very many different pieces (`HOT`, counted per batch and added up) are not gathered in one shard, which
+bounds what an array is built of. Their strings are rows of their own: the first document of each by a grouped minimum,
+which combines before it shuffles, given back to the batches by a join whose large keys adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from muster.llm.common import map_arrow, saved, texts_of
 LENGTH = 50
 RUN = 20
 BATCH_BYTES = 1024 * 1024
-BUCKET_BYTES = 8 * 1024 * 1024
+BUCKET_BYTES = 4 * 1024 * 1024
 BUCKETS = 64
 WINDOWS = 64
-HOT = 20_000
+HOT = 5_000
 CHUNK = 400_000
 NO_ID = np.iinfo(np.int64).max
 BATCH = "batch long, bytes long, ids binary, sizes binary, digests binary, texts binary"
@@ -97,7 +98,8 @@ class Batch:
             self.first = self.last = self.doc = np.zeros(0, np.int64)
             self.anchor = np.zeros(0, np.uint64)
             return
-        smallest = sliding_minimum(run_hashes(self.text), LENGTH - RUN + 1)[:n]
+        self.runs = run_hashes(self.text)
+        smallest = sliding_minimum(self.runs, LENGTH - RUN + 1)[:n]
         begins = np.ones(n, bool)
         begins[1:] = smallest[1:] != smallest[:-1]
         begins[self.starts[:-1][self.starts[:-1] < n]] = True
@@ -115,6 +117,14 @@ class Batch:
         self.first, self.last, self.doc = low[real], high[real] - 1, doc[real]
         self.anchor = smallest[self.first]
 
+    def piece_hashes(self) -> np.ndarray:
+        """A hash of each group's piece, from the runs of bytes that cover it."""
+        last = self.last + LENGTH - RUN
+        total = (last - self.first).astype(np.uint64)
+        for at in range(0, LENGTH + WINDOWS, RUN):
+            total = mixed(total + self.runs[np.minimum(self.first + at, last)])
+        return total
+
 
 def mixed(values: np.ndarray) -> np.ndarray:
     values = values * np.uint64(0xFF51AFD7ED558CCD)
@@ -174,19 +184,22 @@ def copies_of(packs: DataFrame) -> DataFrame:
 
 
 def anchors_by_bucket(buckets: int):
-    """Per batch and bucket: its different anchors, and whether two of its documents have them."""
+    """Per batch and bucket: its different anchors, their different pieces, and whether two of its documents have them."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for row in rows_of(batches):
             batch = Batch(row)
             if not len(batch.anchor):
                 continue
-            order = np.argsort(batch.anchor, kind="stable")
-            sorted_anchors, docs = batch.anchor[order], batch.doc[order]
+            hashes = batch.piece_hashes()
+            order = np.lexsort((hashes, batch.anchor))
+            sorted_anchors, docs, hashes = batch.anchor[order], batch.doc[order], hashes[order]
             new = np.append(True, sorted_anchors[1:] != sorted_anchors[:-1])
+            differ = new | np.append(True, hashes[1:] != hashes[:-1])
             other = np.append(False, docs[1:] != docs[:-1]) & ~new
             first = np.flatnonzero(new)
             anchors, several = sorted_anchors[first], np.logical_or.reduceat(other, first)
+            counts = np.add.reduceat(differ, first, dtype=np.uint32)
             bucket = (anchors % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(bucket, kind="stable")
             cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
@@ -197,6 +210,7 @@ def anchors_by_bucket(buckets: int):
                 # Sorted numbers of 48 bits: more than enough to forget most anchors; the rest is compared as text.
                 "anchors": [short(anchors[some]) for some in groups],
                 "several": [packed(np.packbits(several[some]))[0] for some in groups],
+                "pieces": [packed(counts[some])[0] for some in groups],
             }
 
     return run
@@ -213,7 +227,7 @@ def long(blob: bytes) -> np.ndarray:
 
 
 def shared_anchors(hot: int):
-    """For each batch of a bucket: its anchors that two documents have, and those that very many batches have."""
+    """For each batch of a bucket: its anchors that two documents have, and those of them with very many pieces."""
 
     def run(rows: pa.Table) -> pa.Table:
         blobs = [long(blob) for blob in rows.column("anchors").to_pylist()]
@@ -225,7 +239,8 @@ def shared_anchors(hot: int):
         every, mine = np.concatenate(blobs), np.repeat(np.arange(len(sizes)), sizes)
         _, slot, count = np.unique(every, return_inverse=True, return_counts=True)
         shared = (count[slot] > 1) | (np.bincount(slot, np.concatenate(several)) > 0)[slot]
-        often = count[slot] > hot
+        pieces = together(rows.column("pieces").to_pylist(), np.uint32)
+        often = (np.bincount(slot, pieces) > hot)[slot]
         cuts = np.cumsum(sizes)[:-1]
         kept = [one[yes] for one, yes in zip(blobs, np.split(shared, cuts))]
         frequent = [one[yes] for one, yes in zip(blobs, np.split(shared & often, cuts))]
@@ -235,6 +250,7 @@ def shared_anchors(hot: int):
                 "batch": rows.column("batch").take(pa.array(some, pa.int64())),
                 "anchors": pa.array([packed(kept[k])[0] for k in some], pa.binary()),
                 "hot": pa.array([packed(frequent[k])[0] for k in some], pa.binary()),
+                "n_hot": pa.array([len(frequent[k]) for k in some], pa.int64()),
             }
         )
 
@@ -245,8 +261,8 @@ def together(blobs: list[bytes] | None, kind=np.uint64) -> np.ndarray:
     return np.concatenate([unpacked(blob, kind) for blob in blobs]) if blobs else np.zeros(0, kind)
 
 
-def sent_pieces(batch: Batch, shared: np.ndarray, hot: np.ndarray, copies: list[int] | None):
-    """The pieces around shared anchors: their text, group and shard key. Strings of hot anchors are pieces by themselves.
+def wanted_groups(batch: Batch, shared: np.ndarray, hot: np.ndarray, copies: list[int] | None) -> tuple:
+    """Groups of shared anchors: those that are sent as pieces, and those of hot anchors.
 
     Copies need none: all of their strings are in an earlier document.
     """
@@ -254,24 +270,48 @@ def sent_pieces(batch: Batch, shared: np.ndarray, hot: np.ndarray, copies: list[
     wanted = np.isin(near, shared)
     if copies:
         wanted &= ~np.isin(batch.doc, copies)
-    groups = np.flatnonzero(wanted)
-    frequent = np.isin(near[groups], hot)
-    texts, owner, keys, first = [], [], [], []
-    for group, single in zip(groups.tolist(), frequent.tolist()):
-        low, high = int(batch.first[group]), int(batch.last[group])
-        if single:
-            for at in range(low, high + 1):
-                piece = batch.text[at : at + LENGTH]
-                texts.append(piece)
-                owner.append(group)
-                keys.append(xxhash.xxh3_64_intdigest(piece))
-                first.append(at)
-        else:
-            texts.append(batch.text[low : high + LENGTH])
-            owner.append(group)
-            keys.append(int(batch.anchor[group]))
-            first.append(low)
-    return texts, np.array(owner, np.int64), np.array(keys, np.uint64), np.array(first, np.int64)
+    often = np.isin(near, hot)
+    return np.flatnonzero(wanted & ~often), np.flatnonzero(wanted & often)
+
+
+def piece_texts(batch: Batch, groups: np.ndarray) -> list[bytes]:
+    return [batch.text[a : b + LENGTH] for a, b in zip(batch.first[groups].tolist(), batch.last[groups].tolist())]
+
+
+def hot_places(batch: Batch, groups: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each string of the groups: where it begins, and its document's place."""
+    counts = batch.last[groups] - batch.first[groups] + 1
+    return np.repeat(batch.first[groups], counts) + spread(counts), np.repeat(batch.doc[groups], counts)
+
+
+def hot_digests(batch: Batch, places: np.ndarray) -> list[bytes]:
+    return [xxhash.xxh3_128_digest(batch.text[at : at + LENGTH]) for at in places.tolist()]
+
+
+def hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """Per batch: the different strings of hot anchors, with the smallest and the largest document that has each."""
+    for row in rows_of(batches):
+        hot = together(row["hot"])
+        if not len(hot):
+            continue
+        batch = Batch(row)
+        places, docs = hot_places(batch, wanted_groups(batch, hot, hot, row["copies"])[1])
+        span: dict[bytes, tuple[int, int]] = {}
+        for digest, doc in zip(hot_digests(batch, places), batch.ids[docs].tolist()):
+            low, high = span.get(digest, (doc, doc))
+            span[digest] = min(low, doc), max(high, doc)
+        if span:
+            low, high = np.array(list(span.values()), np.int64).T
+            yield {"batch": np.full(len(span), row["batch"]), "digest": list(span), "low": low, "high": high}
+
+
+def hot_firsts(work: DataFrame) -> DataFrame:
+    """`batch`, `strings`: the strings of hot anchors that a smaller document has, and the smallest one."""
+    rows = map_arrow(work.filter("n_hot > 0").drop("anchors"), hot_strings, "batch long, digest binary, low long, high long")
+    rows = saved(rows, "hot-strings")
+    spans = rows.groupBy("digest").agg(F.min("low").alias("first"), F.max("high").alias("end"))
+    known = rows.join(spans.filter("first < end").drop("end"), "digest").filter("first < high")
+    return known.groupBy("batch").agg(F.collect_list(F.struct("digest", "first")).alias("strings"))
 
 
 def digests(texts: list[bytes]) -> np.ndarray:
@@ -287,10 +327,10 @@ def pieces_by_shard(shards: int):
             if not len(shared):
                 continue
             batch = Batch(row)
-            texts, owner, keys, _ = sent_pieces(batch, shared, together(row["hot"]), row["copies"])
-            if not texts:
+            groups, _ = wanted_groups(batch, shared, together(row["hot"]), row["copies"])
+            if not len(groups):
                 continue
-            docs = batch.ids[batch.doc[owner]]
+            texts, keys, docs = piece_texts(batch, groups), batch.anchor[groups], batch.ids[batch.doc[groups]]
             _, one, slot = np.unique(digests(texts), return_index=True, return_inverse=True)
             low, high = np.full(len(one), NO_ID), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, slot, docs)
@@ -485,6 +525,12 @@ def removed_strings(batch: Batch, row: dict) -> np.ndarray:
     marks = np.zeros(len(batch.text) + 1, bool)
     for place in row["copies"] or ():
         marks[batch.starts[place] : batch.starts[place + 1] - LENGTH + 1] = True
+    if row["strings"]:
+        first = {bytes(one["digest"]): one["first"] for one in row["strings"]}
+        hot = together(row["hot"])
+        places, docs = hot_places(batch, wanted_groups(batch, hot, hot, row["copies"])[1])
+        smallest = [first.get(digest, NO_ID) for digest in hot_digests(batch, places)]
+        marks[places] |= np.array(smallest, np.int64) < batch.ids[docs]
     if not row["found"]:
         return marks
     digest, counts, firsts = (
@@ -493,11 +539,11 @@ def removed_strings(batch: Batch, row: dict) -> np.ndarray:
     )
     ends = np.cumsum(counts.astype(np.int64))
     known = {d: firsts[end - count : end] for d, end, count in zip(digest.tolist(), ends.tolist(), counts.tolist())}
-    hot = together(row["hot"])
-    near = np.union1d(together(row["keys"]) >> np.uint64(16), hot)
-    texts, owner, _, first = sent_pieces(batch, near, hot, row["copies"])
-    docs = batch.ids[batch.doc[owner]] if len(owner) else owner
-    for text, doc, at, d in zip(texts, docs.tolist(), first.tolist(), digests(texts).tolist()):
+    near = np.unique(together(row["keys"]) >> np.uint64(16))
+    groups, _ = wanted_groups(batch, near, together(row["hot"]), row["copies"])
+    texts = piece_texts(batch, groups)
+    docs = batch.ids[batch.doc[groups]]
+    for text, doc, at, d in zip(texts, docs.tolist(), batch.first[groups].tolist(), digests(texts).tolist()):
         smaller = known.get(d)
         if smaller is not None:
             marks[at : at + len(text) - LENGTH + 1] = smaller < doc
@@ -549,11 +595,12 @@ def remove_repeats(
     packs = saved(map_arrow(rows, batches_of(batch_bytes), BATCH), "batches")
     total = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(buckets, -(-total // BUCKET_BYTES))
-    anchors = map_arrow(packs, anchors_by_bucket(buckets), "bucket long, batch long, anchors binary, several binary")
-    told = anchors.groupBy("bucket").applyInArrow(shared_anchors(hot), "batch long, anchors binary, hot binary")
-    shared = saved(
-        told.groupBy("batch").agg(F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot")), "anchors"
+    anchors = map_arrow(packs, anchors_by_bucket(buckets), "bucket long, batch long, anchors binary, several binary, pieces binary")
+    told = anchors.groupBy("bucket").applyInArrow(shared_anchors(hot), "batch long, anchors binary, hot binary, n_hot long")
+    told = told.groupBy("batch").agg(
+        F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot"), F.sum("n_hot").alias("n_hot")
     )
+    shared = saved(told, "anchors")
     copies = saved(copies_of(packs), "copies")
     work = packs.join(shared, "batch").join(copies, "batch", "left")
     kinds = "shard long, batch long, keys binary, sizes binary, low binary, high binary, texts binary"
@@ -562,7 +609,7 @@ def remove_repeats(
         first_by_batch, "batch long, found binary, counts binary, firsts binary, keys binary"
     )
     lists = [F.collect_list(name).alias(name) for name in ("found", "counts", "firsts", "keys")]
-    firsts = answers.groupBy("batch").agg(*lists)
+    firsts = answers.groupBy("batch").agg(*lists).join(hot_firsts(work), "batch", "full")
     marked = packs.join(shared, "batch", "left").join(copies, "batch", "left").join(firsts, "batch", "left")
     out = "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"
     return map_arrow(marked, cleaned, out)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+import zstandard
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.conftest import documents
@@ -73,6 +74,22 @@ def test_hot_anchors_are_split_without_loss(spark):
     check(spark, texts, list(range(len(texts))), batch_bytes=2000, hot=1)
 
 
+def test_hot_is_counted_by_pieces(spark):
+    """One batch holds all texts, so batches alone could not tell that an anchor has many surroundings."""
+    rng = random.Random(8)
+    run = "the same twenty bytes"
+    texts = ["".join(rng.choices("qrstuv", k=45)) + run + "".join(rng.choices("qrstuv", k=45)) for _ in range(300)]
+    texts += rng.sample(texts, 40)
+    data = [text.encode() for text in texts]
+    sizes = np.array([len(text) for text in data], np.int64).tobytes()
+    ids = np.arange(len(data), dtype=np.int64).tobytes()
+    batch = s.Batch({"ids": ids, "sizes": sizes, "bytes": 1, "texts": zstandard.compress(b"".join(data))})
+    pieces = {batch.text[a : b + s.LENGTH] for a, b in zip(batch.first, batch.last)}
+    assert len(set(batch.piece_hashes().tolist())) == len(pieces)
+    for hot in (0, 3, 100):
+        check(spark, texts + [text + "!" for text in texts[:50]], list(range(len(texts) + 50)), hot=hot)
+
+
 def test_odd_rows(spark, odd_texts):
     texts = odd_texts + odd_texts[-20:] + ["y" * 30_000, "y" * 20_000, "yz" * 10_000, "z" + "y" * 49, "y" * 50, "y" * 49]
     check(spark, texts, list(range(len(texts))))
