@@ -183,6 +183,33 @@ def copies_of(packs: DataFrame) -> DataFrame:
     return later.groupBy("batch").agg(F.collect_list("place").alias("copies"))
 
 
+class Listing:
+    """A batch's different anchors in the order in which buckets get them: by bucket, then by number.
+
+    Batches and buckets both know this order, so a bucket answers with a bit per anchor.
+    """
+
+    def __init__(self, anchors: np.ndarray, buckets: int) -> None:
+        self.anchors, slot = np.unique(anchors, return_inverse=True)
+        bucket = (self.anchors % np.uint64(buckets)).astype(np.int64)
+        self.order = np.argsort(bucket, kind="stable")
+        at = np.empty_like(self.order)
+        at[self.order] = np.arange(len(self.order))
+        self.place = at[slot]
+        listed = bucket[self.order]
+        cuts = np.flatnonzero(np.diff(listed, prepend=-1))
+        self.buckets, self.starts = listed[cuts], np.append(cuts, len(listed))
+
+    def flags(self, told: list[dict], name: str) -> np.ndarray:
+        """The bits that the buckets told, for each group of the batch."""
+        every = np.zeros(len(self.order), bool)
+        for answer, k in zip(told, np.searchsorted(self.buckets, [answer["bucket"] for answer in told]).tolist()):
+            if answer[name]:
+                a, b = self.starts[k], self.starts[k + 1]
+                every[a:b] = np.unpackbits(np.frombuffer(answer[name], np.uint8), count=b - a)
+        return every[self.place]
+
+
 def anchors_by_bucket(buckets: int):
     """Per batch and bucket: its different anchors, their different pieces, and whether two of its documents have them."""
 
@@ -200,12 +227,10 @@ def anchors_by_bucket(buckets: int):
             first = np.flatnonzero(new)
             anchors, several = sorted_anchors[first], np.logical_or.reduceat(other, first)
             counts = np.add.reduceat(differ, first, dtype=np.uint32)
-            bucket = (anchors % np.uint64(buckets)).astype(np.int64)
-            order = np.argsort(bucket, kind="stable")
-            cuts = np.flatnonzero(np.diff(bucket[order], prepend=-1))
-            groups = np.split(order, cuts[1:])
+            listing = Listing(anchors, buckets)
+            groups = np.split(listing.order, listing.starts[1:-1])
             yield {
-                "bucket": [int(bucket[some[0]]) for some in groups],
+                "bucket": listing.buckets,
                 "batch": [row["batch"]] * len(groups),
                 # Sorted numbers of 48 bits: more than enough to forget most anchors; the rest is compared as text.
                 "anchors": [short(anchors[some]) for some in groups],
@@ -227,7 +252,7 @@ def long(blob: bytes) -> np.ndarray:
 
 
 def shared_anchors(hot: int):
-    """For each batch of a bucket: its anchors that two documents have, and those of them with very many pieces."""
+    """For each batch of a bucket: bits of its anchors that two documents have, and of those with very many pieces."""
 
     def run(rows: pa.Table) -> pa.Table:
         blobs = [long(blob) for blob in rows.column("anchors").to_pylist()]
@@ -242,17 +267,11 @@ def shared_anchors(hot: int):
         pieces = together(rows.column("pieces").to_pylist(), np.uint32)
         often = (np.bincount(slot, pieces) > hot)[slot]
         cuts = np.cumsum(sizes)[:-1]
-        kept = [one[yes] for one, yes in zip(blobs, np.split(shared, cuts))]
-        frequent = [one[yes] for one, yes in zip(blobs, np.split(shared & often, cuts))]
-        some = [k for k, one in enumerate(kept) if len(one)]
-        return pa.table(
-            {
-                "batch": rows.column("batch").take(pa.array(some, pa.int64())),
-                "anchors": pa.array([packed(kept[k])[0] for k in some], pa.binary()),
-                "hot": pa.array([packed(frequent[k])[0] for k in some], pa.binary()),
-                "n_hot": pa.array([len(frequent[k]) for k in some], pa.int64()),
-            }
-        )
+        kept, frequent = np.split(shared, cuts), np.split(shared & often, cuts)
+        some = [k for k, one in enumerate(kept) if one.any()]
+        bits = [[np.packbits(one[k]).tobytes() if one[k].any() else b"" for k in some] for one in (kept, frequent)]
+        chosen = rows.select(["batch", "bucket"]).take(pa.array(some, pa.int64()))
+        return chosen.append_column("shared", pa.array(bits[0], pa.binary())).append_column("hot", pa.array(bits[1], pa.binary()))
 
     return run
 
@@ -261,16 +280,15 @@ def together(blobs: list[bytes] | None, kind=np.uint64) -> np.ndarray:
     return np.concatenate([unpacked(blob, kind) for blob in blobs]) if blobs else np.zeros(0, kind)
 
 
-def wanted_groups(batch: Batch, shared: np.ndarray, hot: np.ndarray, copies: list[int] | None) -> tuple:
+def wanted_groups(batch: Batch, row: dict, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """Groups of shared anchors: those that are sent as pieces, and those of hot anchors.
 
     Copies need none: all of their strings are in an earlier document.
     """
-    near = batch.anchor >> np.uint64(16)
-    wanted = np.isin(near, shared)
-    if copies:
-        wanted &= ~np.isin(batch.doc, copies)
-    often = np.isin(near, hot)
+    listing = Listing(batch.anchor, buckets)
+    wanted, often = listing.flags(row["told"], "shared"), listing.flags(row["told"], "hot")
+    if row["copies"]:
+        wanted &= ~np.isin(batch.doc, row["copies"])
     return np.flatnonzero(wanted & ~often), np.flatnonzero(wanted & often)
 
 
@@ -288,27 +306,28 @@ def hot_digests(batch: Batch, places: np.ndarray) -> list[bytes]:
     return [xxhash.xxh3_128_digest(batch.text[at : at + LENGTH]) for at in places.tolist()]
 
 
-def hot_strings(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def hot_strings(buckets: int):
     """Per batch: the different strings of hot anchors, with the smallest and the largest document that has each."""
-    for row in rows_of(batches):
-        hot = together(row["hot"])
-        if not len(hot):
-            continue
-        batch = Batch(row)
-        places, docs = hot_places(batch, wanted_groups(batch, hot, hot, row["copies"])[1])
-        span: dict[bytes, tuple[int, int]] = {}
-        for digest, doc in zip(hot_digests(batch, places), batch.ids[docs].tolist()):
-            low, high = span.get(digest, (doc, doc))
-            span[digest] = min(low, doc), max(high, doc)
-        if span:
-            low, high = np.array(list(span.values()), np.int64).T
-            yield {"batch": np.full(len(span), row["batch"]), "digest": list(span), "low": low, "high": high}
-
-
-def hot_firsts(work: DataFrame) -> DataFrame:
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for row in rows_of(batches):
+            batch = Batch(row)
+            places, docs = hot_places(batch, wanted_groups(batch, row, buckets)[1])
+            span: dict[bytes, tuple[int, int]] = {}
+            for digest, doc in zip(hot_digests(batch, places), batch.ids[docs].tolist()):
+                low, high = span.get(digest, (doc, doc))
+                span[digest] = min(low, doc), max(high, doc)
+            if span:
+                low, high = np.array(list(span.values()), np.int64).T
+                yield {"batch": np.full(len(span), row["batch"]), "digest": list(span), "low": low, "high": high}
+
+    return run
+
+
+def hot_firsts(work: DataFrame, buckets: int) -> DataFrame:
     """`batch`, `strings`: the strings of hot anchors that a smaller document has, and the smallest one."""
-    rows = map_arrow(work.filter("n_hot > 0").drop("anchors"), hot_strings, "batch long, digest binary, low long, high long")
-    rows = saved(rows, "hot-strings")
+    some = work.filter(F.exists("told", lambda one: F.octet_length(one["hot"]) > 0))
+    rows = saved(map_arrow(some, hot_strings(buckets), "batch long, digest binary, low long, high long"), "hot-strings")
     spans = rows.groupBy("digest").agg(F.min("low").alias("first"), F.max("high").alias("end"))
     known = rows.join(spans.filter("first < end").drop("end"), "digest").filter("first < high")
     return known.groupBy("batch").agg(F.collect_list(F.struct("digest", "first")).alias("strings"))
@@ -318,16 +337,15 @@ def digests(texts: list[bytes]) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, texts), np.uint64, len(texts))
 
 
-def pieces_by_shard(shards: int):
+def pieces_by_shard(buckets: int):
     """Per batch and shard: different pieces, with the smallest and the largest document that has each."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         for row in rows_of(batches):
-            shared = together(row["anchors"])
-            if not len(shared):
+            if not row["told"]:
                 continue
             batch = Batch(row)
-            groups, _ = wanted_groups(batch, shared, together(row["hot"]), row["copies"])
+            groups, _ = wanted_groups(batch, row, buckets)
             if not len(groups):
                 continue
             texts, keys, docs = piece_texts(batch, groups), batch.anchor[groups], batch.ids[batch.doc[groups]]
@@ -335,7 +353,7 @@ def pieces_by_shard(shards: int):
             low, high = np.full(len(one), NO_ID), np.full(len(one), np.iinfo(np.int64).min)
             np.minimum.at(low, slot, docs)
             np.maximum.at(high, slot, docs)
-            shard = (mixed(keys[one]) % np.uint64(shards)).astype(np.int64)
+            shard = (mixed(keys[one]) % np.uint64(buckets)).astype(np.int64)
             order = np.argsort(shard, kind="stable")
             for some in np.split(order, np.flatnonzero(np.diff(shard[order], prepend=-1))[1:]):
                 mine = [texts[k] for k in one[some].tolist()]
@@ -520,15 +538,17 @@ def first_by_batch(rows: pa.Table) -> pa.Table:
     return pa.table(out, schema=pa.schema([("batch", pa.int64())] + [(name, pa.binary()) for name in list(out)[1:]]))
 
 
-def removed_strings(batch: Batch, row: dict) -> np.ndarray:
+def removed_strings(batch: Batch, row: dict, buckets: int) -> np.ndarray:
     """Whether the string from each place on is one that a smaller document has."""
     marks = np.zeros(len(batch.text) + 1, bool)
     for place in row["copies"] or ():
         marks[batch.starts[place] : batch.starts[place + 1] - LENGTH + 1] = True
+    if not row["told"]:
+        return marks
+    groups, often = wanted_groups(batch, row, buckets)
     if row["strings"]:
         first = {bytes(one["digest"]): one["first"] for one in row["strings"]}
-        hot = together(row["hot"])
-        places, docs = hot_places(batch, wanted_groups(batch, hot, hot, row["copies"])[1])
+        places, docs = hot_places(batch, often)
         smallest = [first.get(digest, NO_ID) for digest in hot_digests(batch, places)]
         marks[places] |= np.array(smallest, np.int64) < batch.ids[docs]
     if not row["found"]:
@@ -539,8 +559,7 @@ def removed_strings(batch: Batch, row: dict) -> np.ndarray:
     )
     ends = np.cumsum(counts.astype(np.int64))
     known = {d: firsts[end - count : end] for d, end, count in zip(digest.tolist(), ends.tolist(), counts.tolist())}
-    near = np.unique(together(row["keys"]) >> np.uint64(16))
-    groups, _ = wanted_groups(batch, near, together(row["hot"]), row["copies"])
+    groups = groups[np.isin(batch.anchor[groups], together(row["keys"]))]
     texts = piece_texts(batch, groups)
     docs = batch.ids[batch.doc[groups]]
     for text, doc, at, d in zip(texts, docs.tolist(), batch.first[groups].tolist(), digests(texts).tolist()):
@@ -550,30 +569,34 @@ def removed_strings(batch: Batch, row: dict) -> np.ndarray:
     return marks
 
 
-def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+def cleaned(buckets: int):
     """The documents of each batch, with what is removed and what is kept."""
-    for row in rows_of(batches):
-        batch = Batch(row)
-        marks = removed_strings(batch, row)
-        # A place is covered if a marked string begins on it or at most `LENGTH` - 1 places before it.
-        change = np.zeros(len(batch.text) + LENGTH + 1, np.int64)
-        at = np.flatnonzero(marks)
-        change[at] += 1
-        change[at + LENGTH] -= 1
-        covered = np.cumsum(change)[: len(batch.text)] > 0
-        text = np.frombuffer(batch.text, np.uint8)
-        kept, spans = [], []
-        for a, b in zip(batch.starts.tolist(), batch.starts[1:].tolist()):
-            mine = covered[a:b]
-            edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
-            spans.append([{"start": int(x), "end": int(y)} for x, y in edges])
-            kept.append(text[a:b][~mine].tobytes() if len(edges) else batch.text[a:b])
-        yield {
-            "doc_id": [None if doc_id == NO_ID else doc_id for doc_id in batch.ids.tolist()],
-            "n_bytes": batch.sizes,
-            "spans": spans,
-            "kept": kept,
-        }
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for row in rows_of(batches):
+            batch = Batch(row)
+            marks = removed_strings(batch, row, buckets)
+            # A place is covered if a marked string begins on it or at most `LENGTH` - 1 places before it.
+            change = np.zeros(len(batch.text) + LENGTH + 1, np.int64)
+            at = np.flatnonzero(marks)
+            change[at] += 1
+            change[at + LENGTH] -= 1
+            covered = np.cumsum(change)[: len(batch.text)] > 0
+            text = np.frombuffer(batch.text, np.uint8)
+            kept, spans = [], []
+            for a, b in zip(batch.starts.tolist(), batch.starts[1:].tolist()):
+                mine = covered[a:b]
+                edges = np.flatnonzero(np.diff(mine.astype(np.int8), prepend=0, append=0)).reshape(-1, 2)
+                spans.append([{"start": int(x), "end": int(y)} for x, y in edges])
+                kept.append(text[a:b][~mine].tobytes() if len(edges) else batch.text[a:b])
+            yield {
+                "doc_id": [None if doc_id == NO_ID else doc_id for doc_id in batch.ids.tolist()],
+                "n_bytes": batch.sizes,
+                "spans": spans,
+                "kept": kept,
+            }
+
+    return run
 
 
 def remove_repeats(
@@ -596,20 +619,17 @@ def remove_repeats(
     total = packs.agg(F.sum("bytes")).first()[0] or 0
     buckets = max(buckets, -(-total // BUCKET_BYTES))
     anchors = map_arrow(packs, anchors_by_bucket(buckets), "bucket long, batch long, anchors binary, several binary, pieces binary")
-    told = anchors.groupBy("bucket").applyInArrow(shared_anchors(hot), "batch long, anchors binary, hot binary, n_hot long")
-    told = told.groupBy("batch").agg(
-        F.collect_list("anchors").alias("anchors"), F.collect_list("hot").alias("hot"), F.sum("n_hot").alias("n_hot")
-    )
-    shared = saved(told, "anchors")
-    copies = saved(copies_of(packs), "copies")
-    work = packs.join(shared, "batch").join(copies, "batch", "left")
+    told = anchors.groupBy("bucket").applyInArrow(shared_anchors(hot), "batch long, bucket long, shared binary, hot binary")
+    told = told.groupBy("batch").agg(F.collect_list(F.struct("bucket", "shared", "hot")).alias("told"))
+    known = saved(told.join(copies_of(packs), "batch", "full"), "told")
+    work = packs.join(known, "batch", "left")
     kinds = "shard long, batch long, keys binary, sizes binary, low binary, high binary, texts binary"
     pieces = map_arrow(work, pieces_by_shard(buckets), kinds)
     answers = pieces.groupBy("shard").applyInArrow(
         first_by_batch, "batch long, found binary, counts binary, firsts binary, keys binary"
     )
     lists = [F.collect_list(name).alias(name) for name in ("found", "counts", "firsts", "keys")]
-    firsts = answers.groupBy("batch").agg(*lists).join(hot_firsts(work), "batch", "full")
-    marked = packs.join(shared, "batch", "left").join(copies, "batch", "left").join(firsts, "batch", "left")
+    firsts = answers.groupBy("batch").agg(*lists).join(hot_firsts(work, buckets), "batch", "full")
+    marked = work.join(firsts, "batch", "left")
     out = "doc_id long, n_bytes long, spans array<struct<start: bigint, end: bigint>>, kept binary"
-    return map_arrow(marked, cleaned, out)
+    return map_arrow(marked, cleaned(buckets), out)
