@@ -3,12 +3,15 @@
 Two Bloom filters, of keys seen once and of keys seen twice, are built inside every input partition, united block by
 block, and sent to all tasks. Only keys that the second filter suspects leave their partition, to be counted exactly.
 
-Filters grow with the counted lines up to `MAX_BITS`, which bounds what is broadcast. Beyond that more keys are suspected
-for nothing, and are counted as in any grouped count; the result is exact at every size.
+Filters grow with the counted lines up to `MAX_BITS`, which bounds what is broadcast. Where that would leave a line less
+than `LEAST_BITS` bits, keys are dealt to ranges by their hash, and each range has filters of its own, one after the other.
+Frequent keys are broadcast, the most frequent first; of the others, if `BROADCAST_BYTES` has no room for all, a filter is
+broadcast, and lines that it holds are joined with them. The result is exact at every size.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -20,13 +23,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import UPPER, WHITE, fresh, map_arrow, saved, shared, texts_of, without
+from muster.llm.common import fresh, map_arrow, saved, shared, texts_of, without
 
 MIN_DOCS = 10
 BITS_PER_LINE = 16
+LEAST_BITS = 4
 BLOCK_BITS = 1 << 19
 MAX_BITS = 1 << 29
-# Frequent keys of more bytes are joined instead of broadcast.
+# Frequent keys beyond so many bytes, the rarest of them, are joined instead of broadcast.
 BROADCAST_BYTES = 64 * 1024 * 1024
 FLUSH = 50_000
 
@@ -68,8 +72,13 @@ def hashes_of(keys) -> np.ndarray:
     return np.fromiter(map(xxhash.xxh3_64_intdigest, keys), np.uint64)
 
 
-def partition_filters(bits: int):
-    """One row per block that the partition touched: its bits seen once, and seen twice."""
+def in_range(hashes: np.ndarray, part: int, parts: int) -> np.ndarray:
+    """Whether each hash belongs to this one of the ranges."""
+    return (hashes * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(32)) % np.uint64(parts) == np.uint64(part)
+
+
+def partition_filters(bits: int, part: int, parts: int):
+    """One row per block that the partition touched: its bits seen once, and seen twice, of keys of one range."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         once, twice = np.zeros(bits // 8, np.uint8), np.zeros(bits // 8, np.uint8)
@@ -87,6 +96,7 @@ def partition_filters(bits: int):
         for batch in batches:
             for text in texts_of(batch.column(0)):
                 hashes = hashes_of(keys_of(text))
+                hashes = hashes[in_range(hashes, part, parts)]
                 pending.append(hashes)
                 size += len(hashes)
                 if size >= FLUSH:
@@ -96,8 +106,8 @@ def partition_filters(bits: int):
             add(np.concatenate(pending))
         width = BLOCK_BITS // 8
         for block in np.flatnonzero(touched):
-            part = slice(block * width, (block + 1) * width)
-            yield {"block": [int(block)], "once": [pack(once[part])], "twice": [pack(twice[part])]}
+            some = slice(block * width, (block + 1) * width)
+            yield {"block": [int(block)], "once": [pack(once[some])], "twice": [pack(twice[some])]}
 
     return run
 
@@ -126,21 +136,24 @@ def united_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         yield {"block": [block], "twice": [pack(bits)]}
 
 
-def seen_twice(texts: DataFrame) -> np.ndarray:
-    """The second filter over all documents, at most `MAX_BITS` bits."""
+def count_lines(texts: DataFrame) -> int:
     breaks = F.octet_length("text") - F.octet_length(F.replace("text", F.lit("\n"), F.lit("")))
-    lines = texts.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
-    bits = filter_bits(lines)
-    parts = map_arrow(texts, partition_filters(bits), "block long, once binary, twice binary")
-    blocks = map_arrow(parts.repartition("block"), united_blocks, "block long, twice binary")
+    return texts.agg(F.sum(F.coalesce(breaks, F.lit(0)) + 1)).first()[0] or 0
+
+
+def seen_twice(texts: DataFrame, lines: int, part: int = 0, parts: int = 1) -> np.ndarray:
+    """The second filter of one range of keys over all documents, at most `MAX_BITS` bits."""
+    bits = filter_bits(-(-lines // parts))
+    rows = map_arrow(texts, partition_filters(bits, part, parts), "block long, once binary, twice binary")
+    blocks = map_arrow(rows.repartition("block"), united_blocks, "block long, twice binary")
     twice, width = np.zeros(bits // 8, np.uint8), BLOCK_BITS // 8
     for row in blocks.toLocalIterator():
         twice[row["block"] * width : (row["block"] + 1) * width] = unpack(bytes(row["twice"]))
     return twice
 
 
-def suspects(twice):
-    """Suspected keys, each once per document, counted inside the partition as far as memory allows."""
+def suspects(twice, part: int, parts: int):
+    """Suspected keys of one range, each once per document, counted inside the partition as far as memory allows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
         counts: Counter[bytes] = Counter()
@@ -148,7 +161,8 @@ def suspects(twice):
             for text in texts_of(batch.column(0)):
                 keys = list(keys_of(text))
                 if keys:
-                    mask = suspected(twice.value, hashes_of(keys))
+                    hashes = hashes_of(keys)
+                    mask = suspected(twice.value, hashes) & in_range(hashes, part, parts)
                     counts.update(key for key, yes in zip(keys, mask) if yes)
                 if len(counts) >= FLUSH:
                     yield {"key": list(counts), "n": list(counts.values())}
@@ -164,9 +178,16 @@ def frequent_keys(df: DataFrame, min_docs: int = MIN_DOCS, text: str = "text") -
     texts = df.select(df[text].cast("string").alias("text"))
     if min_docs < 2:
         raise ValueError("min_docs below 2: the filter of twice-seen keys would miss keys")
-    twice = shared(df, seen_twice(texts))
-    counted = map_arrow(texts, suspects(twice), "key binary, n long")
-    return counted.groupBy("key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+    lines = count_lines(texts)
+    parts = max(1, -(-lines * LEAST_BITS // MAX_BITS))
+    found = []
+    for part in range(parts):
+        twice = shared(df, seen_twice(texts, lines, part, parts))
+        counted = map_arrow(texts, suspects(twice, part, parts), "key binary, n long")
+        counted = counted.groupBy("key").agg(F.sum("n").alias("n_docs")).filter(F.col("n_docs") >= min_docs)
+        # Written between ranges, so that no task holds the filters of two.
+        found.append(counted if parts == 1 else saved(counted, "frequent-range"))
+    return functools.reduce(DataFrame.unionAll, found)
 
 
 def kept_lines(text: bytes, drop) -> tuple[bytes, int, int]:
@@ -205,36 +226,62 @@ def drop_frequent_lines(
     included; an empty table gives an empty table. Columns named like the added ones (`counts`) are replaced.
     """
     df = df.withColumn(text, F.col(text).cast("string"))
-    frequent = saved(frequent_keys(df, min_docs, text), "frequent-lines")
-    size = frequent.agg(F.sum(F.octet_length("key") + 64)).first()[0] or 0
-    if size <= BROADCAST_BYTES:
-        known = shared(df, frozenset(bytes(row["key"]) for row in frequent.select("key").collect()))
+    # Keys of a level have at least half as many documents as any other of it.
+    level = F.floor(F.log2("n_docs"))
+    frequent = saved(frequent_keys(df, min_docs, text).withColumn("level", level), "frequent-lines")
+    sizes = frequent.groupBy("level").agg(F.sum(F.octet_length("key") + 64).alias("size")).collect()
+    room, least = BROADCAST_BYTES, None
+    for row in sorted(sizes, key=lambda row: -row["level"]):
+        room -= row["size"]
+        if room < 0:
+            least = row["level"]
+            break
+    common = frequent if least is None else frequent.filter(F.col("level") > least)
+    known = shared(df, frozenset(bytes(row["key"]) for row in common.select("key").collect()))
+    if least is not None:
+        return drop_with_join(df, known, frequent.filter(F.col("level") <= least), text, counts)
+
+    def by_key(batch: pa.RecordBatch):
+        keys = known.value
+        return [lambda _, line: key_of(line) in keys] * batch.num_rows
+
+    return map_arrow(df, *rewritten(df.schema, text, counts, by_key))
+
+
+def lines_held(by):
+    """The lines of each text whose key the filter holds: digest of the text, place of the line, key."""
 
-        def by_key(batch: pa.RecordBatch):
-            keys = known.value
-            return [lambda _, line: key_of(line) in keys] * batch.num_rows
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+        for batch in batches:
+            for digest, text in zip(batch.column(0).to_pylist(), texts_of(batch.column(1))):
+                keys = list(map(key_of, text.split(b"\n")))
+                at = np.flatnonzero(suspected(by.value, hashes_of(keys))).tolist()
+                if at:
+                    yield {"digest": [digest] * len(at), "pos": at, "key": [keys[k] for k in at]}
 
-        return map_arrow(df, *rewritten(df.schema, text, counts, by_key))
-    return drop_by_join(df, frequent, text, counts)
+    return run
 
 
-def drop_by_join(df: DataFrame, frequent: DataFrame, text: str, counts: tuple[str, str]) -> DataFrame:
-    """The same where the frequent keys are too many to broadcast.
+def drop_with_join(df: DataFrame, known, rare: DataFrame, text: str, counts: tuple[str, str]) -> DataFrame:
+    """The same where not all frequent keys can be broadcast: `known` are, `rare` are joined.
 
-    Which lines go depends on the text alone, so places are found once per different text, by joins that adaptive
-    execution can split: both sides are plain shuffles.
+    Only lines that a filter of the rare keys holds leave their partition. Which lines go depends on the text alone, so
+    places are found once per different text, by plain shuffled joins.
     """
     same, gone = fresh("_digest", df.columns), fresh("_drop", df.columns)
     digest = F.sha2(F.coalesce(F.col(text), F.lit("")), 256)
-    lines = df.select(digest.alias("_digest"), F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n", -1)))
-    key = F.encode(F.translate(F.btrim("col", F.lit(WHITE)), UPPER, UPPER.lower()), "UTF-8")
-    hits = lines.select("_digest", "pos", key.alias("key")).join(frequent.select("key"), "key", "left_semi")
-    found = saved(hits.groupBy("_digest").agg(F.collect_set("pos").alias("_drop")), "frequent-places")
-    found = found.withColumnsRenamed({"_digest": same, "_drop": gone})
+    keys = rare.select(F.col("key").cast("string").alias("text"))
+    # Every key twice: then the second filter holds exactly these.
+    held = shared(df, seen_twice(keys.unionAll(keys), rare.count()))
+    lines = map_arrow(df.select(digest.alias("digest"), text), lines_held(held), "digest string, pos int, key binary")
+    hits = lines.join(rare.select("key"), "key", "left_semi")
+    found = saved(hits.groupBy("digest").agg(F.collect_set("pos").alias("_drop")), "frequent-places")
+    found = found.withColumnsRenamed({"digest": same, "_drop": gone})
     rows = df.withColumn(same, digest).join(found, same, "left").drop(same)
 
     def by_place(batch: pa.RecordBatch):
+        keys = known.value
         places = [frozenset(value or ()) for value in batch.column(gone).to_pylist()]
-        return [lambda at, _, places=one: at in places for one in places]
+        return [lambda at, line, places=one: at in places or key_of(line) in keys for one in places]
 
     return map_arrow(rows, *rewritten(rows.schema, text, counts, by_place, gone))

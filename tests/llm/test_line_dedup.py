@@ -38,6 +38,23 @@ def test_join_gives_the_same(spark, odd_texts, monkeypatch):
     assert found(line_dedup.drop_frequent_lines(df)) == expected(odd_texts)
 
 
+def test_most_frequent_are_broadcast_and_others_joined(spark, monkeypatch):
+    texts = ["often\nRare one \nkeep %d" % k if k < 12 else "often\n\n other\nkeep %d\noften" % k for k in range(60)]
+    texts += texts[:3] + [None, ""]
+    df = documents(spark, texts).repartition(3)
+    # 69 bytes for the commonest key, and as much for "other".
+    for room in (0, 69, 140, 1000):
+        monkeypatch.setattr(line_dedup, "BROADCAST_BYTES", room)
+        assert found(line_dedup.drop_frequent_lines(df)) == expected(texts)
+
+
+def test_ranges_of_keys_give_the_same(spark, odd_texts, monkeypatch):
+    monkeypatch.setattr(line_dedup, "LEAST_BITS", 1000)
+    monkeypatch.setattr(line_dedup, "MAX_BITS", 2 * line_dedup.BLOCK_BITS)
+    texts = [f"line {k}\nline {k // 12}\nshared" for k in range(1000)] + odd_texts
+    assert found(line_dedup.drop_frequent_lines(documents(spark, texts).repartition(3))) == expected(texts)
+
+
 def test_full_filter_loses_nothing(spark, odd_texts, monkeypatch):
     monkeypatch.setattr(line_dedup, "MAX_BITS", line_dedup.BLOCK_BITS)
     monkeypatch.setattr(line_dedup, "filter_bits", lambda lines: line_dedup.BLOCK_BITS)
