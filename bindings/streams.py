@@ -52,15 +52,24 @@ def events_stream(t: Tables) -> DataFrame:
 ARRIVALS = 3
 
 
-def arriving(t: Tables, name: str, events: DataFrame | None = None, late_every: int = 0) -> Iterator[tuple[DataFrame, str]]:
+def arriving(
+    t: Tables, name: str, events: DataFrame | None = None, late_every: int = 0, closing: bool = False
+) -> Iterator[tuple[DataFrame, str]]:
     """Events that land in `ARRIVALS` steps in order of time; yields their stream and a path after each step.
 
-    With `late_every`, every so many of the events of the last `LATENESS` before a step land with the next step.
+    With `late_every`, every so many of the events of the last `LATENESS` before a step land with the next step. With
+    `closing`, events without a time come after all others, and one more step lands a row that is of no key and so late that
+    the watermark passes every event, but not that row.
     """
     path = scratch_path(t.spark, name)
     events = t("events").select("user_id", "event_id", "ts", "event_type") if events is None else events
     first, last = events.agg(F.min("ts"), F.max("ts")).first()
     width = (last - first) / ARRIVALS + timedelta(seconds=1)
+    if closing:
+        kind = events.schema["ts"].dataType
+        behind = F.timestamp_micros(F.lit(micros(last) + 1)).cast(kind)
+        end = F.timestamp_micros(F.lit(micros(last + LATENESS + timedelta(milliseconds=2)))).cast(kind)
+        events = events.withColumn("ts", F.coalesce("ts", behind))
     since = F.unix_micros(F.col("ts").cast("timestamp")) - micros(first)
     step = F.floor(since / (width / timedelta(microseconds=1)))
     if late_every:
@@ -69,6 +78,10 @@ def arriving(t: Tables, name: str, events: DataFrame | None = None, late_every:
     for number in range(ARRIVALS):
         events.filter(step == number).write.mode("append").parquet(f"{path}/landed")
         yield t.spark.readStream.schema(events.schema).parquet(f"{path}/landed"), path
+    if closing:
+        row = [end.alias(f.name) if f.name == "ts" else F.lit(None).cast(f.dataType).alias(f.name) for f in events.schema.fields]
+        t.spark.range(1).select(*row).write.mode("append").parquet(f"{path}/landed")
+        yield t.spark.readStream.schema(events.schema).parquet(f"{path}/landed"), path
 
 
 def micros(time: datetime) -> int:
@@ -122,14 +135,14 @@ def stream_current_state(t: Tables) -> DataFrame:
     return read_current(t.spark, path, USER, ORDER, events.schema)
 
 
-@query(f"""
+@query("""
     SELECT event_id, user_id, event_type, previous FROM (
         SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS previous FROM events)
-    WHERE previous IS DISTINCT FROM event_type AND ts <= {SETTLED}
+    WHERE previous IS DISTINCT FROM event_type
 """)
 def stream_state_changes(t: Tables) -> DataFrame:
-    """Events that land in steps, some of them a step too late."""
-    for events, path in arriving(t, "changes", late_every=7):
+    """Events that land in steps, some of them a step too late, until all are told."""
+    for events, path in arriving(t, "changes", late_every=7, closing=True):
         changes = run_to_table(state_changes_stream(events, USER, ORDER, "event_type", LATENESS), path)
     return changes.select("event_id", "user_id", "event_type", "previous")
 

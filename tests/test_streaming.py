@@ -375,3 +375,20 @@ def test_scratch_without_setting():
     settings = {"spark.sql.warehouse.dir": "file:/shared/warehouse"}
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default=None: settings.get(key, default)))
     assert scratch_root(session) == "file:/shared/warehouse/scratch"
+
+
+def test_the_query_of_changes_tells_all_of_them(spark, tmp_path, rows):
+    """Those of the newest day, and those without a time, which come last."""
+    from bindings import QUERIES
+
+    schema = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+    events = [(n, START + timedelta(hours=n * 3), [1, 2, None][n % 3], "xyz"[n * n % 7 % 3], 0.0) for n in range(60)]
+    events += [(100, None, 1, "w", 0.0), (101, None, 1, "w", 0.0), (105, None, 2, "v", 0.0)]
+    spark.createDataFrame(events, schema).coalesce(1).write.parquet(f"{tmp_path}/events.parquet")
+    expected, before = [], {}
+    for event, _, user, kind, _ in sorted(events, key=lambda e: (e[1] or datetime.max, e[0])):
+        if before.get(user) != kind:
+            expected.append((event, user, kind, before.get(user)))
+        before[user] = kind
+    found = QUERIES["stream_state_changes"](spark, str(tmp_path))
+    assert rows(found) == sorted(expected, key=repr) and {59, 100, 105} <= {row.event_id for row in found.collect()}
