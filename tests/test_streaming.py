@@ -392,3 +392,82 @@ def test_the_query_of_changes_tells_all_of_them(spark, tmp_path, rows):
         before[user] = kind
     found = QUERIES["stream_state_changes"](spark, str(tmp_path))
     assert rows(found) == sorted(expected, key=repr) and {59, 100, 105} <= {row.event_id for row in found.collect()}
+
+
+class CountedState:
+    """A list or value state of one bucket that counts its calls."""
+
+    def __init__(self):
+        self.calls, self.value = 0, None
+
+    def __getattr__(self, name):
+        def call(*given):
+            self.calls += 1
+            if name == "get":
+                return iter(self.value or []) if isinstance(self.value, list) or self.value is None else self.value
+            if name == "appendList":
+                self.value = [*(self.value or []), *given[0]]
+            elif name in ("put", "update"):
+                self.value = given[0]
+            elif name == "clear":
+                self.value = None
+
+        return call
+
+
+class CountedHandle:
+    """Stands for Spark: list states, a timer's value state, timers."""
+
+    def __init__(self):
+        self.states, self.timers = [], 0
+
+    def getListState(self, name, schema):
+        self.states.append(CountedState())
+        return self.states[-1]
+
+    def getValueState(self, name, schema):
+        state = CountedState()
+        self.states.append(state)
+        return SimpleNamespace(get=lambda: state.get() if state.value else None, update=state.update, clear=state.clear)
+
+    def registerTimer(self, at):
+        self.timers += 1
+
+    deleteTimer = registerTimer
+
+    def calls(self):
+        return self.timers + sum(state.calls for state in self.states)
+
+
+@pytest.mark.parametrize("which", ["changes", "silences", "last"])
+def test_state_calls_do_not_grow_with_keys(which):
+    """A call goes through a socket: keys of one bucket share theirs."""
+    from pyspark.sql import Row
+    from pyspark.sql import types as T
+
+    from muster.streaming.current import LastRows
+    from muster.streaming.ordered import AT, InOrder
+    from muster.streaming.silence import Silences
+
+    def fields(*names):
+        return T.StructType([T.StructField(name, T.LongType()) for name in names])
+
+    def made():
+        if which == "changes":
+            return InOrder(fields("k", "id", AT), ["k"], fields("v"), ["k", "id"], [AT, "id"], step, lambda memory: [], None)
+        return Silences(fields("k"), ["k", "a", "b", "c"], 10) if which == "silences" else LastRows(fields("k", "id", AT), ["k"], ["id"], 2)
+
+    def step(memory, row):
+        return (row["id"],), [(row["id"],)]
+
+    calls, found = {}, {}
+    for n in (2, 500):
+        processor, handle = made(), CountedHandle()
+        processor.init(handle)
+        rows = [Row(k=k, id=j, **{AT: 1000 * (j + 1) + k}, _bucket=0) for k in range(n) for j in range(3)]
+        out = list(processor.handleInputRows((0,), iter(rows), None))
+        if which != "last":
+            passed = SimpleNamespace(getCurrentWatermarkInMs=lambda: 100)
+            out = list(processor.handleExpiredTimer((0,), passed, None))
+        calls[n], found[n] = handle.calls(), len(out)
+    assert calls[500] == calls[2] and found[500] == 250 * found[2] > 0
