@@ -18,6 +18,7 @@ from pyspark.sql.streaming.stateful_processor import TimerValues
 from muster.operators.history import KEEP_ROWS, latest_per_key
 from muster.session import share_package
 from muster.sources.versions import read_if_there
+from muster.streaming.buckets import BUCKET, alike, bucket_of, replace, values_of
 from muster.streaming.ordered import place, plain_schema, plain_times, times_again
 
 BatchWriter = Callable[[DataFrame, int], None]
@@ -60,40 +61,45 @@ def read_current(
 
 
 class LastRows(StatefulProcessor):
-    """The last rows of a key in map state: at most `n`, by their place in the order."""
+    """The last rows of the keys of a bucket in list state: of each key at most `n`, by their place in the order."""
 
-    def __init__(self, row: T.StructType, place: T.StructType, names: list[str], n: int) -> None:
-        self.row, self.place, self.names, self.n = row, place, names, n
+    def __init__(self, row: T.StructType, keys: list[str], order: list[str], n: int) -> None:
+        self.row, self.keys, self.order, self.n = row, keys, order, n
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.output = Row(*self.names)
-        self.kept = handle.getMapState("kept", self.place, self.row)
+        self.output = Row(*self.row.names, KEPT)
+        self.kept = handle.getListState("kept", self.row)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        order = self.place.names
-        places = {place(one, range(len(order))): tuple(one) for one in self.kept.keys()}
-        arrived: dict[tuple, Row] = {}
-        least: list[tuple] = []
-        for row in rows:
-            at = place(row, order)
-            if at in places or at in arrived or (len(arrived) == self.n and at < least[0]):
+        key_at, order = ([self.row.names.index(name) for name in names] for names in (self.keys, self.order))
+        held: dict[tuple, dict[tuple, tuple]] = {}
+        for values in self.kept.get():
+            held.setdefault(alike([values[k] for k in key_at]), {})[place(values, order)] = values
+        arrived: dict[tuple, dict[tuple, tuple]] = {}
+        least: dict[tuple, list[tuple]] = {}
+        for values in values_of(rows, self.row.names):
+            known, at = alike([values[k] for k in key_at]), place(values, order)
+            new, lowest = arrived.setdefault(known, {}), least.setdefault(known, [])
+            if at in held.get(known, ()) or at in new or (len(new) == self.n and at < lowest[0]):
                 continue
-            arrived[at] = row
-            if len(arrived) > self.n:
-                del arrived[heapq.heappushpop(least, at)]
+            new[at] = values
+            if len(new) > self.n:
+                del new[heapq.heappushpop(lowest, at)]
             else:
-                heapq.heappush(least, at)
-        stay = set(heapq.nlargest(self.n, [*places, *arrived]))
-        for at, names in places.items():
-            if at not in stay:
-                values = self.kept.getValue(names)
-                self.kept.removeKey(names)
-                yield self.output(*key, *values, False)
-        for at, row in arrived.items():
-            if at in stay:
-                values = tuple(row[name] for name in self.row.names)
-                self.kept.updateValue(tuple(row[name] for name in order), values)
-                yield self.output(*key, *values, True)
+                heapq.heappush(lowest, at)
+        changed = False
+        for known, new in arrived.items():
+            old = held.setdefault(known, {})
+            stay = set(heapq.nlargest(self.n, [*old, *new]))
+            for at in [at for at in old if at not in stay]:
+                yield self.output(*old.pop(at), False)
+            for at, values in new.items():
+                if at in stay:
+                    old[at] = values
+                    changed = True
+                    yield self.output(*values, True)
+        if changed:
+            replace(self.kept, [values for old in held.values() for values in old.values()])
 
     def close(self) -> None:
         pass
@@ -108,10 +114,10 @@ def retain_last_n_stream(stream: DataFrame, keys: Sequence[str], order: Sequence
     """
     share_package(stream.sparkSession)
     schema = plain_schema(stream.schema)
-    row = T.StructType([field for field in schema.fields if field.name not in keys])
-    found = T.StructType([*[schema[key] for key in keys], *row.fields, T.StructField(KEPT, T.BooleanType())])
-    processor = LastRows(row, T.StructType([schema[name] for name in order]), found.names, n)
-    updates = plain_times(stream).groupBy(*keys).transformWithState(processor, found, "Update", "None")
+    found = T.StructType([*schema.fields, T.StructField(KEPT, T.BooleanType())])
+    processor = LastRows(schema, list(keys), list(order), n)
+    dealt = plain_times(stream).withColumn(BUCKET, bucket_of(keys))
+    updates = dealt.groupBy(BUCKET).transformWithState(processor, found, "Update", "None")
     return times_again(updates, stream.schema).select(*stream.columns, KEPT)
 
 
