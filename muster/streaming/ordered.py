@@ -1,8 +1,8 @@
 """Rows of a stream in the order of their times, with a small memory per key.
 
 Rows wait in Spark's list state until the watermark has passed them, so rows that arrive out of order by less than the
-delay are put in order. A timer per key then hands them, in order, to a step that knows what the key remembers and says
-what comes out. Rows behind the watermark are dropped and counted by Spark; `late_rows` tells how many.
+delay are put in order. A timer per bucket of keys then hands them, in order, to a step that knows what the key remembers
+and says what comes out. Rows behind the watermark are dropped and counted by Spark; `late_rows` tells how many.
 
 State changes, explicit sessions and states as of an event are such steps.
 """
@@ -22,12 +22,12 @@ from pyspark.sql.streaming.stateful_processor import ExpiredTimerInfo, TimerValu
 from muster.functions.timeline import micros, span_text, whole_micros
 from muster.schemas import ENDED, JOINING, REPLACING
 from muster.session import share_package
+from muster.streaming.buckets import BUCKET, CHUNK, Chunks, alike, bucket_of, replace, values_of
 
 DELAY = timedelta(hours=1)
 SESSION_KEYS = ("installation_id", "session_name")
 TIMES = (T.TimestampType, T.TimestampNTZType)
 AT = "_at"
-CHUNK = 1000
 
 Memory = tuple | None
 # What a key remembers and a row of the stream; what it remembers then, and rows that come out.
@@ -50,75 +50,86 @@ def times_again(df: DataFrame, schema: T.StructType) -> DataFrame:
     return df.withColumns({f.name: F.timestamp_micros(f.name).cast(f.dataType) for f in schema.fields if isinstance(f.dataType, TIMES)})
 
 
-def place(row: Row, order: Sequence[str]) -> tuple:
+def place(row: Sequence, order: Sequence[str | int]) -> tuple:
     """Sorts like Spark: NULL first."""
     return tuple((row[name] is not None, row[name]) for name in order)
 
 
 class InOrder(StatefulProcessor):
-    """Waiting rows and the memory of a key; see `in_order`."""
+    """Waiting rows and the memories of the keys of a bucket; see `in_order`."""
 
-    def __init__(self, row: T.StructType, memory: T.StructType, names: list[str], order: list[str], step: Step, forget: Forget, keep: int | None):
-        self.row, self.remembered, self.names, self.order = row, memory, names, order
+    def __init__(self, row: T.StructType, keys: list[str], memory: T.StructType, names: list[str], order: list[str], step: Step, forget: Forget, keep: int | None):
+        self.row, self.keys, self.remembered, self.names, self.order = row, keys, memory, names, order
         self.step, self.forget, self.keep = step, forget, keep
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
         self.made, self.output = Row(*self.row.names), Row(*self.names)
-        self.waiting = handle.getListState("waiting", self.row)
-        self.memory = handle.getValueState("memory", self.remembered)
-        # The timer that is set, in milliseconds, and the time of the last row that was handled, in microseconds.
-        self.clock = handle.getValueState("clock", "timer long, last long")
-
-    def set_timer(self, wanted: int | None, timer: int | None, last: int | None) -> None:
-        if wanted != timer:
-            if timer is not None:
-                self.handle.deleteTimer(timer)
-            if wanted is not None:
-                self.handle.registerTimer(wanted)
-        self.clock.update((wanted, last))
+        self.waiting = Chunks(handle, "waiting")
+        # Per key that remembers something: the key, the time of its last row in microseconds, and its memory.
+        held = [T.StructField(f"_key_{k}", self.row[key].dataType) for k, key in enumerate(self.keys)]
+        held += [T.StructField("_last", T.LongType())]
+        held += [T.StructField(f"_memory_{k}", field.dataType) for k, field in enumerate(self.remembered.fields)]
+        self.memory = handle.getListState("memory", T.StructType(held))
+        # The timer that is set, in milliseconds.
+        self.timer = handle.getValueState("timer", "at long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        earliest = None
-        for some in batched(rows, CHUNK):
-            self.waiting.appendList([tuple(row[name] for name in self.row.names) for row in some])
-            first = min(row[AT] for row in some)
+        at, earliest = self.row.names.index(AT), None
+        for some in batched(values_of(rows, self.row.names), CHUNK):
+            self.waiting.append(some)
+            first = min(row[at] for row in some)
             earliest = first if earliest is None else min(first, earliest)
         if earliest is not None:
-            timer, last = self.clock.get() or (None, None)
-            due = -(-earliest // 1000)
-            self.set_timer(due if timer is None else min(due, timer), timer, last)
+            due, timer = -(-earliest // 1000), self.timer.get()
+            if timer is None or due < timer[0]:
+                if timer is not None:
+                    self.handle.deleteTimer(timer[0])
+                self.handle.registerTimer(due)
+                self.timer.update((due,))
         return iter(())
 
     def handleExpiredTimer(self, key: tuple, timerValues: TimerValues, expiredTimerInfo: ExpiredTimerInfo) -> Iterator[Row]:
-        watermark = timerValues.getCurrentWatermarkInMs() * 1000
+        watermark, keep, n = timerValues.getCurrentWatermarkInMs() * 1000, self.keep, len(self.keys)
+        at, key_at = self.row.names.index(AT), [self.row.names.index(name) for name in self.keys]
         ready, rest = [], []
-        for values in self.waiting.get():
-            row = self.made(*values)
-            (ready if row[AT] <= watermark else rest).append(row)
-        ready.sort(key=lambda row: place(row, self.order))
-        memory, (_, last) = self.memory.get(), self.clock.get() or (None, None)
-        before = memory
-        for row in ready:
-            if memory is not None and self.keep is not None and row[AT] > last + self.keep:
-                yield from self.rows(key, self.forget(memory))
+        for values in self.waiting.rows():
+            (ready if values[at] <= watermark else rest).append(values)
+        order = [self.row.names.index(name) for name in self.order]
+        ready.sort(key=lambda values: place(values, order))
+        memories = {alike(held[:n]): (held[:n], held[n], held[n + 1 :]) for held in self.memory.get()}
+        changed = bool(ready)
+        for values in ready:
+            one = tuple([values[k] for k in key_at])
+            known = alike(one)
+            _, last, memory = memories.get(known, (one, None, None))
+            if memory is not None and keep is not None and values[at] > last + keep:
+                yield from self.rows(one, self.forget(memory))
                 memory = None
-            memory, found = self.step(memory, row)
-            last = row[AT]
-            yield from self.rows(key, found)
-        if memory is not None and self.keep is not None and last + self.keep < watermark:
-            yield from self.rows(key, self.forget(memory))
-            memory = None
-        if memory is None:
-            self.memory.clear()
-        elif memory != before:
-            self.memory.update(memory)
+            memory, found = self.step(memory, self.made(*values))
+            if memory is None:
+                memories.pop(known, None)
+            else:
+                memories[known] = one, values[at], memory
+            yield from self.rows(one, found)
+        if keep is not None:
+            for known, (one, last, memory) in list(memories.items()):
+                if last + keep < watermark:
+                    yield from self.rows(one, self.forget(memory))
+                    del memories[known]
+                    changed = True
+        if changed:
+            replace(self.memory, [(*one, last, *memory) for one, last, memory in memories.values()])
         if ready:
-            self.waiting.put([tuple(row) for row in rest]) if rest else self.waiting.clear()
-        times = [-(-min(row[AT] for row in rest) // 1000)] if rest else []
-        if memory is not None and self.keep is not None:
-            times.append((last + self.keep) // 1000 + 1)
-        self.set_timer(min(times, default=None), None, last)
+            self.waiting.put(rest)
+        times = [-(-min(values[at] for values in rest) // 1000)] if rest else []
+        if memories and keep is not None:
+            times.append((min(last for _, last, _ in memories.values()) + keep) // 1000 + 1)
+        if times:
+            self.handle.registerTimer(min(times))
+            self.timer.update((min(times),))
+        else:
+            self.timer.clear()
 
     def rows(self, key: tuple, found: list[tuple]) -> Iterator[Row]:
         return (self.output(*key, *values) for values in found)
@@ -142,19 +153,18 @@ def in_order(
 
     Times are whole microseconds for `step`, in what it remembers and in what it gives. `memory` and `output` are schemas.
     A key that has no row for longer than `keep` loses its memory, after `forget` has seen it. Rows without a time are left
-    out. The rows of a key are put in order by one task.
+    out. The rows of a bucket of keys are put in order by one task.
     """
     share_package(stream.sparkSession)
     ts, *ties = order
     given = stream.filter(F.col(ts).isNotNull())
     schema = T.StructType([*plain_schema(given.schema).fields, T.StructField(AT, T.LongType())])
-    row = T.StructType([field for field in schema.fields if field.name not in keys])
-    timed = plain_times(given).withColumns({AT: F.col(ts), "_ts": F.timestamp_micros(ts)})
+    timed = plain_times(given).withColumns({AT: F.col(ts), "_ts": F.timestamp_micros(ts), BUCKET: bucket_of(keys)})
     found = T.StructType([*[schema[key] for key in keys], *T.StructType.fromDDL(output).fields])
     processor = InOrder(
-        row, T.StructType.fromDDL(memory), found.names, [AT, *ties], step, forget, None if keep is None else whole_micros(keep)
+        schema, list(keys), T.StructType.fromDDL(memory), found.names, [AT, *ties], step, forget, None if keep is None else whole_micros(keep)
     )
-    rows = timed.withWatermark("_ts", span_text(delay)).groupBy(*keys)
+    rows = timed.withWatermark("_ts", span_text(delay)).groupBy(BUCKET)
     return rows.transformWithState(processor, found, "Append", "EventTime")
 
 
