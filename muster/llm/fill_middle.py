@@ -2,7 +2,8 @@
 
 A document is a piece table: a short list of descriptors (buffer, start, end) over two buffers that never change, the
 bytes of the text and those of the sentinels. Cutting splits descriptors, arranging permutes them, the inverse permutation
-restores them, and digests read the described bytes one descriptor after the other. Text is copied only to be returned.
+restores them, and digests read the described bytes one descriptor after the other. Text is copied only to be returned,
+some megabytes of it at a time.
 """
 
 from __future__ import annotations
@@ -17,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from muster.llm.common import map_arrow, texts_of, without
+from muster.llm.common import by_bytes, map_arrow, texts_of, without
 
 SEED = 42
 # Of a hundred documents: how many are rearranged, and how many of those have their suffix first.
@@ -175,14 +176,14 @@ def rearrange(
     fields = [kept[name] for name in rest] + [T.StructField(name, kind) for name, kind in ADDED.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in by_bytes(batches, text):
             rows = []
             for key, value in zip(batch.column(doc_id).to_pylist(), texts_of(batch.column(text))):
                 n, form, low, high = chosen(value, key, seed, rate, suffix_first)
                 table = arranged(value, low, high, form)
                 lengths = (None, None) if form == PLAIN else (code_points(value, 0, low), code_points(value, low, high))
                 rows.append((n, form, *lengths, table.written(), table.digest()))
-            columns = dict(zip(ADDED, map(list, zip(*rows)))) if rows else {name: [] for name in ADDED}
+            columns = dict(zip(ADDED, map(list, zip(*rows))))
             columns["output"] = pa.array(columns["output"], pa.binary()).cast(pa.string())
             yield {name: batch.column(name) for name in rest} | columns
 
@@ -198,7 +199,7 @@ def restore(df: DataFrame, output: str = "output", form: str = "form") -> DataFr
     fields = [df.schema[name] for name in rest] + [T.StructField(name, kind) for name, kind in RESTORED.items()]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
-        for batch in batches:
+        for batch in by_bytes(batches, output):
             tables = [restored(value, how) for value, how in zip(texts_of(batch.column(output)), batch.column(form).to_pylist())]
             yield {name: batch.column(name) for name in rest} | {
                 "restored": pa.array([table.written() for table in tables], pa.binary()).cast(pa.string()),

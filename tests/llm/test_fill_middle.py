@@ -2,6 +2,7 @@ import hashlib
 import random
 import re
 
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from llm.conftest import documents
@@ -88,3 +89,20 @@ def test_output_without_sentinels_stays():
 def test_empty_table(spark):
     df = fill_middle.restore(fill_middle.rearrange(documents(spark, [])))
     assert df.count() == 0 and df.columns[-2:] == ["restored", "restored_sha256"]
+
+
+def test_texts_are_taken_by_bytes(spark, monkeypatch):
+    """A batch of long texts is worked on, and handed on, some megabytes at a time."""
+    runs = []
+    monkeypatch.setattr(fill_middle, "map_arrow", lambda df, run, schema: runs.append(run) or df)
+    fill_middle.rearrange(documents(spark, ["a"]).select("doc_id", "text"))
+    fill_middle.restore(spark.createDataFrame([("a", "plain")], "output string, form string"))
+    texts = ["word " * 200_000, None, "é b", "x " * 3_000_000] * 5
+    batch = pa.RecordBatch.from_pydict({"doc_id": list(range(20)), "text": texts})
+    cut = list(runs[0](iter([batch])))
+    assert [i for some in cut for i in some["doc_id"].to_pylist()] == list(range(20))
+    assert [row for some in cut for row in some["output"].to_pylist()] == [brute(i, text)[-1] for i, text in enumerate(texts)]
+    assert max(sum(len(t or "") for t in some["text"].to_pylist()) for some in cut) <= 6_000_000
+    whole = pa.RecordBatch.from_pydict({"output": texts, "form": ["plain"] * 20})
+    back = list(runs[1](iter([whole])))
+    assert len(back) > 5 and [row for some in back for row in some["restored"].to_pylist()] == [text or "" for text in texts]
